@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelake.llm.common import shared_dir
 from pagelake.llm.mixing import mix
 from pagelake.llm.packing import pack_documents
 from pagelake.llm.sharding import shard_documents
+from pagelake.llm.substring_dedup import dedup_substrings
 from pagelake.llm.token_counts import token_counts
 from pagelake.llm.token_files import read_token_files, write_token_files
 
@@ -25,6 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when 20-word repeats are cut."""
+    cut = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), 20)
+    kept = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix at 150 % of all words takes from each document."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,7 +61,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_files, op7_token_counts, op9_pack_windows, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op7_token_counts, op9_pack_windows, op10_jump_shards)}
 
 ORACLE_SQL = {
     "op2_mix_sources": r"""
