@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.llm import licenses, quality_rules
 from pagelake.llm.common import shared_dir
 from pagelake.llm.mixing import mix
 from pagelake.llm.packing import pack_documents
@@ -46,11 +47,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences, rules and licences of every document, as comma-separated lists."""
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    lists = [F.array_join(c, ",").alias(c) for c in ("sentence_ids", "rules", "licenses")]
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *lists)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(documents(spark, sf_dir), tokenizer=vocabulary("byte_bpe_50k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality_rules.quality_verdicts(documents(spark, sf_dir), labels)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return pack_documents(documents(spark, sf_dir), tokenizer=vocabulary("word_bpe_49k.json"))
@@ -61,7 +76,80 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op7_token_counts, op9_pack_windows, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
+
+
+def _license_sql() -> str:
+    """The scan in DuckDB SQL, from the same tables of sentences and rules."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses._known().items())
+    rules = ", ".join(f"({i}, '{n}', '{lic}', '{licenses.rule_pattern(r)}')" for i, (n, lic, r) in enumerate(licenses.RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+rules(k, rule, license, pattern) AS (VALUES {rules}),
+parts AS (
+  SELECT doc_id, i, p FROM (
+    SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i
+    FROM (SELECT doc_id, string_split_regex(lower(text), '{licenses.END}') AS x FROM documents))),
+lines AS (
+  SELECT doc_id, i, unnest(x) AS p, generate_subscripts(x, 1) AS j
+  FROM (SELECT doc_id, i, CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END AS x FROM parts)),
+found AS (SELECT doc_id, i, j, id FROM lines JOIN known ON trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) = sentence),
+per AS (
+  SELECT d.doc_id, count(f.id) AS n_sentences, coalesce(string_agg(f.id, ',' ORDER BY i, j), '') AS sentence_ids,
+         ' ' || coalesce(string_agg(f.id, ' ' ORDER BY i, j), '') || ' ' AS line
+  FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id)
+SELECT doc_id, n_sentences, sentence_ids, coalesce(string_agg(rule, ',' ORDER BY k), '') AS rules,
+       coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
+FROM per LEFT JOIN rules ON regexp_matches(line, pattern)
+GROUP BY doc_id, n_sentences, sentence_ids
+"""
+
+
+def _quality_sql() -> str:
+    """The rules in DuckDB SQL; the binomial tail from its logarithmic terms."""
+    q = quality_rules
+    cuts = ", ".join(f"({c})" for c in q.CUTOFFS)
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN floor(1000 * {a} / {b}) ELSE 0 END"
+    rules = {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "capitals": share("n_capitals", "word_chars")}
+    scored = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {x} AS score FROM stats" for r, x in rules.items())
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)),
+places AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM places, range(5) r(j) GROUP BY doc_id),
+stats AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM (
+    SELECT t.doc_id, t.lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+           (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))::BIGINT AS n_capitals
+    FROM texts t LEFT JOIN repeats r ON t.doc_id = r.doc_id)),
+scored AS ({scored}),
+marks AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+counts AS (
+  SELECT lang, rule, c AS cutoff, count_if(good)::DOUBLE AS n, count_if(good AND score >= c)::BIGINT AS k, count_if(NOT good AND score >= c) AS bad
+  FROM scored JOIN marks USING (doc_id), (VALUES {cuts}) v(c) WHERE NOT base_failed GROUP BY lang, rule, c),
+tests AS (
+  SELECT *, bad - {q.COST} * k AS gain, (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM counts)) AS family,
+         CASE WHEN k <= n * {q.ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}::DOUBLE) + (n - i) * ln(1 - {q.ALPHA}::DOUBLE)))) ELSE 1 END AS tail
+  FROM counts),
+cut AS (
+  SELECT lang, rule, arg_max(cutoff, gain * 1000000 + cutoff) AS cutoff FROM tests
+  WHERE n > 0 AND gain > 0 AND tail <= {q.DELTA} / family GROUP BY lang, rule),
+rejected AS (
+  SELECT DISTINCT doc_id FROM scored s JOIN cut c ON s.lang IS NOT DISTINCT FROM c.lang AND s.rule = c.rule WHERE score >= cutoff)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r.doc_id IS NULL AS kept
+FROM stats s LEFT JOIN rejected r ON s.doc_id = r.doc_id
+"""
+
 
 ORACLE_SQL = {
     "op2_mix_sources": r"""
@@ -93,4 +181,6 @@ SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, want - whole * source_size - before)))::BIGINT AS taken
 FROM whole
 """,
+    "op4_license_scan": _license_sql(),
+    "op8_quality_rules": _quality_sql(),
 }
