@@ -15,6 +15,7 @@ from pagelake.llm.sharding import shard_documents
 from pagelake.llm.substring_dedup import dedup_substrings
 from pagelake.llm.token_counts import token_counts
 from pagelake.llm.token_files import read_token_files, write_token_files
+from pagelake.llm.topk_search import top_k
 
 
 def vocabulary(name: str) -> str:
@@ -54,6 +55,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *lists)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best neighbours of every 50th vector among all vectors."""
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(documents(spark, sf_dir), tokenizer=vocabulary("byte_bpe_50k.json"))
@@ -76,7 +82,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
 
 
 def _license_sql() -> str:
@@ -114,8 +120,10 @@ def _quality_sql() -> str:
     scored = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {x} AS score FROM stats" for r, x in rules.items())
     return rf"""
 WITH texts AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM documents),
 windows AS (
   SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g
@@ -180,6 +188,16 @@ whole AS (SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 EN
 SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, want - whole * source_size - before)))::BIGINT AS taken
 FROM whole
+""",
+    "op5_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op4_license_scan": _license_sql(),
     "op8_quality_rules": _quality_sql(),
