@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagelake.llm import licenses, quality_rules
 from pagelake.llm.common import shared_dir
 from pagelake.llm.mixing import mix
+from pagelake.llm.near_dedup import near_duplicate_groups
 from pagelake.llm.packing import pack_documents
 from pagelake.llm.sharding import shard_documents
 from pagelake.llm.substring_dedup import dedup_substrings
@@ -60,6 +61,11 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_duplicate_groups(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(documents(spark, sf_dir), tokenizer=vocabulary("byte_bpe_50k.json"))
@@ -82,7 +88,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op6_minhash_dedup, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
 
 
 def _license_sql() -> str:
