@@ -114,10 +114,10 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from pagelake.llm.wordpieces import WordPieces
+        from pagelake.llm.wordpieces import word_pieces
 
         sequence = TaskContext.get().partitionId() << LOCAL_BITS
-        pieces = WordPieces(tokenizer)
+        pieces = word_pieces(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
 
         def documents() -> Iterator[tuple[int, bytes]]:

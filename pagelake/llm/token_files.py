@@ -151,10 +151,10 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from pagelake.llm.wordpieces import WordPieces
+        from pagelake.llm.wordpieces import word_pieces
 
         part, seq = TaskContext.get().partitionId(), 0
-        pieces = WordPieces(tokenizer)
+        pieces = word_pieces(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         held, ids, sizes, total = [], [], [], 0
 

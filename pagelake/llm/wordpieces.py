@@ -7,80 +7,81 @@ worker; a bounded table keeps its ids.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 #: Entries that a worker's table of words may hold (about 200 bytes each).
 #: A full table is emptied; ids do not depend on it.
-TABLE_WORDS = 700_000
+TABLE_WORDS = 1_500_000
+
+#: Bytes after which a full stop or comma is not part of a longer run of marks.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
 
-#: ASCII punctuation that joins no other character; the apostrophe and ``<``
-#: take part in contractions and special strings and are left alone.
-_TAIL = b'!#$%&()*+,-./:;=?@[]^_`{}~"'
+def fold(texts: list[bytes]) -> list[bytes]:
+    """Texts with the same ids and fewer distinct words.
+
+    ASCII letters are lowered, and a full stop or comma between a letter or digit
+    (ASCII, or a small letter of Latin-1) and white space, which is a pre-token by
+    itself, gets a space before it. Texts with special strings, or with marks that
+    compose with ASCII letters (U+0300 to U+036F), stay as they are.
+    """
+    odd = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+    raw = np.frombuffer(b"\n\n".join([b"", *[b"" if o else t.lower() for o, t in zip(odd, texts)], b""]), np.uint8)
+    at = np.flatnonzero((raw == 44) | (raw == 46))
+    before, after = raw[at - 1], raw[at + 1]
+    latin = (raw[at - 2] == 0xC3) & (before >= 0xA0) & (before <= 0xBF) & (before != 0xB7)
+    at = at[(_PLAIN[before] | latin) & ((after == 32) | ((after >= 9) & (after <= 13)))]
+    made = np.insert(raw, at, 32).tobytes()
+    ends = np.cumsum([0, *[2 if o else len(t) + 2 for o, t in zip(odd, texts)]])
+    ends += np.searchsorted(at, ends)
+    return [t if o else made[s:e] for o, t, s, e in zip(odd, texts, ends[:-1].tolist(), ends[1:].tolist())]
 
 
 class WordPieces:
-    """``ids(words)``: the ids of a word list as little-endian uint32 bytes."""
+    """Ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that the table has all of ``words``."""
         new = [w for w in words if w not in self.table]
-        if not new:
-            return
         if len(self.table) + len(new) > TABLE_WORDS:
             self.table.clear()
-            self.parts.clear()
             new = list(words)
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        need: set[bytes] = set()
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if not core or not core.decode("utf-8", "replace")[-1].isalpha():
-                core, tail = w, b""
-            else:
-                tail = w[len(core):]
-            if core.isascii() and b"<|" not in core:
-                core = core.lower()
-            split[w] = (core, tail)
-            need.add(core)
-            need.add(tail)
-        need -= self.parts.keys()
-        need.discard(b"")
-        self._encode(need)
-        self.parts[b""] = b""
-        parts = self.parts
-        for w, (core, tail) in split.items():
-            self.table[w] = parts[core] + parts[tail]
-
-    def _encode(self, need: set[bytes]) -> None:
-        texts = {x: x.decode("utf-8", "replace") for x in need}
-        plain = [x for x, t in texts.items() if t.isalpha()]
-        for i in range(0, len(plain), 256):  # one pre-token each, so word ids tell them apart
-            group = plain[i : i + 256]
-            made = self.tokenizer.encode(" ".join(texts[x] for x in group), add_special_tokens=False)
-            ids = np.asarray(made.ids, "<u4")
-            at = np.asarray([-1 if x is None else x for x in made.word_ids])
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            if len(cuts) + 1 != len(group):  # a letter that normalises to something else
-                self._encode_each(group, texts)
-                continue
-            for x, part in zip(group, np.split(ids, cuts)):
-                self.parts[x] = part.tobytes()
-        self._encode_each([x for x, t in texts.items() if not t.isalpha()], texts)
-
-    def _encode_each(self, group: list[bytes], texts: dict[bytes, str]) -> None:
-        for x, made in zip(group, self.tokenizer.encode_batch_fast([texts[x] for x in group], add_special_tokens=False)):
-            self.parts[x] = np.asarray(made.ids, "<u4").tobytes()
+        texts = [w.decode("utf-8", "replace") for w in new]
+        plain = [t.isalpha() for t in texts]
+        letters = [t for t, p in zip(texts, plain) if p]
+        made = self.tokenizer.encode_batch([" ".join(letters[i : i + 512]) for i in range(0, len(letters), 512)], add_special_tokens=False)
+        keys = [w for w, p in zip(new, plain) if p]
+        other = [(w, t) for w, t, p in zip(new, texts, plain) if not p]
+        for i, found in enumerate(made):  # each word is one pre-token here, so word ids tell them apart
+            group = slice(512 * i, 512 * (i + 1))
+            cuts = (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1) * 4
+            if len(cuts) + 1 == len(keys[group]):
+                raw = np.array(found.ids, "<u4").tobytes()
+                ends = [*cuts.tolist(), len(raw)]
+                self.table.update(zip(keys[group], [raw[s:e] for s, e in zip([0, *ends], ends)]))
+            else:  # a letter that normalises to something else
+                other += zip(keys[group], letters[group])
+        for (w, _), one in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+            self.table[w] = np.array(one.ids, "<u4").tobytes()
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each whole text."""
-        words = [t.split() for t in texts]
+        words = [t.split() for t in fold(texts)]
         self.learn(set().union(*words))
         get = self.table.__getitem__
         return [b"".join(map(get, w)) for w in words]
+
+
+@functools.cache
+def word_pieces(path: str) -> WordPieces:
+    """The worker's own table, kept from task to task."""
+    return WordPieces(path)
