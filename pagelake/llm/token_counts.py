@@ -7,6 +7,7 @@ no pre-token has a known pair. The symbols that survive are the token count.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -110,6 +111,12 @@ class ByteMerges:
         return [sum(map(get, ps)) + len(xs) - 1 for ps, xs in zip(pieces, parts)]
 
 
+@functools.cache
+def byte_merges(path: str) -> ByteMerges:
+    """The worker's own table, kept from task to task."""
+    return ByteMerges(path)
+
+
 def token_counts(docs: DataFrame, *, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row, in one pass over the texts.
 
@@ -119,7 +126,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str, limit: int = 1024, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ByteMerges(tokenizer)
+        counter = byte_merges(tokenizer)
         for b in text_chunks(batches, "text"):
             raw = as_bytes(b.column("text"))
             n = counter.documents([x.decode("utf-8", "replace") for x in raw])
