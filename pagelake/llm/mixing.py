@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, *, source: str = "source", size: str = "siz
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, epochs: int = 2) -> DataFrame:
-    """Words that the mix takes from each document: ``doc_id, size, source, source_size, target, taken``.
+    """Words that the mix takes from each row: ``doc_id, text_hash, size, source, source_size, target, taken``.
 
     Every document of a source is repeated as often as whole epochs fit its
     target. The fraction left goes to documents in the order of a seeded hash of
@@ -50,6 +50,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
     )
@@ -62,5 +63,24 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), want - whole * F.col("source_size") - F.col("before")))
     return ordered.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken")
+        "doc_id", "text_hash", "size", "source", "source_size", "target", (whole * F.col("size") + extra).cast("long").alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, all columns as they are.
+
+    A part of a document is a row with its first words, one space between them.
+    Rows alike in id, text and source share what they give evenly, rounded down.
+    Rows of which nothing is taken, such as those without words, do not appear.
+    """
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    plan = plan.groupBy(F.col("doc_id").alias("_mx_id"), F.col("text_hash").alias("_mx_hash"), F.col("source").alias("_mx_source"), F.col("size").alias("_mx_size"))
+    plan = plan.agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_mx_taken")).where("_mx_taken > 0")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_mx_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_mx_hash")) & docs[source_col].cast("string").eqNullSafe(F.col("_mx_source"))
+    parts = F.ceil(F.col("_mx_taken") / F.col("_mx_size")).cast("int")
+    rows = docs.join(plan, same).withColumn("_mx_part", F.explode(F.sequence(F.lit(1), parts)))
+    left = F.col("_mx_taken") - (F.col("_mx_part") - 1) * F.col("_mx_size")
+    words = F.array_remove(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+"), "")
+    text = F.when(left >= F.col("_mx_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
+    return rows.withColumn(text_col, text).select(*docs.columns)

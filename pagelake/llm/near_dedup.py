@@ -263,3 +263,18 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     out = rows.join(known, [*same, F.col("doc_id").isNotNull(), F.col("n_shingles") > 0], "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``near_duplicate_groups``, all columns as they are.
+
+    The row with the smallest id stays; of rows with that id one stays. Rows with
+    a null id stay.
+    """
+    groups = near_duplicate_groups(docs, percent=percent, shingle=shingle, id_col=id_col, text_col=text_col)
+    groups = materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_nd_id"))
+    left = docs.join(gone, docs[id_col].cast("long") == F.col("_nd_id"), "left_anti")
+    if groups.where("kept AND n > 1").limit(1).count():
+        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left

@@ -29,7 +29,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per input row: ``doc_id, stratum`` and counts of the whole text.
+    """One row per input row: ``doc_id, text_hash, stratum`` and counts of the whole text.
 
     Null and empty texts have no words and count 0 everywhere. Repeated words are
     those in 5-word windows that the text has twice or more; windows are compared
@@ -55,6 +55,7 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     return base.select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         "stratum",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -140,3 +141,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
         rejected = rejected | F.coalesce(score >= F.col(f"cut_{rule}"), F.lit(False))
     judged = stats.join(cut, F.col("stratum").eqNullSafe(F.col("of")), "left")
     return judged.select(*stats.columns, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns as they are."""
+    verdicts = quality_verdicts(docs, labels, id_col=id_col, text_col=text_col, stratum_col=stratum_col)
+    out = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_qr_id"), F.col("text_hash").alias("_qr_hash")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_qr_id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("_qr_hash"))
+    return docs.join(out, same, "left_anti")
