@@ -7,6 +7,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.functions.quality import squeeze
 
@@ -15,7 +16,7 @@ _MAIN = r"(?is)<(main|article)\b[^>]*>(.*?)</\1>"
 LOC = r"(?is)<loc\b[^>]*>(.*?)</loc>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Entities as characters; rows that the caller made null cost nothing."""
     return text.map(_html.unescape, na_action="ignore")

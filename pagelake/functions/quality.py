@@ -40,12 +40,16 @@ def page_state(text: Column) -> Column:
     return out.otherwise("OK")
 
 
+def _in(values: tuple[str, ...]):
+    return lambda w: w.isin(*values)
+
+
 def language(text: Column) -> Column:
     """Language by script, else by marker words (two at least); null if unclear."""
     count = lambda chars: F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
     ar, ko, ru = (count(x) for x in (r"؀-ۿ", r"가-힯", r"Ѐ-ӿ"))
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lower)
-    scores = [F.size(F.filter(words, lambda w, m=m: w.isin(*m))) for m in MARKERS.values()]
+    scores = [F.size(F.filter(words, _in(m))) for m in MARKERS.values()]
     best = F.greatest(*scores)
     marked = F.when(best < 2, None)
     for name, score in zip(MARKERS, scores):

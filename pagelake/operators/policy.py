@@ -8,6 +8,7 @@ import urllib.robotparser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import urls
@@ -19,7 +20,7 @@ SAFE_METHODS = ("GET", "HEAD", "OPTIONS")
 METHODS = ("GET", "HEAD", "OPTIONS", "POST", "PUT", "PATCH", "DELETE")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def idna_host(host: pd.Series) -> pd.Series:
     """ASCII form of a host with other letters; null where there is none."""
 
@@ -58,7 +59,7 @@ def destination_policy(df: DataFrame, url: str, *, previous: str | None = None,
     return out.withColumns({"policy_id": F.coalesce("_first.policy_id", F.lit("url_validation")), "allowed": F.col("_first").isNull(), "reason": F.coalesce("_first.reason", F.lit("valid HTTP(S) target"))}).drop("_first", "_denied")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_public(address: pd.Series) -> pd.Series:
     def one(x: str) -> bool:
         try:
