@@ -1 +1,217 @@
-"""Queries."""
+"""Queries with joins, aggregates, windows, sorting and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagelake.operators import content, runs
+from pagelake.plans.registry import query, table
+
+
+def t(spark, d, name):
+    return table(spark, d, name)
+
+
+@query("artifact_source", "SELECT o_orderkey AS artifact_id, o_custkey AS resource_id, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def artifact_source(spark, d):
+    """Orders as artifacts of customers, of which each has an older record too."""
+    arts = t(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"), F.col("o_custkey").alias("resource_id"))
+    new = t(spark, d, "customer").select(F.col("c_custkey").alias("resource_id"), F.col("c_name").alias("name"), F.lit(2).alias("seq"))
+    old = new.withColumn("name", F.lit("old")).withColumn("seq", F.lit(1))
+    return runs.artifact_source(arts, new.union(old), "seq").select("artifact_id", "resource_id", "name")
+
+
+@query("acquired_only", "SELECT o_orderkey AS artifact_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag IN ('A', 'N'))")
+def acquired_only(spark, d):
+    arts = t(spark, d, "orders").select(F.col("o_orderkey").alias("artifact_id"))
+    tries = t(spark, d, "lineitem").select(F.array("l_orderkey").alias("artifact_ids"), F.when(F.col("l_linestatus") == "F", "SUCCEEDED").otherwise("FAILED").alias("status"), F.col("l_returnflag").alias("capability_id"))
+    return runs.acquired_only(arts, tries, ("A", "N"))
+
+
+@query("unseen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unseen(spark, d):
+    return runs.unseen(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("run_trace", "SELECT c_custkey AS run_id, event_id AS sequence, event_type FROM customer LEFT JOIN events ON user_id = c_custkey")
+def run_trace(spark, d):
+    rs = t(spark, d, "customer").select(F.col("c_custkey").alias("run_id"))
+    return runs.run_trace(rs, t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence"), "event_type"))
+
+
+@query("coverage_report", """SELECT source, count(*) AS total, count_if(lang IN ('en', 'fr'))::BIGINT AS available, count_if(lang NOT IN ('en', 'fr')) = 0 AS closed,
+  string_agg(DISTINCT lang, ',' ORDER BY lang) AS statuses, coalesce(string_agg(CASE WHEN lang NOT IN ('en', 'fr') THEN doc_id::VARCHAR END, ',' ORDER BY doc_id), '') AS gaps FROM documents GROUP BY source""")
+def coverage_report(spark, d):
+    """Documents by source; English and French count as available."""
+    found = runs.coverage_report(t(spark, d, "documents"), "source", "doc_id", "lang", ("en", "fr"))
+    return found.select("source", "total", "available", "closed", F.array_join(F.map_keys("by_status"), ",").alias("statuses"), F.array_join("gaps", ",").alias("gaps"))
+
+
+@query("category_counts", "SELECT c_mktsegment AS category, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment)")
+def category_counts(spark, d):
+    return runs.category_counts(t(spark, d, "customer").withColumnRenamed("c_mktsegment", "category"), "category")
+
+
+@query("budget_remaining", "SELECT o_orderkey AS run_id, greatest(0.001::DOUBLE, 30.0::DOUBLE - coalesce(sum(l_linenumber), 0)) AS deadline, greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(l_quantity), 0)) AS bytes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def budget_remaining(spark, d):
+    tries = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.create_map(F.lit("deadline"), F.col("l_linenumber").cast("double"), F.lit("bytes"), F.col("l_quantity")).alias("consumed_budget"))
+    return runs.budget_remaining(t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), tries, {"deadline": 30.0, "bytes": 100.0})
+
+
+@query("run_status", """SELECT run_id, CASE WHEN accepted AND failed THEN 'PARTIAL' WHEN accepted THEN 'SUCCEEDED' WHEN policy THEN 'BLOCKED_POLICY' WHEN auth THEN 'AUTH_REQUIRED' WHEN nf THEN 'NOT_FOUND' ELSE 'LOW_QUALITY' END AS status
+  FROM (SELECT l_orderkey AS run_id, bool_or(l_returnflag = 'A') AS accepted, bool_or(l_linestatus = 'O') AS failed, bool_or(l_quantity > 45) AS policy, bool_or(l_discount > 0.08) AS auth, bool_or(l_tax > 0.06) AS nf FROM lineitem GROUP BY 1)""")
+def run_status(spark, d):
+    c = F.col
+    rows = t(spark, d, "lineitem").select(
+        c("l_orderkey").alias("run_id"), (c("l_returnflag") == "A").alias("accepted"), (c("l_linestatus") == "O").alias("failed"), (c("l_quantity") > 45).alias("policy"), (c("l_discount") > 0.08).alias("auth"),
+        (c("l_tax") > 0.06).alias("not_found"), F.lit(False).alias("budget"), F.lit(True).alias("artifacts"), F.lit(False).alias("dependency"),
+    )
+    return runs.run_status(rows)
+
+
+@query("crawl_counters", "SELECT count_if(k = 0) AS next, count_if(k = 1) AS pagination, count_if(k = 2) AS related, count_if(k = 3) AS category, count_if(k = 4) AS internal, count_if(page_id % 2 = 0) AS domain_blocked, count_if(page_id % 3 = 0) AS depth_blocked FROM (SELECT page_id, page_id % 5 AS k FROM pages)")
+def crawl_counters(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ["next", "pagination", "related", "category", "internal"])), (F.col("page_id") % 5 + 1).cast("int"))
+    return runs.crawl_counters(t(spark, d, "pages").select(kind.alias("relation"), (F.col("page_id") % 2 == 0).alias("domain_blocked"), (F.col("page_id") % 3 == 0).alias("depth_blocked")))
+
+
+@query("text_budget_use", "SELECT source, sum(greatest(1, (length(text) + 3) // 4))::BIGINT AS tokens FROM documents GROUP BY source")
+def text_budget_use(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.sum(runs.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("alias_uniqueness", "SELECT doc_id AS value, 'duplicate id' AS problem FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'alias is an id' FROM documents WHERE doc_id >= 5 UNION ALL SELECT (SELECT max(doc_id) FROM documents) + 5 - i, 'duplicate alias' FROM range(0) r(i)")
+def alias_uniqueness(spark, d):
+    """Ids, every tenth twice; the id plus 5 as an alias."""
+    ids = t(spark, d, "documents").select("doc_id")
+    rows = ids.withColumn("aliases", F.array(F.col("doc_id") + 5)).unionByName(ids.where("doc_id % 10 = 0").withColumn("aliases", F.array().cast("array<bigint>")))
+    return runs.key_conflicts(rows, "doc_id", "aliases")
+
+
+@query("latest_artifact", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+def latest_artifact(spark, d):
+    rows = t(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("user_id", "event_id")
+    return content.latest(rows, ["user_id"], "event_id")
+
+
+@query("latest_outcome", "SELECT user_id, arg_max(event_type, event_id) AS candidate FROM events WHERE value > 50 GROUP BY user_id")
+def latest_outcome(spark, d):
+    rows = t(spark, d, "events").select("user_id", "event_id", F.when(F.col("value") > 50, F.col("event_type")).alias("candidate"))
+    return runs.latest_of(rows, ["user_id"], "event_id", "candidate")
+
+
+@query("first_seen", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_seen(spark, d):
+    return t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("budget_cutoff", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER w, 0)::DOUBLE AS used, coalesce(sum(l_quantity) OVER w, 0) < 60 AS runs FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def budget_cutoff(spark, d):
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    rows = t(spark, d, "lineitem").select("l_orderkey", *order)
+    return runs.budget_cutoff(rows, ["l_orderkey"], order, "l_quantity", 60).select("l_orderkey", "l_linenumber", F.col("used").cast("double").alias("used"), "runs")
+
+
+@query("context_pack", "SELECT source, doc_id FROM (SELECT source, doc_id, sum(greatest(1, (length(text) + 3) // 4)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) WHERE total <= 20000")
+def context_pack(spark, d):
+    rows = t(spark, d, "documents").select("source", "doc_id", "n_chars", runs.token_estimate(F.col("text")).alias("cost"))
+    return runs.context_pack(rows, ["source"], "cost", "n_chars", "doc_id", 20000).select("source", "doc_id")
+
+
+@query("locator_numbering", "SELECT doc_id, 'line:' || i AS locator, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))")
+def locator_numbering(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return rows.select("doc_id", F.concat(F.lit("line:"), (F.col("i") + 1).cast("string")).alias("locator"), "line")
+
+
+@query("event_order", "SELECT event_id, event_type FROM events WHERE user_id = 7")
+def event_order(spark, d):
+    return t(spark, d, "events").where("user_id = 7").orderBy("event_id").select("event_id", "event_type")
+
+
+@query("score_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS place FROM documents")
+def score_order(spark, d):
+    from pyspark.sql import Window
+
+    return t(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
+
+
+@query("first_n", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS head FROM documents")
+def first_n(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("head"))
+
+
+@query("record_cap", "SELECT doc_id, least(10, len(string_split(text, ' ')))::INTEGER AS kept, greatest(0, len(string_split(text, ' ')) - 10)::INTEGER AS omitted FROM documents")
+def record_cap(spark, d):
+    kept, omitted = runs.record_cap(F.split("text", " "), 10)
+    return t(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), omitted.alias("omitted"))
+
+
+@query("seed_union", "SELECT url, min(ord) AS ord FROM (SELECT 'https://e.org/' || page_id % 50 AS url, 0 AS ord FROM pages UNION ALL SELECT 'https://e.org/' || page_id % 70, 1 FROM pages) GROUP BY url")
+def seed_union(spark, d):
+    """Two seed lists; the first list that names an URL wins."""
+    p = t(spark, d, "pages")
+    seed = lambda n, o: p.select(F.concat(F.lit("https://e.org/"), (F.col("page_id") % n).cast("string")).alias("url"), F.lit(o).alias("ord"))
+    return seed(50, 0).unionByName(seed(70, 1)).groupBy("url").agg(F.min("ord").alias("ord"))
+
+
+@query("source_union", "SELECT text AS excerpt, max(score) AS score FROM (SELECT text, 0.5::DOUBLE AS score FROM documents UNION ALL SELECT text, 0.7::DOUBLE FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
+def source_union(spark, d):
+    docs = t(spark, d, "documents")
+    a = docs.select(F.col("text").alias("excerpt"), F.lit(0.5).alias("score"), "doc_id")
+    b = docs.where("doc_id % 2 = 0").select(F.col("text").alias("excerpt"), F.lit(0.7).alias("score"), "doc_id")
+    return runs.merge_sources(a, b, keys=["excerpt"], score="score", order="doc_id").select("excerpt", "score")
+
+
+@query("merge_sources", "SELECT DISTINCT source || ':' || lang AS locator, max(n_chars) OVER (PARTITION BY source, lang) AS score FROM documents")
+def merge_sources(spark, d):
+    rows = t(spark, d, "documents").select(F.concat_ws(":", "source", "lang").alias("locator"), F.col("n_chars").alias("score"), "doc_id")
+    return runs.merge_sources(rows, keys=["locator"], score="score", order="doc_id").select("locator", "score")
+
+
+@query("requested_intersection", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE '' END AS known FROM orders")
+def requested_intersection(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_intersect(F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit("O"), F.lit("X")))), ",").alias("known"))
+
+
+@query("two_way_difference", "SELECT c_custkey AS k, 'only_left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'only_right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def two_way_difference(spark, d):
+    left = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    right = t(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    return left.exceptAll(right).withColumn("side", F.lit("only_left")).union(right.exceptAll(left).withColumn("side", F.lit("only_right")))
+
+
+@query("run_upsert", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
+def run_upsert(spark, d):
+    rows = t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"))
+    return runs.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), "run_id", "seq")
+
+
+@query("query_terms", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_-]{2,}'), lambda w: lower(w) NOT IN (" + ", ".join(repr(w) for w in runs.IGNORED) + ")), ' ') AS terms FROM documents")
+def query_terms(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(runs.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("token_estimate", "SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens, left(text, 40) AS head FROM documents")
+def token_estimate(spark, d):
+    return t(spark, d, "documents").select("doc_id", runs.token_estimate(F.col("text")).alias("tokens"), F.left("text", F.lit(40)).alias("head"))
+
+
+_LINES = "SELECT doc_id, i, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE regexp_matches(line, '(?i)license|version') ORDER BY doc_id, i LIMIT 12"
+
+
+@query("exact_search", f"SELECT doc_id || ':' || i AS locator, line AS excerpt, 0.7::DOUBLE AS score FROM ({_LINES})")
+def exact_search(spark, d):
+    return runs.exact_search(t(spark, d, "documents"), ["license", "version"])
+
+
+@query("budget_split", "SELECT o_orderkey, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000)::INTEGER AS total, greatest(0, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000) - 2400)::INTEGER AS rest FROM (SELECT o_orderkey, (o_orderkey % 10) * 1000 AS k FROM orders)")
+def budget_split(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", runs.budget_split(((F.col("o_orderkey") % 10) * 1000).cast("int")).alias("b"))
+    return rows.select("o_orderkey", "b.total", "b.rest")
+
+
+@query("context_bundle", f"""WITH f AS (SELECT doc_id || ':' || i AS locator, line AS excerpt, greatest(1, (length(line) + 3) // 4)::BIGINT AS cost FROM ({_LINES})),
+  p AS (SELECT *, sum(cost) OVER (ORDER BY locator ROWS UNBOUNDED PRECEDING) AS total FROM f) SELECT locator, excerpt, cost, least(1.0::DOUBLE, count(*) OVER () * 0.35::DOUBLE) AS confidence FROM p WHERE total <= 150""")
+def context_bundle(spark, d):
+    return runs.context_bundle(t(spark, d, "documents"), ["license", "version"], 150)
