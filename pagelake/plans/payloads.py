@@ -1 +1,237 @@
-"""Queries."""
+"""Queries over payloads, files and archives derived from the given tables."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from pagelake.operators import payloads as p
+from pagelake.plans.registry import query, table
+from pagelake.sources import files
+
+
+def events(spark, d):
+    return table(spark, d, "events")
+
+
+_BAD = ['{"a":1,"a":2}', '{"a":NaN}', '[1,2] x', '{"a":1e999}']
+
+
+@query("json_strict", "SELECT event_id, event_id % 8 > 3 AS ok, ['duplicate JSON object keys are forbidden', 'non-finite JSON numbers are forbidden', 'malformed JSON', 'non-finite numbers are forbidden', NULL, NULL, NULL, NULL][event_id % 8 + 1] AS error FROM events")
+def json_strict(spark, d):
+    """Half of the property texts are replaced by four kinds of bad JSON."""
+    body = F.coalesce(F.get(F.array(*map(F.lit, _BAD)), (F.col("event_id") % 8).cast("int")), F.col("props"))
+    return events(spark, d).select("event_id", p.json_strict(body).alias("v")).select("event_id", "v.ok", "v.error")
+
+
+def _list(spark, d):
+    n = (F.col("event_id") % 20 + 1).cast("int")
+    return events(spark, d).select("event_id", n.alias("n"), F.to_json(F.named_struct(F.lit("data"), F.sequence(F.lit(1), n), F.lit("k"), F.sequence(F.lit(1), n))).alias("body"))
+
+
+def _normal(spark, d, rows, capability, media="application/json", n=p.MAX_RECORDS):
+    rows = rows.withColumn("capability", F.lit(capability)).withColumn("media_type", F.lit(media))
+    return p.payload_normalize(rows, maximum_records=n)
+
+
+@query("json_truncate", "SELECT event_id, 2 * greatest(0, event_id % 20 + 1 - 5)::BIGINT AS omitted_records FROM events")
+def json_truncate(spark, d):
+    return _normal(spark, d, _list(spark, d), "json_endpoint", n=5).select("event_id", "omitted_records")
+
+
+@query("json_locators", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json:/data,json:/a~1b~0' ELSE array_to_string(list_transform(range(0, event_id % 20 + 1), lambda i: 'json:/' || i), ',') END AS locators FROM events")
+def json_locators(spark, d):
+    n = (F.col("event_id") % 20 + 1).cast("int")
+    body = F.when(F.col("event_id") % 2 == 0, '{"data":1,"a/b~":2}').otherwise(F.to_json(F.sequence(F.lit(1), n)))
+    return events(spark, d).select("event_id", F.array_join(p.json_locators(body), ",").alias("locators"))
+
+
+_KEYS = {"graphql": ("graphql", "errors"), "github": ("github_api", "login"), "semantic_scholar": ("semantic_scholar_api", "paperId"), "openreview": ("openreview_api", "notes"), "crossref_openalex": ("crossref", "message")}
+
+
+def _envelope(name: str, kind: str, key: str) -> None:
+    def run(spark, d):
+        body = F.concat(F.lit('{"'), F.when(F.col("event_id") % 3 == 0, key).otherwise("other"), F.lit('":1}'))
+        return events(spark, d).select("event_id", p.has_envelope(body, kind).alias("ok"))
+
+    query(f"{name}_envelope", "SELECT event_id, event_id % 3 = 0 AS ok FROM events")(run)
+
+
+for _n, (_kind, _key) in _KEYS.items():
+    _envelope(_n, _kind, _key)
+
+
+@query("rest_json", "SELECT event_id, 'api_response' AS representation, 'json' AS format, 'json:/k' AS locators FROM events")
+def rest_json(spark, d):
+    rows = events(spark, d).select("event_id", F.col("props").alias("body"))
+    return _normal(spark, d, rows, "rest").select("event_id", "representation", "format", F.array_join("locators", ",").alias("locators"))
+
+
+def _xml(spark, d):
+    body = F.concat(F.lit("<r><user>"), F.col("user_id").cast("string"), F.lit("</user><kind>"), "event_type", F.lit("</kind></r>"))
+    return events(spark, d).select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('<!DOCTYPE r [<!ENTITY e "x">]>'), body)).when(F.col("event_id") % 4 == 1, F.concat(body, F.lit("<"))).otherwise(body).alias("body"))
+
+
+@query("xml_strict", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'malformed_api_payload: ValueError' WHEN 1 THEN 'malformed_api_payload: ParseError' END AS error FROM events")
+def xml_strict(spark, d):
+    return _normal(spark, d, _xml(spark, d), "xml_endpoint", "text/xml").select("event_id", "error")
+
+
+@query("xml_tree", """SELECT event_id, '{"attributes":{},"children":[{"attributes":{},"children":[],"tag":"user","text":"' || user_id || '"},{"attributes":{},"children":[],"tag":"kind","text":"' || event_type || '"}],"tag":"r","text":""}' AS data FROM events WHERE event_id % 4 > 1""")
+def xml_tree(spark, d):
+    return _normal(spark, d, _xml(spark, d).where("event_id % 4 > 1"), "rest", "text/xml").select("event_id", "data")
+
+
+def _feed(spark, d, head, item, tail):
+    """A feed per user with an item per event, in event order."""
+    rows = events(spark, d).where("user_id < 40").select("user_id", F.struct("event_id", item.alias("x")).alias("x"))
+    body = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), ""), F.lit(tail))
+    return rows.groupBy("user_id").agg(body.alias("body"))
+
+
+def _items(df):
+    """Records of the normalised documents as rows."""
+    kind = "struct<records:array<struct<title:string,link:string,id:string,summary:string,loc:string,lastmod:string>>>"
+    return df.select("user_id", F.posexplode(F.from_json("data", kind)["records"]).alias("pos", "r")).select("user_id", "pos", "r.*")
+
+
+_E = "FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos FROM events WHERE user_id < 40)"
+
+
+def _rss(spark, d):
+    item = F.concat(F.lit("<item><title>"), "event_type", F.lit("</title><link>https://e.org/"), F.col("event_id").cast("string"), F.lit("</link><guid>"), F.col("event_id").cast("string"), F.lit("</guid></item>"))
+    return _feed(spark, d, '<rss version="2.0"><channel><title>t</title>', item, "</channel></rss>")
+
+
+@query("rss_items", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, event_id::VARCHAR AS id {_E}")
+def rss_items(spark, d):
+    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "link", "id")
+
+
+def _atom(spark, d):
+    item = F.concat(F.lit("<entry><title>"), "event_type", F.lit('</title><link rel="self" href="no"/><link href="https://e.org/'), F.col("event_id").cast("string"), F.lit('"/><summary> s </summary></entry>'))
+    return _feed(spark, d, f'<feed xmlns="{p.ATOM}">', item, "</feed>")
+
+
+@query("atom_entries", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, 's' AS summary {_E}")
+def atom_entries(spark, d):
+    return _items(_normal(spark, d, _atom(spark, d), "atom", "text/xml")).select("user_id", "pos", "title", "link", "summary")
+
+
+@query("arxiv_entries", "SELECT user_id, 'api_response' AS representation, count(*)::INTEGER AS entries FROM events WHERE user_id < 40 GROUP BY user_id")
+def arxiv_entries(spark, d):
+    return _normal(spark, d, _atom(spark, d), "arxiv_api", "text/xml").select("user_id", "representation", F.size("locators").alias("entries"))
+
+
+@query("feed_record", f"SELECT user_id, pos, event_type AS title, event_id::VARCHAR AS id, NULL::VARCHAR AS summary {_E}")
+def feed_record(spark, d):
+    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "id", "summary")
+
+
+@query("sitemap_records", f"SELECT user_id, pos, 'https://e.org/' || event_id AS loc, '2024' AS lastmod {_E} WHERE pos < 30")
+def sitemap_records(spark, d):
+    item = F.concat(F.lit("<url><loc>https://e.org/"), F.col("event_id").cast("string"), F.lit("</loc><lastmod>2024</lastmod></url>"))
+    rows = _feed(spark, d, "<urlset>", item, "</urlset>")
+    return _items(_normal(spark, d, rows, "sitemap_xml", "text/xml", n=30)).select("user_id", "pos", "loc", "lastmod")
+
+
+@query("openapi_paths", f"SELECT user_id, 'path:/e/' || event_id AS locator {_E}")
+def openapi_paths(spark, d):
+    item = F.concat(F.lit("  /e/"), F.col("event_id").cast("string"), F.lit(":\n    get: {}\n"))
+    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "")
+    return _normal(spark, d, rows, "openapi_discovery", "text/yaml").select("user_id", F.explode("locators").alias("locator"))
+
+
+@query("payload_sniff", "SELECT event_id, event_id % 3 <> 2 AS xml FROM events")
+def payload_sniff(spark, d):
+    k = F.col("event_id") % 3
+    body = F.when(k == 0, " <r/>").otherwise("{}")
+    return events(spark, d).select("event_id", p.looks_like_xml(body, F.when(k == 1, "application/Atom+XML; charset=x").otherwise("text/plain")).alias("xml"))
+
+
+@query("payload_envelope", """SELECT event_id, '{"authority_url":"https://a.org/","capability":"rest","data":' || to_json(event_type) || ',"format":"json","omitted_records":0,"schema_version":"1.0","source_url":"https://a.org/' || event_id || '"}' AS document FROM events""")
+def payload_envelope(spark, d):
+    doc = p.envelope(F.lit("rest"), F.lit("https://a.org/"), F.concat(F.lit("https://a.org/"), F.col("event_id").cast("string")), F.lit("json"), F.col("event_type"), F.lit(0))
+    return events(spark, d).select("event_id", doc.alias("document"))
+
+
+@query("format_outcome", "SELECT event_id, 'rest' AS capability_id, 'APPLIED' AS status FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json_endpoint' ELSE 'xml_endpoint' END, 'OBSERVED' FROM events")
+def format_outcome(spark, d):
+    rows = events(spark, d).select("event_id", F.lit("rest").alias("capability"), F.when(F.col("event_id") % 2 == 0, "json").otherwise("xml").alias("format"))
+    return p.format_outcomes(rows, "event_id")
+
+
+@query("payload_normalize", "SELECT event_id, ['api_response', 'api_response', 'graphql', NULL][event_id % 4 + 1] AS representation, ['json', 'xml', 'json', NULL][event_id % 4 + 1] AS format, event_id % 4 <> 3 AS ok FROM events")
+def payload_normalize(spark, d):
+    k = F.col("event_id") % 4
+    rows = events(spark, d).select("event_id", F.when(k < 2, "rest").otherwise("graphql").alias("capability"), F.when(k == 1, "<r/>").when(k == 2, '{"data":{}}').otherwise(F.col("props")).alias("body"), F.lit("").alias("media_type"))
+    return p.payload_normalize(rows).select("event_id", "representation", "format", F.col("error").isNull().alias("ok"))
+
+
+# ---- files
+
+
+def _files(spark, d, content):
+    return table(spark, d, "documents").select(F.concat(F.lit("/f/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query("text_blocks", "SELECT '/f/' || doc_id || '.txt' AS path, 'line:1' AS locator, text FROM documents")
+def text_blocks(spark, d):
+    return files.text_blocks(_files(spark, d, F.col("text")))
+
+
+_CSV = "SELECT '/f/' || doc_id || '.txt' AS path, 'row:1' AS locator, 'id,lang' AS cells FROM documents UNION ALL SELECT '/f/' || doc_id || '.txt', 'row:2', doc_id || ',' || lang FROM documents"
+
+
+@query("csv_rows", _CSV)
+def csv_rows(spark, d):
+    body = F.concat(F.lit("﻿id,lang\n"), F.col("doc_id").cast("string"), F.lit(',"'), "lang", F.lit('"\n'))
+    return files.csv_rows(_files(spark, d, body)).select("path", "locator", F.array_join("cells", ",").alias("cells"))
+
+
+@query("format_route", "SELECT '/f/' || doc_id || '.txt' AS path, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'plain_text_file' END AS format FROM documents")
+def format_route(spark, d):
+    k = F.col("doc_id") % 3
+    rows = _files(spark, d, F.concat(F.when(k == 0, "%PDF-1.7 ").when(k == 1, "PK\x03\x04").otherwise("x"), "text"))
+    return rows.select("path", files.format_route(F.col("path"), F.col("content")).alias("format"))
+
+
+@query("blocks_to_text", "SELECT doc_id, string_agg(line, chr(10) ORDER BY i DESC) AS text, count(*) AS blocks FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) GROUP BY doc_id")
+def blocks_to_text(spark, d):
+    """Lines of every document as blocks, put together from the last to the first."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    rows = rows.withColumn("back", -F.col("i")).withColumn("locator", F.concat(F.lit("line:"), F.col("i").cast("string"))).withColumn("cells", F.lit(None).cast("array<string>"))
+    return files.blocks_to_text(rows, "doc_id", "back").select("doc_id", "text", F.size("locators").cast("long").alias("blocks"))
+
+
+def _zipped(spark, d, suffix):
+    """Zip files of about ten documents each, written inside tasks."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w") as z:
+            for key, text in sorted(zip(pdf["doc_id"], pdf["text"])):
+                z.writestr(f"{'../' if pdf['g'].iloc[0] % 10 == 0 else ''}d/{key}{suffix}", text)
+        return pd.DataFrame({"path": [f"/z/{pdf['g'].iloc[0]}.zip"], "content": [box.getvalue()]})
+
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("<p>"), F.left("text", F.lit(100)), F.lit("</p>")).alias("text"), (F.col("doc_id") / 10).cast("long").alias("g"))
+    return rows.groupBy("g").applyInPandas(pack, "path string, content binary")
+
+
+@query("epub_members", "SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'member:d/' || doc_id || '.xhtml' AS locator, ' ' || regexp_replace(left(text, 100), '(?s)<[^>]+>', ' ', 'g') || ' ' AS text FROM documents WHERE doc_id // 10 % 10 <> 0")
+def epub_members(spark, d):
+    return files.epub_members(_zipped(spark, d, ".xhtml"))
+
+
+@query("archive_members", "SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'd/' || doc_id || '.txt' AS member, octet_length(encode('<p>' || left(text, 100) || '</p>')) AS size, sha256('<p>' || left(text, 100) || '</p>') AS sha256, NULL::VARCHAR AS error FROM documents WHERE doc_id // 10 % 10 <> 0 UNION ALL SELECT DISTINCT '/z/' || doc_id // 10 || '.zip', NULL, NULL, NULL, 'archive path traversal detected' FROM documents WHERE doc_id // 10 % 10 = 0")
+def archive_members(spark, d):
+    return files.archive_members(_zipped(spark, d, ".txt")).drop("content")
+
+
+@query("canonical_json_sink", """SELECT c_custkey, '{"c_acctbal":' || 1.5 || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer""")
+def canonical_json_sink(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name", F.lit(1.5).alias("c_acctbal"))
+    return files.canonical_json(rows, "c_custkey")

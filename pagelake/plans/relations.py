@@ -69,7 +69,7 @@ def run_status(spark, d):
     return runs.run_status(rows)
 
 
-@query("crawl_counters", "SELECT count_if(k = 0) AS next, count_if(k = 1) AS pagination, count_if(k = 2) AS related, count_if(k = 3) AS category, count_if(k = 4) AS internal, count_if(page_id % 2 = 0) AS domain_blocked, count_if(page_id % 3 = 0) AS depth_blocked FROM (SELECT page_id, page_id % 5 AS k FROM pages)")
+@query("crawl_counters", "SELECT count_if(k = 0)::BIGINT AS next, count_if(k = 1)::BIGINT AS pagination, count_if(k = 2)::BIGINT AS related, count_if(k = 3)::BIGINT AS category, count_if(k = 4)::BIGINT AS internal, count_if(page_id % 2 = 0)::BIGINT AS domain_blocked, count_if(page_id % 3 = 0)::BIGINT AS depth_blocked FROM (SELECT page_id, page_id % 5 AS k FROM pages)")
 def crawl_counters(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ["next", "pagination", "related", "category", "internal"])), (F.col("page_id") % 5 + 1).cast("int"))
     return runs.crawl_counters(t(spark, d, "pages").select(kind.alias("relation"), (F.col("page_id") % 2 == 0).alias("domain_blocked"), (F.col("page_id") % 3 == 0).alias("depth_blocked")))

@@ -1 +1 @@
-
+"""Readers of files and archives as rows."""
