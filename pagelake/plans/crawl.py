@@ -1 +1,73 @@
-"""Queries."""
+"""Queries over link graphs and redirects derived from pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagelake.operators import crawl
+from pagelake.plans.registry import query, table
+
+
+def edges(spark, d, k=4):
+    """dst = (src * 7 + k) mod count, k = 0 to 3."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("src"))
+    n = p.count()
+    rows = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return rows.select("src", "pos", ((F.col("src") * 7 + F.col("pos")) % n).alias("dst"))
+
+
+_EDGES = "edges AS (SELECT page_id AS src, k AS pos, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, range(4) r(k))"
+
+
+@query("reachable", f"WITH RECURSIVE {_EDGES}, r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+def reachable(spark, d):
+    return crawl.reachable(edges(spark, d), 1, 3)
+
+
+@query("frontier_admit", f"WITH {_EDGES} SELECT src AS root, dst AS url, CASE WHEN dst % 3 = 0 THEN 'seen' WHEN pos = 3 THEN 'depth_blocked' WHEN dst % 5 = 0 THEN 'domain_blocked' ELSE 'admitted' END AS label FROM edges")
+def frontier_admit(spark, d):
+    e = edges(spark, d)
+    found = e.select(F.col("src").alias("root"), F.col("dst").alias("url"), F.col("pos").alias("depth"), (F.col("dst") % 5 != 0).alias("same_site"))
+    seen = e.where("dst % 3 = 0").select(F.col("src").alias("root"), F.col("dst").alias("url"))
+    return crawl.frontier_admit(found, seen, 2).select("root", "url", "label")
+
+
+def _crawled(spark, d):
+    e = edges(spark, d).withColumn("same_site", F.col("dst") % 9 != 0)
+    stored = table(spark, d, "pages").where("page_id % 6 <> 5").select(F.col("page_id").alias("url"))
+    roots = table(spark, d, "pages").where("page_id % 25 = 1").select(F.col("page_id").alias("root"))
+    return crawl.bounded_crawl(roots, e, stored, pages=20, depth=2)
+
+
+@query("bounded_crawl")
+def bounded_crawl(spark, d):
+    """Crawls from every 25th page: 20 pages, 2 steps; a brute-force queue checks it in the tests."""
+    return _crawled(spark, d)
+
+
+@query("crawl_report")
+def crawl_report(spark, d):
+    return crawl.crawl_report(_crawled(spark, d))
+
+
+@query("crawl_outcomes")
+def crawl_outcomes(spark, d):
+    return crawl.crawl_outcomes(crawl.crawl_report(_crawled(spark, d)))
+
+
+_CHAIN = "chain AS (SELECT page_id AS src, CASE WHEN page_id % 11 = 0 THEN page_id ELSE page_id + 1 END AS location FROM pages WHERE page_id % 5 <> 0)"
+
+
+@query("redirect_chains", f"""WITH RECURSIVE {_CHAIN}, r(start, node, hops, loop) AS (
+  SELECT page_id, page_id, 0, false FROM pages UNION ALL SELECT start, location, hops + (location <> node)::INTEGER, location = node FROM r JOIN chain ON src = node WHERE NOT loop AND hops < 3)
+  SELECT 'https://e.org/' || start AS start, 'https://e.org/' || arg_max(node, hops * 2 + loop::INTEGER) AS final, max(hops) AS hops,
+         CASE WHEN bool_or(loop) THEN 'loop' WHEN max(hops) = 3 AND arg_max(node, hops) IN (SELECT src FROM chain) THEN CASE WHEN arg_max(node, hops) % 11 = 0 THEN 'loop' ELSE 'budget_exhausted' END ELSE 'ok' END AS verdict
+  FROM r GROUP BY start""")
+def redirect_chains(spark, d):
+    """Page i leads to i + 1 unless 5 divides i, and to itself if 11 does; 3 hops."""
+    url = lambda c: F.concat(F.lit("https://e.org/"), c.cast("string"))
+    p = table(spark, d, "pages").select("page_id")
+    nxt = F.when(F.col("page_id") % 11 == 0, F.col("page_id")).otherwise(F.col("page_id") + 1)
+    steps = p.where("page_id % 5 <> 0").select(url(F.col("page_id")).alias("src"), F.lit(302).alias("status"), url(nxt).alias("location"))
+    starts = p.select(url(F.col("page_id")).alias("url"), F.lit("GET").alias("method"))
+    return crawl.redirect_chains(starts, steps, 3).select("start", "final", "hops", "verdict")

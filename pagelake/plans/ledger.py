@@ -1 +1,124 @@
-"""Queries."""
+"""Queries over the event ledger, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from pagelake.operators import crawl, ledger
+from pagelake.operators.shared import shared_path
+from pagelake.plans.crawl import _crawled
+from pagelake.plans.registry import query, table
+from pagelake.streaming import events as streams
+
+
+def events(spark, d):
+    return table(spark, d, "events")
+
+
+def _secrets(spark, d):
+    """A payload per event: an id, a token, a metric and an URL with a token."""
+    return events(spark, d).select("event_id", F.to_json(F.struct("event_id", F.lit("x").alias("token"), F.lit(5).alias("input_tokens"), F.concat(F.lit("https://example.com/p?token="), F.col("event_id").cast("string"), F.lit("&q=1")).alias("url"))).alias("payload"))
+
+
+_CLEAN = """'{"event_id":' || event_id || ',"input_tokens":5,"token":"[REDACTED]","url":"https://example.com/p?token=%5BREDACTED%5D&q=1"}'"""
+
+
+@query("payload_redact", f"SELECT event_id, {_CLEAN} AS payload FROM events")
+def payload_redact(spark, d):
+    return _secrets(spark, d).select("event_id", ledger.payload_redact("payload", F.lit(False)).alias("payload"))
+
+
+@query("output_redact", """SELECT event_id, '{"event_id":' || event_id || ',"input_tokens":5,"token":"x","url":"https://example.com/p?token=%5BREDACTED%5D&q=' || CASE WHEN event_id % 2 = 0 THEN '%5BREDACTED%5D' ELSE '1' END || '"}' AS payload FROM events""")
+def output_redact(spark, d):
+    return _secrets(spark, d).select("event_id", ledger.output_redact("payload", F.col("event_id") % 2 == 0).alias("payload"))
+
+
+@query("event_append", f"SELECT event_id, {_CLEAN} AS payload FROM events WHERE event_id % 3 <> 0")
+def event_append(spark, d):
+    """Every tenth event comes twice; a third is in the ledger."""
+    rows = _secrets(spark, d)
+    return ledger.event_append(rows.where("event_id % 3 = 0"), rows.union(rows.where("event_id % 10 = 0")))
+
+
+@query("run_snapshot", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
+def run_snapshot(spark, d):
+    return ledger.run_snapshot(events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("state"), F.col("event_id").alias("seq")))
+
+
+def _log(spark, d):
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = events(spark, d).select("event_id", F.col("user_id").alias("run_id"), "event_type", before.alias("b"), F.to_json(F.struct(F.concat(F.lit("a"), (F.col("event_id") % 50).cast("string")).alias("artifact_id"))).alias("payload"))
+    return rows.withColumn("parents", F.array_compact(F.array("b")))
+
+
+@query("runtime_graph", """SELECT user_id::VARCHAR AS source, event_id::VARCHAR AS target, 'EMITTED' AS type FROM events
+  UNION ALL SELECT b::VARCHAR, event_id::VARCHAR, 'PRECEDES' FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL
+  UNION ALL SELECT event_id::VARCHAR, 'artifact_id:a' || event_id % 50, 'REFERENCES_ARTIFACT_ID' FROM events""")
+def runtime_graph(spark, d):
+    return ledger.runtime_graph(_log(spark, d))[1]
+
+
+@query("graph_sink", """SELECT DISTINCT user_id::VARCHAR AS id, 'FetchRun' AS type FROM events UNION ALL SELECT event_id::VARCHAR, 'ProvenanceEvent' FROM events UNION ALL SELECT DISTINCT 'artifact_id:a' || event_id % 50, 'Artifact' FROM events""")
+def graph_sink(spark, d):
+    """The graph written as JSON, its nodes read back."""
+    path = shared_path(spark, "graph")
+    ledger.graph_sink(*ledger.runtime_graph(_log(spark, d)), path)
+    return spark.read.schema("id string, type string").json(f"{path}/nodes")
+
+
+@query("crawl_report_sink")
+def crawl_report_sink(spark, d):
+    path = shared_path(spark, "report")
+    ledger.crawl_report_sink(crawl.crawl_report(_crawled(spark, d)), path)
+    return spark.read.schema("root long, targets long, fetched long, failed long, max_depth int").json(path)
+
+
+@query("lineage_edges", "SELECT event_id AS child, b AS parent FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL")
+def lineage_edges(spark, d):
+    return ledger.lineage_edges(_log(spark, d).withColumnRenamed("event_id", "artifact_id"))
+
+
+@query("eligibility", "SELECT o_orderkey AS capability_id, o_orderstatus <> 'F' AND o_totalprice > 100000 AS eligible, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'denied by policy' END, CASE WHEN o_totalprice <= 100000 THEN 'implementation unavailable' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM orders")
+def eligibility(spark, d):
+    rules = table(spark, d, "orders").select(F.col("o_orderkey").alias("capability_id"), (F.col("o_orderstatus") != "F").alias("allowed"), (F.col("o_totalprice") > 100000).alias("available"))
+    return ledger.eligibility(rules).select("capability_id", "eligible", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _folder(df, name):
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+@query("event_tail", "SELECT event_id, user_id, event_type FROM events")
+def event_tail(spark, d):
+    rows = events(spark, d).select("event_id", "user_id", "event_type")
+    return streams.run_to_table(streams.tail(spark, _folder(rows, "log"), rows.schema), "tail")
+
+
+@query("idempotent_events", "SELECT event_id, user_id FROM events")
+def idempotent_events(spark, d):
+    rows = events(spark, d).select("event_id", "user_id")
+    twice = rows.union(rows.where("event_id % 10 = 0"))
+    return streams.run_to_table(streams.idempotent(streams.tail(spark, _folder(twice, "log"), twice.schema)), "once")
+
+
+@query("run_state_stream", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
+def run_state_stream(spark, d):
+    rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"))
+    return streams.run_to_table(streams.run_states(streams.tail(spark, _folder(rows, "log"), rows.schema)), "states", mode="complete")
+
+
+@query("streaming_quality")
+def streaming_quality(spark, d):
+    """Batch twin: the queries ``page_state`` and ``quality_score``; compared in the tests."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = streams.page_states(streams.tail(spark, _folder(docs, "texts"), docs.schema), "text")
+    return streams.run_to_table(found.select("doc_id", "page_state", "language", "score", "accepted"), "quality")
+
+
+@query("streaming_cas", "SELECT DISTINCT sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents")
+def streaming_cas(spark, d):
+    docs = table(spark, d, "documents").select(F.encode("text", "UTF-8").alias("body"))
+    return streams.store_arrivals(streams.tail(spark, _folder(docs, "texts"), docs.schema), "body").select("sha256", "size")
