@@ -92,7 +92,8 @@ def rule_pattern(rule: str) -> str:
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    A notice may stand on a line of its own after text without an end mark, so of
+    A sentence starts after an end mark or a blank line. A notice may also stand on
+    a line of its own after text without an end mark, so of
     a sentence that spans lines the lines are looked up, too.
     """
     known = _known()

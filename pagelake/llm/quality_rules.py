@@ -33,7 +33,8 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null and empty texts have no words and count 0 everywhere. Repeated words are
     those in 5-word windows that the text has twice or more; windows are compared
-    by 64-bit hashes within one text.
+    by 64-bit hashes within one text. The counts are written to the shared folder,
+    so a later filter cannot be pushed into their computation.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("text"))
@@ -53,7 +54,7 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return base.select(
+    counts = base.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         "stratum",
@@ -65,6 +66,7 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
     )
+    return materialize(counts, "quality")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -131,7 +133,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     rows that fail the base test take no part in the calibration. Null strata are
     a stratum. Repeated rows get the same verdict.
     """
-    stats = materialize(document_stats(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "quality")
+    stats = document_stats(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col)
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
     holdout = stats.where(~base_failed()).join(marks, "doc_id").select("stratum", "good", *[c.alias(r) for r, c in scores().items()])
     cut = certified_cutoffs(holdout).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
