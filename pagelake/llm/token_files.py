@@ -35,15 +35,8 @@ SEGMENTS = "part int, seq long, n_ids long, words binary, block_words binary, do
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, as uint8."""
-    out = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        big = high > 0
-        out[big] += np.uint8(step)
-        rest = np.where(big, high, rest)
-    return out + (rest > 0)
+    """Bits that each id needs, as uint8; from 2**53 on it may be one more."""
+    return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,12 +8,14 @@ worker; a bounded table keeps its ids.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 
 #: Entries that a worker's table of words may hold (about 200 bytes each).
 #: A full table is emptied; ids do not depend on it.
-TABLE_WORDS = 1_500_000
+TABLE_WORDS = 1_200_000
 
 #: Bytes after which a full stop or comma is not part of a longer run of marks.
 _PLAIN = np.zeros(256, bool)
@@ -40,43 +42,65 @@ def fold(texts: list[bytes]) -> list[bytes]:
     return [t if o else made[s:e] for o, t, s, e in zip(odd, texts, ends[:-1].tolist(), ends[1:].tolist())]
 
 
+#: Marks that, after letters, are pre-tokens of their own; the apostrophe and ``<``
+#: take part in contractions and special strings and are left alone.
+_TAIL = b'!#$%&()*+,-./:;=?@[]^_`{}~"|'
+
+
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "replace")
+
+
 class WordPieces:
     """Ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[list[bytes]]) -> None:
         """Make sure that the table has all of ``words``."""
-        new = [w for w in words if w not in self.table]
+        flat = itertools.chain.from_iterable
+        new = list(set(itertools.filterfalse(self.table.__contains__, flat(words))))
         if len(self.table) + len(new) > TABLE_WORDS:
             self.table.clear()
-            new = list(words)
-        texts = [w.decode("utf-8", "replace") for w in new]
-        plain = [t.isalpha() for t in texts]
-        letters = [t for t, p in zip(texts, plain) if p]
-        made = self.tokenizer.encode_batch([" ".join(letters[i : i + 512]) for i in range(0, len(letters), 512)], add_special_tokens=False)
-        keys = [w for w, p in zip(new, plain) if p]
-        other = [(w, t) for w, t, p in zip(new, texts, plain) if not p]
-        for i, found in enumerate(made):  # each word is one pre-token here, so word ids tell them apart
-            group = slice(512 * i, 512 * (i + 1))
+            new = list(set(flat(words)))
+        letters = [w for w in new if _text(w).isalpha()]
+        other = set(new) - set(letters)
+        cores = {w: core for w in other if (core := w.rstrip(_TAIL)) != w and _text(core).isalpha()}
+        fresh = set(new)
+        more = {*cores.values(), *(w[len(core) :] for w, core in cores.items())}
+        more = [x for x in more if x not in self.table and x not in fresh]
+        letters += [x for x in more if _text(x).isalpha()]
+        single = [*(other - cores.keys()), *(x for x in more if not _text(x).isalpha())]
+        self._encode_letters(letters)
+        self._encode_each(single)
+        self.table.update({w: self.table[core] + self.table[w[len(core) :]] for w, core in cores.items()})
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters are one pre-token each, so word ids tell them apart in a long text."""
+        groups = [words[i : i + 512] for i in range(0, len(words), 512)]
+        made = self.tokenizer.encode_batch([" ".join(map(_text, g)) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, made):
             cuts = (np.flatnonzero(np.diff(np.array(found.word_ids))) + 1) * 4
-            if len(cuts) + 1 == len(keys[group]):
+            if len(cuts) + 1 == len(group):
                 raw = np.array(found.ids, "<u4").tobytes()
                 ends = [*cuts.tolist(), len(raw)]
-                self.table.update(zip(keys[group], [raw[s:e] for s, e in zip([0, *ends], ends)]))
+                self.table.update(zip(group, [raw[s:e] for s, e in zip([0, *ends], ends)]))
             else:  # a letter that normalises to something else
-                other += zip(keys[group], letters[group])
-        for (w, _), one in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+                self._encode_each(group)
+
+    def _encode_each(self, words: list[bytes]) -> None:
+        for w, one in zip(words, self.tokenizer.encode_batch_fast([_text(w) for w in words], add_special_tokens=False)):
             self.table[w] = np.array(one.ids, "<u4").tobytes()
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each whole text."""
         words = [t.split() for t in fold(texts)]
-        self.learn(set().union(*words))
+        self.learn(words)
         get = self.table.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
