@@ -8,6 +8,7 @@ no pre-token has a known pair. The symbols that survive are the token count.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -86,11 +87,13 @@ class ByteMerges:
             symbols, owner = symbols[keep], owner[keep]
         return counts
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.table]
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Make sure that the table has all of ``pieces``."""
+        flat = itertools.chain.from_iterable
+        new = list(set(itertools.filterfalse(self.table.__contains__, flat(pieces))))
         if len(self.table) + len(new) > TABLE_PIECES:
             self.table.clear()
-            new = list(pieces)
+            new = list(set(flat(pieces)))
         if not new:
             return
         words = [self.pretoken.findall(p) for p in new]
@@ -106,7 +109,7 @@ class ByteMerges:
         """Tokens of each whole text; a special string inside is one token."""
         parts = [self.special.split(t) if self.special and "<" in t else [t] for t in texts]
         pieces = [[p for x in xs for p in _PIECE.findall(x)] for xs in parts]
-        self.learn(set().union(*pieces))
+        self.learn(pieces)
         get = self.table.__getitem__
         return [sum(map(get, ps)) + len(xs) - 1 for ps, xs in zip(pieces, parts)]
 
