@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: State, pattern and whether only short texts count.
@@ -40,6 +40,15 @@ def page_state(text: Column) -> Column:
     return out.otherwise("OK")
 
 
+def _best(counts: Column) -> Column:
+    """Language with most marker words, the first on ties."""
+    most = F.greatest(*[counts[k] for k in MARKERS])
+    out = F.when(most < 2, None)
+    for name in MARKERS:
+        out = out.when(counts[name] == most, name)
+    return out
+
+
 def _in(values: tuple[str, ...]):
     return lambda w: w.isin(*values)
 
@@ -49,11 +58,9 @@ def language(text: Column) -> Column:
     count = lambda chars: F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
     ar, ko, ru = (count(x) for x in (r"؀-ۿ", r"가-힯", r"Ѐ-ӿ"))
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lower)
-    scores = [F.size(F.filter(words, _in(m))) for m in MARKERS.values()]
-    best = F.greatest(*scores)
-    marked = F.when(best < 2, None)
-    for name, score in zip(MARKERS, scores):
-        marked = marked.when(score == best, name)
+    # an array of one value binds it: words and counts are made once per row
+    counts = F.transform(F.array(words), lambda ws: F.struct(*[F.size(F.filter(ws, _in(m))).alias(k) for k, m in MARKERS.items()]))
+    marked = F.transform(counts, _best)[0]
     script = F.greatest(ar, ko, ru)
     return (
         F.when((script >= 8) & (ar == script), "ar").when((script >= 8) & (ko == script), "ko").when(script >= 8, "ru")
@@ -92,11 +99,18 @@ def reasons(text: Column, state: Column, found: Column, expected: Column) -> Col
     return F.array_compact(F.array(first, wrong, low, unclear))
 
 
-def assess(text: Column, expected: Column | None = None) -> dict[str, Column]:
-    """All quality columns of a squeezed text."""
+def with_quality(df: DataFrame, text: Column, expected: Column | None = None) -> DataFrame:
+    """Add all quality columns of a text. What they share is computed once, in steps."""
+    df = df.withColumn("_text", squeeze(text)).withColumns({"_found": language(F.col("_text")), "_base": page_state(F.col("_text"))})
+    made = assess(F.col("_text"), expected, found=F.col("_found"), base=F.col("_base"))
+    return df.withColumns(made).drop("_text", "_found", "_base")
+
+
+def assess(text: Column, expected: Column | None = None, *, found: Column | None = None, base: Column | None = None) -> dict[str, Column]:
+    """All quality columns of a squeezed text, from its language and state if known."""
     expected = F.lit(None).cast("string") if expected is None else expected
-    found = language(text)
-    base = page_state(text)
+    found = language(text) if found is None else found
+    base = page_state(text) if base is None else base
     state = F.when(mismatch(base, found, expected), "WRONG_LANGUAGE").otherwise(base)
     share = completeness(text)
     return {"page_state": state, "language": found, "completeness": share, "accepted": accepted(state, share), "score": score(state, share), "reasons": reasons(text, state, found, expected)}

@@ -25,11 +25,10 @@ def cas_uri(digest: Column) -> Column:
 
 def page_scan(pages: DataFrame) -> DataFrame:
     """Snapshot rows: media type, digest, size and the quality of the markup itself."""
-    raw = pages.withColumn("_text", quality.squeeze(F.col("html")))
-    q = quality.assess(F.col("_text"))
+    raw = quality.with_quality(pages, F.col("html"))
     return raw.select(
         "page_id", "url", F.lit("text/html").alias("media_type"), sha256(F.encode("html", "UTF-8")).alias("sha256"), F.octet_length("html").cast("long").alias("size"),
-        q["page_state"].alias("raw_state"), q["score"].alias("raw_score"),
+        F.col("page_state").alias("raw_state"), F.col("score").alias("raw_score"),
     )
 
 

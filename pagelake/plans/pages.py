@@ -46,7 +46,7 @@ def pages(spark, d):
 
 
 def _assessed(df, text):
-    return df.withColumn("_t", text).select("*", *[c.alias(n) for n, c in q.assess(F.col("_t")).items()])
+    return q.with_quality(df, text)
 
 
 @query("page_quality", f"""WITH {PARTS}, t AS (SELECT p.page_id, {sql_text(ARTICLE)} AS t FROM pages p),
@@ -139,8 +139,7 @@ _Q = f"{_MARKED}, s AS (SELECT *, {sql_state('t')} AS base, {sql_language('t')}
 
 
 def _judged(spark, d):
-    rows = marked(spark, d)
-    return rows.select("*", *[c.alias(n) for n, c in q.assess(F.col("t"), F.col("lang")).items()])
+    return q.with_quality(marked(spark, d), F.col("t"), F.col("lang"))
 
 
 @query("wrong_language", f"WITH {_Q} SELECT doc_id, state AS page_state FROM w")

@@ -30,8 +30,7 @@ def run_states(events: DataFrame) -> DataFrame:
 
 def page_states(pages: DataFrame, text: str) -> DataFrame:
     """Quality columns of arriving texts; the same functions as in batch."""
-    rows = pages.withColumn("_t", quality.squeeze(F.col(text)))
-    return rows.select("*", *[c.alias(n) for n, c in quality.assess(F.col("_t")).items()]).drop("_t")
+    return quality.with_quality(pages, F.col(text))
 
 
 def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
