@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +33,26 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def _may_hold(low: Column, pattern: str) -> Column:
+    """True if a lowered text has the first letters of one of a pattern's words.
+
+    A plain search rules most texts out before the pattern is tried. The long s,
+    which a pattern without regard to case takes for an s, counts as a find.
+    """
+    heads = sorted({re.match("[a-z0-9 ]+", x).group(0) for x in pattern.split("|")})
+    found = F.contains(low, F.lit("ſ"))
+    for head in heads:
+        found = found | F.contains(low, F.lit(head))
+    return found
+
+
 def page_state(text: Column) -> Column:
     """First state whose marker the squeezed text shows."""
+    low = F.lower(text)
     out = F.when(text == "", "EMPTY")
     for name, pattern, short, _ in STATES:
-        hit = text.rlike(rf"(?iU)\b({pattern})\b")
-        out = out.when(hit & (F.length(text) < SHORT) if short else hit, name)
+        hit = _may_hold(low, pattern) & text.rlike(rf"(?iU)\b({pattern})\b")
+        out = out.when((F.length(text) < SHORT) & hit if short else hit, name)
     return out.otherwise("OK")
 
 
