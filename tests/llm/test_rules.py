@@ -86,6 +86,13 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd).count() == odd.count()
 
 
+def test_each_known_sentence_alone(spark):
+    names = list(licenses.SENTENCES)
+    texts = [(i, mark.join(licenses.SENTENCES[x].split(" ")) + ".") for mark in (" ", "\n") for i, x in enumerate(names, len(names) * (mark == "\n"))]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[x] for x in names] * 2
+
+
 @pytest.mark.parametrize("size", [7, 4096])
 def test_top_k(spark, monkeypatch, size):
     monkeypatch.setattr(topk_search, "CANDIDATES", size)
