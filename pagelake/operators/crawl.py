@@ -22,16 +22,22 @@ def frontier_admit(found: DataFrame, seen: DataFrame, max_depth: int) -> DataFra
 
 
 def bounded_crawl(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int) -> DataFrame:
-    """Breadth-first crawl of many roots: ``root, ord, url, depth, parent, fetched``.
+    """The pages of ``crawl_and_rest``."""
+    return crawl_and_rest(roots, links, stored, pages=pages, depth=depth)[0]
+
+
+def crawl_and_rest(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first crawl of many roots: ``root, ord, url, depth, parent, fetched``, and the queue left.
 
     ``links``: ``src, pos, dst, same_site``; ``stored``: ``url`` of pages that a fetch
     would give. A wave is the queue's next level; its order is (parent's place,
     position of the link) and the first finder wins, which is the order of a queue.
     Failed fetches count against ``pages``. Every wave is written, so the lineage
-    stays short; the loop sees one count per wave.
+    stays short; the loop sees one count per wave. The queue left has a row
+    ``root, url`` per admitted link that the page limit kept from being fetched.
     """
     wave = written(roots.select("root", F.col("root").alias("url"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit(None).cast(dict(roots.dtypes)["root"]).alias("parent")), "wave")
-    done = None
+    done = rest = None
     while True:
         fetched = wave.join(stored.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left").withColumn("fetched", F.col("_ok").isNotNull()).drop("_ok")
         fetched = fetched.select("root", "ord", "url", "depth", "parent", "fetched")
@@ -42,20 +48,25 @@ def bounded_crawl(roots: DataFrame, links: DataFrame, stored: DataFrame, *, page
         new = new.groupBy("root", "url").agg(F.min(F.struct("at", "depth", "parent")).alias("x")).select("root", "url", "x.*")
         count = done.groupBy("root").agg(F.count("*").alias("n"), F.max("ord").alias("top"))
         place = F.row_number().over(Window.partitionBy("root").orderBy("at"))  # at most the links of one wave and root
-        new = new.join(count, "root").withColumn("k", place).where(F.col("n") + F.col("k") <= pages)
+        new = written(new.join(count, "root").withColumn("k", place), "admitted")
+        left = new.where(F.col("n") + F.col("k") > pages).select("root", "url")
+        rest = left if rest is None else rest.unionByName(left)
+        new = new.where(F.col("n") + F.col("k") <= pages)
         wave = written(new.select("root", "url", (F.col("top") + F.col("k")).alias("ord"), "depth", "parent"), "wave")
         if wave.isEmpty():
-            return done
+            return done, rest.distinct()  # a link left by one wave may be found again by the next
 
 
-def crawl_report(crawled: DataFrame) -> DataFrame:
-    """Per root: targets, fetched, failed, deepest."""
-    return crawled.groupBy("root").agg(F.count("*").alias("targets"), F.count_if("fetched").alias("fetched"), F.count_if(~F.col("fetched")).alias("failed"), F.max("depth").alias("max_depth"))
+def crawl_report(crawled: DataFrame, rest: DataFrame) -> DataFrame:
+    """Per root: targets, fetched, failed, deepest, and omitted, the size of the queue left."""
+    found = crawled.groupBy("root").agg(F.count("*").alias("targets"), F.count_if("fetched").alias("fetched"), F.count_if(~F.col("fetched")).alias("failed"), F.max("depth").alias("max_depth"))
+    left = rest.groupBy("root").agg(F.count("*").alias("omitted"))
+    return found.join(left, "root", "left").withColumn("omitted", F.coalesce("omitted", F.lit(0)).cast("long"))
 
 
 def crawl_outcomes(report: DataFrame) -> DataFrame:
     """The report's numbers as rows ``root, capability_id, n``."""
-    names = ("targets", "fetched", "failed", "max_depth")
+    names = ("targets", "fetched", "failed", "max_depth", "omitted")
     return report.unpivot(["root"], [F.col(n).cast("long").alias(n) for n in names], "capability_id", "n")
 
 

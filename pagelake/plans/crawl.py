@@ -32,27 +32,28 @@ def frontier_admit(spark, d):
     return crawl.frontier_admit(found, seen, 2).select("root", "url", "label")
 
 
-def _crawled(spark, d):
+def _crawled(spark, d, roots="true"):
+    """Crawls of 20 pages and 2 steps from every page, and the links left over."""
     e = edges(spark, d).withColumn("same_site", F.col("dst") % 9 != 0)
     stored = table(spark, d, "pages").where("page_id % 6 <> 5").select(F.col("page_id").alias("url"))
-    roots = table(spark, d, "pages").where("page_id % 25 = 1").select(F.col("page_id").alias("root"))
-    return crawl.bounded_crawl(roots, e, stored, pages=20, depth=2)
+    roots = table(spark, d, "pages").where(roots).select(F.col("page_id").alias("root"))
+    return crawl.crawl_and_rest(roots, e, stored, pages=20, depth=2)
 
 
 @query("bounded_crawl")
 def bounded_crawl(spark, d):
     """Crawls from every 25th page: 20 pages, 2 steps; a brute-force queue checks it in the tests."""
-    return _crawled(spark, d)
+    return _crawled(spark, d, "page_id % 25 = 1")[0]
 
 
 @query("crawl_report")
 def crawl_report(spark, d):
-    return crawl.crawl_report(_crawled(spark, d))
+    return crawl.crawl_report(*_crawled(spark, d))
 
 
 @query("crawl_outcomes")
 def crawl_outcomes(spark, d):
-    return crawl.crawl_outcomes(crawl.crawl_report(_crawled(spark, d)))
+    return crawl.crawl_outcomes(crawl.crawl_report(*_crawled(spark, d)))
 
 
 _CHAIN = "chain AS (SELECT page_id AS src, CASE WHEN page_id % 11 = 0 THEN page_id ELSE page_id + 1 END AS location FROM pages WHERE page_id % 5 <> 0)"

@@ -70,8 +70,8 @@ def graph_sink(spark, d):
 @query("crawl_report_sink")
 def crawl_report_sink(spark, d):
     path = shared_path(spark, "report")
-    ledger.crawl_report_sink(crawl.crawl_report(_crawled(spark, d)), path)
-    return spark.read.schema("root long, targets long, fetched long, failed long, max_depth int").json(path)
+    ledger.crawl_report_sink(crawl.crawl_report(*_crawled(spark, d)), path)
+    return spark.read.schema("root long, targets long, fetched long, failed long, max_depth int, omitted long").json(path)
 
 
 @query("lineage_edges", "SELECT event_id AS child, b AS parent FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL")

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import tarfile
 import zipfile
 from collections import deque
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import content, crawl, ledger, payloads, policy, runs
 from pagelake.plans import crawl as crawl_queries
+from pagelake.plans import ledger as ledger_queries
 from pagelake.sources import files
 
 
@@ -110,6 +112,42 @@ def test_crawl_equals_a_queue(spark):
         assert [x for _, x in sorted(rows)] == queue_crawl(root, edges, stored, 20, 2)
 
 
+def queue_report(root, edges, stored, pages, depth):
+    """Targets, fetched, failed, deepest and the queue left of a plain queue."""
+    seen, queue, out = {root}, deque([(root, 0)]), []
+    while queue and len(out) < pages:
+        url, level = queue.popleft()
+        out.append((url in stored, level))
+        for dst, same in edges.get(url, []) if url in stored else []:
+            if dst not in seen and level + 1 <= depth and same:
+                seen.add(dst)
+                queue.append((dst, level + 1))
+    good = sum(ok for ok, _ in out)
+    return len(out), good, len(out) - good, max(x for _, x in out), len(queue)
+
+
+def test_crawl_report_counts_the_queue_left(spark):
+    d = "/root/testdata/sf0.001"
+    ids = sorted(r.page_id for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id").collect())
+    edges = {i: [((i * 7 + k) % len(ids), ((i * 7 + k) % len(ids)) % 9 != 0) for k in range(4)] for i in ids}
+    want = {i: queue_report(i, edges, {i for i in ids if i % 6 != 5}, 20, 2) for i in ids}
+    names = ("targets", "fetched", "failed", "max_depth", "omitted")
+    assert {r.root: tuple(r[n] for n in names) for r in crawl_queries.crawl_report(spark, d).collect()} == want
+    assert {(r.root, r.capability_id): r.n for r in crawl_queries.crawl_outcomes(spark, d).collect()} == {(i, n): x for i, row in want.items() for n, x in zip(names, row)}
+    assert {r.root: tuple(r[n] for n in names) for r in ledger_queries.crawl_report_sink(spark, d).collect()} == want
+
+
+@pytest.mark.parametrize("pages,depth", [(1, 3), (4, 3), (7, 4), (9, 2)])
+def test_the_queue_left_at_small_limits(spark, pages, depth):
+    rng = random.Random(pages)
+    edges = {i: [(rng.randrange(40), rng.random() < 0.8) for _ in range(rng.randrange(6))] for i in range(40)}
+    stored = {i for i in range(40) if i % 6 != 5}
+    links = spark.createDataFrame([(i, k, dst, same) for i, xs in edges.items() for k, (dst, same) in enumerate(xs)], "src long, pos int, dst long, same_site boolean")
+    roots, pool = spark.createDataFrame([(i,) for i in range(40)], "root long"), spark.createDataFrame([(i,) for i in stored], "url long")
+    got = crawl.crawl_report(*crawl.crawl_and_rest(roots, links, pool, pages=pages, depth=depth)).collect()
+    assert {r.root: (r.targets, r.fetched, r.failed, r.max_depth, r.omitted) for r in got} == {i: queue_report(i, edges, stored, pages, depth) for i in range(40)}
+
+
 def test_redirect_verdicts(spark):
     steps = [("https://a/", 302, "https://b/"), ("https://b/", 301, "http://c/"), ("https://l/", 302, "https://m/"), ("https://m/", 302, "https://l/"), ("https://n/", 302, None), ("https://p/", 307, "https://q/"), ("https://r/", 303, "https://q/")]
     starts = [("https://a/", "GET"), ("https://l/", "GET"), ("https://n/", "GET"), ("https://p/", "POST"), ("https://r/", "POST"), ("https://z/", "GET")]
