@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +20,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add ``out``, the place from 0 of each row in ``order`` among its ``by`` values.
+
+    No group is one task: rows are range-partitioned on ``by`` and ``order`` and
+    counted within a partition; one row per partition and group takes part in the
+    sum over partitions.
+    """
+    parts = written(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n")).select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_base"))
+    rows = parts.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
+    same = F.col("_part") == F.col("_p")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return rows.join(bases, same).select(*df.columns, (F.col("_base") + F.col("_k")).alias(out))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelake.operators import payloads as p
+from pagelake.operators.shared import numbered
 from pagelake.plans.registry import query, table
 from pagelake.sources import files
 
@@ -85,63 +86,74 @@ def xml_tree(spark, d):
     return _normal(spark, d, _xml(spark, d).where("event_id % 4 > 1"), "rest", "text/xml").select("event_id", "data")
 
 
-def _feed(spark, d, head, item, tail):
-    """A feed per user with an item per event, in event order."""
-    rows = events(spark, d).where("user_id < 40").select("user_id", F.struct("event_id", item.alias("x")).alias("x"))
+#: Items of one feed body: far below the limits on records, nodes and bytes.
+RUN = 1000
+
+#: The users in the queries' SQL.
+_USERS = "user_id < 40"
+
+
+def _feed(spark, d, head, item, tail, users):
+    """Feeds of RUN consecutive events of a user with an item per event, in event order."""
+    rows = events(spark, d).where(users).select("user_id", "event_id", item.alias("x"))
+    rows = numbered(rows, ["user_id"], [F.col("event_id")], "pos").select("user_id", F.floor(F.col("pos") / RUN).alias("run"), F.struct("pos", "x").alias("x"))
     body = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), ""), F.lit(tail))
-    return rows.groupBy("user_id").agg(body.alias("body"))
+    return rows.groupBy("user_id", "run").agg(body.alias("body"))
 
 
 def _items(df):
-    """Records of the normalised documents as rows."""
+    """Records of the normalised documents as rows, at their places among the user's events."""
     kind = "struct<records:array<struct<title:string,link:string,id:string,summary:string,loc:string,lastmod:string>>>"
-    return df.select("user_id", F.posexplode(F.from_json("data", kind)["records"]).alias("pos", "r")).select("user_id", "pos", "r.*")
+    rows = df.select("user_id", "run", F.posexplode(F.from_json("data", kind)["records"]).alias("at", "r"))
+    return rows.select("user_id", (F.col("run") * RUN + F.col("at")).cast("int").alias("pos"), "r.*")
 
 
 _E = "FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos FROM events WHERE user_id < 40)"
 
 
-def _rss(spark, d):
+def _rss(spark, d, users):
     item = F.concat(F.lit("<item><title>"), "event_type", F.lit("</title><link>https://e.org/"), F.col("event_id").cast("string"), F.lit("</link><guid>"), F.col("event_id").cast("string"), F.lit("</guid></item>"))
-    return _feed(spark, d, '<rss version="2.0"><channel><title>t</title>', item, "</channel></rss>")
+    return _feed(spark, d, '<rss version="2.0"><channel><title>t</title>', item, "</channel></rss>", users)
 
 
 @query("rss_items", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, event_id::VARCHAR AS id {_E}")
-def rss_items(spark, d):
-    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "link", "id")
+def rss_items(spark, d, users=_USERS):
+    return _items(_normal(spark, d, _rss(spark, d, users), "rss", "text/xml")).select("user_id", "pos", "title", "link", "id")
 
 
-def _atom(spark, d):
+def _atom(spark, d, users):
     item = F.concat(F.lit("<entry><title>"), "event_type", F.lit('</title><link rel="self" href="no"/><link href="https://e.org/'), F.col("event_id").cast("string"), F.lit('"/><summary> s </summary></entry>'))
-    return _feed(spark, d, f'<feed xmlns="{p.ATOM}">', item, "</feed>")
+    return _feed(spark, d, f'<feed xmlns="{p.ATOM}">', item, "</feed>", users)
 
 
 @query("atom_entries", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, 's' AS summary {_E}")
-def atom_entries(spark, d):
-    return _items(_normal(spark, d, _atom(spark, d), "atom", "text/xml")).select("user_id", "pos", "title", "link", "summary")
+def atom_entries(spark, d, users=_USERS):
+    return _items(_normal(spark, d, _atom(spark, d, users), "atom", "text/xml")).select("user_id", "pos", "title", "link", "summary")
 
 
 @query("arxiv_entries", "SELECT user_id, 'api_response' AS representation, count(*)::INTEGER AS entries FROM events WHERE user_id < 40 GROUP BY user_id")
-def arxiv_entries(spark, d):
-    return _normal(spark, d, _atom(spark, d), "arxiv_api", "text/xml").select("user_id", "representation", F.size("locators").alias("entries"))
+def arxiv_entries(spark, d, users=_USERS):
+    rows = _normal(spark, d, _atom(spark, d, users), "arxiv_api", "text/xml")
+    return rows.groupBy("user_id").agg(F.max("representation").alias("representation"), F.sum(F.size("locators")).cast("int").alias("entries"))
 
 
 @query("feed_record", f"SELECT user_id, pos, event_type AS title, event_id::VARCHAR AS id, NULL::VARCHAR AS summary {_E}")
-def feed_record(spark, d):
-    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "id", "summary")
+def feed_record(spark, d, users=_USERS):
+    return _items(_normal(spark, d, _rss(spark, d, users), "rss", "text/xml")).select("user_id", "pos", "title", "id", "summary")
 
 
 @query("sitemap_records", f"SELECT user_id, pos, 'https://e.org/' || event_id AS loc, '2024' AS lastmod {_E} WHERE pos < 30")
-def sitemap_records(spark, d):
+def sitemap_records(spark, d, users=_USERS, n=30):
     item = F.concat(F.lit("<url><loc>https://e.org/"), F.col("event_id").cast("string"), F.lit("</loc><lastmod>2024</lastmod></url>"))
-    rows = _feed(spark, d, "<urlset>", item, "</urlset>")
-    return _items(_normal(spark, d, rows, "sitemap_xml", "text/xml", n=30)).select("user_id", "pos", "loc", "lastmod")
+    rows = _feed(spark, d, "<urlset>", item, "</urlset>", users)
+    found = _items(_normal(spark, d, rows, "sitemap_xml", "text/xml"))
+    return (found if n is None else found.where(F.col("pos") < n)).select("user_id", "pos", "loc", "lastmod")
 
 
 @query("openapi_paths", f"SELECT user_id, 'path:/e/' || event_id AS locator {_E}")
-def openapi_paths(spark, d):
+def openapi_paths(spark, d, users=_USERS):
     item = F.concat(F.lit("  /e/"), F.col("event_id").cast("string"), F.lit(":\n    get: {}\n"))
-    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "")
+    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "", users)
     return _normal(spark, d, rows, "openapi_discovery", "text/yaml").select("user_id", F.explode("locators").alias("locator"))
 
 

@@ -44,6 +44,33 @@ def test_query(spark, duck, name):
         assert canon(got, columns) == canon(want, columns)
 
 
+FEEDS = ("rss_items", "atom_entries", "arxiv_entries", "feed_record", "sitemap_records", "openapi_paths")
+
+
+@pytest.fixture(scope="session")
+def hot(spark, tmp_path_factory):
+    """Events of which one user has more than the limits on records and nodes of a body."""
+    path = str(tmp_path_factory.mktemp("hot"))
+    spark.range(34500).selectExpr("id AS event_id", "CASE WHEN id % 69 = 0 THEN id % 50 ELSE 3 END AS user_id", "concat('t', id % 7) AS event_type").repartition(3).write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return path, con
+
+
+@pytest.mark.parametrize("name", FEEDS)
+def test_feeds_of_a_hot_user(spark, hot, name):
+    got, want = registry.QUERIES[name](spark, hot[0]).toPandas(), hot[1].sql(registry.ORACLE_SQL[name]).df()
+    assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
+
+
+@pytest.mark.parametrize("name", FEEDS)
+def test_feeds_of_all_users(spark, hot, name):
+    every = {"users": "true"} | ({"n": None} if name == "sitemap_records" else {})
+    got = registry.QUERIES[name](spark, hot[0], **every).toPandas()
+    want = hot[1].sql(registry.ORACLE_SQL[name].replace("WHERE user_id < 40", "").replace("WHERE pos < 30", "")).df()
+    assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
+
+
 def test_streaming_quality_equals_batch(spark):
     from pagelake.functions import quality
     from pyspark.sql import functions as F
