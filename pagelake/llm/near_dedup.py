@@ -17,11 +17,13 @@ gives about a row per text, not all its pairs.
 
 For a similarity of 0.75 the chance that two linked texts with more than ``K``
 shingles each share fewer than 27 of 64 retained values is below 1e-8; smaller sets
-are compared without any such chance.
+are compared without any such chance. Other similarities have other counts, see
+``shared_at_least``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,29 @@ from pyspark.sql import functions as F
 from pagelake.llm.common import as_bytes, materialize, number_rows, text_chunks
 from pagelake.llm.recompression import ONE, Words, mix
 
-#: Retained values, and how many of 64 two linked texts share at least.
-K, SHARED = 64, 27
+#: Retained values, and the chance that two linked texts share fewer than they should.
+K, MISS = 64, 1e-8
 #: Texts that are compared in one task, pivots of larger clusters, texts in a block.
 CHUNK, PIVOTS, BLOCK = 512, 8, 256
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 
 
+def shared_at_least(percent: int) -> int:
+    """How many of ``K`` retained values two linked texts share, but for a chance of MISS.
+
+    Under 26 percent they may share none, which no list finds: an error.
+    """
+    p, below = percent / 100, 0.0
+    for n in range(K + 1):
+        below += math.comb(K, n) * p**n * (1 - p) ** (K - n)
+        if below > MISS:
+            break
+    if n < 1 or percent > 100:
+        raise ValueError(f"percent is {percent}; sketches of {K} values need 26 to 100")
+    return n
+
+
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; shorter texts give one."""
     n = len(words.names)
@@ -190,6 +207,7 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     are linked with nothing. Rows with one id share a component, repeated rows
     too. Rows with a null id are linked with nothing: null component, kept.
     """
+    shared = shared_at_least(percent)
     rows = materialize(document_sketches(docs, shingle, id_col=id_col, text_col=text_col), "sketches")
     classed = ["n_shingles", "c1", "c2"]
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -199,7 +217,7 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     values = classes.select("node", "c1", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(counts, "value").groupBy("node", "c1", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
-    enough = F.greatest(F.lit(1), F.floor(F.col("kept") * SHARED / 64))
+    enough = F.greatest(F.lit(1), F.floor(F.col("kept") * shared / K))
     listed = F.greatest(F.lit(0), F.col("kept") - enough + 1 - (F.col("kept") - F.size("x")))
     lists = held.select("node", F.explode(F.slice("x", F.lit(1), listed.cast("int"))).alias("x")).select("node", "x.value")
     lists = materialize(lists, "lists")

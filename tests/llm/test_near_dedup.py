@@ -83,6 +83,20 @@ def test_of_nothing(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lower_similarity_loses_no_links(spark):
+    """Texts of 200 shingles and longer ones of 390 that begin with them: half of a sketch is shared."""
+    rows = [(2 * i + j, " ".join(f"p{i}c{k}" for k in range((204, 394)[j]))) for i in range(80) for j in (0, 1)]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
+def test_shared_values_by_similarity(spark):
+    assert [near_dedup.shared_at_least(x) for x in (26, 50, 75, 90, 100)] == [1, 11, 27, 41, 64]
+    for percent in (25, 101):
+        with pytest.raises(ValueError):
+            near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string"), percent=percent)
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(i, i + 1) for i in range(1000, 1060)]
