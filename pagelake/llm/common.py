@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,23 +24,74 @@ CHUNK_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local session, as in tests) a local
-    folder is used.
+    Where the session names none, a folder of this machine serves if all of Spark
+    runs in one process; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "/tmp/pagelake-shared"
 
 
-def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation
-    of all that came before, and several consumers read one result.
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove all tables that operators wrote to the shared folder, those of other jobs too.
+
+    For the end of a job: results that were not written elsewhere can't be read afterwards.
+    """
+    remove_folder(spark, f"{shared_dir(spark)}/pagelake")
+
+
+class Tables:
+    """The written tables of one call, by name, so that used-up ones can go before the call ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/pagelake/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
+        """Write ``df`` and read it back.
+
+        This cuts the lineage: a lost executor costs a re-read, not a recomputation
+        of all that came before, and several consumers read one result.
+        """
+        df.write.option("compression", compression).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove tables of which all that is read later was written since."""
+        for name in names:
+            remove_folder(self.spark, f"{self.root}/{name}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A written table of its own, which stays until ``clear_tables``."""
+    return Tables(df.sparkSession, name).write(df, "table")
+
+
+#: Keys that may be broadcast as hot (a key and a few numbers each).
+HOT_KEYS = 20_000
+#: Rows of one key that are never called hot.
+FEW_ROWS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``, without hot tasks.
+
+    Column ``n`` of ``right`` counts the key's rows in ``left``, ``total`` all of
+    them. Keys with more than a ``HOT_KEYS``-th of all rows, of which there are
+    ``HOT_KEYS`` at most, are broadcast; the other rows are shuffled.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound = max(FEW_ROWS, total // HOT_KEYS)
+    if total <= bound:
+        return left.join(right, key)
+    hot = F.broadcast(right.where(F.col(n) > bound))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(n) <= bound), key)
+    return rest.unionByName(left.join(hot, key))
 
 
 def word_count(text: Column) -> Column:
@@ -80,14 +132,14 @@ def ranged(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order: list[str], *, by: list[str], sums: dict[str, str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], *, by: list[str], sums: dict[str, str], name: str, tables: Tables | None = None) -> DataFrame:
     """Add running sums without putting a group in one task.
 
     For each entry ``out: column`` of ``sums`` the result has ``out``, the sum
     of the long ``column`` over the earlier rows of the same ``by`` values, in
     ``order`` (nulls first). Rows are range-partitioned on ``by + order``, each
     partition adds up its own rows, and only one row per partition and group
-    takes part in the sum over partitions.
+    takes part in the sum over partitions. The rows are written as table ``name``.
     """
     keys = [*by, *order]
     outs = list(sums)
@@ -123,7 +175,7 @@ def number_rows(df: DataFrame, order: list[str], *, by: list[str], sums: dict[st
                 names=[*b.schema.names, *outs, "_part"],
             )
 
-    done = materialize(ranged(df, *keys).mapInArrow(local, schema), name)
+    done = (tables or Tables(df.sparkSession, name)).write(ranged(df, *keys).mapInArrow(local, schema), name)
     ends = [F.max(F.col(o) + F.coalesce(F.col(c), F.lit(0))).alias(f"_{o}") for o, c in sums.items()]
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = done.groupBy(*by, "_part").agg(*ends)

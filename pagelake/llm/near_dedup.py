@@ -1,19 +1,28 @@
 """MinHash near-dedup (operator 6) with bottom-k sketches.
 
-1. One pass gives every text its set of word shingles as hashes of one function,
-   the ``K`` smallest of them (its sketch), and a fingerprint of the whole set.
-   Texts with equal sets form a class; its smallest id stands for it.
+1. One pass gives every text its set of word shingles as hashes of one function
+   and the ``K`` smallest of them (its sketch). Texts with equal sets form a class;
+   its smallest id stands for it.
 2. Inverted lists of the retained values. Two linked texts share at least ``t`` of
-   their retained values, so of each sketch only the rarest values are listed,
-   all but ``t - 1``; values that many texts share stay out of most lists. Texts in one list are
-   connected to its smallest id, and connected texts form a cluster.
-3. Inside a cluster union-sketch estimates choose pairs, and Jaccard on the whole
-   sets confirms them. Clusters up to ``CHUNK`` texts are compared in one task. In
-   larger ones all texts first meet a few pivots, in chunks; then only texts that
-   are not yet in one component are compared, in pairs of blocks.
+   their retained values, so of each sketch only the rarest values are listed, all
+   but ``t - 1``; values that many texts share stay out of most lists. Texts in one
+   list are connected to its smallest id, and connected texts form a cluster.
+3. Clusters above ``CHUNK`` texts are taken apart first: the lists' pairs, with their
+   overlaps, go through the union-sketch estimate, and only texts connected by such
+   pairs stay together. Lists above ``LIST`` texts don't give all their pairs: every
+   text meets ``PIVOTS`` of the list, and then, in blocks, the texts of the list
+   that are connected with others.
+4. Inside a cluster estimates choose pairs and Jaccard on the whole sets confirms
+   them. Clusters up to ``CHUNK`` texts are compared in one task. In larger ones,
+   which are groups of near copies, all texts first meet a few pivots, in chunks;
+   then only texts that are not yet in one component are compared, in blocks.
 
 Only links between components found so far leave a task, so a group of copies
-gives about a row per text, not all its pairs.
+gives about a row per text, not all its pairs. Values, lists, hubs and clusters that
+hold many rows meet their one row of counts by broadcast (``join_counted``).
+
+Sets hold 63-bit hashes. Equal sets are told by their size and two sums of hashes
+that are independent from the bytes of the words on, 127 bits together.
 
 For a similarity of 0.75 the chance that two linked texts with more than ``K``
 shingles each share fewer than 27 of 64 retained values is below 1e-8; smaller sets
@@ -31,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import as_bytes, materialize, number_rows, text_chunks
-from pagelake.llm.recompression import ONE, Words, mix
+from pagelake.llm.common import Tables, as_bytes, join_counted, number_rows, text_chunks
+from pagelake.llm.recompression import U, Words, mix
 
 #: Retained values, and the chance that two linked texts share fewer than they should.
 K, MISS = 64, 1e-8
-#: Texts that are compared in one task, pivots of larger clusters, texts in a block.
-CHUNK, PIVOTS, BLOCK = 512, 8, 256
+#: Texts that are compared in one task, pivots of larger clusters and lists, texts in a
+#: block, texts of a list that give all their pairs.
+CHUNK, PIVOTS, BLOCK, LIST = 512, 8, 256, 128
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 
@@ -57,18 +67,30 @@ def shared_at_least(percent: int) -> int:
     return n
 
 
-def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; shorter texts give one."""
-    n = len(words.names)
-    sums = ONE.prefix(words.names)
+def shingle_sets(words: Words, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes (63 bits) of each text, and independent ones of the same shingles.
+
+    Texts with fewer words than a shingle give one.
+    """
     counts = np.diff(words.first)
     per = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     owner = np.repeat(np.arange(len(counts)), per)
     start = np.repeat(words.first[:-1], per) + np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    stop = np.minimum(np.minimum(start + size, words.first[1:][owner]), n)
-    values = mix(ONE.of(sums, start, stop) ^ np.uint64(0x5851F42D4C957F2D))
-    cuts = np.cumsum(per)
-    return [np.unique(values[e - p : e]) for e, p in zip(cuts.tolist(), per.tolist())]
+    length = np.minimum(size, counts[owner])
+    one, two = mix(length.astype(U)), length.astype(U)
+    short = (per == 1) & (counts < size)
+    for j in range(size):
+        at = slice(None) if not short.any() or not j else np.flatnonzero(length > j)
+        one[at] = mix(one[at] ^ words.names[start[at] + j])
+        two[at] = mix((two[at] + words.others[start[at] + j]) * U(0xFF51AFD7ED558CCD))
+    one >>= U(1)
+    out, cuts = [], np.cumsum(per).tolist()
+    for e, p in zip(cuts, per.tolist()):
+        order = np.argsort(one[e - p : e])
+        sorted_ = one[e - p : e][order]
+        new = np.concatenate([np.ones(min(p, 1), bool), sorted_[1:] != sorted_[:-1]])
+        out.append((sorted_[new], two[e - p : e][order[new]]))
+    return out
 
 
 def _lower(column: pa.Array) -> list[bytes]:
@@ -82,36 +104,39 @@ def document_sketches(docs: DataFrame, size: int, *, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "text"):
             sets = shingle_sets(Words(_lower(b.column("text"))), size)
-            one = [int(mix(s * np.uint64(0x9E3779B97F4A7C15)).sum()) if len(s) else 0 for s in sets]
-            two = [int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xD6E8FEB86659FD93)))) if len(s) else 0 for s in sets]
-            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            sums = np.array([[mix(s * U(0x9E3779B97F4A7C15)).sum(), mix(t).sum()] for s, t in sets], U).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), signed(one), signed(two), pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [b.column("doc_id"), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([s[:K].view(np.int64) for s, _ in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "c1", "c2", "sketch"],
             )
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """``node, label``: the smallest node of the component, for nodes of ``edges`` (a, b).
 
     Alternates large-star and small-star steps on written tables until the edges
-    stay the same; edges never meet on the driver.
+    stay the same; edges never meet on the driver. The smallest neighbour of a hub
+    reaches the hub's edges by broadcast.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
+
+    def lowest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+    now, seen, step = tables.write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"), None, 0
     while True:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         state = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).first())  # a fingerprint
         if state == seen:
             break
-        seen = state
+        seen, step = state, step + 1
+        both = now.union(now.select("v", "u"))
+        large = join_counted(both, lowest(both), "u", "n", 2 * state[0])
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = lowest(large)
+        small = join_counted(large, low, "u", "n", 2 * state[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        now = tables.write(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{step}")
+        tables.drop(f"{name}-{step - 1}")
     stars = now.groupBy("u").agg(F.min("v").alias("label"))
     return stars.select(F.col("u").alias("node"), "label").union(now.select("v", "v").distinct())
 
@@ -158,29 +183,32 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int, wanted: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of ``wanted`` with 100 * intersection >= percent * union.
+def _estimated(left: list[np.ndarray], right: list[np.ndarray], n: np.ndarray, m: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
+    """Of the ``wanted`` pairs those whose sketches may belong to linked sets of sizes n and m.
 
     Sizes first, then the estimate from the union of both sketches below the
-    smaller of their largest values, then the whole sets.
+    smaller of their largest values.
     """
-    n, m = (np.array([len(s) for s in x]) for x in (left, right))
     wanted = wanted & (100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :]))
     if not wanted.any():
-        return np.empty((0, 2), np.int64)
-    cut = [[s[:K] for s in x] for x in (left, right)]
-    top = [np.array([s[K - 1] if len(s) > K else ~np.uint64(0) for s in x]) for x in (left, right)]
-    shared = _shared(*cut)
-    below_l = np.stack([np.searchsorted(s, top[1], side="right") for s in cut[0]])
-    below_r = np.stack([np.searchsorted(s, top[0], side="right") for s in cut[1]]).T
-    union = np.maximum(1, np.minimum(below_l, n[:, None]) + np.minimum(below_r, m[None, :]) - shared)
+        return wanted
+    top = [np.array([s[K - 1] if size > K else ~U(0) for s, size in zip(x, sizes.tolist())]) for x, sizes in ((left, n), (right, m))]
+    shared = _shared(left, right)
+    below_l = np.stack([np.searchsorted(s, top[1], side="right") for s in left])
+    below_r = np.stack([np.searchsorted(s, top[0], side="right") for s in right]).T
+    union = np.maximum(1, below_l + below_r - shared)
     p = percent / 100
-    wanted &= shared >= p * union - SLACK * np.sqrt(p * (1 - p) * union)
-    i, j = np.nonzero(wanted)
+    return wanted & (shared >= p * union - SLACK * np.sqrt(p * (1 - p) * union))
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int, wanted: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) of ``wanted`` with 100 * intersection >= percent * union, of whole sets; estimates come first."""
+    n, m = (np.array([len(s) for s in x]) for x in (left, right))
+    i, j = np.nonzero(_estimated([s[:K] for s in left], [s[:K] for s in right], n, m, percent, wanted))
     if not len(i):
         return np.empty((0, 2), np.int64)
     some_l, some_r = np.unique(i), np.unique(j)
-    whole = np.zeros(shared.shape, np.int64)
+    whole = np.zeros((len(left), len(right)), np.int64)
     whole[np.ix_(some_l, some_r)] = _shared([left[k] for k in some_l], [right[k] for k in some_r])
     both = whole[i, j]
     ok = 100 * both >= percent * (n[i] + m[j] - both)
@@ -195,7 +223,77 @@ def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Tabl
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    return [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+
+
+def _between_labels(rows: DataFrame, group: str, find, tables: Tables, name: str) -> DataFrame:
+    """Edges (a, b) that ``find(left, right, wanted)`` sees between texts of one group and different labels.
+
+    ``rows``: the group, ``node, label, n, hashes``. A group's texts lie in blocks by
+    label; every two blocks meet but for those of one and the same label.
+    """
+    rows = rows.withColumn("one", F.lit(1).cast("long"))
+    placed = number_rows(rows, ["label", "node"], by=[group], sums={"place": "one"}, name=name, tables=tables).withColumn("block", F.floor(F.col("place") / BLOCK))
+    blocks = placed.groupBy(group, "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    sides = [blocks.select(group, *[F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high")]) for s in "ij"]
+    tasks = sides[0].join(sides[1], group).where("i_block <= j_block AND NOT (i_low = i_high AND j_low = j_high AND i_low = j_low)")
+    tasks = tasks.select(group, "i_block", "j_block", F.explode(F.array_distinct(F.array("i_block", "j_block"))).alias("block"))
+    dealt = placed.select(group, "block", "label", "n", "hashes").join(tasks, [group, "block"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        label, block, n = (table.column(c).to_numpy() for c in ("label", "block", "n"))
+        found = _sets(table)
+        i, j = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("i_block", "j_block"))
+        links = find([found[k] for k in i], [found[k] for k in j], n[i], n[j], label[i][:, None] != label[j][None, :])
+        return _spanning(links, label[i], label[j])
+
+    return dealt.groupBy(group, "i_block", "j_block").applyInArrow(compare, "a long, b long")
+
+
+def _apart(clusters: DataFrame, lists: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """``node, cluster``: the nodes of ``clusters`` connected by pairs that pass the estimate."""
+    listed = lists.join(clusters.select("node"), "node")
+    total = listed.count()
+    pivots = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(j)), "node", "n")) for j in range(PIVOTS)])
+    pivots = F.array_distinct(F.transform(pivots, lambda p: F.struct(p["node"].alias("node"), p["n"].alias("n"))))
+    per = listed.groupBy("value").agg(F.count("*").alias("texts"), pivots.alias("pivots")).where("texts > 1")
+    listed = tables.write(join_counted(listed, per, "value", "texts", total), "listed")
+    few, many = listed.where(f"texts <= {LIST}"), listed.where(f"texts > {LIST}")
+    alike = f"100 * least(n, b_n) >= {percent} * greatest(n, b_n) AND node != b"
+    small = few.join(few.select("value", F.col("node").alias("b"), F.col("n").alias("b_n")), "value").where(f"node < b AND {alike}").select(F.col("node").alias("a"), "b")
+    stars = many.withColumn("p", F.explode("pivots")).select("node", "n", F.col("p.node").alias("b"), F.col("p.n").alias("b_n")).where(alike).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    pairs = tables.write(small.unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("overlap")), "pairs")
+    n_pairs, met = pairs.count(), pairs
+    for side in "ab":
+        degree = pairs.groupBy(side).agg(F.count("*").alias(f"{side}_deg"))
+        sketches = classes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("n_shingles").alias(f"{side}_n")).join(degree, side)
+        met = join_counted(met, sketches, side, f"{side}_deg", n_pairs)
+    maybe = tables.write(met.where(_may_link(percent)).select("a", "b"), "maybe")
+    labels = components(maybe, tables, "maybe-linked")
+    # lists whose texts are not all connected yet: texts of different components meet in blocks
+    of = many.select("value", "node", "n", "texts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = tables.write(of, "labelled")
+    open_ = of.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+    rows = join_counted(of, open_, "value", "size", total).join(classes.select("node", "sketch"), "node")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("value", "node", "label", "n")], pa.array([np.array(x, np.int64).tobytes() for x in b.column("sketch").to_pylist()], pa.binary())], names=["value", "node", "label", "n", "hashes"])
+
+    rows = rows.select("value", "node", "label", "n", "sketch").mapInArrow(packed, "value long, node long, label long, n long, hashes binary")
+    more = _between_labels(rows, "value", lambda x, y, n, m, wanted: np.argwhere(_estimated(x, y, n, m, percent, wanted)), tables, "list-blocks")
+    found = tables.write(components(maybe.union(more), tables, "taken-apart").withColumnRenamed("label", "cluster"), "apart")
+    tables.drop("listed", "pairs", "maybe", "labelled", "list-blocks")
+    return found
+
+
+def _may_link(percent: int):
+    """The test of ``_estimated`` for a pair's columns ``a_sketch, a_n, b_sketch, b_n``."""
+    top = {s: F.when(F.col(f"{s}_n") > K, F.element_at(f"{s}_sketch", -1)).otherwise(F.lit((1 << 63) - 1)) for s in "ab"}
+    shared = F.size(F.array_intersect("a_sketch", "b_sketch"))
+    below = F.size(F.filter("a_sketch", lambda x: x <= top["b"])) + F.size(F.filter("b_sketch", lambda x: x <= top["a"]))
+    union, p = F.greatest(F.lit(1), below - shared), percent / 100
+    return shared >= p * union - SLACK * F.sqrt(p * (1 - p) * union)
 
 
 def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,35 +306,47 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     too. Rows with a null id are linked with nothing: null component, kept.
     """
     shared = shared_at_least(percent)
-    rows = materialize(document_sketches(docs, shingle, id_col=id_col, text_col=text_col), "sketches")
+    tables = Tables(docs.sparkSession, "near-dedup")
+    rows = tables.write(document_sketches(docs, shingle, id_col=id_col, text_col=text_col), "sketches")
     classed = ["n_shingles", "c1", "c2"]
     real = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(real.groupBy(*classed).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
+    classes = tables.write(real.groupBy(*classed).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
 
-    # lists: per text its rarest retained values that another text has
-    values = classes.select("node", "c1", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    # lists: per text its rarest retained values that another text has; a text of two classes counts once
+    values = classes.select("node", "c1", F.col("n_shingles").alias("n"), F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(counts, "value").groupBy("node", "c1", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
+    held = join_counted(values, counts, "value", "df", K * classes.count()).groupBy("node", "c1", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))
     enough = F.greatest(F.lit(1), F.floor(F.col("kept") * shared / K))
     listed = F.greatest(F.lit(0), F.col("kept") - enough + 1 - (F.col("kept") - F.size("x")))
-    lists = held.select("node", F.explode(F.slice("x", F.lit(1), listed.cast("int"))).alias("x")).select("node", "x.value")
-    lists = materialize(lists, "lists")
-    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = lists.join(heads, "value").select("a", F.col("node").alias("b")).distinct()
-    clusters = materialize(components(stars, "clusters").withColumnRenamed("label", "cluster"), "clustered")
+    lists = held.select("node", "n", F.explode(F.slice("x", F.lit(1), listed.cast("int"))).alias("x")).select("node", "n", "x.value")
+    lists = tables.write(lists, "lists")
+    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("texts")).where("texts > 1")
+    stars = join_counted(lists, heads, "value", "texts", lists.count()).select("a", F.col("node").alias("b")).distinct()
+    clusters = tables.write(components(stars, tables, "connected").withColumnRenamed("label", "cluster"), "connected")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+        return join_counted(rows, sizes, "cluster", "size", rows.count())
+
+    clusters = tables.write(sized(clusters), "sized")
+    large = clusters.where(f"size > {CHUNK}")
+    if large.limit(1).count():
+        apart = _apart(large, lists, classes, percent, tables)
+        clusters = tables.write(clusters.where(f"size <= {CHUNK}").unionByName(sized(apart)), "clusters")
+    tables.drop("lists", "connected")
 
     # whole sets of the clustered texts only
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "text"):
-            sets = shingle_sets(Words(_lower(b.column("text"))), shingle)
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "cluster", "hashes"])
+            sets = [s for s, _ in shingle_sets(Words(_lower(b.column("text"))), shingle)]
+            cols = [*[b.column(c) for c in ("node", "cluster", "size")], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "cluster", "size", "n", "hashes"])
 
-    sets = texts.join(clusters, "node").mapInArrow(whole, "node long, cluster long, hashes binary").withColumn("one", F.lit(1).cast("long")).withColumn("mixed", F.xxhash64("node"))
-    ranked = number_rows(sets, ["mixed", "node"], by=["cluster"], sums={"place": "one"}, name="sets")
-    sizes = ranked.groupBy("cluster").agg(F.count("*").alias("size"))
-    ranked = ranked.join(sizes, "cluster").withColumn("chunk", F.floor(F.col("place") / CHUNK))
+    sets = texts.join(clusters, "node").select("node", "text", "cluster", "size").mapInArrow(whole, "node long, cluster long, size long, n long, hashes binary")
+    sets = sets.withColumn("one", F.lit(1).cast("long")).withColumn("mixed", F.xxhash64("node"))
+    ranked = number_rows(sets, ["mixed", "node"], by=["cluster"], sums={"place": "one"}, name="sets", tables=tables).withColumn("chunk", F.floor(F.col("place") / CHUNK))
     pivots = ranked.where(f"place < {PIVOTS} AND size > {CHUNK}")
     pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("size") - 1) / CHUNK))))
     met = ranked.withColumn("role", F.lit(0)).unionByName(pivots.withColumn("role", F.lit(1)))
@@ -253,36 +363,33 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
         links = _links(found, [found[i] for i in other], percent, wanted)
         return _spanning(links, node, node[other])
 
-    edges = materialize(met.select("cluster", "chunk", "node", "role", "place", "size", "hashes").groupBy("cluster", "chunk").applyInArrow(meet, "a long, b long"), "links")
-    large = ranked.where(f"size > {CHUNK}").select("cluster", "node", "hashes")
-    labels = components(edges, "first").withColumnRenamed("node", "of")
-    large = large.join(labels, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node")).drop("of")
-    large = large.withColumn("one", F.lit(1).cast("long"))
-    sorted_ = number_rows(large, ["label", "node"], by=["cluster"], sums={"place": "one"}, name="blocks").withColumn("block", F.floor(F.col("place") / BLOCK))
-    blocks = sorted_.groupBy("cluster", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    sides = [blocks.select("cluster", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high")]) for s in "ij"]
-    # pairs of blocks within a cluster, but for those of one and the same component
-    tasks = sides[0].join(sides[1], "cluster").where("i_block <= j_block AND NOT (i_low = i_high AND j_low = j_high AND i_low = j_low)")
-    tasks = tasks.select("cluster", "i_block", "j_block", F.explode(F.array_distinct(F.array("i_block", "j_block"))).alias("block"))
-    dealt = sorted_.select("cluster", "block", "node", "label", "hashes").join(tasks, ["cluster", "block"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
-        found = _sets(table)
-        i, j = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("i_block", "j_block"))
-        links = _links([found[k] for k in i], [found[k] for k in j], percent, label[i][:, None] != label[j][None, :])
-        return _spanning(links, label[i], label[j])
-
-    more = dealt.groupBy("cluster", "i_block", "j_block").applyInArrow(compare, "a long, b long")
-    final = components(edges.union(more), "groups").withColumnRenamed("node", "of")
+    edges = tables.write(met.select("cluster", "chunk", "node", "role", "place", "size", "hashes").groupBy("cluster", "chunk").applyInArrow(meet, "a long, b long"), "links")
+    large = ranked.where(f"size > {CHUNK}").select("cluster", "node", "n", "hashes")
+    if large.limit(1).count():
+        labels = components(edges, tables, "first").withColumnRenamed("node", "of")
+        large = large.join(labels, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node")).drop("of")
+        more = _between_labels(large, "cluster", lambda x, y, n, m, wanted: _links(x, y, percent, wanted), tables, "blocks")
+        edges = tables.write(edges.union(more), "all-links")
+    final = components(edges, tables, "groups").withColumnRenamed("node", "of")
     known = classes.select(*[F.col(c).alias(f"k_{c}") for c in classed], "node")
-    known = known.join(final, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node"))
-    same = [F.col(c) == F.col(f"k_{c}") for c in classed]
-    out = rows.join(known, [*same, F.col("doc_id").isNotNull(), F.col("n_shingles") > 0], "left")
+    known = tables.write(known.join(final, F.col("node") == F.col("of"), "left").select(*[f"k_{c}" for c in classed], F.coalesce("label", "node").alias("label")), "labels")
+    tables.drop("classes", "sized", "clusters", "apart", "sets", "links", "blocks", "all-links")
+    out = _labelled(rows, known, classed)
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _labelled(rows: DataFrame, known: DataFrame, classed: list[str]) -> DataFrame:
+    """Each row with its class's label; classes with many rows, such as large groups of copies, are broadcast."""
+    total = rows.count()
+    keyed = rows.withColumn("class", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.struct(*classed)))
+    plain = keyed.where("class IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("label"))
+    real = keyed.where("class IS NOT NULL").select("doc_id", "class")
+    sizes = real.groupBy("class").agg(F.count("*").alias("texts"))
+    labels = known.select(F.struct(*[F.col(f"k_{c}").alias(c) for c in classed]).alias("class"), "label").join(sizes, "class")
+    return join_counted(real, labels, "class", "texts", total).select("doc_id", F.col("class.n_shingles").alias("n_shingles"), "label").unionByName(plain)
+
+
 def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of ``near_duplicate_groups``, all columns as they are.
 
@@ -290,7 +397,7 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, shingle: int = 5
     a null id stay.
     """
     groups = near_duplicate_groups(docs, percent=percent, shingle=shingle, id_col=id_col, text_col=text_col)
-    groups = materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    groups = Tables(docs.sparkSession, "kept").write(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "kept")
     gone = groups.where("NOT kept").select(F.col("doc_id").alias("_nd_id"))
     left = docs.join(gone, docs[id_col].cast("long") == F.col("_nd_id"), "left_anti")
     if groups.where("kept AND n > 1").limit(1).count():

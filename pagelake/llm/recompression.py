@@ -5,7 +5,7 @@ become one symbol, then, round by round, pairs of a "left" and a "right" symbol
 do. A symbol's side is a bit of its name and a new name is a fingerprint of what
 it replaces, so equal stretches get equal names in every task and no table of
 names has to be moved. Names only propose candidates; equality is settled on
-fingerprints of the words themselves.
+cryptographic digests of the words themselves (``Words.digests``).
 
 For each symbol the rounds keep the stretch of words that its creation looked
 at. A window that holds this whole stretch, and some words on both sides of the
@@ -17,6 +17,8 @@ of many windows shares a few anchors.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -32,8 +34,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _mix_other(x: np.ndarray) -> np.ndarray:
+    """As ``mix``, with other shifts and factors."""
+    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U(33))
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown when needed."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown when needed.
+
+    Fingerprints of short stretches by which rows find each other; never proof of
+    equality, since such sums have structured collisions.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -57,37 +70,67 @@ class Powers:
         return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(U) * _STEP)
 
 
-class Words:
-    """The words of some texts as fingerprints.
+#: Bytes from which on a word is named by BLAKE2b instead of in steps of 8 bytes.
+LONG_WORD = 256
+
 
-    ``names``: one uint64 per word; ``begin``/``end``: its bytes in ``raw``;
-    ``first``: the index of each text's first word, with a last entry for the end.
+def _word_names(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each word, independent from its bytes on; ``raw`` goes on for 8 bytes after the last.
+
+    Each takes in 8 bytes per step by a bijection of its own, so words of up to 8
+    bytes of one length have different names.
     """
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the 8 bytes from every place on
+    size = end - begin
+    one, two = mix(size.astype(U) * _STEP), _mix_other(size.astype(U) * _LEFT)
+    live = np.arange(len(size)) if not len(size) or size.max() < LONG_WORD else np.flatnonzero(size < LONG_WORD)
+    done = 0
+    while len(live):
+        left = np.minimum(size[live] - done, 8)
+        piece = eight[begin[live] + done] & (~U(0) >> ((8 - left) * 8).astype(U))
+        one[live] = mix(one[live] ^ piece)
+        two[live] = _mix_other(two[live] + piece * _RIGHT)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size >= LONG_WORD).tolist():
+        one[i], two[i] = np.frombuffer(blake2b(raw[begin[i] : end[i]], digest_size=16).digest(), "<u8")
+    return one, two
+
+
+class Words:
+    """The words of some texts.
 
-    BLOCK = 4 << 20
+    ``names`` and ``others``: two independent uint64 per word; ``begin``/``end``: its
+    bytes in ``raw``; ``first``: the index of each text's first word, with a last
+    entry for the end; ``owner``: each word's text.
+    """
 
     def __init__(self, texts: list[bytes]):
-        self.raw = b"\n".join(texts) + b"\n"
-        flat = np.frombuffer(self.raw, np.uint8)
-        blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
-        edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
+        self.raw = b"\n".join([*texts, bytes(8)])
+        flat = np.frombuffer(self.raw, np.uint8)[:-8]
+        self.blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
+        edge = np.diff(np.concatenate([[True], self.blank]).astype(np.int8))
         self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.names = np.empty(len(self.begin), U)
-        done = 0
-        while done < len(self.begin):  # blocks of whole words
-            stop = max(done + 1, int(np.searchsorted(self.end, self.begin[done] + self.BLOCK)))
-            low = self.begin[done]
-            sums = _BYTES.prefix(_TABLE[flat[low : self.end[stop - 1]]])
-            self.names[done:stop] = _BYTES.of(sums, self.begin[done:stop] - low, self.end[done:stop] - low)
-            done = stop
+        self.names, self.others = _word_names(self.raw, self.begin, self.end)
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.first = np.concatenate([[0], np.searchsorted(self.begin, ends)])
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-
-#: A random value per byte, from a fixed rule.
-_TABLE = mix(np.arange(1, 257, dtype=U) * _STEP)
-_BYTES, ONE, TWO = Powers(0x2545F4914F6CDD1D), Powers(0x9FB21C651E98DF25), Powers(0xD6E8FEB86659FD95)
+    def digests(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """BLAKE2b-128 of words low to high - 1 with one blank between them, as rows of two int64."""
+        flat = np.frombuffer(self.raw, np.uint8)[:-8]
+        stay = ~self.blank
+        stay[self.end] = True
+        plain = flat[stay]
+        plain[self.blank[stay]] = 32
+        plain = plain.tobytes()
+        stop = np.cumsum(self.end - self.begin + 1) - 1
+        start = stop - (self.end - self.begin)
+        made = [blake2b(plain[a:b], digest_size=16).digest() for a, b in zip(start[low].tolist(), stop[high - 1].tolist())]
+        return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
+
+
+ONE = Powers(0x9FB21C651E98DF25)
 
 
 def _runs(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:

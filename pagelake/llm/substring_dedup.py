@@ -10,11 +10,13 @@
    of equal ones are repeats.
 4. The repeats' words are cut from the texts.
 
-Only (key, place) rows are shuffled for 2 and 3, and only the first of equal rows
-in a batch, so a passage in a third of all texts sends a row per batch. Rows of
-one key stream through sorted; no group is held.
+Only (key, place) rows are shuffled for 2 and 3. A task keeps the first places of
+what it has met more than once (a bounded table) and sends later ones on as settled,
+so a passage in a third of all texts sends a row or a few per task. Rows of one key
+stream through sorted; no group is held.
 
-Equality rests on 124 bits or more of fingerprints of the words.
+Anchor keys only bring rows together. A repeat is one whose words have the same
+BLAKE2b-128, a cryptographic digest of the words' bytes.
 """
 
 from __future__ import annotations
@@ -28,44 +30,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.llm.common import as_bytes, materialize, text_chunks
-from pagelake.llm.recompression import ONE, TWO, Words, anchors, mix
+from pagelake.llm.recompression import Words, anchors, mix
 
-#: ``_d``/``_t``: the document (id, hash of the text); windows ``first`` to
-#: ``first + span``. kind 0: all of them are repeats; 1: to be settled.
-PLACE = "key long, h long, _d long, _t int, first int, span int, kind int"
+#: ``h``/``g``: the digest; ``_d``/``_t``: the document (id, hash of the text); windows
+#: ``first`` to ``first + span``. kind 0: all of them are repeats; 1: to be settled.
+PLACE = "key long, h long, g long, _d long, _t long, first int, span int, kind int"
 _NAMES = [x.split()[0] for x in PLACE.split(", ")]
-_KINDS = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
+_KINDS = [np.int64, np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32]
 #: The document number of a null id: the smallest.
 NO_ID = -(1 << 63)
+#: Places that a task keeps of what it has met more than once (52 bytes each).
+KEPT_PLACES = 1 << 16
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"), F.hash(F.col(text_col).cast("string")).alias("_t"), *more)
-
-
-def _first_of_equal(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Of equal (key, h) keep the first place; later ones are repeats at once."""
-    key, h, d, t, first, span = cols
-    group = mix(key.view(np.uint64) ^ mix(h.view(np.uint64)))
-    order = np.argsort(group)
-    near = group[order][1:] == group[order][:-1]
-    many = np.zeros(len(key), bool)
-    many[order[1:][near]] = True
-    many[order[:-1][near]] = True
-    kind = np.ones(len(key), np.int32)
-    some = np.flatnonzero(many)
-    if len(some):
-        some = some[np.lexsort((first[some], t[some], d[some], h[some], key[some]))]
-        new = np.concatenate([[True], (np.diff(key[some]) != 0) | (np.diff(h[some]) != 0)])
-        lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
-        alike = (d[some] == d[lead]) & (t[some] == t[lead]) & (first[some] == first[lead])
-        kind[some[~new]] = 0
-        kind[some[~new & alike]] = -1  # the same place again
-        away = some[~new & ~alike]
-        key = key.copy()
-        key[away] = mix((d[away] * 31 + first[away]).view(np.uint64)).view(np.int64)  # settled: dealt out evenly
-    keep = kind >= 0
-    yield _batch([x[keep] for x in (key, h, d, t, first, span, kind)])
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64(F.col(text_col).cast("string")).alias("_t"), *more)
+
+
+def _differs(cols: list[np.ndarray]) -> np.ndarray:
+    """Where a row is unlike the row before it."""
+    out = np.zeros(len(cols[0]) - 1, bool)
+    for c in cols:
+        out |= c[1:] != c[:-1]
+    return np.concatenate([[True], out])
+
+
+class _Firsts:
+    """Sends on one task's rows: of equal (key, digest) the first place to be settled, later ones as repeats."""
+
+    def __init__(self):
+        self.kept = [np.empty(0, k) for k in _KINDS[:7]]
+
+    def take(self, rows: list[np.ndarray]) -> pa.RecordBatch:
+        old = len(self.kept[0])
+        cols = [np.concatenate([k, r.astype(k.dtype, copy=False)]) for k, r in zip(self.kept, rows)]
+        key, h, g, d, t, first, _ = cols
+        group = mix(key.view(np.uint64) ^ mix(h.view(np.uint64)))
+        order = np.argsort(group)
+        near = group[order][1:] == group[order][:-1]
+        many = np.zeros(len(key), bool)
+        many[order[1:][near]] = True
+        many[order[:-1][near]] = True
+        kind = np.ones(len(key), np.int32)
+        lasting = np.zeros(len(key), bool)
+        lasting[:old] = True
+        some = np.flatnonzero(many)
+        if len(some):
+            some = some[np.lexsort((first[some], t[some], d[some], g[some], h[some], key[some]))]
+            new = _differs([c[some] for c in (key, h, g)])
+            lead = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+            alike = (d[some] == d[lead]) & (t[some] == t[lead]) & (first[some] == first[lead])
+            lasting[some] = False
+            lasting[lead[~new]] = True
+            kind[some[~new]] = 0
+            kind[some[~new & alike]] = -1  # the same place again
+            away = some[~new & ~alike]
+            settled = key.copy()
+            settled[away] = mix((d[away] * 31 + first[away]).view(np.uint64)).view(np.int64)  # dealt out evenly
+        else:
+            settled = key
+        stay = np.flatnonzero(lasting)[-KEPT_PLACES:]
+        self.kept = [c[stay] for c in cols]
+        kind[:old] = -1  # sent before
+        send = kind >= 0
+        return _batch([x[send] for x in (settled, *cols[1:], kind)])
 
 
 def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -82,7 +110,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, pending = None, None  # the last group's first row; a key's first row while it has one h
     for batch in batches:
         cols = _columns(batch)
-        done = cols[6] == 0
+        done = cols[7] == 0
         if done.any():
             yield _batch([c[done] for c in cols])
             cols = [c[~done] for c in cols]
@@ -90,9 +118,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         if last is not None:
             cols = [np.concatenate([[v], c]).astype(c.dtype) for v, c in zip(last, cols)]
-        key, h, d, t, first, _, _ = cols
-        new_key = np.concatenate([[last is None], key[1:] != key[:-1]])
-        new = new_key | np.concatenate([[False], h[1:] != h[:-1]])
+        key, h, g, d, t, first, _, _ = cols
+        new_key, new = _differs([key]), _differs([key, h, g])
+        new_key[0] = new[0] = last is None
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
         repeat = ~new & ~((d == d[lead]) & (t == t[lead]) & (first == first[lead]))
         repeat[0] = False
@@ -109,12 +137,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(ask):
                 yield _batch([c[ask] for c in cols])
         if repeat.any():
-            yield _batch([*[c[repeat] for c in cols[:6]], np.zeros(int(repeat.sum()), np.int32)])
+            yield _batch([*[c[repeat] for c in cols[:7]], np.zeros(int(repeat.sum()), np.int32)])
         last = [c[lead[-1]] for c in cols]
 
 
 def _meet(places: DataFrame) -> DataFrame:
-    order = ["key", "h", "_d", "_t", "first"]
+    order = ["key", "h", "g", "_d", "_t", "first"]
     return places.repartition("key").sortWithinPartitions(*order).mapInArrow(_settle, PLACE)
 
 
@@ -123,20 +151,22 @@ def repeated_windows(docs: DataFrame, window: int = 20, *, id_col: str = "doc_id
     texts = _keyed(docs, id_col, text_col, F.col(text_col).cast("string").alias("text"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for b in text_chunks(batches, "text"):
             words = Words(as_bytes(b.column("text")))
             key, low, high = anchors(words, window)
             if not len(key):
                 continue
-            h = TWO.of(TWO.prefix(mix(words.names)), low, high + window)
+            digest = words.digests(low, high + window)
             owner = words.owner[low]
             d, t = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("_d", "_t"))
-            yield from _first_of_equal([key.view(np.int64), h.view(np.int64), d, t, (low - words.first[owner]).astype(np.int32), (high - low).astype(np.int32)])
+            yield firsts.take([key.view(np.int64), digest[:, 0], digest[:, 1], d, t, low - words.first[owner], high - low])
 
     stretches = materialize(_meet(texts.mapInArrow(propose, PLACE)).select("_d", "_t", "first", "span", "kind"), "stretches")
     asked = stretches.where("kind = 1").groupBy("_d", "_t").agg(F.collect_list(F.struct("first", "span")).alias("asked"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = _Firsts()
         for b in text_chunks(batches, "text"):
             words = Words(as_bytes(b.column("text")))
             lists = b.column("asked")
@@ -146,11 +176,9 @@ def repeated_windows(docs: DataFrame, window: int = 20, *, id_col: str = "doc_id
             low = np.repeat(words.first[owner] + first, span + 1)
             owner = np.repeat(owner, span + 1)
             low = low + np.arange(len(low)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-            one = ONE.of(ONE.prefix(words.names), low, low + window)
-            two = TWO.of(TWO.prefix(mix(words.names)), low, low + window)
+            digest = words.digests(low, low + window)
             d, t = (b.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("_d", "_t"))
-            place = (low - words.first[owner]).astype(np.int32)
-            yield from _first_of_equal([one.view(np.int64), two.view(np.int64), d, t, place, np.zeros(len(low), np.int32)])
+            yield firsts.take([digest[:, 0], digest[:, 0], digest[:, 1], d, t, low - words.first[owner], np.zeros(len(low), np.int32)])
 
     windows = _meet(texts.join(asked, ["_d", "_t"]).mapInArrow(spell, PLACE)).where("kind = 0")
     return stretches.where("kind = 0").unionByName(windows.select(*stretches.columns)).select("_d", "_t", "first", "span")

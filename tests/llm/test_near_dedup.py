@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import near_dedup
+from pagelake.llm import common, near_dedup
 from pagelake.llm.near_dedup import components, near_duplicate_groups
 
 
@@ -52,8 +52,10 @@ def make(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,chunk,block", [(0, 512, 256), (1, 16, 8), (2, 5, 3)])
-def test_against_brute_force(spark, monkeypatch, seed, chunk, block):
+@pytest.mark.parametrize("seed,chunk,block,lists,few", [(0, 512, 256, 128, 1000), (1, 16, 8, 128, 1000), (2, 5, 3, 4, 3), (3, 8, 4, 2, 10)])
+def test_against_brute_force(spark, monkeypatch, seed, chunk, block, lists, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(near_dedup, "LIST", lists)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
@@ -83,6 +85,20 @@ def test_of_nothing(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def morse(n, swap=False):
+    """The Thue-Morse word of n letters, or its mirror image."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_different_words_of_equal_sums_are_not_linked(spark, size):
+    x, y = morse(size), morse(size, True)
+    rows = [(0, x), (1, y), (2, x.upper()), (3, f"a {x} b c d e"), (4, f"a {y} b c d e"), (5, " ".join(x)), (6, " ".join(y))]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.component_id for r in got} == {k: c for (k, _), (_, c) in want.items()}
+
+
 def test_lower_similarity_loses_no_links(spark):
     """Texts of 200 shingles and longer ones of 390 that begin with them: half of a sketch is shared."""
     rows = [(2 * i + j, " ".join(f"p{i}c{k}" for k in range((204, 394)[j]))) for i in range(80) for j in (0, 1)]
@@ -108,6 +124,6 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         p, q = root(a), root(b)
         up[max(p, q)] = min(p, q)
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), common.Tables(spark, "t"), "t").collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}

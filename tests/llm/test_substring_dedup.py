@@ -4,9 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import queries
+from pagelake.llm import common, queries, substring_dedup
 from pagelake.llm.recompression import Words, anchors
 from pagelake.llm.substring_dedup import dedup_substrings
+from tests.llm.test_near_dedup import morse
 
 
 def brute(rows, window):
@@ -58,6 +59,22 @@ def test_against_brute_force(spark, seed, window):
     check(spark, make(seed, window), window)
 
 
+def test_different_words_of_equal_sums_are_not_repeats(spark):
+    rows = []
+    for size in (128, 255, 256, 1024, 4096):
+        x, y = morse(size), morse(size, True)
+        rows += [(len(rows) + i, " ".join([*[f"w{j}" for j in range(10)], w, *[f"w{j}" for j in range(10, 20)]])) for i, w in enumerate((x, y))]
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((x, y))]
+    check(spark, [*rows, (100, rows[4][1])], 20)
+
+
+def test_repeats_across_the_batches_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(common, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(common.text_chunks, "__defaults__", (200,))
+    monkeypatch.setattr(substring_dedup, "KEPT_PLACES", 50)
+    check(spark, make(2, 7)[::-1], 7)
+
+
 def test_every_window_has_one_anchor_and_equal_windows_equal_ones():
     for seed in range(6):
         texts = [(t or "").encode() for _, t in make(seed, 20)]
