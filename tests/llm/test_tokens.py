@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pagelake.llm import token_files
 from pagelake.llm.packing import Levels, pack_documents
 from pagelake.llm.token_counts import ByteMerges, token_counts
 from pagelake.llm.token_files import decode, encode, read_token_files, write_token_files
+from pagelake.llm.wordpieces import WordPieces
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,6 +46,45 @@ def test_token_files_equal_the_library(spark, odd, odd_rows, tmp_path):
     assert keys == sorted(keys)
 
 
+#: Characters that compose, lower to several, belong to no word or start a special string.
+ODD = [*"aaab  \n\t'sé漢🙂.1,;-_!?\"(<>|&İIıiKÅﬁﬃßſΑΣς한글กำاّب한̸ְ̧́̇ि⃐᫁  ‍ǅǅⓐⅣ²ႠᎠꟜ𞤀𝐀", "<|endoftext|>", "<|StartOfText|>", "'t", " the", "Cat", ". ", ", "]
+
+
+@pytest.fixture(scope="session")
+def odd_texts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(ODD, k=rng.randint(0, 40))) for _ in range(10_000)]
+    return texts + ["Ali İ. geldi", "BELİ!", "KADİ, x", "İ_", "ab" * 30_000, "'" * 5000, "x." * 20_000, "İ." * 5000]
+
+
+def test_ids_of_odd_strings_in_files_and_windows(spark, odd_texts, tmp_path):
+    library = Tokenizer.from_file(WORD)
+    ids = [np.array([*x.ids, 1], "<u4").tobytes() for x in library.encode_batch(odd_texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("part", F.lit("y"))
+    write_token_files(docs, f"file://{tmp_path}/o", tokenizer=WORD)
+    assert {r.doc_id: (r.ids_crc32, r.n_tokens) for r in read_token_files(spark, f"file://{tmp_path}/o").collect()} == {i: (zlib.crc32(x), len(x) // 4) for i, x in enumerate(ids)}
+    covered = Counter()
+    for r in pack_documents(docs, tokenizer=WORD).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) // 4
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
+        covered[r.doc_id] += r.length
+    assert covered == {i: len(x) // 4 for i, x in enumerate(ids)}
+
+
+def test_other_vocabularies_go_to_the_library():
+    pieces, library = WordPieces(BYTE), Tokenizer.from_file(BYTE)
+    texts = ["A  b c.", "", "İ. x", "a<|endoftext|> b"]
+    assert not pieces.by_words and WordPieces(WORD).by_words
+    assert pieces.documents([t.encode() for t in texts]) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_many_parts_are_joined(spark, odd, tmp_path, monkeypatch):
+    write_token_files(odd, f"file://{tmp_path}/m", tokenizer=WORD)
+    want = Counter(map(tuple, read_token_files(spark, f"file://{tmp_path}/m").collect()))
+    monkeypatch.setattr(token_files, "MOST_PARTS", 0)
+    assert Counter(map(tuple, read_token_files(spark, f"file://{tmp_path}/m").collect())) == want
+
+
 def test_token_files_of_nothing(spark, odd, tmp_path):
     write_token_files(odd.limit(0), f"file://{tmp_path}/e", tokenizer=WORD)
     assert read_token_files(spark, f"file://{tmp_path}/e").count() == 0
