@@ -48,8 +48,9 @@ def plain_letters() -> frozenset[str]:
 
 
 #: Entries that a worker's table of words may hold (about 200 bytes each).
-#: A full table is emptied; ids do not depend on it.
+#: A full table is emptied; ids do not depend on it. Words above LONG bytes don't stay.
 TABLE_WORDS = 1_200_000
+LONG = 1024
 
 #: Bytes after which a full stop or comma is not part of a longer run of marks.
 _PLAIN = np.zeros(256, bool)
@@ -140,7 +141,10 @@ class WordPieces:
         words = [t.split() for t in fold(texts)]
         self.learn(words)
         get = self.table.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        found = [b"".join(map(get, w)) for w in words]
+        for w in {w for ws, t in zip(words, texts) if len(t) > LONG for w in ws if len(w) > LONG}:
+            del self.table[w]
+        return found
 
 
 @functools.cache

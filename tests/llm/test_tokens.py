@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -102,10 +103,38 @@ def test_counts_of_random_strings():
     library, counter = Tokenizer.from_file(BYTE), ByteMerges(BYTE)
     rng = random.Random(1)
     texts = ["".join(rng.choices("aaab  \n\t'sé漢🙂.1<|endoftext|>", k=rng.randint(0, 80))) for _ in range(400)]
+    texts += ["".join(rng.choices([*ODD, " "], k=rng.randint(0, 60))) for _ in range(3000)]
     texts += ["a" * 500, "abab" * 99, "x <|endoftext|> y", " <|endoftext|>"]
     assert counter.documents(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_counts_of_long_words():
+    library, counter = Tokenizer.from_file(BYTE), ByteMerges(BYTE)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzéßж漢字한"
+    texts = [kind * 3000 for kind in ("a", "ab", "aab", "abcab", "é", "漢", "0", "-", "the", "=\u0338")]
+    texts += ["".join(rng.choices(letters[:k], k=n)) for k in (1, 2, 3, 26, len(letters)) for n in (1000, 1025, 5000)]
+    texts += ["x " + texts[-1] + "\n" + texts[-1] + "!" * 3000]
+    assert counter.documents(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(len(p) <= 1024 for p in counter.table)
+
+
+@pytest.mark.parametrize("kind", ["one letter", "letters", "base64"])
+def test_a_million_letters_without_a_blank(kind):
+    rng = random.Random(5)
+    alphabet = {"one letter": "a", "letters": "abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}[kind]
+    text = "".join(rng.choices(alphabet, k=1_000_000))
+    counter, start = ByteMerges(BYTE), time.process_time()
+    assert counter.documents([text]) == [len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)]
+    assert time.process_time() - start < 30
+
+
+def test_clashing_columns(odd):
+    more = odd.withColumn("n_tokens", F.lit("x")).withColumn("n_bytes", F.lit(None)).withColumn("length", F.lit(1)).withColumn("offset", F.lit("y"))
+    assert token_counts(more, tokenizer=BYTE).count() == odd.count()
+    assert pack_documents(more, tokenizer=WORD).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+
+
 def test_counts_of_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     library = Tokenizer.from_file(BYTE)
