@@ -93,24 +93,34 @@ def test_each_known_sentence_alone(spark):
     assert [got[i] for i in range(len(texts))] == [[x] for x in names] * 2
 
 
-@pytest.mark.parametrize("size", [7, 4096])
-def test_top_k(spark, monkeypatch, size):
+def best_of(rows, k=5):
+    """All result rows by brute force, from (id, vector) rows."""
+    usable = []
+    for key, v in rows:
+        if key is not None and v and all(x is not None and math.isfinite(256 * x) for x in v):
+            usable.append((key, [math.floor(256 * x) for x in v]))
+    want = Counter()
+    for i, (key, q) in enumerate(usable):
+        if key % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), other) for j, (other, c) in enumerate(usable) if j != i and len(c) == len(q))
+            want.update((key, n + 1, other, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, other) in enumerate(scores[:k]))
+    return want
+
+
+@pytest.mark.parametrize("size,kind", [(7, "small"), (7, "repeated"), (7, "1e7"), (4096, "repeated"), (4096, "1e17"), (4096, "1e300")])
+def test_top_k(spark, monkeypatch, size, kind):
     monkeypatch.setattr(topk_search, "CANDIDATES", size)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
-    monkeypatch.setattr(topk_search, "BINS", 16)
+    monkeypatch.setattr(topk_search, "PASS_BYTES", 200 if size == 7 else 1 << 20)
+    monkeypatch.setattr(topk_search, "BINS", 16 if size == 7 else 4096)
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(size=6).astype("float32")]) for i in range(120)]
-    rows += [(200 + i, [1.0] * 6) for i in range(30)] + [(50, [9.0] * 6), (None, [1.0] * 6), (400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (450, [1.0] * 3), (451, [2.0] * 3), (500, [1.0] * 2)]
-    df = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<float>, rank string, score int")
-    vectors = {}
-    for k, v in rows:
-        if k is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * float(np.float32(x))) for x in v]
-            vectors[k] = min(q, vectors.get(k, q))
-    want = set()
-    for k, q in vectors.items():
-        if k % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in vectors.items() if j != k and len(c) == len(q))
-            want |= {(k, n + 1, j, -s) for n, (s, j) in enumerate(scores[:5])}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df).collect()} == want
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    rows += [(200 + i, [1.0] * 6) for i in range(30)] + [(None, [1.0] * 6), (400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (450, [1.0] * 3), (451, [2.0] * 3), (500, [1.0] * 2)]
+    if kind == "repeated":
+        rows += [(50, [9.0] * 6), (50, [9.0] * 6), (7, [1.0] * 6), (7, [2.0, 1.0, 1.0, 1.0, 1.0, 1.0]), (200, [1.0] * 6)]
+    elif kind != "small":
+        big = float(kind)
+        rows += [(600 + i, [big * (1 + i), -big, *[float(x) for x in rng.normal(size=4)]]) for i in range(12)] + [(650, [-big, big / 3, 1.0, 2.0, big, 0.5]), (700, [1.7e308] * 6)]
+    df = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<double>, rank string, score int")
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df.repartition(3)).collect()) == best_of(rows)
     assert top_k(df.limit(0)).count() == 0
