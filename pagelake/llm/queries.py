@@ -92,28 +92,48 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_tok
 
 
 def _license_sql() -> str:
-    """The scan in DuckDB SQL, from the same tables of sentences and rules."""
-    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses._known().items())
-    rules = ", ".join(f"({i}, '{n}', '{lic}', '{licenses.rule_pattern(r)}')" for i, (n, lic, r) in enumerate(licenses.RULES))
+    """The scan in DuckDB SQL, from the same tables of sentences, names and rules, without triggers."""
+    q = licenses
+    pairs = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+    rules = ", ".join(f"({i}, '{n}', '{lic}', '{p}')" for i, (n, lic, p) in enumerate(q.ordered_rules(), 1))
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
+WITH RECURSIVE known(sentence, id) AS (VALUES {pairs(q.known_sentences())}),
+names(name, id) AS (VALUES {pairs(q.known_names())}),
+spdx(word, id) AS (VALUES {pairs(q.spdx_ids())}),
 rules(k, rule, license, pattern) AS (VALUES {rules}),
 parts AS (
   SELECT doc_id, i, p FROM (
     SELECT doc_id, unnest(x) AS p, generate_subscripts(x, 1) AS i
-    FROM (SELECT doc_id, string_split_regex(lower(text), '{licenses.END}') AS x FROM documents))),
+    FROM (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '{q.SHORT}', '\1\2 ', 'g'), '{q.END}') AS x FROM documents))),
 lines AS (
   SELECT doc_id, i, unnest(x) AS p, generate_subscripts(x, 1) AS j
   FROM (SELECT doc_id, i, CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END AS x FROM parts)),
-found AS (SELECT doc_id, i, j, id FROM lines JOIN known ON trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')) = sentence),
-per AS (
-  SELECT d.doc_id, count(f.id) AS n_sentences, coalesce(string_agg(f.id, ',' ORDER BY i, j), '') AS sentence_ids,
-         ' ' || coalesce(string_agg(f.id, ' ' ORDER BY i, j), '') || ' ' AS line
-  FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id)
-SELECT doc_id, n_sentences, sentence_ids, coalesce(string_agg(rule, ',' ORDER BY k), '') AS rules,
-       coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses
-FROM per LEFT JOIN rules ON regexp_matches(line, pattern)
-GROUP BY doc_id, n_sentences, sentence_ids
+clean AS (SELECT doc_id, i, j, regexp_replace(trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')), '{q.HOLDER}', '{q._HOLDER}') AS p FROM lines),
+found AS (
+  SELECT doc_id, i, j, coalesce(k.id, 'ref-' || n.id) AS id
+  FROM clean LEFT JOIN known k ON p = k.sentence LEFT JOIN names n ON regexp_extract(p, '{q.REFERENCE}', 1) = n.name
+  WHERE length(p) > 9 AND coalesce(k.id, n.id) IS NOT NULL),
+once AS (SELECT * FROM (SELECT *, lag(id) OVER (PARTITION BY doc_id ORDER BY i, j) AS before FROM found) WHERE before IS DISTINCT FROM id),
+per AS (SELECT doc_id, count(*) AS n_sentences, string_agg(id, ',' ORDER BY i, j) AS sentence_ids, string_agg(' ' || id || ' ', '' ORDER BY i, j) AS line FROM once GROUP BY doc_id),
+run(doc_id, k, line, rule, license) AS (
+  SELECT doc_id, 0, line, NULL::VARCHAR, NULL::VARCHAR FROM per
+  UNION ALL
+  SELECT run.doc_id, rules.k, regexp_replace(run.line, pattern, ' | ', 'g'),
+         CASE WHEN regexp_matches(run.line, pattern) THEN rules.rule END, CASE WHEN regexp_matches(run.line, pattern) THEN rules.license END
+  FROM run JOIN rules ON rules.k = run.k + 1),
+left_over AS (
+  SELECT doc_id, unnest(x) AS id, generate_subscripts(x, 1) AS n
+  FROM (SELECT doc_id, list_filter(string_split_regex(line, ' +'), lambda x: starts_with(x, 'ref-')) AS x FROM run WHERE k = (SELECT max(k) FROM rules))),
+words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS n
+  FROM (SELECT doc_id, flatten(list_transform(regexp_extract_all(lower(text), '{q.SPDX}', 1), lambda x: string_split_regex(x, '{q.SPDX_CUT}'))) AS w FROM documents)),
+hits AS (
+  SELECT doc_id, 0 AS kind, k AS n, rule, license FROM run WHERE rule IS NOT NULL
+  UNION ALL SELECT doc_id, 1, min(n), 'reference-' || id[5:], id[5:] FROM left_over GROUP BY doc_id, id
+  UNION ALL SELECT doc_id, 2, min(n), 'spdx-' || id, id FROM words JOIN spdx USING (word) GROUP BY doc_id, id),
+all_hits AS (SELECT doc_id, string_agg(rule, ',' ORDER BY kind, n) AS rules, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hits GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id LEFT JOIN all_hits h ON d.doc_id = h.doc_id
 """
 
 

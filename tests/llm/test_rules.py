@@ -5,11 +5,12 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.llm import licenses, topk_search
+from pagelake.llm import licenses, queries, topk_search
 from pagelake.llm.quality_rules import base_failed, certified_cutoffs, document_stats, drop_rejected, log_binomial_tail, quality_verdicts
 from pagelake.llm.topk_search import top_k
 
@@ -71,19 +72,86 @@ def test_verdicts(spark, odd, odd_rows):
     assert quality_verdicts(docs, labels.limit(0)).where("kept AND doc_id >= 5000").count() == 300
 
 
+SAY = licenses.SENTENCES
+
+
+def _list(*names):
+    return "\n\n".join(f" {i}. {SAY[x]}." for i, x in enumerate(names, 1))
+
+
+def gnu(kind, version, sep, tail=", or (at your option) any later version."):
+    return f"This program is free software{sep} you can redistribute it and/or modify\nit under the terms of the GNU {kind} as published by\nthe Free Software Foundation{',' if sep == ':' else ';'} either version {version} of the License{tail}\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+
+
+#: Text, rules, licences: written by hand.
+NOTICES = [
+    ("Header\n\n" + _list("mit-grant", "mit-notice", "mit-warranty", "mit-liable"), "mit-text", "MIT"),
+    ("# " + _list("mit-grant", "mit-notice", "mit-warranty").replace(", ", ",\n# "), "mit-text", "MIT"),
+    (_list("mit0-grant", "mit-warranty"), "mit0-text", "MIT-0"),
+    (_list("mit-grant", "mit-notice", "json-good", "mit-warranty"), "json-text", "JSON"),
+    (_list("mit-grant", "mit-notice", "mit-warranty", "mit-liable", "x11-name"), "x11-text", "X11"),
+    (_list("mit-warranty", "mit-notice", "mit-grant"), "", ""),
+    (_list("mit-grant", "bsd-source", "mit-notice", "mit-warranty"), "", ""),
+    (_list("isc-grant", "isc-warranty"), "isc-text", "ISC"),
+    (_list("isc-grant-2", "isc-warranty"), "isc-text", "ISC"),
+    (_list("0bsd-grant", "isc-warranty"), "0bsd-text", "0BSD"),
+    (_list("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"), "bsd2-text", "BSD-2-Clause"),
+    (_list("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "bsd-warranty"), "bsd3-text", "BSD-3-Clause"),
+    (_list("bsd-grant", "bsd-source", "bsd-binary") + "\n\nNeither the name of Example, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd3-text", "BSD-3-Clause"),
+    (_list("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-name"), "bsd4-text", "BSD-4-Clause"),
+    (_list("bsd-grant", "bsd-source", "bsd-binary", "bsd-name") + "\n\n" + _list("bsd-grant", "bsd-source", "bsd-binary"), "bsd3-text,bsd2-text", "BSD-2-Clause,BSD-3-Clause"),
+    (_list("zlib-warranty", "zlib-grant", "zlib-altered", "zlib-notice"), "zlib-text", "Zlib"),
+    (SAY["unlicense-free"] + ".", "unlicense-text", "Unlicense"),
+    (f'Licensed under the Apache License, Version 2.0 (the "License");\n{SAY["apache2-use"]}.\nYou may obtain a copy of the License at\n\n http://x\n\n{SAY["apache2-basis"]}.', "apache2-header", "Apache-2.0"),
+    (f"{SAY['apache2-text']}.\n\n{SAY['apache2-basis']}.\n\n{SAY['apache2-patent']}.", "apache2-text", "Apache-2.0"),
+    (gnu("General Public License", "3", ":"), "gpl-3-or-later-notice", "GPL-3.0-or-later"),
+    (gnu("General Public License", "3", ";"), "gpl-3-or-later", "GPL-3.0-or-later"),
+    (gnu("General Public License", "2", ";"), "gpl-2-or-later", "GPL-2.0-or-later"),
+    (gnu("Lesser General Public License", "2.1", ";"), "lgpl-2.1-or-later", "LGPL-2.1-or-later"),
+    (gnu("Lesser General Public License", "3", ":"), "lgpl-3-or-later-notice", "LGPL-3.0-or-later"),
+    (gnu("Affero General Public License", "3", ":"), "agpl-3-or-later-notice", "AGPL-3.0-or-later"),
+    (gnu("Library General Public License", "2", ";"), "lgpl-2.0-2-or-later", "LGPL-2.0-or-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "gpl-2-only", "GPL-2.0-only"),
+    (SAY["mpl2-head"] + ". If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mpl2-header", "MPL-2.0"),
+    ("// SPDX-License-Identifier: Apache-2.0\nint x;", "spdx-Apache-2.0", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) OR MIT */", "spdx-GPL-2.0-or-later,spdx-MIT", "GPL-2.0-or-later,MIT"),
+    ("SPDX-License-Identifier: LicenseRef-mine", "", ""),
+    ("words words |\nReleased under the MIT License.", "reference-MIT", "MIT"),
+    ("Licensed under the MIT license (see LICENSE).", "reference-MIT", "MIT"),
+    ("This project is licensed under the terms of the MIT license.", "reference-MIT", "MIT"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://x/", "reference-EPL-2.0", "EPL-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "reference-BSL-1.0", "BSL-1.0"),
+    ("Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", "reference-CC-BY-NC-4.0,reference-Apache-2.0", "Apache-2.0,CC-BY-NC-4.0"),
+    ("All content of this site is licensed\nunder a Creative Commons Attribution-ShareAlike 4.0 International License.", "reference-CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("The files in this folder are distributed under the ISC License, see COPYING.", "reference-ISC", "ISC"),
+    ("Everything here is covered by the zlib/libpng license.", "reference-Zlib", "Zlib"),
+    ("It is licensed under the Mozilla Public License, v. 2.0.", "reference-MPL-2.0", "MPL-2.0"),
+    ("We like the MIT License and software.", "", ""), ("The driving licence is available under the desk.", "", ""), (None, "", ""), ("", "", ""),
+]
+
+
 def test_licenses(spark, odd):
-    mit = "\n\n".join(licenses.SENTENCES[x].replace(", ", ",\n") + "." for x in ("mit-grant", "mit-notice", "mit-warranty"))
-    apache = f"{licenses.SENTENCES['apache2-head']};\n{licenses.SENTENCES['apache2-use']}.\nYou may obtain a copy of the License at\n\n http://x\n\n{licenses.SENTENCES['apache2-basis']}."
-    cases = [
-        (1, f"Header\n\n{mit}", ["mit-text"], ["MIT"]), (2, "words words |\nReleased under the MIT License.", ["mit-reference"], ["MIT"]), (3, apache, ["apache2-header", "apache2-reference"], ["Apache-2.0"]),
-        (4, "We like the MIT License and software.", [], []), (5, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", ["apache2-reference", "cc-by-nc-reference"], ["Apache-2.0", "CC-BY-NC-4.0"]),
-        (6, None, [], []), (7, "", [], []), (8, "\n\n".join(licenses.SENTENCES[x] + "." for x in ("mit-warranty", "mit-notice", "mit-grant")), [], []),
-        (9, ". ".join(licenses.SENTENCES[x] for x in ("gpl3-head", "gpl-hope", "gpl-copy")) + ".", ["gpl3-header"], ["GPL-3.0"]),
-    ]
-    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(k, t, "z") for k, t, _, _ in cases], "doc_id long, text string, hits string")).collect()}
-    for k, _, rules, found in cases:
-        assert (got[k].rules, got[k].licenses) == (rules, found), k
-    assert licenses.scan_licenses(odd).count() == odd.count()
+    rows = [(i, t, "z") for i, (t, _, _) in enumerate(NOTICES)]
+    rows += [(1000 + i, f"Some words.\n\nLicensed under the {names[0]}.", "z") for i, names in enumerate(licenses.NAMES.values())]
+    rows += [(2000 + i, f"x /* SPDX-License-Identifier: {name} */", "z") for i, name in enumerate(licenses.NAMES)]
+    got = {r.doc_id: (",".join(r.rules), ",".join(r.licenses)) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, hits string")).collect()}
+    assert len(licenses.NAMES) > 60
+    for i, (text, rules, found) in enumerate(NOTICES):
+        assert got[i] == (rules, found), text
+    for i, name in enumerate(licenses.NAMES):
+        assert got[1000 + i] == (f"reference-{name}", name) and got[2000 + i] == (f"spdx-{name}", name)
+    again = odd.unionByName(odd).withColumn("sentence_ids", F.lit(1)).withColumn("spdx", F.lit(2))
+    assert licenses.scan_licenses(again).count() == 2 * odd.count() and licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_license_sql_agrees(spark, tmp_path):
+    rows = [(i, t) for i, (t, _, _) in enumerate(NOTICES)] + [(500, "word " * 20_000 + "\n\nReleased under the MIT License."), (501, "LICENSED UNDER THE ISC LICENSE!\nLicensed under the ISC License.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in queries.op4_license_scan(spark, str(tmp_path)).select("doc_id", "n_sentences", "sentence_ids", "rules", "licenses").collect()}
+    assert got == set(con.sql(queries.ORACLE_SQL["op4_license_scan"]).fetchall())
 
 
 def test_each_known_sentence_alone(spark):
