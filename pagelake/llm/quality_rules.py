@@ -3,9 +3,13 @@
 Each rule is a score per document in thousandths, higher is worse. In every
 stratum (language) a rule may reject from a cutoff upwards. Labelled documents
 decide the cutoff: a candidate is certified if an exact binomial test shows that
-it rejects less than ``alpha`` of the good documents; the error level ``delta`` is
-split over all rules and strata (Bonferroni). Within a rule the candidates are
-nested, lenient first, so testing them in that order needs no further correction.
+it rejects less than its share of ``alpha`` of the good documents. A document goes if
+any rule rejects it, so each of the rules gets an equal share of ``alpha``: together
+they reject less than ``alpha`` of a stratum's good documents. The error level
+``delta`` is split over all rules and strata (Bonferroni). Within a rule the candidates
+are nested, lenient first, so testing them in that order needs no further correction.
+The guarantee is for good documents that pass the base test; those that fail it
+are rejected whatever the labels say.
 Of the certified candidates the one that serves best is used: most bad documents
 rejected, a good one counting against it ``cost`` times, the most lenient on ties.
 Without enough labels nothing is certified and nothing is rejected.
@@ -24,7 +28,7 @@ from pagelake.llm.common import materialize
 #: Fixed values of the production rules.
 RULES = ("symbols", "dup_lines", "repeats", "capitals")
 CUTOFFS = (5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900)
-ALPHA, DELTA, COST = 0.01, 0.05, 20
+ALPHA, DELTA, COST = 0.04, 0.05, 20
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -106,8 +110,10 @@ def certified_cutoffs(holdout: DataFrame, *, cutoffs: tuple[int, ...] = CUTOFFS,
     """``stratum, rule, cutoff`` from rows ``stratum, good, <score of each rule>``.
 
     One row per stratum and rule that has a certified cutoff which rejects more
-    than it costs. Counts are added up before anything is shuffled.
+    than it costs. ``alpha`` bounds the false rejections of all rules together.
+    Counts are added up before anything is shuffled.
     """
+    alpha = alpha / len(RULES)
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("score")) for r in RULES]))
     rows = holdout.select("stratum", "good", pairs.alias("x")).select("stratum", "good", "x.rule", "x.score")
     counts = rows.groupBy("stratum", "rule").agg(

@@ -140,7 +140,7 @@ FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id LEFT JOIN all_hits h ON
 def _quality_sql() -> str:
     """The rules in DuckDB SQL; the binomial tail from its logarithmic terms."""
     q = quality_rules
-    cuts = ", ".join(f"({c})" for c in q.CUTOFFS)
+    cuts, alpha = ", ".join(f"({c})" for c in q.CUTOFFS), q.ALPHA / len(q.RULES)
     share = lambda a, b: f"CASE WHEN {b} > 0 THEN floor(1000 * {a} / {b}) ELSE 0 END"
     rules = {"symbols": share("n_symbols", "word_chars"), "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "capitals": share("n_capitals", "word_chars")}
     scored = " UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {x} AS score FROM stats" for r, x in rules.items())
@@ -171,8 +171,8 @@ counts AS (
   FROM scored JOIN marks USING (doc_id), (VALUES {cuts}) v(c) WHERE NOT base_failed GROUP BY lang, rule, c),
 tests AS (
   SELECT *, bad - {q.COST} * k AS gain, (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM counts)) AS family,
-         CASE WHEN k <= n * {q.ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda i:
-           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA}::DOUBLE) + (n - i) * ln(1 - {q.ALPHA}::DOUBLE)))) ELSE 1 END AS tail
+         CASE WHEN k <= n * {alpha} THEN list_sum(list_transform(range(0, k + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE)))) ELSE 1 END AS tail
   FROM counts),
 cut AS (
   SELECT lang, rule, arg_max(cutoff, gain * 1000000 + cutoff) AS cutoff FROM tests

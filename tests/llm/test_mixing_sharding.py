@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -39,6 +40,15 @@ def test_targets_are_the_fixed_point(spark):
         assert all(abs(got[k] - w) < 1e-6 * max(1, w) for k, w in zip(names, want))
 
 
+def test_fractions_of_a_source_by_hand(spark):
+    """Two sources of 10 and 90 words: the first is clamped at 20, the second gets 130 of the 150."""
+    docs = spark.createDataFrame([(i, "w " * 5, "a") for i in range(2)] + [(10 + i, "w " * 30, "b") for i in range(3)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.target, r.taken) for r in mix(docs).collect()}
+    assert [got[i] for i in range(2)] == [(20.0, 10)] * 2
+    order = sorted((10, 11, 12), key=lambda k: hashlib.md5(f"mix-1:{k}".encode()).hexdigest())
+    assert {k: got[k] for k in order} == {order[0]: (130.0, 60), order[1]: (130.0, 40), order[2]: (130.0, 30)}
+
+
 def test_mix_meets_its_targets(odd, odd_rows):
     got = mix(odd.withColumn("h", F.lit(1)).withColumn("before", F.lit(2))).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in odd_rows)
@@ -51,6 +61,26 @@ def test_mix_meets_its_targets(odd, odd_rows):
     assert mix(odd.limit(0)).count() == 0
 
 
+def jump_of_one(key, shards):
+    """One key by the published loop, in Python integers."""
+    mask = (1 << 64) - 1
+    key &= mask
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        key = ((key ^ key >> shift) * factor) & mask
+    now, ahead = -1, 0
+    while ahead < shards:
+        now = ahead
+        key = (key * 2862933555777941757 + 1) & mask
+        ahead = int((now + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return now
+
+
+def test_jump_of_many_keys_is_that_of_each():
+    keys = np.array([*range(-300, 300), 2**63 - 1, -(2**63), *np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000)], np.int64)
+    for n in (1, 2, 8, 9, 1000):
+        assert jump(keys, n).tolist() == [jump_of_one(int(k), n) for k in keys]
+
+
 def test_jump_moves_only_into_the_new_shard():
     keys = np.arange(-5000, 5000)
     for n in (1, 2, 8, 31):
@@ -67,7 +97,7 @@ def test_shards_and_slots(odd, odd_rows):
     slots = defaultdict(list)
     for r in got:
         assert r.law == "key" and r.grown_shard in (r.shard, 8)
-        assert r.shard == jump(np.array([r.doc_id or 0]), 8)[0]
+        assert (r.shard, r.grown_shard) == (jump_of_one(r.doc_id or 0, 8), jump_of_one(r.doc_id or 0, 9))
         slots[r.shard].append(r.slot)
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert shard_documents(odd.limit(0)).count() == 0

@@ -18,8 +18,11 @@ from pagelake.llm.wordpieces import WordPieces
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(WORD)
+
+
 def library_ids(text):
-    return [*Tokenizer.from_file(WORD).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 @pytest.mark.parametrize("seed", range(6))
