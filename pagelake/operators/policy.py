@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import urls
+from pagelake.operators.shared import earlier_parts, on_parts, ranged
 
 #: Fixed values.
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
@@ -140,9 +141,16 @@ def permitted(capability: Column, allow: Column, deny: Column, always: tuple[str
 def host_pacing(df: DataFrame, *, host: str, at_ms: str, key: str, interval_ms: int) -> DataFrame:
     """Add ``slot_ms``, the earliest start with ``interval_ms`` between starts on a host.
 
-    slot k = k * interval + max over j <= k of (t_j - j * interval).
+    slot k = k * interval + max over j <= k of (t_j - j * interval). Places and the
+    running maximum are made per range partition, so a host is not one task; one row
+    per partition and host joins them.
     """
-    w = Window.partitionBy(host).orderBy(at_ms, key)
-    df = df.withColumn("_k", F.row_number().over(w) - 1)
-    best = F.max(F.col(at_ms) - F.col("_k") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("slot_ms", F.col("_k") * interval_ms + best).drop("_k")
+    rows = ranged(df, [host], [F.col(at_ms), F.col(key)]).withColumn("_late", F.col(at_ms) - F.col("_k") * interval_ms)
+    before = earlier_parts([host])
+    parts = rows.groupBy(host, "_part").agg(F.count("*").alias("_n"), F.max("_late").alias("_m"))
+    parts = parts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.withColumn("_most", F.max(F.col("_m") - F.col("_first") * interval_ms).over(before)).select(host, "_part", "_first", "_most")
+    here = F.max("_late").over(Window.partitionBy(host, "_part").orderBy("_k"))
+    rows = on_parts(rows.withColumn("_here", here), parts, [host])
+    best = F.greatest(F.col("_here") - F.col("_first") * interval_ms, F.col("_most"))
+    return rows.select(*df.columns, ((F.col("_first") + F.col("_k")) * interval_ms + best).alias("slot_ms"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pagelake.functions import urls
+from pagelake.operators.shared import accumulated, numbered
+
 
 def artifact_source(artifacts: DataFrame, resources: DataFrame, order: str) -> DataFrame:
     """Each artifact with the latest resource of its ``resource_id``.
@@ -32,22 +35,28 @@ def run_trace(runs: DataFrame, events: DataFrame) -> DataFrame:
     return runs.join(events, "run_id", "left").orderBy("run_id", "sequence")
 
 
-def coverage_report(df: DataFrame, group: str, key: str, status: str, available: tuple[str, ...]) -> DataFrame:
-    """Per group: total, available, closed, counts by status and the keys that are missing.
+def coverage_report(df: DataFrame, group: str, status: str, available: tuple[str, ...]) -> DataFrame:
+    """Per group: total, available, gaps, closed and counts by status, from a partial aggregate by (group, status).
 
-    Counts come from a partial aggregate by (group, status); only the gaps are listed.
+    The missing keys themselves are rows: ``coverage_gaps``.
     """
-    ok = F.col(status).isin(*available)
-    per = df.groupBy(group, status).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(~ok, F.col(key)))).alias("gaps"))
+    ok = F.coalesce(F.col(status).isin(*available), F.lit(False))
+    per = df.groupBy(group, status).agg(F.count("*").alias("n"))
+    gaps = F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0))
     return per.groupBy(group).agg(
         F.sum("n").alias("total"),
         F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("available"),
-        (F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)) == 0).alias("closed"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(status, "n")))).alias("by_status"),
-        F.array_sort(F.flatten(F.collect_list("gaps"))).alias("gaps"),
+        gaps.alias("gaps"),
+        (gaps == 0).alias("closed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(status, F.lit("")), "n")))).alias("by_status"),
     )
 
 
+def coverage_gaps(df: DataFrame, group: str, key: str, status: str, available: tuple[str, ...]) -> DataFrame:
+    """The keys that are not available, a row each, with their group and status."""
+    return df.where(~F.coalesce(F.col(status).isin(*available), F.lit(False))).select(group, key, status)
+
+
 def category_counts(df: DataFrame, category: str) -> DataFrame:
     """Rows per category and, under a null category, of all."""
     return df.rollup(category).agg(F.count("*").alias("n"))
@@ -56,28 +65,48 @@ def category_counts(df: DataFrame, category: str) -> DataFrame:
 def budget_remaining(runs: DataFrame, attempts: DataFrame, limits: dict[str, float]) -> DataFrame:
     """What each run has left of its limits, not below 0 (deadline: 0.001).
 
-    ``attempts`` has a map ``consumed_budget``.
+    ``attempts`` has a map ``consumed_budget`` (such as deadline, redirects, bytes,
+    decompressed_bytes); of the limit ``attempts`` every row uses one.
     """
-    used = attempts.groupBy("run_id").agg(*[F.sum(F.coalesce(F.try_element_at("consumed_budget", F.lit(k)), F.lit(0.0))).alias(f"_{k}") for k in limits])
+    spent = lambda k: F.count("*").cast("double") if k == "attempts" else F.sum(F.coalesce(F.try_element_at("consumed_budget", F.lit(k)), F.lit(0.0)))
+    used = attempts.groupBy("run_id").agg(*[spent(k).alias(f"_{k}") for k in limits])
     left = [F.greatest(F.lit(0.001 if k == "deadline" else 0.0), F.lit(float(v)) - F.coalesce(F.col(f"_{k}"), F.lit(0.0))).alias(k) for k, v in limits.items()]
     return runs.select("run_id").join(used, "run_id", "left").select("run_id", *left)
 
 
+#: What stopped a run that has nothing accepted, the first that holds.
+STOPPED = (("policy", "BLOCKED_BY_POLICY"), ("auth", "AUTH_REQUIRED"), ("not_found", "NOT_FOUND"), ("budget", "BUDGET_EXHAUSTED"))
+
+
 def run_status(attempts: DataFrame) -> DataFrame:
-    """Status of each run from flags of its attempts (all boolean columns)."""
+    """Status of each run from flags of its attempts (all boolean columns).
+
+    Something accepted is a success, in part if anything went wrong besides. Without
+    it the first cause of ``STOPPED`` is the status; artifacts that were not accepted
+    are of low quality, or a partial result if a step failed or was missing.
+    """
     flags = ("accepted", "failed", "policy", "auth", "not_found", "budget", "artifacts", "dependency")
-    any_ = attempts.groupBy("run_id").agg(*[F.bool_or(f).alias(f) for f in flags])
-    status = (
-        F.when(F.col("accepted") & F.col("failed"), "PARTIAL").when(F.col("accepted"), "SUCCEEDED").when(F.col("policy"), "BLOCKED_POLICY")
-        .when(F.col("auth"), "AUTH_REQUIRED").when(F.col("not_found"), "NOT_FOUND").when(F.col("budget"), "BUDGET_EXHAUSTED")
-        .when(F.col("artifacts"), "LOW_QUALITY").when(F.col("dependency"), "DEPENDENCY_UNAVAILABLE").otherwise("FAILED")
-    )
-    return any_.select("run_id", status.alias("status"))
+    has = attempts.groupBy("run_id").agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags])
+    hurt = F.col("failed") | F.col("dependency")
+    full, low = (F.when(c, "PARTIAL").otherwise(name) for c, name in ((hurt | F.col("budget") | F.col("auth"), "SUCCEEDED"), (hurt, "LOW_QUALITY")))
+    stopped = F.coalesce(*[F.when(F.col(f), name) for f, name in STOPPED])
+    rest = F.when(F.col("artifacts"), low).when(F.col("dependency"), "DEPENDENCY_MISSING").otherwise("FAILED")
+    return has.select("run_id", F.when(F.col("accepted"), full).otherwise(F.coalesce(stopped, rest)).alias("status"))
+
+
+def dependency_rows(needed: DataFrame, installed: DataFrame) -> DataFrame:
+    """Attempts that fail because the reader of a capability is not there: ``capability_id, status, failure_code, warning``.
+
+    ``needed``: ``capability_id, feature, extra``; ``installed``: ``extra``. The job goes on.
+    """
+    gone = needed.join(installed.select("extra").distinct(), "extra", "left_anti")
+    warning = F.concat(F.lit("install the extra "), "extra", F.lit(" to enable "), "feature")
+    return gone.select("capability_id", F.lit("FAILED").alias("status"), F.lit("dependency_missing").alias("failure_code"), warning.alias("warning"))
 
 
 def crawl_counters(candidates: DataFrame) -> DataFrame:
     """Links by relation, and those blocked by site or depth."""
-    kinds = ("next", "pagination", "related", "category", "internal")
+    kinds = ("next", "pagination", "related", "category", "internal", "sitemap", "search", "variants")
     return candidates.agg(*[F.count_if(F.col("relation") == k).alias(k) for k in kinds], F.count_if("domain_blocked").alias("domain_blocked"), F.count_if("depth_blocked").alias("depth_blocked"))
 
 
@@ -107,9 +136,53 @@ def budget_cutoff(df: DataFrame, keys: list[str], order: list[str], cost: str, l
 
 
 def context_pack(sources: DataFrame, keys: list[str], cost: str, score: str, order: str, limit: int) -> DataFrame:
-    """The best-scored rows of each key whose costs fit ``limit``; ties by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0)
-    return sources.withColumn("total", F.sum(cost).over(w)).where(F.col("total") <= limit)
+    """The best-scored rows of each key whose costs fit ``limit``; ties by ``order``. No key is one task."""
+    return accumulated(sources, keys, [F.desc(score), F.col(order)], {"total": F.col(cost)}).where(F.col("total") <= limit)
+
+
+def score_order(df: DataFrame, keys: list[str], score: str, order: str, out: str = "place") -> DataFrame:
+    """Add the place from 1 of each row of a key, the best score first; ties by ``order``. No key is one task."""
+    return numbered(df, keys, [F.desc(score), F.col(order)], out).withColumn(out, F.col(out) + 1)
+
+
+def first_seen(df: DataFrame, value: str, key: str) -> DataFrame:
+    """The smallest ``key`` of each distinct ``value``; only digests of the values are shuffled.
+
+    The values themselves are fetched for the first rows, by key.
+    """
+    lead = df.groupBy(F.sha2(value, 256).alias("_digest")).agg(F.min(key).alias(key))
+    return df.join(lead.select(key), key, "left_semi").select(value, key)
+
+
+def text_budget_use(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Estimated tokens of all texts of a key."""
+    return df.groupBy(*keys).agg(F.sum(token_estimate(F.col(text))).alias("tokens"))
+
+
+def seed_union(*lists: DataFrame, host: str | None = None, most: int | None = None) -> DataFrame:
+    """Seeds ``url, ord`` of several lists; the first list that names an URL wins.
+
+    With ``host`` only URLs of that site stay, with ``most`` at most min(20, most).
+    """
+    rows = lists[0].withColumn("ord", F.lit(0))
+    for i, more in enumerate(lists[1:], 1):
+        rows = rows.unionByName(more.withColumn("ord", F.lit(i)))
+    if host is not None:
+        rows = rows.where(urls.site_host(F.col("url")) == host)
+    rows = rows.groupBy("url").agg(F.min("ord").alias("ord"))
+    return rows if most is None else rows.orderBy("ord", "url").limit(min(20, most))
+
+
+def requested_intersection(requested: Column, known: Column) -> Column:
+    """What is both asked for and known, sorted."""
+    return F.array_sort(F.array_intersect(requested, known))
+
+
+def two_way_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that only one side has: ``key, side``."""
+    sides = left.select(key, F.lit(1).alias("_s")).union(right.select(key, F.lit(2)))
+    found = sides.groupBy(key).agg(F.min("_s").alias("low"), F.max("_s").alias("high")).where("low = high")
+    return found.select(key, F.when(F.col("low") == 1, "only_left").otherwise("only_right").alias("side"))
 
 
 def merge_sources(*sources: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
@@ -153,16 +226,39 @@ def budget_split(asked: Column) -> Column:
 
 
 def exact_search(docs: DataFrame, terms: list[str], *, lines: int = 12, score: float = 0.7) -> DataFrame:
-    """First ``lines`` lines (by document and line) that hold one of up to 8 terms."""
+    """First ``lines`` lines (by document and line) that hold one of up to 8 terms: ``doc_id, line, locator, excerpt, score``."""
     pattern = "(?i)" + "|".join(rf"\Q{t}\E" for t in terms[:8])
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "excerpt")).where(F.col("excerpt").rlike(pattern))
     top = rows.orderBy("doc_id", "line").limit(lines)
-    return top.select(F.concat_ws(":", "doc_id", F.col("line") + 1).alias("locator"), "excerpt", F.lit(score).alias("score"))
+    return top.select("doc_id", "line", F.concat_ws(":", "doc_id", F.col("line") + 1).alias("locator"), "excerpt", F.lit(score).alias("score"))
+
 
+def scored_search(sources: DataFrame, question: str) -> DataFrame:
+    """Rows of ``sources`` (``locator, excerpt, score``) whose excerpt holds the question, whatever the case."""
+    return sources.where(F.contains(F.lower("excerpt"), F.lit(question.lower())))
 
-def context_bundle(docs: DataFrame, question_terms: list[str], budget: int) -> DataFrame:
-    """Exact matches packed into a budget, with the bundle's confidence."""
-    found = exact_search(docs, question_terms).withColumn("cost", token_estimate(F.col("excerpt"))).withColumn("bundle", F.lit(0))
-    packed = context_pack(found, ["bundle"], "cost", "score", "locator", budget)
-    n = F.count("*").over(Window.partitionBy("bundle"))
-    return packed.select("locator", "excerpt", "cost", F.least(F.lit(1.0), n * 0.35).alias("confidence"))
+
+def context_bundle(docs: DataFrame, question: str, budget: int, *, sources: DataFrame | None = None) -> DataFrame:
+    """What answers a question within a budget: ``locator, excerpt, cost, confidence, fallback_reason``.
+
+    Scored sources that match come first, by score; if none does, they are searched
+    again for the first six query terms. Exact matches in the documents follow, by
+    document and line; of equal locators the first stays. The longest beginning that
+    fits is returned.
+    """
+    plain = docs.sparkSession.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]  # the question's own words
+    reason, rows = None, exact_search(docs, plain).select(F.lit(1).alias("_kind"), (-F.col("score")).alias("_low"), "doc_id", "line", "locator", "excerpt", "score")
+    if sources is not None:
+        found = scored_search(sources, question)
+        simple = " ".join(plain[:6])
+        if simple and simple != question and found.isEmpty():
+            found, reason = scored_search(sources, simple), "simplified query after retrieval miss"
+        none = [F.lit(0).cast(dict(rows.dtypes)[c]).alias(c) for c in ("doc_id", "line")]
+        rows = found.select(F.lit(0).alias("_kind"), (-F.col("score")).alias("_low"), *none, "locator", "excerpt", "score").unionByName(rows)
+    order = ["_kind", "_low", "doc_id", "line", "locator"]
+    rest = [c for c in rows.columns if c not in ("locator", *order)]
+    rows = rows.groupBy("locator").agg(F.min_by(F.struct(*rest, *[F.col(c).alias(f"o{c}") for c in order[:4]]), F.struct(*order)).alias("x")).select("locator", "x.*")
+    rows = rows.withColumn("cost", token_estimate(F.col("excerpt")))
+    packed = accumulated(rows, [], [F.col(f"o{c}") for c in order[:4]] + [F.col("locator")], {"total": F.col("cost")}).where(F.col("total") <= budget)
+    n = packed.agg(F.least(F.lit(1.0), F.count("*") * 0.35).alias("confidence"))
+    return packed.crossJoin(F.broadcast(n)).select("locator", "excerpt", "cost", "confidence", F.lit(reason).cast("string").alias("fallback_reason"))

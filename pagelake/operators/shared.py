@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,10 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is not set, a folder of this machine serves if all of Spark runs in
+    one process; on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found or '/tmp/pagelake-shared'}/pagelake"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/pagelake-shared"
-    return f"{base}/pagelake/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove all tables that operators wrote between steps, at the end of a job."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,18 +40,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
-    """Add ``out``, the place from 0 of each row in ``order`` among its ``by`` values.
+def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Rows in range partitions of ``by`` and ``order``: ``_part``, and ``_k``, the place in part and group.
 
-    No group is one task: rows are range-partitioned on ``by`` and ``order`` and
-    counted within a partition; one row per partition and group takes part in the
-    sum over partitions.
+    No group is one task, and parts follow the order.
     """
     parts = written(df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n")).select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_base"))
-    rows = parts.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
+    return parts.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
+
+
+def on_parts(rows: DataFrame, bases: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``ranged`` with what ``bases`` has for their group and part."""
+    bases = bases.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_part").alias("_p"), *[c for c in bases.columns if c not in (*by, "_part")])
     same = F.col("_part") == F.col("_p")
     for b in by:
         same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    return rows.join(bases, same).select(*df.columns, (F.col("_base") + F.col("_k")).alias(out))
+    return rows.join(bases, same).drop("_p", *[f"_by_{b}" for b in by])
+
+
+def earlier_parts(by: list[str]):
+    return Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def accumulated(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add, for each entry of ``sums``, the sum over this and the earlier rows of the group in ``order``.
+
+    Each part adds up its own rows; one row per part and group takes part in the
+    sum over parts.
+    """
+    rows = ranged(df, by, order)
+    here = Window.partitionBy(*by, "_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*by, "_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    bases = totals.select(*by, "_part", *[F.coalesce(F.sum(n).over(earlier_parts(by)), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    rows = rows.withColumns({n: F.sum(c).over(here) for n, c in sums.items()})
+    return on_parts(rows, bases, by).select(*df.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add ``out``, the place from 0 of each row in ``order`` among its ``by`` values."""
+    return accumulated(df, by, order, {out: F.lit(1)}).withColumn(out, F.col(out) - 1)

@@ -34,11 +34,13 @@ def output_redact(spark, d):
     return _secrets(spark, d).select("event_id", ledger.output_redact("payload", F.col("event_id") % 2 == 0).alias("payload"))
 
 
-@query("event_append", f"SELECT event_id, {_CLEAN} AS payload FROM events WHERE event_id % 3 <> 0")
+@query("event_append", f"SELECT event_id, {_CLEAN} AS payload, (SELECT count(*) FROM events WHERE event_id % 3 = 0) + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_id % 3 <> 0")
 def event_append(spark, d):
-    """Every tenth event comes twice; a third is in the ledger."""
-    rows = _secrets(spark, d)
-    return ledger.event_append(rows.where("event_id % 3 = 0"), rows.union(rows.where("event_id % 10 = 0")))
+    """Every tenth event comes twice; a third is in the ledger. The folder is read back."""
+    rows, path = _secrets(spark, d), shared_path(spark, "ledger")
+    ledger.append_events(path, rows.where("event_id % 3 = 0"))
+    ledger.append_events(path, rows.union(rows.where("event_id % 10 = 0")))
+    return spark.read.schema("event_id long, payload string, sequence long").parquet(path).where("event_id % 3 <> 0")
 
 
 @query("run_snapshot", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
@@ -79,9 +81,12 @@ def lineage_edges(spark, d):
     return ledger.lineage_edges(_log(spark, d).withColumnRenamed("event_id", "artifact_id"))
 
 
-@query("eligibility", "SELECT o_orderkey AS capability_id, o_orderstatus <> 'F' AND o_totalprice > 100000 AS eligible, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'denied by policy' END, CASE WHEN o_totalprice <= 100000 THEN 'implementation unavailable' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM orders")
+@query("eligibility", f"""SELECT o_orderkey AS capability_id, o_orderstatus <> 'F' AND o_totalprice > 100000 AS eligible,
+  concat_ws('; ', CASE WHEN o_orderstatus = 'F' THEN '{ledger.DENIED}' END, CASE WHEN o_totalprice <= 100000 THEN '{ledger.UNAVAILABLE}' END, CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 100000 THEN '{ledger.ELIGIBLE}' END,
+  CASE WHEN o_custkey % 2 = 0 THEN 'dependencies: ' || o_orderpriority || ', c' || o_custkey END) AS reasons FROM orders""")
 def eligibility(spark, d):
-    rules = table(spark, d, "orders").select(F.col("o_orderkey").alias("capability_id"), (F.col("o_orderstatus") != "F").alias("allowed"), (F.col("o_totalprice") > 100000).alias("available"))
+    needs = F.when(F.col("o_custkey") % 2 == 0, F.array("o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    rules = table(spark, d, "orders").select(F.col("o_orderkey").alias("capability_id"), (F.col("o_orderstatus") != "F").alias("allowed"), (F.col("o_totalprice") > 100000).alias("available"), needs.alias("dependencies"))
     return ledger.eligibility(rules).select("capability_id", "eligible", F.array_join("reasons", "; ").alias("reasons"))
 
 

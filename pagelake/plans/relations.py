@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.operators import content, runs
+from pagelake.operators.shared import numbered
 from pagelake.plans.registry import query, table
 
 
@@ -28,9 +29,11 @@ def acquired_only(spark, d):
     return runs.acquired_only(arts, tries, ("A", "N"))
 
 
-@query("unseen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("unseen", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)")
 def unseen(spark, d):
-    return runs.unseen(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without a large finished order."""
+    seen = t(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey"))
+    return runs.unseen(t(spark, d, "customer").select("c_custkey"), seen, "c_custkey")
 
 
 @query("run_trace", "SELECT c_custkey AS run_id, event_id AS sequence, event_type FROM customer LEFT JOIN events ON user_id = c_custkey")
@@ -39,12 +42,17 @@ def run_trace(spark, d):
     return runs.run_trace(rs, t(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence"), "event_type"))
 
 
-@query("coverage_report", """SELECT source, count(*) AS total, count_if(lang IN ('en', 'fr'))::BIGINT AS available, count_if(lang NOT IN ('en', 'fr')) = 0 AS closed,
-  string_agg(DISTINCT lang, ',' ORDER BY lang) AS statuses, coalesce(string_agg(CASE WHEN lang NOT IN ('en', 'fr') THEN doc_id::VARCHAR END, ',' ORDER BY doc_id), '') AS gaps FROM documents GROUP BY source""")
+@query("coverage_report", """SELECT source, count(*) AS total, count_if(lang IN ('en', 'fr'))::BIGINT AS available, count_if(lang NOT IN ('en', 'fr'))::BIGINT AS gaps, count_if(lang NOT IN ('en', 'fr')) = 0 AS closed,
+  string_agg(DISTINCT lang, ',' ORDER BY lang) AS statuses FROM documents GROUP BY source""")
 def coverage_report(spark, d):
     """Documents by source; English and French count as available."""
-    found = runs.coverage_report(t(spark, d, "documents"), "source", "doc_id", "lang", ("en", "fr"))
-    return found.select("source", "total", "available", "closed", F.array_join(F.map_keys("by_status"), ",").alias("statuses"), F.array_join("gaps", ",").alias("gaps"))
+    found = runs.coverage_report(t(spark, d, "documents"), "source", "lang", ("en", "fr"))
+    return found.select("source", "total", "available", "gaps", "closed", F.array_join(F.map_keys("by_status"), ",").alias("statuses"))
+
+
+@query("coverage_gaps", "SELECT source, doc_id, lang FROM documents WHERE lang NOT IN ('en', 'fr')")
+def coverage_gaps(spark, d):
+    return runs.coverage_gaps(t(spark, d, "documents"), "source", "doc_id", "lang", ("en", "fr"))
 
 
 @query("category_counts", "SELECT c_mktsegment AS category, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment)")
@@ -52,40 +60,63 @@ def category_counts(spark, d):
     return runs.category_counts(t(spark, d, "customer").withColumnRenamed("c_mktsegment", "category"), "category")
 
 
-@query("budget_remaining", "SELECT o_orderkey AS run_id, greatest(0.001::DOUBLE, 30.0::DOUBLE - coalesce(sum(l_linenumber), 0)) AS deadline, greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(l_quantity), 0)) AS bytes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("budget_remaining", """SELECT o_orderkey AS run_id, greatest(0.001::DOUBLE, 30.0::DOUBLE - coalesce(sum(l_linenumber), 0)) AS deadline, greatest(0.0::DOUBLE, 4.0::DOUBLE - count(l_orderkey)) AS attempts,
+  greatest(0.0::DOUBLE, 3.0::DOUBLE - coalesce(sum(l_linenumber % 2), 0)) AS redirects, greatest(0.0::DOUBLE, 100.0::DOUBLE - coalesce(sum(l_quantity), 0)) AS bytes, greatest(0.0::DOUBLE, 120.0::DOUBLE - coalesce(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 0)) AS decompressed_bytes
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def budget_remaining(spark, d):
-    tries = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.create_map(F.lit("deadline"), F.col("l_linenumber").cast("double"), F.lit("bytes"), F.col("l_quantity")).alias("consumed_budget"))
-    return runs.budget_remaining(t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), tries, {"deadline": 30.0, "bytes": 100.0})
+    """Orders as runs, their items as attempts; items that are not open have not been unpacked."""
+    number, quantity = F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("double")
+    spent = F.map_concat(F.create_map(F.lit("deadline"), number, F.lit("bytes"), quantity, F.lit("redirects"), number % 2), F.when(F.col("l_linestatus") == "O", F.create_map(F.lit("decompressed_bytes"), quantity)).otherwise(F.create_map().cast("map<string,double>")))
+    tries = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), spent.alias("consumed_budget"))
+    return runs.budget_remaining(t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")), tries, {"deadline": 30.0, "attempts": 4.0, "redirects": 3.0, "bytes": 100.0, "decompressed_bytes": 120.0})
+
+
+#: Flags of an item as an attempt; the same conditions in SQL and in Spark.
+_FLAGS = {
+    "accepted": "l_returnflag = 'A' AND l_quantity > 25", "failed": "l_linestatus = 'O' AND l_linenumber > 4", "policy": "l_quantity > 49", "auth": "l_discount > 0.09", "not_found": "l_tax > 0.07",
+    "budget": "l_linenumber = 6", "artifacts": "l_returnflag = 'N'", "dependency": "l_partkey % 7 = 0",
+}
+
+
+@query("run_status", f"""WITH f AS (SELECT l_orderkey AS run_id, {', '.join(f'bool_or({c}) AS {n}' for n, c in _FLAGS.items())} FROM lineitem GROUP BY 1)
+  SELECT run_id, 'SUCCEEDED' AS status FROM f WHERE accepted AND NOT (failed OR dependency OR budget OR auth)
+  UNION ALL SELECT run_id, 'PARTIAL' FROM f WHERE accepted AND (failed OR dependency OR budget OR auth)
+  UNION ALL SELECT run_id, 'BLOCKED_BY_POLICY' FROM f WHERE NOT accepted AND policy
+  UNION ALL SELECT run_id, 'AUTH_REQUIRED' FROM f WHERE NOT accepted AND NOT policy AND auth
+  UNION ALL SELECT run_id, 'NOT_FOUND' FROM f WHERE NOT (accepted OR policy OR auth) AND not_found
+  UNION ALL SELECT run_id, 'BUDGET_EXHAUSTED' FROM f WHERE NOT (accepted OR policy OR auth OR not_found) AND budget
+  UNION ALL SELECT run_id, CASE WHEN failed OR dependency THEN 'PARTIAL' ELSE 'LOW_QUALITY' END FROM f WHERE NOT (accepted OR policy OR auth OR not_found OR budget) AND artifacts
+  UNION ALL SELECT run_id, CASE WHEN dependency THEN 'DEPENDENCY_MISSING' ELSE 'FAILED' END FROM f WHERE NOT (accepted OR policy OR auth OR not_found OR budget OR artifacts)""")
+def run_status(spark, d):
+    return runs.run_status(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), *[F.expr(c).alias(n) for n, c in _FLAGS.items()]))
 
 
-@query("run_status", """SELECT run_id, CASE WHEN accepted AND failed THEN 'PARTIAL' WHEN accepted THEN 'SUCCEEDED' WHEN policy THEN 'BLOCKED_POLICY' WHEN auth THEN 'AUTH_REQUIRED' WHEN nf THEN 'NOT_FOUND' ELSE 'LOW_QUALITY' END AS status
-  FROM (SELECT l_orderkey AS run_id, bool_or(l_returnflag = 'A') AS accepted, bool_or(l_linestatus = 'O') AS failed, bool_or(l_quantity > 45) AS policy, bool_or(l_discount > 0.08) AS auth, bool_or(l_tax > 0.06) AS nf FROM lineitem GROUP BY 1)""")
-def run_status(spark, d):
-    c = F.col
-    rows = t(spark, d, "lineitem").select(
-        c("l_orderkey").alias("run_id"), (c("l_returnflag") == "A").alias("accepted"), (c("l_linestatus") == "O").alias("failed"), (c("l_quantity") > 45).alias("policy"), (c("l_discount") > 0.08).alias("auth"),
-        (c("l_tax") > 0.06).alias("not_found"), F.lit(False).alias("budget"), F.lit(True).alias("artifacts"), F.lit(False).alias("dependency"),
-    )
-    return runs.run_status(rows)
+@query("dependency_missing", "SELECT DISTINCT event_type AS capability_id, 'FAILED' AS status, 'dependency_missing' AS failure_code, 'install the extra ' || left(event_type, 1) || ' to enable ' || event_type AS warning FROM events WHERE event_type NOT IN ('click', 'view')")
+def dependency_missing(spark, d):
+    """Event types as capabilities; the extras of two of them are installed."""
+    needed = t(spark, d, "events").select(F.col("event_type").alias("capability_id"), F.col("event_type").alias("feature"), F.left("event_type", F.lit(1)).alias("extra")).distinct()
+    return runs.dependency_rows(needed, needed.where("capability_id IN ('click', 'view')").select("extra"))
 
 
-@query("crawl_counters", "SELECT count_if(k = 0)::BIGINT AS next, count_if(k = 1)::BIGINT AS pagination, count_if(k = 2)::BIGINT AS related, count_if(k = 3)::BIGINT AS category, count_if(k = 4)::BIGINT AS internal, count_if(page_id % 2 = 0)::BIGINT AS domain_blocked, count_if(page_id % 3 = 0)::BIGINT AS depth_blocked FROM (SELECT page_id, page_id % 5 AS k FROM pages)")
+@query("crawl_counters", "SELECT count_if(k = 0)::BIGINT AS next, count_if(k = 1)::BIGINT AS pagination, count_if(k = 2)::BIGINT AS related, count_if(k = 3)::BIGINT AS category, count_if(k = 4)::BIGINT AS internal, count_if(k = 5)::BIGINT AS sitemap, count_if(k = 6)::BIGINT AS search, count_if(k = 7)::BIGINT AS variants, count_if(page_id % 2 = 0)::BIGINT AS domain_blocked, count_if(page_id % 3 = 0)::BIGINT AS depth_blocked FROM (SELECT page_id, page_id % 8 AS k FROM pages)")
 def crawl_counters(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ["next", "pagination", "related", "category", "internal"])), (F.col("page_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ["next", "pagination", "related", "category", "internal", "sitemap", "search", "variants"])), (F.col("page_id") % 8 + 1).cast("int"))
     return runs.crawl_counters(t(spark, d, "pages").select(kind.alias("relation"), (F.col("page_id") % 2 == 0).alias("domain_blocked"), (F.col("page_id") % 3 == 0).alias("depth_blocked")))
 
 
 @query("text_budget_use", "SELECT source, sum(greatest(1, (length(text) + 3) // 4))::BIGINT AS tokens FROM documents GROUP BY source")
 def text_budget_use(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.sum(runs.token_estimate(F.col("text"))).alias("tokens"))
+    return runs.text_budget_use(t(spark, d, "documents"), ["source"], "text")
 
 
-@query("alias_uniqueness", "SELECT doc_id AS value, 'duplicate id' AS problem FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'alias is an id' FROM documents WHERE doc_id >= 5 UNION ALL SELECT (SELECT max(doc_id) FROM documents) + 5 - i, 'duplicate alias' FROM range(0) r(i)")
+@query("alias_uniqueness", "SELECT doc_id AS value, 'duplicate id' AS problem FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'alias is an id' FROM documents WHERE doc_id >= 5 UNION ALL SELECT doc_id + 5, 'duplicate alias' FROM documents WHERE doc_id % 4 = 0")
 def alias_uniqueness(spark, d):
-    """Ids, every tenth twice; the id plus 5 as an alias."""
+    """Ids, every tenth twice; the id plus 5 as an alias, of every fourth in two rows."""
     ids = t(spark, d, "documents").select("doc_id")
-    rows = ids.withColumn("aliases", F.array(F.col("doc_id") + 5)).unionByName(ids.where("doc_id % 10 = 0").withColumn("aliases", F.array().cast("array<bigint>")))
-    return runs.key_conflicts(rows, "doc_id", "aliases")
+    none, names = F.array().cast("array<bigint>"), F.array(F.col("doc_id") + 5)
+    rows = ids.withColumn("aliases", names).unionByName(ids.where("doc_id % 10 = 0").withColumn("aliases", none))
+    more = ids.where("doc_id % 4 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), names.alias("aliases"))
+    return runs.key_conflicts(rows.unionByName(more), "doc_id", "aliases")
 
 
 @query("latest_artifact", "SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
@@ -102,7 +133,7 @@ def latest_outcome(spark, d):
 
 @query("first_seen", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def first_seen(spark, d):
-    return t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return runs.first_seen(t(spark, d, "documents"), "text", "doc_id")
 
 
 @query("budget_cutoff", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER w, 0)::DOUBLE AS used, coalesce(sum(l_quantity) OVER w, 0) < 60 AS runs FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -124,16 +155,17 @@ def locator_numbering(spark, d):
     return rows.select("doc_id", F.concat(F.lit("line:"), (F.col("i") + 1).cast("string")).alias("locator"), "line")
 
 
-@query("event_order", "SELECT event_id, event_type FROM events WHERE user_id = 7")
+@query("event_order", "SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS place FROM events")
 def event_order(spark, d):
-    return t(spark, d, "events").where("user_id = 7").orderBy("event_id").select("event_id", "event_type")
+    """All events by run and sequence, with their place in the run."""
+    rows = t(spark, d, "events").select("user_id", "event_id", "event_type")
+    return numbered(rows, ["user_id"], [F.col("event_id")], "place").withColumn("place", F.col("place").cast("int")).orderBy("user_id", "event_id")
 
 
 @query("score_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS place FROM documents")
 def score_order(spark, d):
-    from pyspark.sql import Window
-
-    return t(spark, d, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("place"))
+    rows = t(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return runs.score_order(rows, ["source"], "n_chars", "doc_id").select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("first_n", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS head FROM documents")
@@ -147,20 +179,23 @@ def record_cap(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), omitted.alias("omitted"))
 
 
-@query("seed_union", "SELECT url, min(ord) AS ord FROM (SELECT 'https://e.org/' || page_id % 50 AS url, 0 AS ord FROM pages UNION ALL SELECT 'https://e.org/' || page_id % 70, 1 FROM pages) GROUP BY url")
+@query("seed_union", "SELECT url, min(ord) AS ord FROM (SELECT 'https://e.org/' || page_id % 50 AS url, 0 AS ord FROM pages UNION ALL SELECT 'https://' || CASE WHEN page_id % 3 = 0 THEN 'f.org' ELSE 'www.e.org' END || '/' || page_id % 70, 1 FROM pages) WHERE url NOT LIKE '%f.org%' GROUP BY url")
 def seed_union(spark, d):
-    """Two seed lists; the first list that names an URL wins."""
-    p = t(spark, d, "pages")
-    seed = lambda n, o: p.select(F.concat(F.lit("https://e.org/"), (F.col("page_id") % n).cast("string")).alias("url"), F.lit(o).alias("ord"))
-    return seed(50, 0).unionByName(seed(70, 1)).groupBy("url").agg(F.min("ord").alias("ord"))
+    """Two seed lists of one site; the first list that names an URL wins, other sites go."""
+    p, n = t(spark, d, "pages"), lambda k: (F.col("page_id") % k).cast("string")
+    first = p.select(F.concat(F.lit("https://e.org/"), n(50)).alias("url"))
+    second = p.select(F.concat(F.lit("https://"), F.when(F.col("page_id") % 3 == 0, "f.org").otherwise("www.e.org"), F.lit("/"), n(70)).alias("url"))
+    return runs.seed_union(first, second, host="e.org")
 
 
 @query("source_union", "SELECT text AS excerpt, max(score) AS score FROM (SELECT text, 0.5::DOUBLE AS score FROM documents UNION ALL SELECT text, 0.7::DOUBLE FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
 def source_union(spark, d):
-    docs = t(spark, d, "documents")
-    a = docs.select(F.col("text").alias("excerpt"), F.lit(0.5).alias("score"), "doc_id")
-    b = docs.where("doc_id % 2 = 0").select(F.col("text").alias("excerpt"), F.lit(0.7).alias("score"), "doc_id")
-    return runs.merge_sources(a, b, keys=["excerpt"], score="score", order="doc_id").select("excerpt", "score")
+    """Two scored lists of texts; digests of the texts are compared and shuffled."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    keyed = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    a, b = keyed.withColumn("score", F.lit(0.5)), keyed.where("doc_id % 2 = 0").withColumn("score", F.lit(0.7))
+    best = runs.merge_sources(a, b, keys=["digest"], score="score", order="doc_id")
+    return docs.join(best, "doc_id").select(F.col("text").alias("excerpt"), "score")
 
 
 @query("merge_sources", "SELECT DISTINCT source || ':' || lang AS locator, max(n_chars) OVER (PARTITION BY source, lang) AS score FROM documents")
@@ -171,14 +206,16 @@ def merge_sources(spark, d):
 
 @query("requested_intersection", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'O' ELSE '' END AS known FROM orders")
 def requested_intersection(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_intersect(F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit("O"), F.lit("X")))), ",").alias("known"))
+    known = runs.requested_intersection(F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit("O"), F.lit("X")))
+    return t(spark, d, "orders").select("o_orderkey", F.array_join(known, ",").alias("known"))
 
 
-@query("two_way_difference", "SELECT c_custkey AS k, 'only_left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'only_right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("two_way_difference", "SELECT c_custkey AS k, 'only_left' AS side FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000) UNION ALL SELECT DISTINCT o_custkey, 'only_right' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000 AND o_custkey % 3 = 0")
 def two_way_difference(spark, d):
-    left = t(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    right = t(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return left.exceptAll(right).withColumn("side", F.lit("only_left")).union(right.exceptAll(left).withColumn("side", F.lit("only_right")))
+    """Two thirds of the customers against those with a large finished order."""
+    left = t(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    right = t(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 150000").select(F.col("o_custkey").alias("k"))
+    return runs.two_way_difference(left, right, "k")
 
 
 @query("run_upsert", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
@@ -202,7 +239,7 @@ _LINES = "SELECT doc_id, i, line FROM (SELECT doc_id, unnest(x) AS line, generat
 
 @query("exact_search", f"SELECT doc_id || ':' || i AS locator, line AS excerpt, 0.7::DOUBLE AS score FROM ({_LINES})")
 def exact_search(spark, d):
-    return runs.exact_search(t(spark, d, "documents"), ["license", "version"])
+    return runs.exact_search(t(spark, d, "documents"), ["license", "version"]).select("locator", "excerpt", "score")
 
 
 @query("budget_split", "SELECT o_orderkey, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000)::INTEGER AS total, greatest(0, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000) - 2400)::INTEGER AS rest FROM (SELECT o_orderkey, (o_orderkey % 10) * 1000 AS k FROM orders)")
@@ -211,7 +248,11 @@ def budget_split(spark, d):
     return rows.select("o_orderkey", "b.total", "b.rest")
 
 
-@query("context_bundle", f"""WITH f AS (SELECT doc_id || ':' || i AS locator, line AS excerpt, greatest(1, (length(line) + 3) // 4)::BIGINT AS cost FROM ({_LINES})),
-  p AS (SELECT *, sum(cost) OVER (ORDER BY locator ROWS UNBOUNDED PRECEDING) AS total FROM f) SELECT locator, excerpt, cost, least(1.0::DOUBLE, count(*) OVER () * 0.35::DOUBLE) AS confidence FROM p WHERE total <= 150""")
+@query("context_bundle", f"""WITH s AS (SELECT 'source:' || source AS locator, any_value(source) || ' license version' AS excerpt, max(n_chars) AS score FROM documents GROUP BY source),
+  f AS (SELECT locator, excerpt, 0 AS kind, -score::DOUBLE AS low, 0 AS doc_id, 0 AS i FROM s UNION ALL SELECT doc_id || ':' || i, line, 1, -0.7, doc_id, i FROM ({_LINES})),
+  p AS (SELECT *, greatest(1, (length(excerpt) + 3) // 4)::BIGINT AS cost, sum(greatest(1, (length(excerpt) + 3) // 4)) OVER (ORDER BY kind, low, doc_id, i, locator ROWS UNBOUNDED PRECEDING) AS total FROM f)
+  SELECT locator, excerpt, cost, least(1.0::DOUBLE, count(*) OVER () * 0.35::DOUBLE) AS confidence, 'simplified query after retrieval miss' AS fallback_reason FROM p WHERE total <= 250""")
 def context_bundle(spark, d):
-    return runs.context_bundle(t(spark, d, "documents"), ["license", "version"], 150)
+    """Scored notes of the sources, found only when the question is cut to its terms, then lines of the documents."""
+    notes = t(spark, d, "documents").groupBy("source").agg(F.max("n_chars").cast("double").alias("score")).select(F.concat(F.lit("source:"), "source").alias("locator"), F.concat("source", F.lit(" license version")).alias("excerpt"), "score")
+    return runs.context_bundle(t(spark, d, "documents"), "what is the license version?", 250, sources=notes)
