@@ -25,7 +25,11 @@ MARKERS = {
     "it": ("che", "con", "di", "e", "il", "la", "per", "un"),
     "pt": ("a", "com", "de", "e", "o", "os", "para", "que"),
 }
-WORD = r"[\p{L}\p{Nl}\p{No}]+"
+LETTER = r"\p{L}\p{Nl}\p{No}"
+WORD = rf"[{LETTER}]+"
+_ALL_MARKERS = "|".join(sorted({w for m in MARKERS.values() for w in m}, key=lambda w: (-len(w), w)))
+#: Arabic, Hangul, Cyrillic, kana and Han.
+SCRIPTS = r"؀-ۿ가-힯Ѐ-ӿ぀-ヿ一-鿿"
 
 
 def squeeze(text: Column) -> Column:
@@ -71,11 +75,14 @@ def _in(values: tuple[str, ...]):
 
 def language(text: Column) -> Column:
     """Language by script, else by marker words (two at least); null if unclear."""
-    count = lambda chars: F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
+    # letters of the five scripts alone: most texts have none, and what is counted further is short
+    letters = F.when(text.rlike(f"[{SCRIPTS}]"), F.regexp_replace(text, f"[^{SCRIPTS}]+", "")).otherwise("")
+    count = lambda chars: F.length(letters) - F.length(F.regexp_replace(letters, f"[{chars}]+", ""))
     ar, ko, ru = (count(x) for x in (r"؀-ۿ", r"가-힯", r"Ѐ-ӿ"))
-    words = F.transform(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lower)
+    # one pass finds the marker words of all languages; each is then told by a lookup
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![{LETTER}])({_ALL_MARKERS})(?![{LETTER}])"), F.lit(1))
     # an array of one value binds it: words and counts are made once per row
-    counts = F.transform(F.array(words), lambda ws: F.struct(*[F.size(F.filter(ws, _in(m))).alias(k) for k, m in MARKERS.items()]))
+    counts = F.transform(F.array(found), lambda ws: F.struct(*[F.size(F.filter(ws, _in(m))).alias(k) for k, m in MARKERS.items()]))
     marked = F.transform(counts, _best)[0]
     script = F.greatest(ar, ko, ru)
     return (
@@ -136,5 +143,20 @@ def binary_state(size: Column) -> Column:
     return F.when(size > 0, "OK").otherwise("EMPTY")
 
 
+#: Media whose markup is judged as text.
+TEXT_MEDIA = ("text/html", "application/xhtml+xml", "application/json", "application/xml", "text/xml")
+
+
+def raw_state(body: Column, media_type: Column) -> Column:
+    """State of a body as it came: markup is judged as it stands, other media by their size."""
+    return F.when(media_type.isin(*TEXT_MEDIA), page_state(squeeze(body))).otherwise(binary_state(F.octet_length(body)))
+
+
+def ocr_state(text: Column, form: Column) -> Column:
+    """State of a document's text; a PDF without text needs OCR."""
+    plain = squeeze(text)
+    return F.when((form == "pdf") & (plain == ""), "NEEDS_OCR").otherwise(page_state(plain))
+
+
 def role(ok: Column) -> Column:
     return F.when(ok, "primary").otherwise("checked-only")

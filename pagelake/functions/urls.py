@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: scheme, authority, path, query, fragment
 SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -52,16 +54,42 @@ def host_port(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_replace(host_port(url), r":\d*$", ""))
+    return F.lower(F.regexp_extract(host_port(url), r"^(\[[^\]]*\]|[^:]*)", 1))
+
+
+def _port_text(url: Column) -> Column:
+    """What follows the host's colon, or empty."""
+    return F.regexp_extract(host_port(url), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
 
 
 def port(url: Column) -> Column:
-    """Explicit port as a string, or empty."""
-    return F.regexp_extract(host_port(url), r":(\d+)$", 1)
+    """Explicit port as a string without leading zeros, or empty."""
+    return F.regexp_extract(_port_text(url), r"^0*(\d+)$", 1)
 
 
 def has_user(url: Column) -> Column:
-    return F.contains(part(url, 2), F.lit("@"))
+    """True if a user or a password is given; both may be empty."""
+    return part(url, 2).rlike("@") & ~part(url, 2).rlike("^:?@[^@]*$")
+
+
+@F.pandas_udf(T.StringType())
+def idna_host(host: pd.Series) -> pd.Series:
+    """ASCII form of a host with other letters; null where there is none."""
+
+    def one(x: str) -> str | None:
+        try:
+            return x.encode("idna").decode("ascii").lower()
+        except UnicodeError:
+            return None
+
+    return host.map(one, na_action="ignore")
+
+
+def ascii_host(url: Column) -> Column:
+    """The host in ASCII; only hosts with other letters go through Python. Null where there is no such form."""
+    name = host(url)
+    foreign = name.rlike(r"[^\x00-\x7F]")
+    return F.when(foreign, idna_host(F.when(foreign, name))).otherwise(name)
 
 
 def path(url: Column) -> Column:
@@ -83,6 +111,9 @@ def problem(url: Column) -> Column:
         .when(~scheme(url).isin("http", "https"), "only http and https URL targets are accepted")
         .when(has_user(url), "credentials in URLs are forbidden; use authentication_ref")
         .when(host(url) == "", "target must include a hostname")
+        .when(host(url).rlike(r"^\.|\.\.|[^.]{64}"), "label empty or too long")
+        .when((_port_text(url) != "") & (port(url) == ""), F.concat(F.lit("Port could not be cast to integer value as '"), _port_text(url), F.lit("'")))
+        .when((F.length(port(url)) > 5) | (port(url).try_cast("int") > 65535), "Port out of range 0-65535")
     )
 
 
@@ -91,13 +122,9 @@ def _shown_port(url: Column) -> Column:
     return F.when((port(url) == "") | default, "").otherwise(F.concat(F.lit(":"), port(url)))
 
 
-def normalize(url: Column, ascii_host: Column | None = None) -> Column:
-    """Canonical form of an accepted URL, else null.
-
-    ``ascii_host`` replaces hosts with other letters by their ASCII form; see
-    ``operators.policy.idna_host``.
-    """
-    name = F.regexp_replace(host(url) if ascii_host is None else F.coalesce(ascii_host, host(url)), r"\.+$", "")
+def normalize(url: Column) -> Column:
+    """Canonical form of an accepted URL, else null; the host is in ASCII."""
+    name = F.regexp_replace(ascii_host(url), r"\.+$", "")
     whole = F.when(path(url) == "", "/").otherwise(path(url))
     return F.when(problem(url).isNull(), build(scheme(url), F.concat(name, _shown_port(url)), whole, query(url)))
 

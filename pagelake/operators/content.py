@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import html, quality, urls
+from pagelake.operators.shared import join_counted, written
+
+
+#: Fixed values.
+HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 
 def sha256(content: Column) -> Column:
@@ -24,10 +29,15 @@ def cas_uri(digest: Column) -> Column:
 
 
 def page_scan(pages: DataFrame) -> DataFrame:
-    """Snapshot rows: media type, digest, size and the quality of the markup itself."""
+    """Snapshot rows: media type, digest, size and the quality of the markup itself.
+
+    ``media_type`` and ``status`` are the snapshot's, where it has them.
+    """
+    kind = F.coalesce(F.col("media_type"), F.lit("text/html")) if "media_type" in pages.columns else F.lit("text/html")
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
     raw = quality.with_quality(pages, F.col("html"))
     return raw.select(
-        "page_id", "url", F.lit("text/html").alias("media_type"), sha256(F.encode("html", "UTF-8")).alias("sha256"), F.octet_length("html").cast("long").alias("size"),
+        "page_id", "url", status.cast("int").alias("status"), kind.alias("media_type"), sha256(F.encode("html", "UTF-8")).alias("sha256"), F.octet_length("html").cast("long").alias("size"),
         F.col("page_state").alias("raw_state"), F.col("score").alias("raw_score"),
     )
 
@@ -70,10 +80,12 @@ def cas_get(store: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
 def first_with_digest(df: DataFrame, digest: str, order: str, key: str) -> DataFrame:
     """Add ``duplicate_of``: the first row of the same digest, null for that row.
 
-    The first key per digest is a partial aggregate; no group is gathered.
+    The first key per digest is a partial aggregate; no group is gathered, and a
+    digest that many rows share is broadcast. Rows without a digest are no duplicates.
     """
-    lead = df.groupBy(digest).agg(F.min_by(key, order).alias("_lead"))
-    return df.join(lead, digest).withColumn("duplicate_of", F.when(F.col("_lead") != F.col(key), F.col("_lead"))).drop("_lead")
+    lead = df.groupBy(digest).agg(F.min_by(key, order).alias("_lead"), F.count("*").alias("_n"))
+    copy = F.when((F.col("_lead") != F.col(key)) & F.col(digest).isNotNull(), F.col("_lead"))
+    return join_counted(df, lead, digest, "_n", df.count()).withColumn("duplicate_of", copy).drop("_lead", "_n")
 
 
 #: Detector and the state it reports.
@@ -92,7 +104,13 @@ def detector_outcomes(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def response_outcomes(log: DataFrame, *keys: str) -> DataFrame:
-    """Outcome rows of a fetch log (``url, http_version, transfer_encoding, redirect_statuses``)."""
+    """Outcome rows of a fetch log: ``url, http_version, transfer_encoding, redirect_statuses, media_type`` and
+    ``navigation`` (see ``page_navigation``).
+
+    HTML gives five more: its raw form and where the page says that it leads.
+    """
+    navigation = (("meta_refresh_redirect", "refresh"), ("javascript_redirect", "script"), ("canonical_redirect", "canonical"), ("opengraph_url_redirect", "opengraph"))
+    is_html = F.col("media_type").isin(*HTML_TYPES)
     yes = lambda c, word="OBSERVED": F.when(c, word).otherwise("NOT_APPLICABLE")
     version = F.regexp_replace(F.upper("http_version"), "HTTP/", "")
     rows = [
@@ -103,7 +121,10 @@ def response_outcomes(log: DataFrame, *keys: str) -> DataFrame:
         *((f"redirect_{s}", yes(F.array_contains("redirect_statuses", s))) for s in (301, 302, 303, 307, 308)),
         ("redirect_chain", yes(F.size("redirect_statuses") > 0)), ("redirect_loop_detection", F.lit("APPLIED")), ("source_hash_comparison", F.lit("OBSERVED")),
     ]
-    return log.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("capability_id"), s.alias("status")) for n, s in rows])).alias("o")).select(*keys, "o.*")
+    pages = [("raw_html", F.lit("APPLIED")), *((n, yes(F.coalesce(F.col(f"navigation.{f}"), F.lit("")) != "")) for n, f in navigation)]
+    listed = [F.array(*[F.struct(F.lit(n).alias("capability_id"), s.alias("status")) for n, s in x]) for x in (rows, pages)]
+    all_ = F.when(is_html, F.concat(*listed)).otherwise(listed[0])
+    return log.select(*keys, F.explode(all_).alias("o")).select(*keys, "o.*")
 
 
 def failure_class(status: Column, challenge: Column) -> Column:
@@ -126,11 +147,40 @@ def snapshot_changes(before: DataFrame, after: DataFrame, url: str, digest: str)
     return a.join(b, "normalized", "full").select("normalized", kind.alias("change"))
 
 
-def cache_key(**parts: Column) -> Column:
-    """Digest of the parts as sorted compact JSON."""
+#: Keeps digests of references apart from all other digests.
+SCOPE_DOMAIN = "pagelake-authentication-scope-v1"
+
+
+def authentication_scope(reference: Column) -> Column:
+    """``public``, or a digest of the reference, so that caches are apart and the reference is not stored.
+
+    A blank reference is an input error.
+    """
+    digest = F.sha2(F.concat(F.lit(SCOPE_DOMAIN), F.chr(F.lit(0)), reference), 256)
+    blank = F.raise_error(F.lit("authentication reference cannot be blank"))
+    return F.when(reference.isNull(), "public").when(F.trim(reference) == "", blank.cast("string")).otherwise(F.concat(F.lit("auth:sha256:"), digest))
+
+
+def cache_key(*, url: Column, representation: Column, policy_profile: Column, parser_version: Column, authentication_ref: Column | None = None, language: Column | None = None, vary: Column | None = None) -> Column:
+    """Digest of the seven parts as sorted compact JSON; ``vary`` is an array of (name, value) arrays."""
+    scope = authentication_scope(F.lit(None).cast("string") if authentication_ref is None else authentication_ref)
+    parts = {
+        "url": url, "representation": representation, "authentication_scope": scope, "policy_profile": policy_profile, "parser_version": parser_version,
+        "language": F.lit("") if language is None else F.coalesce(language, F.lit("")), "vary": F.array().cast("array<array<string>>") if vary is None else vary,
+    }
     return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
+def fresh(df: DataFrame, expires: str, as_of: Column) -> DataFrame:
+    """Records that have not expired at a given time; those without an expiry stay fresh."""
+    return df.where(F.col(expires).isNull() | (F.col(expires) > as_of))
+
+
+def raw_html(df: DataFrame, body: str, media_type: str) -> DataFrame:
+    """Bodies as they are, other media too, with ``is_html``."""
+    return df.withColumn("is_html", F.coalesce(F.col(media_type).isin(*HTML_TYPES), F.lit(False)))
+
+
 class _Links(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
@@ -146,8 +196,8 @@ class _Links(HTMLParser):
         if tag in ("a", "link") and values.get("href"):
             kinds = (("next", "next" in rel), ("pagination", rel & {"prev", "previous"} or "pagination" in css), ("related", "related" in rel | css), ("category", (rel | css) & {"tag", "category"}))
             kind = next((k for k, hit in kinds if hit), "internal")
-            target = urljoin(self.base, values["href"].strip())
-            if urlsplit(target).scheme in ("http", "https"):
+            target = absolute(self.base, values["href"].strip())
+            if target and urlsplit(target).scheme in ("http", "https"):
                 self.links.append((target, kind))
         if tag == "link" and "canonical" in rel:
             self.note("canonical", values.get("href"))
@@ -166,19 +216,33 @@ class _Links(HTMLParser):
             self.note("script", found.group(1))
 
     def note(self, name, target):
-        if target:
-            self.seen.setdefault(name, urljoin(self.base, target.strip()))
+        joined = absolute(self.base, target.strip()) if target else None
+        if joined:
+            self.seen.setdefault(name, joined)
+
+
+def absolute(base: str, link: str) -> str | None:
+    """A link joined to its page; null if that is no URL."""
+    try:
+        joined = urljoin(base, link)
+        urlsplit(joined)
+        return joined
+    except ValueError:
+        return None
 
 
 def _parsed(base, markup) -> _Links:
     parser = _Links(base or "")
-    try:
-        parser.feed(markup or "")
-    except ValueError:  # a link that cannot be joined ends the page's list
-        pass
+    parser.feed(markup or "")
     return parser
 
 
+@F.pandas_udf(T.StringType())
+def join_link(base: pd.Series, link: pd.Series) -> pd.Series:
+    """``absolute`` as a column function."""
+    return pd.Series([None if x is None else absolute(b or "", x) for b, x in zip(base, link)], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType().add("url", "string").add("relation", "string")))
 def page_links(base: pd.Series, markup: pd.Series) -> pd.Series:
     """Links of a page in order, absolute, with their relation."""
@@ -192,28 +256,41 @@ def page_navigation(base: pd.Series, markup: pd.Series) -> pd.DataFrame:
 
 
 def sitemap_locs(df: DataFrame, url: str, body: str, *keys: str) -> DataFrame:
-    """Accepted locations of a sitemap text, normalised, in order."""
-    found = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(html.LOC), F.lit(1))).alias("pos", "_loc"))
-    return found.select(*keys, "pos", urls.normalize(F.trim("_loc")).alias("loc")).where("loc IS NOT NULL")
+    """Accepted locations of a sitemap text, joined to the URL of its page and normalised, in order."""
+    found = df.select(*keys, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(F.col(body), F.lit(html.LOC), F.lit(1))).alias("pos", "_loc"))
+    relative = ~F.lower(F.trim("_loc")).rlike("^https?://")
+    joined = F.when(relative, join_link(F.when(relative, F.col("_base")), F.when(relative, F.trim("_loc")))).otherwise(F.trim("_loc"))
+    return found.withColumn("_loc", joined).select(*keys, "pos", urls.normalize(F.col("_loc")).alias("loc")).where("loc IS NOT NULL")
 
 
 def first_accepted(df: DataFrame, readers: dict[str, Column], *keys: str) -> DataFrame:
-    """First reader whose text is accepted; later ones are not evaluated for the row."""
-    none = F.lit(None).cast("struct<reader:string,text:string>")
-    chosen = none
-    for name, text in reversed(readers.items()):
-        ok = quality.accepted(quality.page_state(text), quality.completeness(text))
-        chosen = F.when(ok, F.struct(F.lit(name).alias("reader"), text.alias("text"))).otherwise(chosen)
-    return df.select(*keys, chosen.alias("_c")).select(*keys, "_c.reader", "_c.text")
+    """First reader whose text is accepted, and the text; both null where none is.
+
+    A reader runs for the rows that no reader before it has settled. Its texts are
+    written, so neither it nor the ones before run again.
+    """
+    rest, settled = df, None
+    for i, (name, text) in enumerate(readers.items()):
+        made = rest.withColumn("_text", text).withColumn("_state", quality.page_state(F.col("_text")))
+        made = written(made.withColumn("_ok", quality.accepted(F.col("_state"), quality.completeness(F.col("_text")))), f"reader-{i}")
+        done = made.where("_ok").select(*keys, F.lit(name).alias("reader"), F.col("_text").alias("text"))
+        settled = done if settled is None else settled.unionByName(done)
+        rest = made.where("NOT _ok").drop("_text", "_state", "_ok")
+    none = F.lit(None).cast("string")
+    return settled.unionByName(rest.select(*keys, none.alias("reader"), none.alias("text")))
 
 
 def best_alternative(pages: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """For each page the first candidate (``page_id, ord, candidate``) whose stored markup is accepted.
+    """For each page in need of one the first candidate (``page_id, ord, candidate``) whose stored markup is accepted.
 
+    ``pages``: ``page_id, url, usable`` (its visible text is accepted), ``shareable``. Usable
+    pages and those that may not be sent elsewhere get none, and no page itself.
     ``known``: ``normalized, raw_ok``. A shuffle by URL joins them; the winner per
     page is an aggregate.
     """
-    hits = candidates.join(known.where("raw_ok"), F.col("candidate") == F.col("normalized")).groupBy("page_id").agg(F.min_by("candidate", "ord").alias("alternative"))
+    needy = pages.where("NOT usable AND shareable").select("page_id", F.col("url").alias("_own"))
+    asked = candidates.join(needy, "page_id").where("candidate <> _own")
+    hits = asked.join(known.where("raw_ok"), F.col("candidate") == F.col("normalized")).groupBy("page_id").agg(F.min_by("candidate", "ord").alias("alternative"))
     return pages.join(hits, "page_id", "left")
 
 

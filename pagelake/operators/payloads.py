@@ -10,6 +10,7 @@ import json
 import math
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,8 +108,7 @@ def parse_json(body: bytes):
     def constant(_):
         raise ValueError("non-finite JSON numbers are forbidden")
 
-    if len(body) > MAX_BYTES:
-        raise ValueError("payload exceeds the size limit")
+    _bounded(body)
     value = json.loads(body.decode("utf-8-sig"), object_pairs_hook=unique, parse_constant=constant)
     _measure(value)
     return value
@@ -129,7 +129,13 @@ def local(tag: str) -> str:
     return tag.rpartition("}")[2].rpartition(":")[2]
 
 
+def _bounded(body: bytes) -> None:
+    if len(body) > MAX_BYTES:
+        raise ValueError("payload exceeds the size limit")
+
+
 def parse_xml(body: bytes) -> ET.Element:
+    _bounded(body)
     upper = body.upper()
     if b"<!DOCTYPE" in upper or b"<!ENTITY" in upper:
         raise ValueError("DTD and entity declarations are forbidden in untrusted XML")
@@ -194,15 +200,20 @@ def records(kind: str, root: ET.Element) -> tuple[str, list[dict]]:
 
 
 def parse_openapi(body: bytes) -> dict:
+    _bounded(body)
     if body.lstrip()[:1] in (b"{", b"["):
         value = parse_json(body)
     else:
         import yaml
 
-        text = body.decode("utf-8-sig")
-        for token in yaml.scan(text):
-            if isinstance(token, (yaml.AliasToken, yaml.AnchorToken)):
+        text, nodes, depth = body.decode("utf-8-sig"), 0, 0
+        for event in yaml.parse(text):  # before anything is built
+            if isinstance(event, yaml.AliasEvent) or getattr(event, "anchor", None):
                 raise ValueError("YAML aliases and anchors are forbidden in untrusted OpenAPI input")
+            nodes += isinstance(event, yaml.NodeEvent)
+            depth += isinstance(event, yaml.CollectionStartEvent) - isinstance(event, yaml.CollectionEndEvent)
+            if nodes > 2 * MAX_NODES or depth > MAX_DEPTH:  # keys are nodes here
+                raise ValueError("structured payload exceeds the node or nesting limit")
 
         class Unique(yaml.SafeLoader):
             def construct_mapping(self, node, deep=False):
@@ -227,8 +238,15 @@ def _pointer(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
-def normalize(capability: str, body: bytes, media_type: str, n: int) -> dict:
-    """One payload by capability: representation, format, data, locators, omitted."""
+def normalize(capability: str, body: bytes, media_type: str, n: int, source: str = "") -> dict:
+    """One payload by capability: representation, format, data, locators, omitted.
+
+    ``source`` is the URL it came from: it decides whose answer of two it must be, and
+    whether an answer is arXiv's at all (not judged where it is empty).
+    """
+    host = (urlsplit(source).hostname or "").lower().rstrip(".")
+    if capability == "arxiv_api" and source and host != "export.arxiv.org":
+        raise ValueError("arxiv_api response does not come from the arXiv API")
     if capability == "openapi_discovery":
         value = parse_openapi(body)
         kept = dict(list(value["paths"].items())[:n])
@@ -236,9 +254,13 @@ def normalize(capability: str, body: bytes, media_type: str, n: int) -> dict:
     feeds = {"rss": ("rss", "feed"), "atom": ("atom", "feed"), "arxiv_api": ("atom", "api_response"), "sitemap_xml": ("sitemap", "sitemap")}
     if capability in feeds:
         kind, representation = feeds[capability]
-        item, found = records(kind, parse_xml(body))
-        form = "sitemap_xml" if kind == "sitemap" else kind
-        return {"representation": representation, "format": form, "data": {"type": kind, "records": found[:n]}, "locators": [f"{item}:{i + 1}" for i in range(min(n, len(found)))] or [kind], "omitted": max(0, len(found) - n)}
+        root = parse_xml(body)
+        item, found = records(kind, root)
+        form, data, none = "sitemap_xml" if kind == "sitemap" else kind, {"type": kind, "records": found[:n]}, kind
+        if kind == "rss":
+            channel = next((x for x in root.iter() if local(x.tag).lower() == "channel"), root)
+            data, none = data | {k: child(channel, k) for k in ("title", "link", "description")}, "channel"
+        return {"representation": representation, "format": form, "data": data, "locators": [f"{item}:{i + 1}" for i in range(min(n, len(found)))] or [none], "omitted": max(0, len(found) - n)}
     xml = media_type.lower().split(";")[0].strip() in ("application/xml", "text/xml") or media_type.lower().split(";")[0].strip().endswith("+xml") or body.lstrip()[:1] == b"<"
     if capability == "xml_endpoint" or (capability == "rest" and xml):
         root = parse_xml(body)
@@ -248,7 +270,7 @@ def normalize(capability: str, body: bytes, media_type: str, n: int) -> dict:
         raise ValueError("GraphQL response must contain data or errors")
     keys = set(ENVELOPES.get(capability, ()))
     if capability == "crossref_openalex_api":
-        keys = {*ENVELOPES["crossref"], *ENVELOPES["openalex"]}
+        keys = set(ENVELOPES["crossref" if host == "api.crossref.org" else "openalex"])
     if capability != "graphql" and keys and not (isinstance(value, dict) and keys & value.keys() or capability == "github_api" and isinstance(value, list)):
         raise ValueError(f"{capability} response does not match its public API schema")
     value, omitted = truncate(value, n)
@@ -260,20 +282,19 @@ def normalize(capability: str, body: bytes, media_type: str, n: int) -> dict:
 OUT = T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("representation", "string"), ("format", "string"), ("locators", {"type": "array", "elementType": "string", "containsNull": True}), ("omitted_records", "long"), ("data", "string"), ("error", "string"))]})
 
 
-def payload_normalize(df: DataFrame, *, capability: str = "capability", body: str = "body", media_type: str = "media_type", maximum_records: int = MAX_RECORDS) -> DataFrame:
-    """Add the normalised form of each row's ``body`` (binary or string)."""
+def payload_normalize(df: DataFrame, *, capability: str = "capability", body: str = "body", media_type: str = "media_type", source_url: str | None = None, maximum_records: int = MAX_RECORDS) -> DataFrame:
+    """Add the normalised form of each row's ``body`` (binary or string), which came from ``source_url``."""
     keys = [f for f in df.schema.fields if f.name not in {x.name for x in OUT.fields}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for cap, raw, kind in zip(pdf[capability], pdf[body], pdf[media_type]):
+            sources = pdf[source_url] if source_url else [""] * len(pdf)
+            for cap, raw, kind, source in zip(pdf[capability], pdf[body], pdf[media_type], sources):
                 try:
                     raw = raw.encode() if isinstance(raw, str) else bytes(raw if raw is not None else b"")
-                    x = normalize(cap, raw, kind or "", maximum_records)
+                    x = normalize(cap, raw, kind or "", maximum_records, source or "")
                     rows.append((x["representation"], x["format"], x["locators"], x["omitted"], json.dumps(x["data"], sort_keys=True, separators=(",", ":"), allow_nan=False), None))
-                except (ValueError, RecursionError, ET.ParseError, UnicodeError) as error:
-                    rows.append((None, None, None, None, None, f"malformed_api_payload: {type(error).__name__}"))
                 except Exception as error:  # a parser's own error classes
                     rows.append((None, None, None, None, None, f"malformed_api_payload: {type(error).__name__}"))
             made = pd.DataFrame(rows, columns=[f.name for f in OUT.fields], index=pdf.index)

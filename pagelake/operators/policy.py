@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-import urllib.robotparser
+from urllib import parse, robotparser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import urls
-from pagelake.operators.shared import earlier_parts, on_parts, ranged
+from pagelake.operators.shared import earlier_parts, join_counted, on_parts, ranged
 
 #: Fixed values.
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
@@ -21,26 +21,12 @@ SAFE_METHODS = ("GET", "HEAD", "OPTIONS")
 METHODS = ("GET", "HEAD", "OPTIONS", "POST", "PUT", "PATCH", "DELETE")
 
 
-@F.pandas_udf(T.StringType())
-def idna_host(host: pd.Series) -> pd.Series:
-    """ASCII form of a host with other letters; null where there is none."""
-
-    def one(x: str) -> str | None:
-        try:
-            return x.encode("idna").decode("ascii").lower()
-        except UnicodeError:
-            return None
-
-    return host.map(one, na_action="ignore")
-
-
 def destination_policy(df: DataFrame, url: str, *, previous: str | None = None, allow_http: bool = True, denied: DataFrame | None = None) -> DataFrame:
     """Add ``normalized, policy_id, allowed, reason``; the first failing rule counts.
 
     ``denied`` has a column ``host``; it is joined, not collected.
     """
-    foreign = F.when(urls.host(F.col(url)).rlike(r"[^\x00-\x7F]"), urls.host(F.col(url)))
-    df = df.withColumn("normalized", urls.normalize(F.col(url), idna_host(foreign)))
+    df = df.withColumn("normalized", urls.normalize(F.col(url)))
     listed = F.lit(False)
     if denied is not None:
         df = df.join(denied.select(F.col("host").alias("_denied")).distinct(), urls.host(F.col("normalized")) == F.col("_denied"), "left")
@@ -93,32 +79,48 @@ def decision_rows(df: DataFrame, url: str, *keys: str) -> DataFrame:
     return df.select(*keys, urls.sanitize(F.col(url)).alias("destination"), rows.alias("d")).select(*keys, "d.*", "destination")
 
 
+_RULES = T.ArrayType(T.StructType().add("path", "string").add("allowed", "boolean"))
+
+
+def _robots_rules(agent: str):
+    @F.pandas_udf(_RULES)
+    def rules(body: pd.Series) -> pd.Series:
+        """The rules of a robots text that hold for the agent, in order; null if all is disallowed."""
+
+        def one(text: str) -> list[dict] | None:
+            parser = robotparser.RobotFileParser()
+            parser.parse(text.splitlines())
+            entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+            return [{"path": line.path, "allowed": line.allowance} for line in entry.rulelines] if entry else []
+
+        return body.map(one, na_action="ignore")
+
+    return rules
+
+
+@F.pandas_udf(T.StringType())
+def _robots_path(url: pd.Series) -> pd.Series:
+    """What robots rules are compared with: path, parameters and query, quoted alike."""
+
+    def one(x: str) -> str:
+        parts = parse.urlparse(parse.unquote(x))
+        return parse.quote(parse.urlunparse(("", "", parts.path, parts.params, parts.query, parts.fragment))) or "/"
+
+    return url.map(one, na_action="ignore")
+
+
 def robots_filter(targets: DataFrame, robots: DataFrame, *, url: str = "url", agent: str = "*") -> DataFrame:
-    """Add ``robots_allowed``: the verdict of the origin's rules; other statuses allow.
+    """Add ``robots_allowed``: the first rule of the origin that fits decides; no rule or another status allows.
 
-    The rules of an origin are joined to its URLs, so a large site is not one task;
-    a worker parses each text once and keeps the last parser.
+    Each robots text is parsed once to a table of rules by origin. The rules reach
+    the URLs by a join that broadcasts the rules of large sites, so none is one task.
     """
-
-    def verdicts(batches):
-        kept: dict = {}
-        for pdf in batches:
-            out = []
-            for body, target in zip(pdf["_body"], pdf["_target"]):
-                if body is None:
-                    out.append(True)
-                    continue
-                if body not in kept:
-                    kept.clear()
-                    kept[body] = urllib.robotparser.RobotFileParser()
-                    kept[body].parse(body.splitlines())
-                out.append(kept[body].can_fetch(agent, target))
-            yield pdf.drop(columns=["_body", "_target"]).assign(robots_allowed=out)
-
-    rules = robots.where("status = 200").select(F.col("origin").alias("_origin"), F.col("body").alias("_body")).dropDuplicates(["_origin"])
-    joined = targets.withColumn("_target", F.col(url)).join(rules, urls.origin(F.col(url)) == F.col("_origin"), "left").drop("_origin")
-    schema = targets.schema.add("robots_allowed", "boolean")
-    return joined.mapInPandas(verdicts, schema)
+    rules = robots.where("status = 200").groupBy("origin").agg(F.min("body").alias("body")).select(F.col("origin").alias("_origin"), _robots_rules(agent)("body").alias("_rules"))
+    rows = targets.withColumns({"_origin": F.coalesce(urls.origin(F.col(url)), F.lit("")), "_path": _robots_path(F.col(url))})
+    sizes = rows.groupBy("_origin").agg(F.count("*").alias("_n"))
+    joined = join_counted(rows, sizes.join(rules, "_origin", "left"), "_origin", "_n", targets.count())
+    fits = F.filter("_rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_path"), r["path"]))
+    return joined.withColumn("robots_allowed", F.coalesce(F.get(fits, 0)["allowed"], F.lit(True))).drop("_origin", "_path", "_rules", "_n")
 
 
 def shareable(url: Column, authenticated: Column, public: Column) -> Column:

@@ -40,6 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, *, few: int = 10_000, hot: int = 20_000) -> DataFrame:
+    """Null-safe inner join on ``key``, unique in ``right``, whose column ``n`` counts the key's rows in ``left``.
+
+    Keys with more than a ``hot``-th of the ``total`` rows, ``hot`` of them at most, are
+    broadcast, so no task gets all rows of one key; the others are shuffled.
+    """
+    bound, other = max(few, total // hot), right.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    often = F.broadcast(other.where(F.col(n) > bound))
+    if total <= bound:
+        return left.join(other, same).drop("_key")
+    rest = left.join(often.select("_key"), same, "left_anti").join(other.where(F.col(n) <= bound), same)
+    return rest.unionByName(left.join(often, same)).drop("_key")
+
+
 def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Rows in range partitions of ``by`` and ``order``: ``_part``, and ``_k``, the place in part and group.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.functions import html, quality as q, urls as u
-from pagelake.operators import content
+from pagelake.operators import content, policy
+from pagelake.operators.shared import numbered
 from pagelake.plans.registry import query, table
 from pagelake.plans.urls import PARTS
 
@@ -61,14 +62,23 @@ def page_quality(spark, d):
 
 
 @query("page_scan", f"""WITH t AS (SELECT *, {sql_squeeze('html')} AS t FROM pages), s AS (SELECT *, {sql_state('t')} AS raw_state, least(1.0::DOUBLE, length(t) / 1000.0::DOUBLE) AS share FROM t)
-  SELECT page_id, url, 'text/html' AS media_type, sha256(html) AS sha256, octet_length(encode(html)) AS size, raw_state, round(CASE WHEN raw_state = 'OK' THEN share ELSE least(0.2::DOUBLE, share) END, 4) AS raw_score FROM s""")
+  SELECT page_id, url, 200 AS status, 'text/html' AS media_type, sha256(html) AS sha256, octet_length(encode(html)) AS size, raw_state, round(CASE WHEN raw_state = 'OK' THEN share ELSE least(0.2::DOUBLE, share) END, 4) AS raw_score FROM s""")
 def page_scan(spark, d):
     return content.page_scan(pages(spark, d))
 
 
-@query("raw_html", "SELECT page_id, html FROM pages")
+#: Media types by page, the same in SQL.
+MEDIA = ("text/html", "application/xhtml+xml", "image/png", "application/json")
+_MEDIA = "[" + ", ".join(f"'{m}'" for m in MEDIA) + "][page_id % 4 + 1]"
+
+
+def with_media(spark, d):
+    return pages(spark, d).withColumn("media_type", F.element_at(F.array(*map(F.lit, MEDIA)), (F.col("page_id") % 4 + 1).cast("int")))
+
+
+@query("raw_html", f"SELECT page_id, html, {_MEDIA} IN ('text/html', 'application/xhtml+xml') AS is_html FROM pages")
 def raw_html(spark, d):
-    return pages(spark, d).select("page_id", "html")
+    return content.raw_html(with_media(spark, d), "html", "media_type").select("page_id", "html", "is_html")
 
 
 def _reader(name: str, text, sql: str) -> None:
@@ -93,18 +103,28 @@ def page_navigation(spark, d):
     return pages(spark, d).select("page_id", found.alias("n")).select("page_id", "n.*")
 
 
-@query("page_links")
+@query("page_links", f"""WITH {PARTS}, l AS (SELECT page_id, unnest(x) AS href, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages))
+  SELECT page_id, (i - 1)::INTEGER AS pos, s || '://' || n || href AS url, 'internal' AS relation FROM l JOIN u USING (page_id)""")
 def page_links(spark, d):
     rows = pages(spark, d).select("page_id", F.posexplode(content.page_links("url", "html")).alias("pos", "l"))
     return rows.select("page_id", "pos", "l.url", "l.relation")
 
 
-@query("sitemap_locs", f"WITH {PARTS} SELECT regexp_replace(host, '^www\\.', '') AS site_host, (row_number() OVER (PARTITION BY regexp_replace(host, '^www\\.', '') ORDER BY page_id) - 1)::INTEGER AS pos, norm AS loc FROM u")
+#: Pages in one sitemap.
+SITEMAP = 1000
+
+
+@query("sitemap_locs", f"""WITH {PARTS} SELECT site_host, map, (row_number() OVER (PARTITION BY site_host, map ORDER BY page_id) - 1)::INTEGER AS pos,
+  CASE WHEN page_id % 3 = 0 THEN 'https://' || site_host || '/p/' || page_id ELSE norm END AS loc
+  FROM (SELECT *, (row_number() OVER (PARTITION BY site_host ORDER BY page_id) - 1) // {SITEMAP} AS map FROM (SELECT *, regexp_replace(host, '^www\\.', '') AS site_host FROM u))""")
 def sitemap_locs(spark, d):
-    """A sitemap text per site, made from its pages and read back."""
-    locs = pages(spark, d).select(u.site_host(F.col("url")).alias("site_host"), F.struct("page_id", F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url>")).alias("x")).alias("x"))
-    maps = locs.groupBy("site_host").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), "\n").alias("body"))
-    return content.sitemap_locs(maps, "site_host", "body", "site_host")
+    """Sitemaps of 1,000 pages of a site each, every third page by a relative location, read back."""
+    loc = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/p/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    rows = pages(spark, d).select(u.site_host(F.col("url")).alias("site_host"), "page_id", F.concat(F.lit("<url><loc> "), loc, F.lit(" </loc></url>")).alias("x"))
+    rows = numbered(rows, ["site_host"], [F.col("page_id")], "n").withColumn("map", F.floor(F.col("n") / SITEMAP))
+    maps = rows.groupBy("site_host", "map").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda x: x["x"]), "\n").alias("body"))
+    maps = maps.withColumn("url", F.concat(F.lit("https://"), "site_host", F.lit("/sitemap.xml")))
+    return content.sitemap_locs(maps, "url", "body", "site_host", "map")
 
 
 @query("first_accepted_reader", f"WITH t AS (SELECT page_id, {sql_text(ARTICLE)} AS a, {sql_text('html')} AS b FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 AND {sql_state('a')} = 'OK' AND length(a) >= 50 THEN 'main_article' WHEN {sql_state('b')} = 'OK' AND length(b) >= 50 THEN 'clean_text' END AS reader FROM t")
@@ -182,11 +202,9 @@ def binary_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", q.binary_state(size).alias("page_state"), F.when(size > 0, 1.0).otherwise(0.0).alias("score"))
 
 
-@query("raw_quality", f"WITH t AS (SELECT page_id, {sql_squeeze('html')} AS t, octet_length(encode(html)) AS size FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {sql_state('t')} ELSE CASE WHEN size > 0 THEN 'OK' ELSE 'EMPTY' END END AS state FROM t")
+@query("raw_quality", f"WITH t AS (SELECT page_id, {_MEDIA} AS media, {sql_squeeze('html')} AS t, octet_length(encode(html)) AS size FROM pages) SELECT page_id, CASE WHEN media <> 'image/png' THEN {sql_state('t')} WHEN size > 0 THEN 'OK' ELSE 'EMPTY' END AS state FROM t")
 def raw_quality(spark, d):
-    """Even pages count as HTML, odd ones as images."""
-    state = F.when(F.col("page_id") % 2 == 0, q.page_state(q.squeeze(F.col("html")))).otherwise(q.binary_state(F.octet_length("html")))
-    return pages(spark, d).select("page_id", state.alias("state"))
+    return with_media(spark, d).select("page_id", q.raw_state(F.col("html"), F.col("media_type")).alias("state"))
 
 
 @query("exact_duplicate", "SELECT doc_id, nullif(min(doc_id) OVER (PARTITION BY text), doc_id) AS duplicate_of FROM documents")
@@ -198,8 +216,9 @@ def exact_duplicate(spark, d):
 def fetch_log(spark, d):
     """A log derived from pages: protocol, encoding, redirects and status by id."""
     k = F.col("page_id")
-    return pages(spark, d).select(
-        "page_id", "url", F.element_at(F.array(*map(F.lit, ["HTTP/1.1", "HTTP/2", "HTTP/3"])), (k % 3 + 1).cast("int")).alias("http_version"), F.when(k % 2 == 0, "Chunked").alias("transfer_encoding"),
+    marks = F.concat(F.when(k % 5 == 0, '<link rel="canonical" href="/c">').otherwise(""), F.when(k % 5 == 1, '<meta property="og:url" content="/o">').otherwise(""), F.when(k % 3 == 0, '<meta http-equiv="refresh" content="0; url=/r">').otherwise(""), F.when(k % 7 == 0, '<script>location = "/s";</script>').otherwise(""))
+    return with_media(spark, d).select(
+        "page_id", "url", "media_type", content.page_navigation("url", F.concat(marks, F.col("html"))).alias("navigation"), F.element_at(F.array(*map(F.lit, ["HTTP/1.1", "HTTP/2", "HTTP/3"])), (k % 3 + 1).cast("int")).alias("http_version"), F.when(k % 2 == 0, "Chunked").alias("transfer_encoding"),
         F.when(k % 4 == 0, F.array(F.lit(301), F.lit(307))).otherwise(F.array().cast("array<int>")).alias("redirect_statuses"),
         F.element_at(F.array(*map(F.lit, [200, 404, 401, 401, 403, 503])), (k % 6 + 1).cast("int")).alias("status"),
         F.when(k % 6 == 3, 'Bearer error="invalid_token"').when(k % 6 == 2, "Basic").alias("challenge"),
@@ -213,7 +232,10 @@ def _yes(c: str, word: str = "OBSERVED") -> str:
 _RESPONSE = [("connectivity_check", "'APPLIED'"), ("tls_certificate_check", _yes("s = 'https'", "APPLIED")), ("content_type_probe", "'OBSERVED'"), ("file_size_probe", "'OBSERVED'"), ("streaming_response", "'APPLIED'"), ("chunked_response", _yes("page_id % 2 = 0")), ("http_1_1", _yes("page_id % 3 = 0")), ("http_2", _yes("page_id % 3 = 1")), ("http_3", _yes("page_id % 3 = 2")), *((f"redirect_{s}", _yes("page_id % 4 = 0") if s in (301, 307) else "'NOT_APPLICABLE'") for s in (301, 302, 303, 307, 308)), ("redirect_chain", _yes("page_id % 4 = 0")), ("redirect_loop_detection", "'APPLIED'"), ("source_hash_comparison", "'OBSERVED'")]
 
 
-@query("response_outcomes", f"WITH {PARTS} SELECT page_id, o.c AS capability_id, o.s AS status FROM (SELECT page_id, unnest([{', '.join(f"{{'c': '{n}', 's': {x}}}" for n, x in _RESPONSE)}]) AS o FROM u)")
+_HTML_RESPONSE = [("raw_html", "'APPLIED'"), ("meta_refresh_redirect", _yes("page_id % 3 = 0")), ("javascript_redirect", _yes("page_id % 7 = 0")), ("canonical_redirect", _yes("page_id % 5 = 0")), ("opengraph_url_redirect", _yes("page_id % 5 = 1"))]
+
+
+@query("response_outcomes", f"WITH {PARTS} SELECT page_id, o.c AS capability_id, o.s AS status FROM (SELECT page_id, unnest([{', '.join(f"{{'c': '{n}', 's': {x}}}" for n, x in _RESPONSE)}]) AS o FROM u) UNION ALL SELECT page_id, o.c, o.s FROM (SELECT page_id, unnest([{', '.join(f"{{'c': '{n}', 's': {x}}}" for n, x in _HTML_RESPONSE)}]) AS o FROM u WHERE page_id % 4 < 2)")
 def response_outcomes(spark, d):
     return content.response_outcomes(fetch_log(spark, d), "page_id")
 
@@ -234,22 +256,25 @@ def source_hash(spark, d):
 @query("cache_freshness", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR o_orderdate > TIMESTAMP '1997-01-01'")
 def cache_freshness(spark, d):
     """Orders as cache records; every fifth never expires."""
-    expires = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate"))
-    return table(spark, d, "orders").where(expires.isNull() | (expires > F.lit("1997-01-01").cast("timestamp_ntz"))).select("o_orderkey")
+    rows = table(spark, d, "orders").withColumn("expires_at", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
+    return content.fresh(rows, "expires_at", F.lit("1997-01-01").cast("timestamp_ntz")).select("o_orderkey")
 
 
-@query("cache_key", """SELECT page_id, sha256('{"auth":"public","method":"GET","url":"https://example.com/' || page_id || '"}') AS key FROM pages""")
+@query("cache_key", f"""WITH {PARTS} SELECT page_id, sha256('{{"authentication_scope":"' || CASE WHEN page_id % 3 = 0 THEN 'auth:sha256:' || sha256('{content.SCOPE_DOMAIN}' || chr(0) || 'ref' || page_id % 2) ELSE 'public' END || '","language":"' || CASE WHEN page_id % 2 = 0 THEN 'en' ELSE '' END ||
+  '","parser_version":"1","policy_profile":"default","representation":"html","url":"' || norm || '","vary":[["accept","text/html"]]}}') AS key FROM u""")
 def cache_key(spark, d):
-    url = F.concat(F.lit("https://example.com/"), F.col("page_id").cast("string"))
-    return pages(spark, d).select("page_id", content.cache_key(url=url, method=F.lit("GET"), auth=F.lit("public")).alias("key"))
+    """All seven parts of each page's key; every third page was fetched with one of two references."""
+    k, u_ = F.col("page_id"), u.normalize(F.col("url"))
+    ref = F.when(k % 3 == 0, F.concat(F.lit("ref"), (k % 2).cast("string")))
+    key = content.cache_key(url=u_, representation=F.lit("html"), policy_profile=F.lit("default"), parser_version=F.lit("1"), authentication_ref=ref, language=F.when(k % 2 == 0, "en"), vary=F.array(F.array(F.lit("accept"), F.lit("text/html"))))
+    return pages(spark, d).select("page_id", key.alias("key"))
 
 
-@query("needs_ocr", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'NEEDS_OCR' WHEN doc_id % 2 = 0 THEN 'EMPTY' ELSE 'OK' END AS state FROM documents")
+@query("needs_ocr", f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE {sql_squeeze('text')} END AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND t = '' THEN 'NEEDS_OCR' ELSE {sql_state('t')} END AS state FROM t")
 def needs_ocr(spark, d):
-    """Every third document counts as PDF, every second has no text."""
-    text = F.when(F.col("doc_id") % 2 == 0, "").otherwise("useful article text")
-    state = F.when((F.col("doc_id") % 3 == 0) & (text == ""), "NEEDS_OCR").otherwise(q.page_state(text))
-    return table(spark, d, "documents").select("doc_id", state.alias("state"))
+    """Every third document is a PDF, every fourth is an image without text."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 3 == 0, "pdf").otherwise("docx").alias("form"))
+    return rows.select("doc_id", q.ocr_state(F.col("text"), F.col("form")).alias("state"))
 
 
 @query("cas_put", "SELECT DISTINCT sha256(text) AS sha256, substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) AS prefix, octet_length(encode(text)) AS size FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
@@ -260,17 +285,26 @@ def cas_put(spark, d):
     return content.cas_put(store, docs, "body").select("sha256", "prefix", "size")
 
 
-@query("cas_get_verify", "SELECT 'cas://sha256/' || sha256(text) AS uri, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE octet_length(encode(text)) END AS size, CASE WHEN doc_id % 3 = 0 THEN 'not_found' WHEN octet_length(encode(text)) > 2000 THEN 'too_large' END AS error FROM (SELECT doc_id, doc_id || ' ' || text AS text FROM documents)")
+@query("cas_get_verify", """SELECT 'cas://sha256/' || sha256(text) AS uri, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE octet_length(encode(text)) END AS size,
+  CASE WHEN doc_id % 3 = 0 THEN 'not_found' WHEN octet_length(encode(text)) > 40000 THEN 'too_large' WHEN doc_id % 5 = 0 THEN 'digest_mismatch' END AS error FROM (SELECT doc_id, doc_id || ' ' || text AS text FROM documents)""")
 def cas_get_verify(spark, d):
+    """A store without every third document, in which every fifth body has changed."""
     docs = table(spark, d, "documents").select("doc_id", F.encode(F.concat_ws(" ", "doc_id", "text"), "UTF-8").alias("body"))
     store = content.cas_put(None, docs.where("doc_id % 3 <> 0"), "body")
-    return content.cas_get(store, docs.select(content.cas_uri(content.sha256(F.col("body"))).alias("uri")), 2000)
+    changed = F.regexp_extract(F.col("body").cast("string"), r"^(\d+)", 1).cast("long") % 5 == 0
+    store = store.withColumn("body", F.when(changed, F.encode(F.reverse(F.col("body").cast("string")), "UTF-8")).otherwise(F.col("body")))
+    return content.cas_get(store, docs.select(content.cas_uri(content.sha256(F.col("body"))).alias("uri")), 40000)
 
 
-@query("best_alternative", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.alt.example/' || page_id END AS alternative FROM pages")
+@query("best_alternative", f"""WITH t AS (SELECT page_id, {sql_text('html')} AS t, {sql_squeeze('html')} AS raw FROM pages), s AS (SELECT *, page_id % 2 = 0 AND {sql_state('t')} = 'OK' AND length(t) >= 50 AS usable, {sql_state('raw')} = 'OK' AND length(raw) >= 50 AS raw_ok FROM t)
+  SELECT page_id, CASE WHEN NOT usable AND page_id % 5 <> 0 AND page_id % 3 = 0 AND raw_ok THEN 'https://www.alt.example/' || page_id END AS alternative FROM s""")
 def best_alternative(spark, d):
-    """Unusable pages; a third of them have their www form in the store."""
-    rows = pages(spark, d).select("page_id", F.concat(F.lit("https://alt.example/"), F.col("page_id").cast("string")).alias("url"), "html")
+    """Odd pages show nothing, every fifth was fetched with a login; of a third the www form is in the store."""
+    k = F.col("page_id")
+    rows = pages(spark, d).select("page_id", F.concat(F.lit("https://alt.example/"), k.cast("string")).alias("url"), "html")
+    text = F.when(k % 2 == 0, html.clean_text(F.col("html"))).otherwise("")
+    judged = rows.withColumn("t", text).select("page_id", "url", q.accepted(q.page_state(F.col("t")), q.completeness(F.col("t"))).alias("usable"), policy.shareable(F.col("url"), k % 5 == 0, F.lit(True)).alias("shareable"))
     cands = rows.select("page_id", F.posexplode(u.variant_list(F.col("url"))).alias("ord", "candidate")).where("ord > 0")
-    known = rows.where("page_id % 3 = 0").select(F.concat(F.lit("https://www.alt.example/"), F.col("page_id").cast("string")).alias("normalized"), (q.page_state(q.squeeze(F.col("html"))) == "OK").alias("raw_ok"))
-    return content.best_alternative(rows.select("page_id"), cands, known)
+    raw = q.squeeze(F.col("html"))
+    known = rows.where("page_id % 3 = 0").select(F.concat(F.lit("https://www.alt.example/"), k.cast("string")).alias("normalized"), q.accepted(q.page_state(raw), q.completeness(raw)).alias("raw_ok"))
+    return content.best_alternative(judged, cands, known).select("page_id", "alternative")

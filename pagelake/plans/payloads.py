@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelake.operators import payloads as p
-from pagelake.operators.shared import numbered
+from pagelake.operators.shared import numbered, shared_path
 from pagelake.plans.registry import query, table
 from pagelake.sources import files
 
@@ -33,9 +33,9 @@ def _list(spark, d):
     return events(spark, d).select("event_id", n.alias("n"), F.to_json(F.named_struct(F.lit("data"), F.sequence(F.lit(1), n), F.lit("k"), F.sequence(F.lit(1), n))).alias("body"))
 
 
-def _normal(spark, d, rows, capability, media="application/json", n=p.MAX_RECORDS):
+def _normal(spark, d, rows, capability, media="application/json", n=p.MAX_RECORDS, source=None):
     rows = rows.withColumn("capability", F.lit(capability)).withColumn("media_type", F.lit(media))
-    return p.payload_normalize(rows, maximum_records=n)
+    return p.payload_normalize(rows, maximum_records=n, source_url=source)
 
 
 @query("json_truncate", "SELECT event_id, 2 * greatest(0, event_id % 20 + 1 - 5)::BIGINT AS omitted_records FROM events")
@@ -43,11 +43,12 @@ def json_truncate(spark, d):
     return _normal(spark, d, _list(spark, d), "json_endpoint", n=5).select("event_id", "omitted_records")
 
 
-@query("json_locators", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json:/data,json:/a~1b~0' ELSE array_to_string(list_transform(range(0, event_id % 20 + 1), lambda i: 'json:/' || i), ',') END AS locators FROM events")
+@query("json_locators", "SELECT doc_id, array_to_string(CASE WHEN doc_id % 2 = 0 THEN ['json:/a~1b~0', 'json:/' || lang, 'json:/' || source] ELSE list_transform(range(0, len(string_split(text, ' '))), lambda i: 'json:/' || i) END, ',') AS locators FROM documents")
 def json_locators(spark, d):
-    n = (F.col("event_id") % 20 + 1).cast("int")
-    body = F.when(F.col("event_id") % 2 == 0, '{"data":1,"a/b~":2}').otherwise(F.to_json(F.sequence(F.lit(1), n)))
-    return events(spark, d).select("event_id", F.array_join(p.json_locators(body), ",").alias("locators"))
+    """Documents as objects with their own language and source as keys, or as lists of their words."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('":1'))
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"a/b~":2,'), quoted(F.col("lang")), F.lit(","), quoted(F.col("source")), F.lit("}"))).otherwise(F.to_json(F.split("text", " ")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(p.json_locators(body, 1 << 30), ",").alias("locators"))
 
 
 _KEYS = {"graphql": ("graphql", "errors"), "github": ("github_api", "login"), "semantic_scholar": ("semantic_scholar_api", "paperId"), "openreview": ("openreview_api", "notes"), "crossref_openalex": ("crossref", "message")}
@@ -55,16 +56,28 @@ _KEYS = {"graphql": ("graphql", "errors"), "github": ("github_api", "login"), "s
 
 def _envelope(name: str, kind: str, key: str) -> None:
     def run(spark, d):
-        body = F.concat(F.lit('{"'), F.when(F.col("event_id") % 3 == 0, key).otherwise("other"), F.lit('":1}'))
+        key_of = F.when(F.col("event_type") == "click", key).otherwise(F.col("event_type"))
+        body = F.to_json(F.struct(F.col("value"), F.map_from_arrays(F.array(key_of), F.array("props")).alias("m")))
+        body = F.when(F.col("user_id") % 5 == 0, F.col("props")).otherwise(F.get_json_object(body, "$.m"))
         return events(spark, d).select("event_id", p.has_envelope(body, kind).alias("ok"))
 
-    query(f"{name}_envelope", "SELECT event_id, event_id % 3 = 0 AS ok FROM events")(run)
+    query(f"{name}_envelope", "SELECT event_id, user_id % 5 <> 0 AND event_type = 'click' AS ok FROM events")(run)
 
 
 for _n, (_kind, _key) in _KEYS.items():
     _envelope(_n, _kind, _key)
 
 
+@query("crossref_openalex_host", "SELECT event_id, CASE WHEN (event_type = 'click') = (user_id % 2 = 0) THEN 'json' END AS format FROM events")
+def crossref_openalex_host(spark, d):
+    """Clicks come from one host, others from the other; even users get the first one's keys."""
+    rows = events(spark, d).select(
+        "event_id", F.when(F.col("event_type") == "click", "https://api.crossref.org/works").otherwise("https://api.openalex.org/works").alias("source"),
+        F.concat(F.lit('{"'), F.when(F.col("user_id") % 2 == 0, "message-type").otherwise("results"), F.lit('":'), "props", F.lit("}")).alias("body"),
+    )
+    return _normal(spark, d, rows, "crossref_openalex_api", source="source").select("event_id", "format")
+
+
 @query("rest_json", "SELECT event_id, 'api_response' AS representation, 'json' AS format, 'json:/k' AS locators FROM events")
 def rest_json(spark, d):
     rows = events(spark, d).select("event_id", F.col("props").alias("body"))
@@ -81,23 +94,20 @@ def xml_strict(spark, d):
     return _normal(spark, d, _xml(spark, d), "xml_endpoint", "text/xml").select("event_id", "error")
 
 
-@query("xml_tree", """SELECT event_id, '{"attributes":{},"children":[{"attributes":{},"children":[],"tag":"user","text":"' || user_id || '"},{"attributes":{},"children":[],"tag":"kind","text":"' || event_type || '"}],"tag":"r","text":""}' AS data FROM events WHERE event_id % 4 > 1""")
+@query("xml_tree", """SELECT event_id, CASE WHEN event_id % 4 > 1 THEN '{"attributes":{},"children":[{"attributes":{},"children":[],"tag":"user","text":"' || user_id || '"},{"attributes":{},"children":[],"tag":"kind","text":"' || event_type || '"}],"tag":"r","text":""}' END AS data FROM events""")
 def xml_tree(spark, d):
-    return _normal(spark, d, _xml(spark, d).where("event_id % 4 > 1"), "rest", "text/xml").select("event_id", "data")
+    """Half of the documents are malformed and have no tree."""
+    return _normal(spark, d, _xml(spark, d), "rest", "text/xml").select("event_id", "data")
 
 
 #: Items of one feed body: far below the limits on records, nodes and bytes.
 RUN = 1000
 
-#: The users in the queries' SQL.
-_USERS = "user_id < 40"
-
-
-def _feed(spark, d, head, item, tail, users):
+def _feed(spark, d, head, item, tail):
     """Feeds of RUN consecutive events of a user with an item per event, in event order."""
-    rows = events(spark, d).where(users).select("user_id", "event_id", item.alias("x"))
+    rows = events(spark, d).select("user_id", "event_id", item.alias("x"))
     rows = numbered(rows, ["user_id"], [F.col("event_id")], "pos").select("user_id", F.floor(F.col("pos") / RUN).alias("run"), F.struct("pos", "x").alias("x"))
-    body = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), ""), F.lit(tail))
+    body = F.concat(F.lit(head) if isinstance(head, str) else F.first(head), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), ""), F.lit(tail))
     return rows.groupBy("user_id", "run").agg(body.alias("body"))
 
 
@@ -108,60 +118,71 @@ def _items(df):
     return rows.select("user_id", (F.col("run") * RUN + F.col("at")).cast("int").alias("pos"), "r.*")
 
 
-_E = "FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos FROM events WHERE user_id < 40)"
+_E = "FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS pos FROM events)"
 
 
-def _rss(spark, d, users):
+def _rss(spark, d):
     item = F.concat(F.lit("<item><title>"), "event_type", F.lit("</title><link>https://e.org/"), F.col("event_id").cast("string"), F.lit("</link><guid>"), F.col("event_id").cast("string"), F.lit("</guid></item>"))
-    return _feed(spark, d, '<rss version="2.0"><channel><title>t</title>', item, "</channel></rss>", users)
+    user = F.col("user_id").cast("string")
+    head = F.concat(F.lit('<rss version="2.0"><channel><title>Feed of '), user, F.lit("</title><link>https://e.org/u/"), user, F.lit("</link><description> All events </description>"))
+    return _feed(spark, d, head, item, "</channel></rss>")
 
 
 @query("rss_items", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, event_id::VARCHAR AS id {_E}")
-def rss_items(spark, d, users=_USERS):
-    return _items(_normal(spark, d, _rss(spark, d, users), "rss", "text/xml")).select("user_id", "pos", "title", "link", "id")
+def rss_items(spark, d):
+    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "link", "id")
 
 
-def _atom(spark, d, users):
+def _atom(spark, d):
     item = F.concat(F.lit("<entry><title>"), "event_type", F.lit('</title><link rel="self" href="no"/><link href="https://e.org/'), F.col("event_id").cast("string"), F.lit('"/><summary> s </summary></entry>'))
-    return _feed(spark, d, f'<feed xmlns="{p.ATOM}">', item, "</feed>", users)
+    return _feed(spark, d, f'<feed xmlns="{p.ATOM}">', item, "</feed>")
 
 
 @query("atom_entries", f"SELECT user_id, pos, event_type AS title, 'https://e.org/' || event_id AS link, 's' AS summary {_E}")
-def atom_entries(spark, d, users=_USERS):
-    return _items(_normal(spark, d, _atom(spark, d, users), "atom", "text/xml")).select("user_id", "pos", "title", "link", "summary")
+def atom_entries(spark, d):
+    return _items(_normal(spark, d, _atom(spark, d), "atom", "text/xml")).select("user_id", "pos", "title", "link", "summary")
 
 
-@query("arxiv_entries", "SELECT user_id, 'api_response' AS representation, count(*)::INTEGER AS entries FROM events WHERE user_id < 40 GROUP BY user_id")
-def arxiv_entries(spark, d, users=_USERS):
-    rows = _normal(spark, d, _atom(spark, d, users), "arxiv_api", "text/xml")
+@query("arxiv_entries", "SELECT user_id, 'api_response' AS representation, CASE WHEN user_id % 4 <> 0 THEN count(*) END::INTEGER AS entries FROM events WHERE user_id % 4 <> 0 GROUP BY user_id UNION ALL SELECT DISTINCT user_id, NULL, NULL FROM events WHERE user_id % 4 = 0")
+def arxiv_entries(spark, d):
+    """Every fourth user's feeds don't come from arXiv."""
+    feeds = _atom(spark, d).withColumn("source", F.when(F.col("user_id") % 4 == 0, "https://arxiv.example/api/query").otherwise("https://export.arxiv.org/api/query"))
+    rows = _normal(spark, d, feeds, "arxiv_api", "text/xml", source="source")
     return rows.groupBy("user_id").agg(F.max("representation").alias("representation"), F.sum(F.size("locators")).cast("int").alias("entries"))
 
 
+@query("rss_channel", "SELECT user_id, 'Feed of ' || user_id AS title, 'https://e.org/u/' || user_id AS link, 'All events' AS description, count(*) AS items FROM events GROUP BY user_id")
+def rss_channel(spark, d):
+    kind = "struct<title:string,link:string,description:string,records:array<struct<title:string>>>"
+    rows = _normal(spark, d, _rss(spark, d), "rss", "text/xml").select("user_id", F.from_json("data", kind).alias("c"))
+    return rows.groupBy("user_id").agg(*[F.max(f"c.{x}").alias(x) for x in ("title", "link", "description")], F.sum(F.size("c.records")).cast("long").alias("items"))
+
+
 @query("feed_record", f"SELECT user_id, pos, event_type AS title, event_id::VARCHAR AS id, NULL::VARCHAR AS summary {_E}")
-def feed_record(spark, d, users=_USERS):
-    return _items(_normal(spark, d, _rss(spark, d, users), "rss", "text/xml")).select("user_id", "pos", "title", "id", "summary")
+def feed_record(spark, d):
+    return _items(_normal(spark, d, _rss(spark, d), "rss", "text/xml")).select("user_id", "pos", "title", "id", "summary")
 
 
-@query("sitemap_records", f"SELECT user_id, pos, 'https://e.org/' || event_id AS loc, '2024' AS lastmod {_E} WHERE pos < 30")
-def sitemap_records(spark, d, users=_USERS, n=30):
+@query("sitemap_records", f"SELECT user_id, pos, 'https://e.org/' || event_id AS loc, '2024' AS lastmod {_E}")
+def sitemap_records(spark, d):
     item = F.concat(F.lit("<url><loc>https://e.org/"), F.col("event_id").cast("string"), F.lit("</loc><lastmod>2024</lastmod></url>"))
-    rows = _feed(spark, d, "<urlset>", item, "</urlset>", users)
-    found = _items(_normal(spark, d, rows, "sitemap_xml", "text/xml"))
-    return (found if n is None else found.where(F.col("pos") < n)).select("user_id", "pos", "loc", "lastmod")
+    rows = _feed(spark, d, "<urlset>", item, "</urlset>")
+    return _items(_normal(spark, d, rows, "sitemap_xml", "text/xml")).select("user_id", "pos", "loc", "lastmod")
 
 
 @query("openapi_paths", f"SELECT user_id, 'path:/e/' || event_id AS locator {_E}")
-def openapi_paths(spark, d, users=_USERS):
+def openapi_paths(spark, d):
     item = F.concat(F.lit("  /e/"), F.col("event_id").cast("string"), F.lit(":\n    get: {}\n"))
-    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "", users)
+    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "")
     return _normal(spark, d, rows, "openapi_discovery", "text/yaml").select("user_id", F.explode("locators").alias("locator"))
 
 
-@query("payload_sniff", "SELECT event_id, event_id % 3 <> 2 AS xml FROM events")
+@query("payload_sniff", "SELECT page_id, page_id % 3 <> 2 AS xml FROM pages")
 def payload_sniff(spark, d):
-    k = F.col("event_id") % 3
-    body = F.when(k == 0, " <r/>").otherwise("{}")
-    return events(spark, d).select("event_id", p.looks_like_xml(body, F.when(k == 1, "application/Atom+XML; charset=x").otherwise("text/plain")).alias("xml"))
+    """Pages as they are, their quoted markup under an XML type, and their URLs."""
+    k = F.col("page_id") % 3
+    body = F.when(k == 0, F.concat(F.lit(" "), "html")).when(k == 1, F.concat(F.lit('"'), "html")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", p.looks_like_xml(body, F.when(k == 1, "application/Atom+XML; charset=x").otherwise("text/plain")).alias("xml"))
 
 
 @query("payload_envelope", """SELECT event_id, '{"authority_url":"https://a.org/","capability":"rest","data":' || to_json(event_type) || ',"format":"json","omitted_records":0,"schema_version":"1.0","source_url":"https://a.org/' || event_id || '"}' AS document FROM events""")
@@ -201,7 +222,7 @@ _CSV = "SELECT '/f/' || doc_id || '.txt' AS path, 'row:1' AS locator, 'id,lang'
 @query("csv_rows", _CSV)
 def csv_rows(spark, d):
     body = F.concat(F.lit("﻿id,lang\n"), F.col("doc_id").cast("string"), F.lit(',"'), "lang", F.lit('"\n'))
-    return files.csv_rows(_files(spark, d, body)).select("path", "locator", F.array_join("cells", ",").alias("cells"))
+    return files.csv_rows(_files(spark, d, body)).where("error IS NULL").select("path", "locator", F.array_join("cells", ",").alias("cells"))
 
 
 @query("format_route", "SELECT '/f/' || doc_id || '.txt' AS path, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'plain_text_file' END AS format FROM documents")
@@ -227,23 +248,31 @@ def _zipped(spark, d, suffix):
         with zipfile.ZipFile(box, "w") as z:
             for key, text in sorted(zip(pdf["doc_id"], pdf["text"])):
                 z.writestr(f"{'../' if pdf['g'].iloc[0] % 10 == 0 else ''}d/{key}{suffix}", text)
-        return pd.DataFrame({"path": [f"/z/{pdf['g'].iloc[0]}.zip"], "content": [box.getvalue()]})
+        content = box.getvalue()[:-30] if pdf["g"].iloc[0] % 10 == 1 else box.getvalue()  # every tenth is cut off
+        return pd.DataFrame({"path": [f"/z/{pdf['g'].iloc[0]}.zip"], "content": [content]})
 
-    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("<p>"), F.left("text", F.lit(100)), F.lit("</p>")).alias("text"), (F.col("doc_id") / 10).cast("long").alias("g"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("text"), (F.col("doc_id") / 10).cast("long").alias("g"))
     return rows.groupBy("g").applyInPandas(pack, "path string, content binary")
 
 
-@query("epub_members", "SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'member:d/' || doc_id || '.xhtml' AS locator, ' ' || regexp_replace(left(text, 100), '(?s)<[^>]+>', ' ', 'g') || ' ' AS text FROM documents WHERE doc_id // 10 % 10 <> 0")
+_BROKEN_ZIPS = "SELECT DISTINCT '/z/' || doc_id // 10 || '.zip' AS path FROM documents WHERE doc_id // 10 % 10 = 1"
+
+
+@query("epub_members", f"SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'member:d/' || doc_id || '.xhtml' AS locator, ' ' || regexp_replace(text, '(?s)<[^>]+>', ' ', 'g') || ' ' AS text, NULL::VARCHAR AS error FROM documents WHERE doc_id // 10 % 10 > 1 UNION ALL SELECT path, NULL, NULL, 'File is not a zip file' FROM ({_BROKEN_ZIPS})")
 def epub_members(spark, d):
     return files.epub_members(_zipped(spark, d, ".xhtml"))
 
 
-@query("archive_members", "SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'd/' || doc_id || '.txt' AS member, octet_length(encode('<p>' || left(text, 100) || '</p>')) AS size, sha256('<p>' || left(text, 100) || '</p>') AS sha256, NULL::VARCHAR AS error FROM documents WHERE doc_id // 10 % 10 <> 0 UNION ALL SELECT DISTINCT '/z/' || doc_id // 10 || '.zip', NULL, NULL, NULL, 'archive path traversal detected' FROM documents WHERE doc_id // 10 % 10 = 0")
+@query("archive_members", f"SELECT '/z/' || doc_id // 10 || '.zip' AS path, 'd/' || doc_id || '.txt' AS member, octet_length(encode('<p>' || text || '</p>')) AS size, sha256('<p>' || text || '</p>') AS sha256, NULL::VARCHAR AS error FROM documents WHERE doc_id // 10 % 10 > 1 UNION ALL SELECT DISTINCT '/z/' || doc_id // 10 || '.zip', NULL, NULL, NULL, 'archive path traversal detected' FROM documents WHERE doc_id // 10 % 10 = 0 UNION ALL SELECT path, NULL, NULL, NULL, 'unsupported or malformed archive' FROM ({_BROKEN_ZIPS})")
 def archive_members(spark, d):
     return files.archive_members(_zipped(spark, d, ".txt")).drop("content")
 
 
-@query("canonical_json_sink", """SELECT c_custkey, '{"c_acctbal":' || 1.5 || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer""")
+@query("canonical_json_sink", """SELECT '{"c_acctbal":' || c_acctbal || ',"c_key":' || c_custkey || ',"c_name":"' || c_name || '","tags":{"a":' || c_nationkey || ',"s":"' || c_mktsegment || '"}}' AS json FROM (SELECT * REPLACE (round(c_acctbal)::BIGINT AS c_acctbal) FROM customer)""")
 def canonical_json_sink(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name", F.lit(1.5).alias("c_acctbal"))
-    return files.canonical_json(rows, "c_custkey")
+    """Customers written as canonical JSON lines and read back as text."""
+    tags = F.create_map(F.lit("s"), F.col("c_mktsegment"), F.lit("a"), F.col("c_nationkey").cast("string"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("c_key"), "c_name", F.round("c_acctbal").cast("long").alias("c_acctbal"), tags.alias("tags"))
+    path = shared_path(spark, "canonical")
+    files.write_canonical_json(rows, path, "c_custkey")
+    return spark.read.text(path).select(F.regexp_replace("value", '"a":"([0-9]+)"', '"a":$1').alias("json"))

@@ -32,18 +32,33 @@ def _query(expr: str) -> str:
     return f"CASE WHEN {expr} = '' THEN '' ELSE '?' || {expr} END"
 
 
-@query("url_normalize", f"WITH {PARTS} SELECT page_id, norm AS normalized FROM u")
+#: Hosts with other letters, odd ports and empty users, by page.
+_ODD_HOSTS = ("Bücher.Example.:0080", "@Straße.example", "faß.example:443", "x.example:8080", "例え.example:")
+_ODD = "[" + ", ".join(["'xn--bcher-kva.example'", "'strasse.example'", "'fass.example'", "'x.example'", "'xn--r8jz45g.example'"]) + "][page_id % 5 + 1]"
+_ODD_PORT = "CASE page_id % 5 WHEN 0 THEN CASE WHEN s = 'http' THEN '' ELSE ':80' END WHEN 2 THEN CASE WHEN s = 'https' THEN '' ELSE ':443' END WHEN 3 THEN ':8080' ELSE '' END"
+
+
+@query("url_normalize", f"WITH {PARTS} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN s || '://' || {_ODD} || {_ODD_PORT} || CASE WHEN path = '' THEN '/' ELSE path END || {_query('q')} ELSE norm END AS normalized FROM u")
 def url_normalize(spark, d):
-    return pages(spark, d).select("page_id", u.normalize(F.col("url")).alias("normalized"))
+    """Every fourth URL gets a host with other letters, an empty user or an odd way to write a port."""
+    odd = F.element_at(F.array(*map(F.lit, _ODD_HOSTS)), (F.col("page_id") % 5 + 1).cast("int"))
+    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.regexp_extract("url", "^([a-zA-Z]+://)", 1), odd, F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*(.*)$", 1))).otherwise(F.col("url"))
+    return pages(spark, d).select("page_id", u.normalize(url).alias("normalized"))
+
+
+_BAD_HOSTS = {5: ("a.example:abc", "Port could not be cast to integer value as ''abc''"), 6: ("a.example:99999", "Port out of range 0-65535"), 7: ("u:p@a.example", "credentials in URLs are forbidden; use authentication_ref"), 8: ("a..example", "label empty or too long")}
 
 
-@query("url_validate", f"""WITH {PARTS} SELECT page_id, s IN ('http', 'https') AND host <> '' AS valid,
-  CASE WHEN s NOT IN ('http', 'https') THEN 'only http and https URL targets are accepted' WHEN host = '' THEN 'target must include a hostname' END AS reason
-  FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'ftp' ELSE s END AS s, CASE page_id % 3 WHEN 0 THEN '' ELSE host END AS host FROM u)""")
+@query("url_validate", f"""WITH {PARTS} SELECT page_id, reason IS NULL AS valid, reason FROM (SELECT page_id,
+  CASE WHEN page_id % 4 = 0 THEN 'only http and https URL targets are accepted' WHEN page_id % 3 = 0 THEN 'target must include a hostname' {' '.join(f"WHEN page_id % 10 = {k} THEN '{x}'" for k, (_, x) in _BAD_HOSTS.items())} END AS reason FROM u)""")
 def url_validate(spark, d):
-    """Every fourth URL gets another scheme, every third loses its host."""
-    url = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("url", "^[a-z]+:", "ftp:")).otherwise(F.col("url"))
-    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace(url, "//[^/]*", "//")).otherwise(url)
+    """Every fourth URL gets another scheme, every third loses its host, others get a bad one."""
+    k, host = F.col("page_id"), F.lit(None).cast("string")
+    for n, (bad, _) in _BAD_HOSTS.items():
+        host = F.when(F.col("page_id") % 10 == n, bad).otherwise(host)
+    host = F.when(k % 3 == 0, "").otherwise(host)
+    url = F.when(host.isNotNull(), F.concat(F.regexp_extract("url", "^([a-zA-Z]+://)", 1), host, F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*(.*)$", 1))).otherwise(F.col("url"))
+    url = F.when(k % 4 == 0, F.regexp_replace(url, "^[a-z]+:", "ftp:")).otherwise(url)
     return pages(spark, d).select("page_id", u.problem(url).isNull().alias("valid"), u.problem(url).alias("reason"))
 
 
@@ -68,10 +83,13 @@ def url_redact_all(spark, d):
     return pages(spark, d).select("page_id", u.sanitize(F.col("url"), all_values=True).alias("sanitized"))
 
 
-@query("text_url_redact", """SELECT event_id, 'see (https://example.com/p?id=%5BREDACTED%5D), or http://b.org/x.' AS clean FROM events""")
+@query("text_url_redact", """SELECT doc_id, text || ' see (https://example.com/p?id=%5BREDACTED%5D), or http://b.org/x. ' || text AS clean FROM documents WHERE NOT regexp_matches(text, '(?i)https?://')
+  UNION ALL SELECT doc_id, 'no' FROM documents WHERE regexp_matches(text, '(?i)https?://')""")
 def text_url_redact(spark, d):
-    text = F.concat(F.lit("see (https://Example.com/p?id="), "event_id", F.lit("#frag), or http://b.org/x."))
-    return table(spark, d, "events").select("event_id", u.sanitize_text(text).alias("clean"))
+    """URLs between the whole texts of documents; texts with URLs of their own are left out of the comparison."""
+    text = F.concat(F.col("text"), F.lit(" see (https://Example.com/p?id="), "doc_id", F.lit("#frag), or http://b.org/x. "), F.col("text"))
+    clean = F.when(F.col("text").rlike("(?i)https?://"), "no").otherwise(u.sanitize_text(text))
+    return table(spark, d, "documents").select("doc_id", clean.alias("clean"))
 
 
 @query("url_origin", f"WITH {PARTS} SELECT page_id, s || '://' || host || CASE WHEN port = '' OR (s = 'http' AND port = '80') OR (s = 'https' AND port = '443') THEN '' ELSE ':' || port END AS origin FROM u")
@@ -200,11 +218,12 @@ def decision_rows(spark, d):
     return policy.decision_rows(rows, "url", "page_id").select("page_id", "policy_id", "allowed", "destination")
 
 
-@query("robots_filter", f"WITH {PARTS} SELECT page_id, NOT (page_id % 2 = 0) AS robots_allowed FROM u")
+@query("robots_filter", f"WITH {PARTS} SELECT page_id, NOT (page_id % 2 = 0 AND page_id % 6 <> 4) AS robots_allowed FROM u")
 def robots_filter(spark, d):
-    """Every origin allows all but /private; every second page lies there."""
-    rows = pages(spark, d).withColumn("url", F.concat(u.origin(F.col("url")), F.when(F.col("page_id") % 2 == 0, "/private/x").otherwise("/open/x")))
-    robots = rows.select(u.origin(F.col("url")).alias("origin")).distinct().select("origin", F.lit(200).alias("status"), F.lit("User-agent: *\nDisallow: /private\n").alias("body"))
+    """Every origin allows all but /private, and there only /private/open; other pages keep their path."""
+    path = F.when(F.col("page_id") % 6 == 4, "/private/open/ü?x=1").when(F.col("page_id") % 2 == 0, "/private/x").otherwise(u.path(F.col("url")))
+    rows = pages(spark, d).withColumn("url", F.concat(u.origin(F.col("url")), path))
+    robots = rows.select(u.origin(F.col("url")).alias("origin")).distinct().select("origin", F.lit(200).alias("status"), F.lit("User-agent: *\nAllow: /private/open\nDisallow: /private\n").alias("body"))
     return policy.robots_filter(rows, robots).select("page_id", "robots_allowed")
 
 

@@ -9,9 +9,12 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import itertools
+import lzma
 import stat
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -33,16 +36,35 @@ def text_blocks(files: DataFrame) -> DataFrame:
     return files.select("path", F.lit("line:1").alias("locator"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+#: Characters that one CSV field may have.
+MAX_FIELD = 10_000_000
+
+
 def csv_rows(files: DataFrame) -> DataFrame:
-    """Every physical record, the header too: ``path, locator, cells``."""
+    """Every physical record, the header too: ``path, locator, cells, error``.
+
+    A file that is no CSV gives the records before the fault and one row with the error.
+    """
+
+    def records(content: bytes | None) -> Iterator[tuple]:
+        csv.field_size_limit(MAX_FIELD)
+        n = 0
+        try:
+            if content is None:
+                raise csv.Error("no content")
+            for n, cells in enumerate(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"))), 1):
+                yield f"row:{n}", cells, None
+        except csv.Error as error:
+            yield f"row:{n + 1}", None, str(error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows = list(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"))))
-                yield pd.DataFrame({"path": path, "locator": [f"row:{i + 1}" for i in range(len(rows))], "cells": rows})
+                rows = records(content)
+                while some := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame([(path, *r) for r in some], columns=["path", "locator", "cells", "error"])
 
-    return files.mapInPandas(run, "path string, locator string, cells array<string>")
+    return files.mapInPandas(run, "path string, locator string, cells array<string>, error string")
 
 
 def _safe(name: str) -> bool:
@@ -50,18 +72,37 @@ def _safe(name: str) -> bool:
     return not path.is_absolute() and ".." not in path.parts and "\0" not in name
 
 
-def epub_members(files: DataFrame, members: int = 1000) -> DataFrame:
-    """HTML members of EPUB files with tags as spaces: ``path, locator, text``."""
+#: What a broken or hostile archive may raise while it is read.
+BROKEN = (ValueError, RuntimeError, NotImplementedError, EOFError, OSError, KeyError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, tarfile.TarError)
+
+
+def epub_members(files: DataFrame, members: int = 1000, *, expanded: int = 50_000_000, ratio: float = 100.0) -> DataFrame:
+    """HTML members of EPUB files with tags as spaces: ``path, locator, text, error``.
+
+    Members past the first ``members`` and those with unsafe names are left out; a file
+    that is no zip, or expands too far, gives one row with the error.
+    """
+
+    def texts(content: bytes | None) -> list[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(content or b""))) as box:
+                found = [i for i in box.infolist() if i.filename.lower().endswith((".html", ".xhtml"))][:members]
+                found = [i for i in found if _safe(i.filename)]
+                if sum(i.file_size for i in found) > expanded:
+                    raise ValueError("archive expanded-byte limit exceeded")
+                if any(i.file_size > ratio * max(1, i.compress_size) for i in found):
+                    raise ValueError("archive compression ratio exceeded")
+                return [(f"member:{i.filename}", box.read(i).decode("utf-8", "replace"), None) for i in found]
+        except BROKEN as error:
+            return [(None, None, str(error) or type(error).__name__)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    names = [n for n in z.namelist() if n.lower().endswith((".html", ".xhtml"))][:members]
-                    rows = [(path, f"member:{n}", z.read(n).decode("utf-8", "replace")) for n in names if _safe(n)]
-                yield pd.DataFrame(rows, columns=["path", "locator", "raw"])
+                yield pd.DataFrame([(path, *r) for r in texts(content)], columns=["path", "locator", "raw", "error"])
 
-    return files.mapInPandas(run, "path string, locator string, raw string").select("path", "locator", F.regexp_replace("raw", r"(?s)<[^>]+>", " ").alias("text"))
+    made = files.mapInPandas(run, "path string, locator string, raw string, error string")
+    return made.select("path", "locator", F.regexp_replace("raw", r"(?s)<[^>]+>", " ").alias("text"), "error")
 
 
 def _members(body: bytes, most: int, expanded: int, ratio: float) -> list[tuple[str, bytes]]:
@@ -106,9 +147,9 @@ def archive_members(files: DataFrame, *, members: int = 1000, expanded: int = 50
         for pdf in batches:
             for path, body in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows = [(path, n, len(c), hashlib.sha256(c).hexdigest(), c, None) for n, c in _members(bytes(body), members, expanded, ratio)]
-                except (ValueError, zipfile.BadZipFile, tarfile.TarError, EOFError) as error:
-                    rows = [(path, None, None, None, None, str(error))]
+                    rows = [(path, n, len(c), hashlib.sha256(c).hexdigest(), c, None) for n, c in _members(bytes(body or b""), members, expanded, ratio)]
+                except BROKEN as error:
+                    rows = [(path, None, None, None, None, str(error) or type(error).__name__)]
                 out = pd.DataFrame(rows, columns=["path", "member", "size", "sha256", "content", "error"])
                 yield out.astype({"size": "Int64"})
 
@@ -137,6 +178,23 @@ def blocks_to_text(blocks: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def canonical_json(df: DataFrame, *keys: str) -> DataFrame:
-    """All other columns as one JSON text with sorted keys and no blanks."""
+    """All other columns as one JSON text with sorted keys, those of maps too, and no blanks.
+
+    Numbers that JSON has not become null.
+    """
+
+    def plain(name: str) -> Column:
+        kind, c = dict(df.dtypes)[name], F.col(name)
+        if kind.startswith("map<"):
+            c = F.map_from_entries(F.array_sort(F.map_entries(c)))
+        elif kind in ("double", "float"):
+            c = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+        return c.alias(name)
+
     rest = sorted(c for c in df.columns if c not in keys)
-    return df.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(*keys, F.to_json(F.struct(*map(plain, rest)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_canonical_json(df: DataFrame, path: str, *keys: str) -> None:
+    """A folder of JSON lines, one per row, in the order of the keys."""
+    canonical_json(df, *keys).repartitionByRange(*keys).sortWithinPartitions(*keys).select("json").write.mode("overwrite").text(path)

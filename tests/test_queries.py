@@ -44,7 +44,7 @@ def test_query(spark, duck, name):
         assert canon(got, columns) == canon(want, columns)
 
 
-FEEDS = ("rss_items", "atom_entries", "arxiv_entries", "feed_record", "sitemap_records", "openapi_paths")
+FEEDS = ("rss_items", "rss_channel", "atom_entries", "arxiv_entries", "feed_record", "sitemap_records", "openapi_paths")
 
 
 @pytest.fixture(scope="session")
@@ -63,14 +63,6 @@ def test_feeds_of_a_hot_user(spark, hot, name):
     assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
 
 
-@pytest.mark.parametrize("name", FEEDS)
-def test_feeds_of_all_users(spark, hot, name):
-    every = {"users": "true"} | ({"n": None} if name == "sitemap_records" else {})
-    got = registry.QUERIES[name](spark, hot[0], **every).toPandas()
-    want = hot[1].sql(registry.ORACLE_SQL[name].replace("WHERE user_id < 40", "").replace("WHERE pos < 30", "")).df()
-    assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
-
-
 def test_streaming_quality_equals_batch(spark):
     from pagelake.functions import quality
     from pyspark.sql import functions as F
