@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pagelake.operators.shared import written
+from pagelake.operators.shared import join_counted, numbered, written
 
 
 def frontier_admit(found: DataFrame, seen: DataFrame, max_depth: int) -> DataFrame:
@@ -21,81 +23,151 @@ def frontier_admit(found: DataFrame, seen: DataFrame, max_depth: int) -> DataFra
     return joined.withColumn("label", label).drop("_r", "_u")
 
 
-def bounded_crawl(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int) -> DataFrame:
-    """The pages of ``crawl_and_rest``."""
-    return crawl_and_rest(roots, links, stored, pages=pages, depth=depth)[0]
+class Crawl(NamedTuple):
+    """What a crawl gives.
+
+    ``targets``: ``root, ord, url, depth, parent, relation, fetched`` in the order of a
+    queue; ``rest``: ``root, url`` of the queue left; ``counters``: per root the links
+    taken by relation, their variants, and those blocked by site and by depth.
+    """
+
+    targets: DataFrame
+    rest: DataFrame
+    counters: DataFrame
 
 
-def crawl_and_rest(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first crawl of many roots: ``root, ord, url, depth, parent, fetched``, and the queue left.
+def crawl(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int, seeds: DataFrame | None = None, attempts: int | None = None, used: int = 0) -> Crawl:
+    """Breadth-first crawl of many roots over stored pages.
 
-    ``links``: ``src, pos, dst, same_site``; ``stored``: ``url`` of pages that a fetch
-    would give. A wave is the queue's next level; its order is (parent's place,
-    position of the link) and the first finder wins, which is the order of a queue.
-    Failed fetches count against ``pages``. Every wave is written, so the lineage
-    stays short; the loop sees one count per wave. The queue left has a row
-    ``root, url`` per admitted link that the page limit kept from being fetched.
+    ``links``: ``src, pos, dst, same_site`` and, if known, ``relation`` and ``n_variants``;
+    ``stored``: ``url`` of pages that a fetch would give; ``seeds``: ``root, url, depth, pos,
+    relation, same_site``, which queue up with the links of a fetched root by ``pos``
+    (a sitemap has depth 0 and comes first, found pages have depth 1 and come last).
+
+    A wave is what the wave before has put into the queue; its order is (parent's
+    place, position of the link) and the first finder wins, which is the order of a
+    queue. Failed fetches count against the limit on pages, which is ``pages`` or
+    what the attempts leave, if that is less. Every wave is written once; places are
+    numbered by range partitions, so no root is one task; the loop sees one count
+    per wave.
     """
-    wave = written(roots.select("root", F.col("root").alias("url"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit(None).cast(dict(roots.dtypes)["root"]).alias("parent")), "wave")
-    done = rest = None
+    most = pages if attempts is None else min(pages, 1 + max(0, attempts - used))
+    key = dict(roots.dtypes)["root"]
+    links = links.select("src", "pos", "dst", "same_site", *[(F.col(n) if n in links.columns else F.lit(v)).alias(n) for n, v in (("relation", "internal"), ("n_variants", 0))])
+    known = stored.select("url", F.lit(True).alias("_ok")).distinct()
+    wave = roots.select("root", F.col("root").alias("url"), F.lit(0).cast("long").alias("ord"), F.lit(0).alias("depth"), F.lit(None).cast(key).alias("parent"), F.lit("root").alias("relation"))
+    seen = wave.select("root", "url")
+    targets, rests, counts = [], [], []
     while True:
-        fetched = wave.join(stored.select("url", F.lit(True).alias("_ok")).distinct(), "url", "left").withColumn("fetched", F.col("_ok").isNotNull()).drop("_ok")
-        fetched = fetched.select("root", "ord", "url", "depth", "parent", "fetched")
-        done = written(fetched if done is None else done.unionByName(fetched), "crawled")
-        parents = done.join(wave.select(F.col("root").alias("_r"), F.col("url").alias("_u")), (F.col("root") == F.col("_r")) & (F.col("url") == F.col("_u")), "left_semi").where("fetched")
-        found = parents.join(links, F.col("url") == F.col("src")).select("root", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.col("url").alias("parent"), F.struct("ord", "pos").alias("at"), "same_site")
-        new = frontier_admit(found, done, depth).where("label = 'admitted'")
-        new = new.groupBy("root", "url").agg(F.min(F.struct("at", "depth", "parent")).alias("x")).select("root", "url", "x.*")
-        count = done.groupBy("root").agg(F.count("*").alias("n"), F.max("ord").alias("top"))
-        place = F.row_number().over(Window.partitionBy("root").orderBy("at"))  # at most the links of one wave and root
-        new = written(new.join(count, "root").withColumn("k", place), "admitted")
-        left = new.where(F.col("n") + F.col("k") > pages).select("root", "url")
-        rest = left if rest is None else rest.unionByName(left)
-        new = new.where(F.col("n") + F.col("k") <= pages)
-        wave = written(new.select("root", "url", (F.col("top") + F.col("k")).alias("ord"), "depth", "parent"), "wave")
-        if wave.isEmpty():
-            return done, rest.distinct()  # a link left by one wave may be found again by the next
-
-
-def crawl_report(crawled: DataFrame, rest: DataFrame) -> DataFrame:
+        taken = wave.where(F.col("ord") < most).join(known, "url", "left").withColumn("fetched", F.col("_ok").isNotNull())
+        targets.append(written(taken.select("root", "ord", "url", "depth", "parent", "relation", "fetched"), "crawled"))
+        fetched = targets[-1].where("fetched")
+        found = fetched.join(links, F.col("url") == F.col("src")).select("root", F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.col("url").alias("parent"), F.struct("ord", "pos").alias("at"), "same_site", links["relation"], "n_variants")
+        if len(targets) == 1 and seeds is not None:
+            more = seeds.join(fetched.select("root"), "root").select("root", "url", "depth", F.col("root").alias("parent"), F.struct(F.lit(0).cast("long").alias("ord"), F.col("pos").cast("int").alias("pos")).alias("at"), "same_site", "relation", F.lit(0).alias("n_variants"))
+            found = found.withColumn("at", F.struct("at.ord", F.col("at.pos").cast("int").alias("pos"))).unionByName(more)
+        labelled = frontier_admit(found, seen, depth).where("label <> 'seen'")
+        first = F.min(F.when(F.col("label") == "admitted", F.col("at"))).over(Window.partitionBy("root", "url"))
+        labelled = written(labelled.withColumn("first", first).where("first IS NULL OR at <= first"), "found")  # later ones have been seen
+        counts.append(labelled)
+        top = wave.groupBy("root").agg(F.max("ord").alias("top"))
+        new = numbered(labelled.where("label = 'admitted'").dropDuplicates(["root", "url"]), ["root"], [F.col("at")], "k").join(top, "root")
+        wave = new.select("root", "url", (F.col("top") + F.col("k") + 1).alias("ord"), "depth", "parent", "relation")
+        wave = written(wave, "wave")
+        rests.append(wave.where(F.col("ord") >= most).select("root", "url"))
+        seen = seen.unionByName(wave.select("root", "url"))
+        if wave.where(F.col("ord") < most).isEmpty():
+            return Crawl(_union(targets), _union(rests), _counted(_union(counts), roots))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+#: Relations of links, with the capability that each is evidence of.
+RELATIONS = {
+    "sitemap": "sitemap_discovery", "internal": "internal_link_discovery", "related": "related_link_discovery", "pagination": "pagination_discovery", "next": "next_page_discovery",
+    "category": "category_tag_discovery", "variants": "candidate_url_expansion", "search": "search_provider_discovery",
+}
+
+
+def _counted(found: DataFrame, roots: DataFrame) -> DataFrame:
+    ok = F.col("label") == "admitted"
+    names = [n for n in RELATIONS if n != "variants"]
+    sums = found.groupBy("root").agg(
+        *[F.count_if(ok & (F.col("relation") == n)).alias(n) for n in names], F.sum(F.when(ok, F.col("n_variants")).otherwise(0)).cast("long").alias("variants"),
+        F.count_if(F.col("label") == "domain_blocked").alias("domain_blocked"), F.count_if(F.col("label") == "depth_blocked").alias("depth_blocked"),
+    )
+    return roots.select("root").distinct().join(sums, "root", "left").fillna(0)
+
+
+def bounded_crawl(roots: DataFrame, links: DataFrame, stored: DataFrame, *, pages: int, depth: int) -> DataFrame:
+    """The targets of ``crawl``."""
+    return crawl(roots, links, stored, pages=pages, depth=depth).targets
+
+
+def crawl_report(done: Crawl) -> DataFrame:
     """Per root: targets, fetched, failed, deepest, and omitted, the size of the queue left."""
-    found = crawled.groupBy("root").agg(F.count("*").alias("targets"), F.count_if("fetched").alias("fetched"), F.count_if(~F.col("fetched")).alias("failed"), F.max("depth").alias("max_depth"))
-    left = rest.groupBy("root").agg(F.count("*").alias("omitted"))
+    found = done.targets.groupBy("root").agg(F.count("*").alias("targets"), F.count_if("fetched").alias("fetched"), F.count_if(~F.col("fetched")).alias("failed"), F.max("depth").alias("max_depth"))
+    left = done.rest.groupBy("root").agg(F.count("*").alias("omitted"))
     return found.join(left, "root", "left").withColumn("omitted", F.coalesce("omitted", F.lit(0)).cast("long"))
 
 
-def crawl_outcomes(report: DataFrame) -> DataFrame:
-    """The report's numbers as rows ``root, capability_id, n``."""
-    names = ("targets", "fetched", "failed", "max_depth", "omitted")
-    return report.unpivot(["root"], [F.col(n).cast("long").alias(n) for n in names], "capability_id", "n")
+def crawl_outcomes(done: Crawl) -> DataFrame:
+    """Twelve outcome rows per root: ``root, capability_id, status, n``.
+
+    Kinds of links are observed or not applicable, with their number; the limits on
+    depth and site were applied, with the links they kept out; robots rules were
+    applied and the root's own site was observed.
+    """
+    seen = lambda c: F.when(c > 0, "OBSERVED").otherwise("NOT_APPLICABLE")
+    rows = [(name, seen(F.col(n)), F.col(n)) for n, name in RELATIONS.items()]
+    rows += [("depth_limited_crawl", F.lit("APPLIED"), F.col("depth_blocked")), ("domain_limited_crawl", F.lit("APPLIED"), F.col("domain_blocked"))]
+    rows += [("robots_discovery", F.lit("APPLIED"), F.lit(0)), ("official_domain_discovery", F.lit("OBSERVED"), F.lit(1))]
+    all_ = F.array(*[F.struct(F.lit(name).alias("capability_id"), s.alias("status"), n.cast("long").alias("n")) for name, s, n in rows])
+    return done.counters.select("root", F.explode(all_).alias("o")).select("root", "o.*")
 
 
 def redirect_chains(starts: DataFrame, redirects: DataFrame, hops: int = 8) -> DataFrame:
     """Follow ``src, status, location``: ``start, method, final, hops, verdict``.
 
     Verdicts: ok, loop, downgrade, missing_location, replay_blocked (a body would
-    be sent again) and budget_exhausted. Each hop is one join; finished rows keep
-    their verdict and are carried along.
+    be sent again) and budget_exhausted. A source with several redirects follows the
+    smallest (status, location). Each hop is one join of the chains that are still
+    open, written at its end; places that many chains have reached are broadcast.
     """
-    rows = starts.select(F.col("url").alias("start"), F.col("method"), F.col("url").alias("at"), F.array("url").alias("path"), F.lit(None).cast("string").alias("verdict"))
-    step = redirects.select(F.col("src").alias("_s"), F.col("status").alias("_c"), F.col("location").alias("_l"))
+    step = redirects.groupBy(F.col("src").alias("_s")).agg(F.min(F.struct(F.col("status").alias("_c"), F.col("location").alias("_l"))).alias("x")).select("_s", "x.*")
+    rows = starts.select(F.col("url").alias("start"), F.col("method"), F.col("url").alias("at"), F.array("url").alias("path"))
+    done = []
     for _ in range(hops + 1):
-        joined = rows.join(step, (F.col("at") == F.col("_s")) & F.col("verdict").isNull(), "left")
+        places = rows.groupBy("at").agg(F.count("*").alias("_n"))
+        joined = join_counted(rows, places.join(step, F.col("at") == F.col("_s"), "left"), "at", "_n", rows.count())
         to_get = (F.col("_c") == 303) | (F.col("_c").isin(301, 302) & (F.col("method") == "POST"))
         verdict = (
-            F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("_s").isNull(), "ok").when(F.col("_l").isNull(), "missing_location")
+            F.when(F.col("_s").isNull(), "ok").when(F.col("_l").isNull(), "missing_location")
             .when(F.array_contains("path", F.col("_l")), "loop").when(F.startswith("at", F.lit("https:")) & F.startswith("_l", F.lit("http:")), "downgrade")
             .when(~to_get & F.col("method").isin("POST", "PUT", "PATCH"), "replay_blocked").when(F.size("path") > hops, "budget_exhausted")
         )
-        rows = joined.select("start", F.when(verdict.isNull() & to_get, "GET").otherwise(F.col("method")).alias("method"), F.when(verdict.isNull(), F.col("_l")).otherwise(F.col("at")).alias("at"), F.when(verdict.isNull(), F.concat("path", F.array("_l"))).otherwise(F.col("path")).alias("path"), verdict.alias("verdict"))
-    return rows.select("start", "method", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), F.coalesce("verdict", F.lit("budget_exhausted")).alias("verdict"))
-
-
-def reachable(edges: DataFrame, start, depth: int) -> DataFrame:
-    """Smallest depth of every node within ``depth`` steps of the start node."""
-    edges.createOrReplaceTempView("_edges")
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE r(node, depth) AS (
-              SELECT {start}L, 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN _edges ON src = node WHERE depth < {depth})
-            SELECT node, min(depth) AS depth FROM r GROUP BY node"""
-    )
+        rows = written(joined.withColumn("verdict", verdict).withColumn("method", F.when(F.col("verdict").isNull() & to_get, "GET").otherwise(F.col("method"))).drop("_n", "_s", "_c"), "hop")
+        done.append(rows.where("verdict IS NOT NULL").select("start", "method", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), "verdict"))
+        rows = rows.where("verdict IS NULL").select("start", "method", F.col("_l").alias("at"), F.concat("path", F.array("_l")).alias("path"))
+        if rows.isEmpty():
+            break
+    return _union(done)
+
+
+def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """Smallest depth of every node within ``depth`` steps (``src, dst``) of each start: ``start, node, depth``.
+
+    A wave per step holds the nodes that no earlier one has, each once; waves are written.
+    """
+    wave = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "reached")
+    found, steps = wave, edges.select("src", "dst").distinct()
+    for k in range(1, depth + 1):
+        new = wave.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        wave = written(new.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)), "reached")
+        found = found.unionByName(wave)
+    return found

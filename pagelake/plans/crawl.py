@@ -19,9 +19,10 @@ def edges(spark, d, k=4):
 _EDGES = "edges AS (SELECT page_id AS src, k AS pos, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, range(4) r(k))"
 
 
-@query("reachable", f"WITH RECURSIVE {_EDGES}, r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+@query("reachable", f"WITH RECURSIVE {_EDGES}, r(start, node, depth) AS (SELECT page_id, page_id, 0 FROM pages UNION SELECT start, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node")
 def reachable(spark, d):
-    return crawl.reachable(edges(spark, d), 1, 3)
+    """What lies within three steps of each page."""
+    return crawl.reachable(edges(spark, d), table(spark, d, "pages").select(F.col("page_id").alias("start")), 3)
 
 
 @query("frontier_admit", f"WITH {_EDGES} SELECT src AS root, dst AS url, CASE WHEN dst % 3 = 0 THEN 'seen' WHEN pos = 3 THEN 'depth_blocked' WHEN dst % 5 = 0 THEN 'domain_blocked' ELSE 'admitted' END AS label FROM edges")
@@ -32,28 +33,77 @@ def frontier_admit(spark, d):
     return crawl.frontier_admit(found, seen, 2).select("root", "url", "label")
 
 
-def _crawled(spark, d, roots="true"):
-    """Crawls of 20 pages and 2 steps from every page, and the links left over."""
-    e = edges(spark, d).withColumn("same_site", F.col("dst") % 9 != 0)
-    stored = table(spark, d, "pages").where("page_id % 6 <> 5").select(F.col("page_id").alias("url"))
-    roots = table(spark, d, "pages").where(roots).select(F.col("page_id").alias("root"))
-    return crawl.crawl_and_rest(roots, e, stored, pages=20, depth=2)
+RELATION = ("internal", "next", "related", "category")
+PAGES, DEPTH, ATTEMPTS = 20, 2, 25
 
 
-@query("bounded_crawl")
+def _crawled(spark, d):
+    """Crawls of 20 pages and 2 steps from every page, over its links, its sitemap and two search results.
+
+    The sitemap of page i is number -1 - i; it lists pages i + 10 to i + 13. A sixth of
+    the pages can't be fetched, nor can every fourth sitemap.
+    """
+    p = table(spark, d, "pages").select("page_id")
+    n = p.count()
+    page = lambda c: F.pmod(c, F.lit(n))
+    site = F.col("dst") % 9 != 0
+    e = edges(spark, d).select("src", "pos", "dst", site.alias("same_site"), F.element_at(F.array(*map(F.lit, RELATION)), F.col("pos") + 1).alias("relation"), (F.col("dst") % 3).cast("int").alias("n_variants"))
+    maps = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((-1 - F.col("page_id")).alias("src"), "pos", page(F.col("page_id") + 10 + F.col("pos")).alias("dst"))
+    maps = maps.select("src", "pos", "dst", site.alias("same_site"), F.lit("sitemap").alias("relation"), F.lit(0).alias("n_variants"))
+    stored = p.where("page_id % 6 <> 5").select(F.col("page_id").alias("url")).union(p.where("page_id % 4 <> 3").select(-1 - F.col("page_id")))
+    seed = lambda url, depth, pos, kind, ok: p.select(F.col("page_id").alias("root"), url.alias("url"), F.lit(depth).alias("depth"), F.lit(pos).alias("pos"), F.lit(kind).alias("relation"), ok.alias("same_site"))
+    seeds = seed(-1 - F.col("page_id"), 0, -1, "sitemap_file", F.lit(True))
+    for k in (25, 26):
+        url = page(F.col("page_id") + k)
+        seeds = seeds.union(seed(url, 1, 1000 + k, "search", url % 9 != 0))
+    return crawl.crawl(p.select(F.col("page_id").alias("root")), e.union(maps), stored, pages=PAGES, depth=DEPTH, seeds=seeds, attempts=ATTEMPTS, used=1)
+
+
+def _crawl_sql() -> str:
+    """The queue in SQL, a wave per step: seeds and links, of equal ones the first, in order."""
+    out = f"""n AS (SELECT count(*) AS n FROM pages),
+links AS (SELECT page_id AS src, k AS pos, (page_id * 7 + k) % n AS dst, {list(RELATION)}[k + 1] AS relation, ((page_id * 7 + k) % n) % 3 AS variants FROM pages, n, range(4) r(k)
+  UNION ALL SELECT -1 - page_id, k, (page_id + 10 + k) % n, 'sitemap', 0 FROM pages, n, range(4) r(k)),
+seeds AS (SELECT page_id AS root, -1 - page_id AS url, 0 AS depth, -1 AS pos, 'sitemap_file' AS relation FROM pages UNION ALL SELECT page_id, (page_id + k) % n, 1, 1000 + k, 'search' FROM pages, n, (VALUES (25), (26)) v(k)),
+w0 AS (SELECT page_id AS root, page_id AS url, 0::BIGINT AS ord, 0 AS depth, NULL::BIGINT AS parent, 'root' AS relation FROM pages)"""
+    fetched = f"ord < {PAGES} AND CASE WHEN url < 0 THEN (-1 - url) % 4 <> 3 ELSE url % 6 <> 5 END"
+    for i in range(1, 6):
+        seen = " UNION ALL ".join(f"SELECT root, url FROM w{j}" for j in range(i))
+        seeded = " UNION ALL SELECT s.root, s.url, s.depth, s.root, 0, s.pos, s.relation, 0 FROM seeds s JOIN w0 w ON s.root = w.root WHERE " + fetched.replace("url", "w.url") if i == 1 else ""
+        out += f""",
+c{i} AS (SELECT *, CASE WHEN depth > {DEPTH} THEN 'depth_blocked' WHEN url >= 0 AND url % 9 = 0 THEN 'domain_blocked' ELSE 'admitted' END AS label FROM (
+  SELECT w.root, l.dst AS url, w.depth + 1 AS depth, w.url AS parent, w.ord AS o, l.pos AS p, l.relation, l.variants FROM w{i - 1} w JOIN links l ON w.url = l.src WHERE {fetched}{seeded}) x
+  WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.root = x.root AND s.url = x.url)),
+f{i} AS (SELECT * FROM (SELECT *, min(CASE WHEN label = 'admitted' THEN o * 100000 + p END) OVER (PARTITION BY root, url) AS first FROM c{i}) WHERE first IS NULL OR o * 100000 + p <= first),
+w{i} AS (SELECT f.root, f.url, t.top + row_number() OVER (PARTITION BY f.root ORDER BY o, p) AS ord, f.depth, f.parent, f.relation FROM f{i} f JOIN (SELECT root, max(ord) AS top FROM w{i - 1} GROUP BY root) t USING (root) WHERE label = 'admitted')"""
+    union = lambda x, first: " UNION ALL ".join(f"SELECT * FROM {x}{i}" for i in range(first, 6))
+    return f"""WITH {out}, queue AS (SELECT *, {fetched} AS fetched FROM ({union('w', 0)})), found AS ({union('f', 1)}),
+targets AS (SELECT * FROM queue WHERE ord < {PAGES}),
+report AS (SELECT t.root, count(*) AS targets, count_if(fetched)::BIGINT AS fetched, count_if(NOT fetched)::BIGINT AS failed, max(depth) AS max_depth, (SELECT count(*) FROM queue q WHERE q.root = t.root AND q.ord >= {PAGES}) AS omitted FROM targets t GROUP BY t.root)"""
+
+
+_REPORT = f"{_crawl_sql()} SELECT * FROM report"
+
+
+@query("bounded_crawl", f"{_crawl_sql()} SELECT root, ord, url, depth, parent, relation, fetched FROM targets")
 def bounded_crawl(spark, d):
-    """Crawls from every 25th page: 20 pages, 2 steps; a brute-force queue checks it in the tests."""
-    return _crawled(spark, d, "page_id % 25 = 1")[0]
+    return _crawled(spark, d).targets
 
 
-@query("crawl_report")
+@query("crawl_report", _REPORT)
 def crawl_report(spark, d):
-    return crawl.crawl_report(*_crawled(spark, d))
+    return crawl.crawl_report(_crawled(spark, d))
+
+
+_KINDS = [(name, f"coalesce(count_if(label = 'admitted' AND relation = '{n}'), 0)" if n != "variants" else "coalesce(sum(CASE WHEN label = 'admitted' THEN variants END), 0)") for n, name in crawl.RELATIONS.items()]
 
 
-@query("crawl_outcomes")
+@query("crawl_outcomes", f"""{_crawl_sql()}, per AS (SELECT w0.root, f.* EXCLUDE (root) FROM w0 LEFT JOIN found f ON w0.root = f.root)
+  {' UNION ALL '.join(f"SELECT root, '{name}' AS capability_id, CASE WHEN {c} > 0 THEN 'OBSERVED' ELSE 'NOT_APPLICABLE' END AS status, {c}::BIGINT AS n FROM per GROUP BY root" for name, c in _KINDS)}
+  UNION ALL SELECT root, 'depth_limited_crawl', 'APPLIED', coalesce(count_if(label = 'depth_blocked'), 0)::BIGINT FROM per GROUP BY root UNION ALL SELECT root, 'domain_limited_crawl', 'APPLIED', coalesce(count_if(label = 'domain_blocked'), 0)::BIGINT FROM per GROUP BY root
+  UNION ALL SELECT root, 'robots_discovery', 'APPLIED', 0 FROM w0 UNION ALL SELECT root, 'official_domain_discovery', 'OBSERVED', 1 FROM w0""")
 def crawl_outcomes(spark, d):
-    return crawl.crawl_outcomes(crawl.crawl_report(*_crawled(spark, d)))
+    return crawl.crawl_outcomes(_crawled(spark, d))
 
 
 _CHAIN = "chain AS (SELECT page_id AS src, CASE WHEN page_id % 11 = 0 THEN page_id ELSE page_id + 1 END AS location FROM pages WHERE page_id % 5 <> 0)"

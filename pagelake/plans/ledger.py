@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from pagelake.operators import crawl, ledger
 from pagelake.operators.shared import shared_path
-from pagelake.plans.crawl import _crawled
+from pagelake.plans.crawl import _REPORT, _crawled
 from pagelake.plans.registry import query, table
 from pagelake.streaming import events as streams
 
@@ -69,10 +69,10 @@ def graph_sink(spark, d):
     return spark.read.schema("id string, type string").json(f"{path}/nodes")
 
 
-@query("crawl_report_sink")
+@query("crawl_report_sink", _REPORT)
 def crawl_report_sink(spark, d):
     path = shared_path(spark, "report")
-    ledger.crawl_report_sink(crawl.crawl_report(*_crawled(spark, d)), path)
+    ledger.crawl_report_sink(crawl.crawl_report(_crawled(spark, d)), path)
     return spark.read.schema("root long, targets long, fetched long, failed long, max_depth int, omitted long").json(path)
 
 

@@ -5,14 +5,12 @@ import json
 import random
 import tarfile
 import zipfile
-from collections import deque
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import content, crawl, ledger, payloads, policy, runs
-from pagelake.plans import crawl as crawl_queries
-from pagelake.plans import ledger as ledger_queries
 from pagelake.sources import files
 
 
@@ -84,68 +82,55 @@ def test_csv_and_routes(spark):
     assert [r[0] for r in df.select(files.format_route(F.col("path"), F.col("content"))).collect()] == ["pdf", "epub", "csv", "plain_text_file"]
 
 
-def queue_crawl(root, edges, stored, pages, depth):
-    """A plain queue: the crawl's definition."""
-    seen, queue, out = {root}, deque([(root, 0, None)]), []
+def queue_crawl(root, edges, stored, pages, depth, seeds=()):
+    """A plain queue: the crawl's definition. Targets, the queue left, and counts of links."""
+    seen, queue, out, counts = {root}, deque([(root, 0, None, "root")]), [], Counter()
+
+    def put(url, level, parent, relation, same):
+        if url in seen:
+            return
+        if level > depth or not same:
+            counts["depth_blocked" if level > depth else "domain_blocked"] += 1
+            return
+        counts[relation] += 1
+        seen.add(url)
+        queue.append((url, level, parent, relation))
+
     while queue and len(out) < pages:
-        url, level, parent = queue.popleft()
+        url, level, parent, relation = queue.popleft()
         ok = url in stored
-        out.append((url, level, parent, ok))
-        for dst, same in edges.get(url, []) if ok else []:
-            if dst in seen or level + 1 > depth or not same:
-                continue
-            seen.add(dst)
-            queue.append((dst, level + 1, url))
-    return out
-
-
-def test_crawl_equals_a_queue(spark):
-    n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id").collect()
-    ids = sorted(r.page_id for r in n)
-    edges = {i: [((i * 7 + k) % len(ids), ((i * 7 + k) % len(ids)) % 9 != 0) for k in range(4)] for i in ids}
-    stored = {i for i in ids if i % 6 != 5}
-    got = {}
-    for r in crawl_queries.bounded_crawl(spark, "/root/testdata/sf0.001").collect():
-        got.setdefault(r.root, []).append((r.ord, (r.url, r.depth, r.parent, r.fetched)))
-    assert set(got) == {i for i in ids if i % 25 == 1}
-    for root, rows in got.items():
-        assert [x for _, x in sorted(rows)] == queue_crawl(root, edges, stored, 20, 2)
+        out.append((url, level, parent, relation, ok))
+        found = [(dst, level + 1, url, kind, same) for dst, same, kind in edges.get(url, [])] if ok else []
+        if url == root and ok:
+            found = [s for s in seeds if s[1] == 0] + found + [s for s in seeds if s[1] == 1]
+        for x in found:
+            put(*x)
+    return out, len(queue), counts
 
 
-def queue_report(root, edges, stored, pages, depth):
-    """Targets, fetched, failed, deepest and the queue left of a plain queue."""
-    seen, queue, out = {root}, deque([(root, 0)]), []
-    while queue and len(out) < pages:
-        url, level = queue.popleft()
-        out.append((url in stored, level))
-        for dst, same in edges.get(url, []) if url in stored else []:
-            if dst not in seen and level + 1 <= depth and same:
-                seen.add(dst)
-                queue.append((dst, level + 1))
-    good = sum(ok for ok, _ in out)
-    return len(out), good, len(out) - good, max(x for _, x in out), len(queue)
-
-
-def test_crawl_report_counts_the_queue_left(spark):
-    d = "/root/testdata/sf0.001"
-    ids = sorted(r.page_id for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id").collect())
-    edges = {i: [((i * 7 + k) % len(ids), ((i * 7 + k) % len(ids)) % 9 != 0) for k in range(4)] for i in ids}
-    want = {i: queue_report(i, edges, {i for i in ids if i % 6 != 5}, 20, 2) for i in ids}
-    names = ("targets", "fetched", "failed", "max_depth", "omitted")
-    assert {r.root: tuple(r[n] for n in names) for r in crawl_queries.crawl_report(spark, d).collect()} == want
-    assert {(r.root, r.capability_id): r.n for r in crawl_queries.crawl_outcomes(spark, d).collect()} == {(i, n): x for i, row in want.items() for n, x in zip(names, row)}
-    assert {r.root: tuple(r[n] for n in names) for r in ledger_queries.crawl_report_sink(spark, d).collect()} == want
-
-
-@pytest.mark.parametrize("pages,depth", [(1, 3), (4, 3), (7, 4), (9, 2)])
-def test_the_queue_left_at_small_limits(spark, pages, depth):
+@pytest.mark.parametrize("pages,depth,attempts", [(1, 3, None), (4, 3, None), (7, 4, 5), (9, 2, 30), (40, 3, 20)])
+def test_crawl_equals_a_queue(spark, pages, depth, attempts):
     rng = random.Random(pages)
-    edges = {i: [(rng.randrange(40), rng.random() < 0.8) for _ in range(rng.randrange(6))] for i in range(40)}
-    stored = {i for i in range(40) if i % 6 != 5}
-    links = spark.createDataFrame([(i, k, dst, same) for i, xs in edges.items() for k, (dst, same) in enumerate(xs)], "src long, pos int, dst long, same_site boolean")
+    kinds = ["internal", "next", "related"]
+    edges = {i: [(rng.randrange(40), rng.random() < 0.8, rng.choice(kinds)) for _ in range(rng.randrange(6))] for i in range(-40, 40)}
+    stored = {i for i in range(-40, 40) if i % 6 != 5}
+    seeds = {i: [(-1 - i, 0, i, "sitemap_file", True), (rng.randrange(40), 1, i, "search", rng.random() < 0.8)] for i in range(40)}
+    links = spark.createDataFrame([(i, k, *x) for i, xs in edges.items() for k, x in enumerate(xs)], "src long, pos int, dst long, same_site boolean, relation string")
     roots, pool = spark.createDataFrame([(i,) for i in range(40)], "root long"), spark.createDataFrame([(i,) for i in stored], "url long")
-    got = crawl.crawl_report(*crawl.crawl_and_rest(roots, links, pool, pages=pages, depth=depth)).collect()
-    assert {r.root: (r.targets, r.fetched, r.failed, r.max_depth, r.omitted) for r in got} == {i: queue_report(i, edges, stored, pages, depth) for i in range(40)}
+    rows = spark.createDataFrame([(i, u, lv, 1000 if lv else -1, kind, same) for i, xs in seeds.items() for u, lv, _, kind, same in xs], "root long, url long, depth int, pos int, relation string, same_site boolean")
+    done = crawl.crawl(roots, links, pool, pages=pages, depth=depth, seeds=rows, attempts=attempts, used=2)
+    most = pages if attempts is None else min(pages, attempts - 1)
+    want = {i: queue_crawl(i, edges, stored, most, depth, seeds[i]) for i in range(40)}
+    got = {}
+    for r in done.targets.collect():
+        got.setdefault(r.root, []).append((r.ord, (r.url, r.depth, r.parent, r.relation, r.fetched)))
+    assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {k: out for k, (out, _, _) in want.items()}
+    report = {r.root: (r.targets, r.fetched, r.failed, r.max_depth, r.omitted) for r in crawl.crawl_report(done).collect()}
+    assert report == {k: (len(o), sum(x[4] for x in o), sum(not x[4] for x in o), max(x[1] for x in o), left) for k, (o, left, _) in want.items()}
+    counters = {r.root: Counter({n: r[n] for n in (*kinds, "search", "depth_blocked", "domain_blocked") if r[n]}) for r in done.counters.collect()}
+    assert counters == {k: Counter({n: c for n, c in counts.items() if n != "sitemap_file"}) for k, (_, _, counts) in want.items()}
+    outcomes = crawl.crawl_outcomes(done).collect()
+    assert len(outcomes) == 12 * 40 and {r.status for r in outcomes} == {"APPLIED", "OBSERVED", "NOT_APPLICABLE"}
 
 
 def test_redirect_verdicts(spark):
