@@ -226,6 +226,16 @@ def variants(url: Column, *, language: Column | None = None, region: Column | No
     return F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("candidate")) for v, c in zip(VARIANTS, safe)])
 
 
+def variant_outcomes(found: Column) -> Column:
+    """Rows (capability_id, status) of an array of ``variants``: each kind, and the expansion itself.
+
+    Candidates that leave HTTPS are blocked whatever the URL.
+    """
+    status = lambda v: F.when(v["variant"] == "https_to_http", "BLOCKED").when(v["candidate"].isNotNull(), "OBSERVED").otherwise("NOT_APPLICABLE")
+    each = F.transform(found, lambda v: F.struct(v["variant"].alias("capability_id"), status(v).alias("status")))
+    return F.concat(each, F.array(F.struct(F.lit("candidate_url_expansion").alias("capability_id"), F.lit("APPLIED").alias("status"))))
+
+
 def variant_list(url: Column, **how: Column) -> Column:
     """The URL, then its candidates, each once."""
     return F.array_distinct(F.array_compact(F.concat(F.array(url), F.transform(variants(url, **how), lambda x: x["candidate"]))))

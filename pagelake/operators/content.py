@@ -252,7 +252,8 @@ def page_links(base: pd.Series, markup: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StructType().add("canonical", "string").add("opengraph", "string").add("refresh", "string").add("script", "string"))
 def page_navigation(base: pd.Series, markup: pd.Series) -> pd.DataFrame:
     """Where a page says that it lives or leads; observed, never followed."""
-    return pd.DataFrame([_parsed(b, m).seen for b, m in zip(base, markup)], columns=["canonical", "opengraph", "refresh", "script"])
+    seen = [_parsed(b, m).seen for b, m in zip(base, markup)]
+    return pd.DataFrame({k: pd.Series([x.get(k) for x in seen], dtype=object) for k in ("canonical", "opengraph", "refresh", "script")})
 
 
 def sitemap_locs(df: DataFrame, url: str, body: str, *keys: str) -> DataFrame:

@@ -135,9 +135,14 @@ def mutation_verdict(method: Column, operation: Column, approved: Column) -> Col
 
 
 def permitted(capability: Column, allow: Column, deny: Column, always: tuple[str, ...] = ()) -> Column:
-    """Deny wins; a non-empty allow list restricts all but ``always``."""
+    """Deny wins; a non-empty allow list restricts all but ``always``.
+
+    An id that is both allowed and denied is an input error, which ends the job.
+    """
     free = capability.isin(*always) if always else F.lit(False)
-    return ~F.array_contains(deny, capability) & ((F.size(allow) == 0) | F.array_contains(allow, capability) | free)
+    both = F.array_intersect(allow, deny)
+    bad = F.raise_error(F.concat(F.lit("both allowed and denied: "), F.array_join(both, ", "))).cast("boolean")
+    return F.when(F.size(both) > 0, bad).otherwise(~F.array_contains(deny, capability) & ((F.size(allow) == 0) | F.array_contains(allow, capability) | free))
 
 
 def host_pacing(df: DataFrame, *, host: str, at_ms: str, key: str, interval_ms: int) -> DataFrame:

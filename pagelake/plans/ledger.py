@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pagelake.operators import crawl, ledger
 from pagelake.operators.shared import shared_path
 from pagelake.plans.crawl import _REPORT, _crawled
+from pagelake.plans.pages import sql_language, sql_squeeze, sql_state
 from pagelake.plans.registry import query, table
 from pagelake.streaming import events as streams
 
@@ -96,10 +97,12 @@ def _folder(df, name):
     return path
 
 
-@query("event_tail", "SELECT event_id, user_id, event_type FROM events")
+@query("event_tail", "SELECT user_id AS run_id, event_id AS sequence, event_type FROM events e WHERE event_id <= coalesce((SELECT min(event_id) FROM events f WHERE f.user_id = e.user_id AND event_type = 'purchase'), event_id)")
 def event_tail(spark, d):
-    rows = events(spark, d).select("event_id", "user_id", "event_type")
-    return streams.run_to_table(streams.tail(spark, _folder(rows, "log"), rows.schema), "tail")
+    """Users as runs that end at their first purchase; all runs in order."""
+    rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence"), "event_type")
+    stream = streams.until_finished(streams.tail(spark, _folder(rows, "log"), rows.schema), "purchase")
+    return streams.run_to_table(stream, "tail").orderBy("run_id", "sequence")
 
 
 @query("idempotent_events", "SELECT event_id, user_id FROM events")
@@ -109,15 +112,20 @@ def idempotent_events(spark, d):
     return streams.run_to_table(streams.idempotent(streams.tail(spark, _folder(twice, "log"), twice.schema)), "once")
 
 
-@query("run_state_stream", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
+_STATE = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'FINISHED' ELSE 'OTHER' END"
+
+
+@query("run_state_stream", f"""WITH s AS (SELECT user_id AS run_id, {_STATE} AS state, event_id AS seq, list_position(['QUEUED', 'RUNNING', 'FINISHED'], {_STATE}) AS rank FROM events),
+  t AS (SELECT run_id, max(rank) AS rank FROM s WHERE state <> 'OTHER' GROUP BY run_id) SELECT run_id, any_value(state) AS state, max(seq) AS seq, any_value(state) = 'FINISHED' AS notify FROM s JOIN t USING (run_id, rank) GROUP BY run_id""")
 def run_state_stream(spark, d):
-    rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"))
-    return streams.run_to_table(streams.run_states(streams.tail(spark, _folder(rows, "log"), rows.schema)), "states", mode="complete")
+    """Users as runs: signed up, clicking, and finished by a purchase."""
+    rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.expr(_STATE).alias("state"), F.col("event_id").alias("seq"))
+    return streams.run_to_table(streams.run_states(streams.tail(spark, _folder(rows, "log"), rows.schema)), "states", mode="update", keys=("run_id",))
 
 
-@query("streaming_quality")
+@query("streaming_quality", f"""WITH t AS (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents), s AS (SELECT *, {sql_state('t')} AS page_state, least(1.0::DOUBLE, length(t) / 1000.0::DOUBLE) AS share FROM t)
+  SELECT doc_id, page_state, {sql_language('t')} AS language, round(CASE WHEN page_state = 'OK' THEN share ELSE least(0.2::DOUBLE, share) END, 4) AS score, page_state = 'OK' AND share >= 0.05 AS accepted FROM s""")
 def streaming_quality(spark, d):
-    """Batch twin: the queries ``page_state`` and ``quality_score``; compared in the tests."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = streams.page_states(streams.tail(spark, _folder(docs, "texts"), docs.schema), "text")
     return streams.run_to_table(found.select("doc_id", "page_state", "language", "score", "accepted"), "quality")

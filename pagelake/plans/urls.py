@@ -144,6 +144,12 @@ def url_variants(spark, d):
     return rows.select("page_id", F.explode(u.variants(F.col("url"), **_hints())).alias("v")).select("page_id", "v.*")
 
 
+@query("variant_outcomes", f"{_V} SELECT page_id, variant AS capability_id, CASE WHEN variant = 'https_to_http' THEN 'BLOCKED' WHEN candidate IS NOT NULL THEN 'OBSERVED' ELSE 'NOT_APPLICABLE' END AS status FROM v UNION ALL SELECT page_id, 'candidate_url_expansion', 'APPLIED' FROM c")
+def variant_outcomes(spark, d):
+    rows = pages(spark, d).withColumn("url", u.normalize(F.col("url")))
+    return rows.select("page_id", F.explode(u.variant_outcomes(u.variants(F.col("url"), **_hints()))).alias("o")).select("page_id", "o.*")
+
+
 @query("url_variant_list", f"{_V}, l AS (SELECT page_id, 0 AS ord, norm AS url FROM c UNION ALL SELECT page_id, ord, candidate FROM v WHERE candidate IS NOT NULL), f AS (SELECT page_id, url, min(ord) AS ord FROM l GROUP BY page_id, url) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ord)::INTEGER AS place, url FROM f")
 def url_variant_list(spark, d):
     rows = pages(spark, d).withColumn("url", u.normalize(F.col("url")))
@@ -241,10 +247,11 @@ def mutation_gate(spark, d):
     return table(spark, d, "events").select("event_id", policy.mutation_verdict(method, kind, F.col("event_id") % 3 == 0).alias("verdict"))
 
 
-@query("allow_deny_filter", "SELECT event_id FROM events WHERE event_type <> 'purchase' AND (user_id % 2 = 0 OR event_type IN ('click', 'view'))")
+@query("allow_deny_filter", "SELECT event_id FROM events WHERE event_type <> 'purchase' AND (user_id % 2 = 0 OR event_type IN ('click', 'view', 'signup'))")
 def allow_deny_filter(spark, d):
-    allow = F.when(F.col("user_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("click"), F.lit("view"), F.lit("purchase")))
-    return table(spark, d, "events").where(policy.permitted(F.col("event_type"), allow, F.array(F.lit("purchase")))).select("event_id")
+    """Purchases are denied; odd users allow clicks and views; signing up is always allowed."""
+    allow = F.when(F.col("user_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("click"), F.lit("view")))
+    return table(spark, d, "events").where(policy.permitted(F.col("event_type"), allow, F.array(F.lit("purchase")), ("signup",))).select("event_id")
 
 
 _PACED = """WITH RECURSIVE e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS k FROM events),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagelake.functions import quality
 from pagelake.operators import content
@@ -23,9 +27,38 @@ def idempotent(events: DataFrame, key: str = "event_id", *, time: str | None = N
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def until_finished(events: DataFrame, end: str = "FINISHED") -> DataFrame:
+    """Events ``run_id, sequence, event_type`` of each run up to its end, later ones dropped.
+
+    A run's state is one flag. Within a micro-batch its events are taken by sequence;
+    ``maxFilesPerTrigger`` bounds what a batch holds of one run.
+    """
+    names = events.columns
+
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists and state.get[0]:
+            return
+        rows = pd.concat(list(frames)).sort_values("sequence", kind="stable")
+        over = (rows["event_type"] == end).to_numpy()
+        state.update((bool(over.any()),))
+        yield rows[names].iloc[: int(over.argmax()) + 1 if over.any() else len(rows)]
+
+    return events.groupBy("run_id").applyInPandasWithState(run, events.schema, "over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+#: What a run goes through, never back.
+STATES = ("QUEUED", "RUNNING", "FINISHED")
+
+
 def run_states(events: DataFrame) -> DataFrame:
-    """Latest state of each run, kept as a keyed aggregate state."""
-    return events.groupBy("run_id").agg(F.max(F.struct("seq", "state")).alias("s")).select("run_id", "s.state", "s.seq")
+    """State of each run from ``run_id, state, seq``: the furthest of ``STATES`` and its last event, and ``notify`` at the end.
+
+    In update mode a batch gives the runs that it changed; other states are ignored.
+    """
+    rank = F.coalesce(*[F.when(F.col("state") == s, i) for i, s in enumerate(STATES)])
+    known = events.where(F.col("state").isin(*STATES))
+    best = known.groupBy("run_id").agg(F.max(F.struct(rank.alias("rank"), "seq", "state")).alias("s"))
+    return best.select("run_id", "s.state", "s.seq", (F.col("s.state") == STATES[-1]).alias("notify"))
 
 
 def page_states(pages: DataFrame, text: str) -> DataFrame:
@@ -33,10 +66,11 @@ def page_states(pages: DataFrame, text: str) -> DataFrame:
     return quality.with_quality(pages, F.col(text))
 
 
-def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, *, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Process all that is there and read the written table.
 
-    In complete mode the last batch replaces the table.
+    In update mode each batch appends the rows that it changed, so unchanged ones are
+    not written again; the table that is read has the last row of each of ``keys``.
     """
     spark = stream.sparkSession
     out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
@@ -44,9 +78,13 @@ def run_to_table(stream: DataFrame, name: str, *, mode: str = "append") -> DataF
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+        query = writer.foreachBatch(lambda df, batch: df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("append").parquet(out)).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    if mode == "append":
+        return spark.read.parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    table = spark.read.schema(stream.schema.add("_batch", "long")).parquet(out)
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
 
 
 def store_arrivals(stream: DataFrame, body: str, name: str = "cas") -> DataFrame:

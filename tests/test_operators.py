@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import random
 import tarfile
 import zipfile
@@ -10,8 +11,9 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
-from pagelake.operators import content, crawl, ledger, payloads, policy, runs
+from pagelake.operators import content, crawl, ledger, payloads, policy, runs, shared
 from pagelake.sources import files
+from pagelake.streaming import events
 
 
 @pytest.mark.parametrize(
@@ -174,3 +176,169 @@ def test_navigation_and_links(spark):
     row = spark.createDataFrame([("https://e.org/a/b", page)], "url string, html string").select(content.page_navigation("url", "html").alias("n"), content.page_links("url", "html").alias("l")).first()
     assert tuple(row.n) == ("https://e.org/c", "https://o/", "https://e.org/a/r.html", "https://e.org/s")
     assert [tuple(x) for x in row.l] == [("https://e.org/c", "internal"), ("https://e.org/a/2", "next"), ("https://h/x", "related")]
+
+
+FLAGS = ("accepted", "failed", "policy", "auth", "not_found", "budget", "artifacts", "dependency")
+
+
+@pytest.mark.parametrize(
+    "flags,status",
+    [
+        ("accepted", "SUCCEEDED"), ("accepted policy not_found", "SUCCEEDED"), ("accepted failed", "PARTIAL"), ("accepted auth", "PARTIAL"), ("accepted budget", "PARTIAL"), ("accepted dependency", "PARTIAL"),
+        ("policy auth", "BLOCKED_BY_POLICY"), ("auth not_found", "AUTH_REQUIRED"), ("not_found budget", "NOT_FOUND"), ("budget artifacts", "BUDGET_EXHAUSTED"), ("artifacts", "LOW_QUALITY"),
+        ("artifacts failed", "PARTIAL"), ("artifacts dependency", "PARTIAL"), ("dependency failed", "DEPENDENCY_MISSING"), ("failed", "FAILED"), ("", "FAILED"),
+    ],
+)
+def test_run_status(spark, flags, status):
+    schema = "run_id long, " + ", ".join(f"{f} boolean" for f in FLAGS)
+    rows = [(1, *[f == x for f in FLAGS]) for x in flags.split() or [""]] + [(1, *[None] * len(FLAGS))]
+    assert [r.status for r in runs.run_status(spark.createDataFrame(rows, schema)).collect()] == [status]
+
+
+def test_a_bundle_is_packed_by_document_and_line(spark):
+    docs = spark.createDataFrame([(10, "the license"), (9, "x\nlicense " + "y" * 40), (8, "nothing")], "doc_id long, text string")
+    got = runs.context_bundle(docs, "license", 14).collect()
+    assert [(r.locator, r.confidence, r.fallback_reason) for r in got] == [("9:2", 0.35, None)]
+    notes = spark.createDataFrame([("n1", "license terms", 0.2), ("n2", "license terms, too", 0.9), ("n3", "other", 1.0)], "locator string, excerpt string, score double")
+    got = runs.context_bundle(docs, "what license terms?", 500, sources=notes).collect()
+    assert {r.locator for r in got} == {"n1", "n2", "9:2", "10:1"} and {r.fallback_reason for r in got} == {"simplified query after retrieval miss"}
+    assert {r.confidence for r in got} == {1.0}
+    got = runs.context_bundle(docs, "license terms", 500, sources=notes).collect()
+    assert {r.fallback_reason for r in got} == {None}
+
+
+def test_eligibility(spark):
+    rows = spark.createDataFrame([("a", True, True, []), ("b", False, False, ["x", "y"])], "capability_id string, allowed boolean, available boolean, dependencies array<string>")
+    got = {r.capability_id: (r.eligible, r.reasons) for r in ledger.eligibility(rows).collect()}
+    assert got["a"] == (True, ["capability is registered, allowed, and available"])
+    assert got["b"] == (False, ["capability is denied by the request policy", "capability implementation is unavailable", "dependencies: x, y"])
+
+
+def test_dependencies_that_are_missing(spark):
+    needed = spark.createDataFrame([("pdf", "PDF reading", "documents"), ("ocr", "OCR", "media")], "capability_id string, feature string, extra string")
+    got = runs.dependency_rows(needed, spark.createDataFrame([("media",)], "extra string")).collect()
+    assert [tuple(r) for r in got] == [("pdf", "FAILED", "dependency_missing", "install the extra documents to enable PDF reading")]
+
+
+def test_rows_without_a_digest_stay(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "k long, d string")
+    want = {1: None, 2: 1, 3: None, 4: None, 5: None}
+    assert {r.k: r.duplicate_of for r in content.first_with_digest(rows, "d", "k", "k").collect()} == want
+    monkeypatch.setattr(shared.join_counted, "__kwdefaults__", {"few": 1, "hot": 2})
+    assert {r.k: r.duplicate_of for r in content.first_with_digest(rows, "d", "k", "k").collect()} == want
+
+
+def test_links_after_a_bad_one(spark):
+    page = '<a href="http://[bad">x</a><a href="/good">y</a><link rel="canonical" href="http://[bad"><link rel="canonical" href="/c">'
+    row = spark.createDataFrame([("https://e.org/a", page)], "url string, html string").select(content.page_links("url", "html").alias("l"), content.page_navigation("url", "html").alias("n")).first()
+    assert [x.url for x in row.l] == ["https://e.org/good", "https://e.org/c"] and row.n.canonical == "https://e.org/c"
+
+
+def test_bad_files_give_error_rows(spark, monkeypatch):
+    long = b"a,b\nx,\"" + b"y" * 200_000 + b"\"\n"
+    got = files.csv_rows(spark.createDataFrame([("long", long), ("none", None)], "path string, content binary")).collect()
+    assert [(r.path, r.locator, r.error) for r in got] == [("long", "row:1", None), ("long", "row:2", None), ("none", "row:1", "no content")]
+    locked = bytearray(box([("a.html", b"<p>x</p>")]))
+    for at in (locked.find(b"PK\x03\x04") + 6, locked.find(b"PK\x01\x02") + 8):
+        locked[at] |= 1  # says that the member is encrypted
+    cases = {"locked": bytes(locked), "junk": b"no zip", "none": None, "bomb": box([("a.html", b"0" * 1_000_000)]), "good": box([("a.html", b"<p>x</p>"), ("../b.html", b"y")])}
+    rows = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    epub = {}
+    for r in files.epub_members(rows).collect():
+        epub.setdefault(r.path, []).append((r.locator, r.text, r.error and r.error.split(",")[0]))
+    assert epub["good"] == [("member:a.html", " x ", None)] and all(epub[k][0][0] is None and epub[k][0][2] for k in ("locked", "junk", "none", "bomb"))
+    found = {r.path: (r.member, r.error is not None) for r in files.archive_members(rows).collect()}
+    assert all(found[k] == (None, True) for k in cases)
+
+
+@pytest.mark.parametrize("capability,body", [("xml_endpoint", "<r>" + "x" * 300 + "</r>"), ("openapi_discovery", "openapi: 3.0.0\npaths: {}\nx: " + "y" * 300), ("json_endpoint", '"' + "x" * 300 + '"')])
+def test_size_limits(monkeypatch, capability, body):
+    monkeypatch.setattr(payloads, "MAX_BYTES", 200)
+    with pytest.raises(ValueError, match="size limit"):
+        payloads.normalize(capability, body.encode(), "", 10)
+
+
+def test_yaml_is_counted_before_it_is_built(monkeypatch):
+    monkeypatch.setattr(payloads, "MAX_NODES", 10)
+    with pytest.raises(ValueError, match="node or nesting limit"):
+        payloads.normalize("openapi_discovery", ("openapi: 3.0.0\npaths:\n" + "".join(f"  /{i}: 1\n" for i in range(30))).encode(), "", 10)
+
+
+def test_answers_belong_to_their_hosts():
+    ok = payloads.normalize("crossref_openalex_api", b'{"message":1}', "", 10, "https://api.crossref.org/works")
+    assert ok["format"] == "json"
+    for capability, body, source in (("crossref_openalex_api", b'{"results":1}', "https://api.crossref.org/works"), ("crossref_openalex_api", b'{"message":1}', "https://api.openalex.org/works"), ("arxiv_api", f'<feed xmlns="{payloads.ATOM}"/>'.encode(), "https://arxiv.example/")):
+        with pytest.raises(ValueError):
+            payloads.normalize(capability, body, "", 10, source)
+    rss = payloads.normalize("rss", b'<rss version="2.0"><channel><title> T </title><link>l</link><item><title>i</title></item></channel></rss>', "", 10)
+    assert (rss["data"]["title"], rss["data"]["link"], rss["data"]["description"]) == ("T", "l", None)
+
+
+def test_later_readers_run_for_the_rest_only(spark, tmp_path):
+    path = str(tmp_path)
+
+    @F.udf("string")
+    def second(k):
+        open(f"{path}/{k}", "w").close()
+        return "y" * 100 if k % 3 == 0 else ""
+
+    rows = spark.range(30).withColumnRenamed("id", "k")
+    readers = {"first": F.when(F.col("k") % 2 == 0, F.repeat(F.lit("x"), 100)).otherwise(""), "second": second("k")}
+    got = {r.k: r.reader for r in content.first_accepted(rows, readers, "k").collect()}
+    assert got == {k: "first" if k % 2 == 0 else "second" if k % 3 == 0 else None for k in range(30)}
+    assert {int(x) for x in os.listdir(path)} == {k for k in range(30) if k % 2}
+
+
+def test_sitemap_locations_are_joined(spark):
+    rows = spark.createDataFrame([("https://e.org/s/map.xml", "<loc> a.html </loc><loc>/b</loc><loc>ftp://x/</loc><LOC>HTTP://F.org</LOC>")], "url string, body string")
+    assert [r.loc for r in content.sitemap_locs(rows, "url", "body").orderBy("pos").collect()] == ["https://e.org/s/a.html", "https://e.org/b", "http://f.org/"]
+
+
+def test_running_sums_and_pacing_over_many_parts(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("aab"), rng.randrange(50), i, rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, k int, n int").repartition(7)
+    got = {r.k: (r.total, r.place) for r in shared.accumulated(df, ["g"], [F.col("o"), F.col("k")], {"total": F.col("n"), "place": F.lit(1)}).collect()}
+    want, run = {}, Counter()
+    for g, o, k, n in sorted(rows, key=lambda r: (r[1], r[2])):
+        run[g, "n"] += n
+        run[g, "c"] += 1
+        want[k] = (run[g, "n"], run[g, "c"])
+    assert got == want
+    slots = {r.k: r.slot_ms for r in policy.host_pacing(df, host="g", at_ms="o", key="k", interval_ms=3).collect()}
+    last = {}
+    for g, o, k, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        last[g] = max(o, last[g] + 3) if g in last else o
+        assert slots[k] == last[g]
+
+
+def test_an_id_both_allowed_and_denied_is_an_error(spark):
+    rows = spark.range(1).select(policy.permitted(F.lit("a"), F.array(F.lit("a")), F.array(F.lit("a"))))
+    with pytest.raises(Exception, match="both allowed and denied"):
+        rows.collect()
+
+
+def test_cache_scopes(spark):
+    row = spark.range(1).select(content.authentication_scope(F.lit(None).cast("string")).alias("a"), content.authentication_scope(F.lit("r")).alias("b")).first()
+    assert row.a == "public" and row.b.startswith("auth:sha256:") and "r" != row.b
+    with pytest.raises(Exception, match="cannot be blank"):
+        spark.range(1).select(content.authentication_scope(F.lit("  "))).collect()
+
+
+def test_a_tail_ends_for_good(spark, tmp_path):
+    """Events that arrive after a run's end, in a later file, are not shown."""
+    path, schema = f"file://{tmp_path}/log", "run_id long, sequence long, event_type string"
+    out = [(1, 1, "A"), (1, 2, "FINISHED"), (2, 1, "A")], [(1, 3, "LATE"), (2, 2, "B")]
+    marks, table = f"file://{tmp_path}/marks", f"file://{tmp_path}/out"
+    for rows in out:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = events.until_finished(events.tail(spark, path, spark.createDataFrame([], schema).schema))
+        stream.writeStream.option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).format("parquet").option("path", table).start().awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(table).collect()} == {(1, 1, "A"), (1, 2, "FINISHED"), (2, 1, "A"), (2, 2, "B")}
+
+
+def test_tables_can_be_cleared(spark):
+    df = shared.written(spark.range(3), "t")
+    assert df.count() == 3
+    path = df.inputFiles()[0]
+    assert "/pagelake/t-" in path

@@ -61,13 +61,3 @@ def hot(spark, tmp_path_factory):
 def test_feeds_of_a_hot_user(spark, hot, name):
     got, want = registry.QUERIES[name](spark, hot[0]).toPandas(), hot[1].sql(registry.ORACLE_SQL[name]).df()
     assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
-
-
-def test_streaming_quality_equals_batch(spark):
-    from pagelake.functions import quality
-    from pyspark.sql import functions as F
-
-    stream = {tuple(r) for r in registry.QUERIES["streaming_quality"](spark, DATA).collect()}
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("t", quality.squeeze(F.col("text")))
-    batch = docs.select("doc_id", *[c.alias(n) for n, c in quality.assess(F.col("t")).items()]).select("doc_id", "page_state", "language", "score", "accepted")
-    assert stream == {tuple(r) for r in batch.collect()}
