@@ -27,7 +27,6 @@ MARKERS = {
 }
 LETTER = r"\p{L}\p{Nl}\p{No}"
 WORD = rf"[{LETTER}]+"
-_ALL_MARKERS = "|".join(sorted({w for m in MARKERS.values() for w in m}, key=lambda w: (-len(w), w)))
 #: Arabic, Hangul, Cyrillic, kana and Han.
 SCRIPTS = r"؀-ۿ가-힯Ѐ-ӿ぀-ヿ一-鿿"
 
@@ -75,22 +74,31 @@ def _in(values: tuple[str, ...]):
 
 def language(text: Column) -> Column:
     """Language by script, else by marker words (two at least); null if unclear."""
-    # letters of the five scripts alone: most texts have none, and what is counted further is short
-    letters = F.when(text.rlike(f"[{SCRIPTS}]"), F.regexp_replace(text, f"[^{SCRIPTS}]+", "")).otherwise("")
+    # words of all languages' markers in one pass over the text; each is then told by a lookup
+    found = F.filter(F.split(F.lower(text), f"[^{LETTER}]+"), _in(tuple(sorted({w for m in MARKERS.values() for w in m}))))
+    counts = lambda ws: F.struct(*[F.size(F.filter(ws, _in(m))).alias(k) for k, m in MARKERS.items()])
+    marked = _bound(found, lambda ws: _bound(counts(ws), _best))
+    # most texts have no letter of the five scripts; of others these letters alone are counted
+    letters = F.regexp_replace(text, f"[^{SCRIPTS}]+", "")
+    return F.coalesce(F.when(text.rlike(f"[{SCRIPTS}]"), _bound(letters, lambda x: _bound(_script_counts(x), _script))), marked)
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value made once per row: an array of one binds it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _script_counts(letters: Column) -> Column:
     count = lambda chars: F.length(letters) - F.length(F.regexp_replace(letters, f"[{chars}]+", ""))
-    ar, ko, ru = (count(x) for x in (r"؀-ۿ", r"가-힯", r"Ѐ-ӿ"))
-    # one pass finds the marker words of all languages; each is then told by a lookup
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![{LETTER}])({_ALL_MARKERS})(?![{LETTER}])"), F.lit(1))
-    # an array of one value binds it: words and counts are made once per row
-    counts = F.transform(F.array(found), lambda ws: F.struct(*[F.size(F.filter(ws, _in(m))).alias(k) for k, m in MARKERS.items()]))
-    marked = F.transform(counts, _best)[0]
-    script = F.greatest(ar, ko, ru)
-    return (
-        F.when((script >= 8) & (ar == script), "ar").when((script >= 8) & (ko == script), "ko").when(script >= 8, "ru")
-        .when(count(r"぀-ヿ") >= 4, "ja")
-        .when(count(r"一-鿿") >= 8, "zh")
-        .otherwise(marked)
-    )
+    ranges = {"ar": r"؀-ۿ", "ko": r"가-힯", "ru": r"Ѐ-ӿ", "ja": r"぀-ヿ", "zh": r"一-鿿"}
+    return F.struct(*[count(x).alias(k) for k, x in ranges.items()])
+
+
+def _script(n: Column) -> Column:
+    """Language of a script's counts, or null."""
+    most = F.greatest(n["ar"], n["ko"], n["ru"])
+    first = F.when(n["ar"] == most, "ar").when(n["ko"] == most, "ko").otherwise("ru")
+    return F.when(most >= 8, first).when(n["ja"] >= 4, "ja").when(n["zh"] >= 8, "zh")
 
 
 def mismatch(state: Column, found: Column, expected: Column) -> Column:
