@@ -76,7 +76,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 #: Keys that may be broadcast as hot (a key and a few numbers each).
 HOT_KEYS = 20_000
 #: Rows of one key that are never called hot.
-FEW_ROWS = 1000
+FEW_ROWS = 200
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -5,14 +5,12 @@
    its smallest id stands for it.
 2. Inverted lists of the retained values. Two linked texts share at least ``t`` of
    their retained values, so of each sketch only the rarest values are listed, all
-   but ``t - 1``; values that many texts share stay out of most lists. Texts in one
-   list are connected to its smallest id, and connected texts form a cluster.
-3. Clusters above ``CHUNK`` texts are taken apart first: the lists' pairs, with their
-   overlaps, go through the union-sketch estimate, and only texts connected by such
-   pairs stay together. Lists above ``LIST`` texts don't give all their pairs: every
-   text meets ``PIVOTS`` of the list, and then, in blocks, the texts of the list
-   that are connected with others.
-4. Inside a cluster estimates choose pairs and Jaccard on the whole sets confirms
+   but ``t - 1``; values that many texts share stay out of most lists. The pairs in
+   the lists, with their overlaps, go through the union-sketch estimate, and texts
+   connected by pairs that pass form a cluster. Lists above ``LIST`` texts don't give
+   all their pairs: every text meets ``LIST_PIVOTS`` of the list, and then, in blocks,
+   the texts of the list that it is not connected with.
+3. Inside a cluster estimates choose pairs and Jaccard on the whole sets confirms
    them. Clusters up to ``CHUNK`` texts are compared in one task. In larger ones,
    which are groups of near copies, all texts first meet a few pivots, in chunks;
    then only texts that are not yet in one component are compared, in blocks.
@@ -45,9 +43,12 @@ from pagelake.llm.recompression import U, Words, mix
 
 #: Retained values, and the chance that two linked texts share fewer than they should.
 K, MISS = 64, 1e-8
-#: Texts that are compared in one task, pivots of larger clusters and lists, texts in a
-#: block, texts of a list that give all their pairs.
-CHUNK, PIVOTS, BLOCK, LIST = 512, 8, 256, 128
+#: Texts that are compared in one task, pivots of larger clusters, texts in a block.
+CHUNK, PIVOTS, BLOCK = 256, 8, 256
+#: Texts of a list that give all their pairs; pivots of larger lists, and sketches in a block of them.
+LIST, LIST_PIVOTS, LIST_BLOCK = 128, 2, 2048
+#: Edges that one task joins into components.
+TASK_EDGES = 1 << 18
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 
@@ -116,16 +117,29 @@ def document_sketches(docs: DataFrame, size: int, *, id_col: str, text_col: str)
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """``node, label``: the smallest node of the component, for nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps on written tables until the edges
-    stay the same; edges never meet on the driver. The smallest neighbour of a hub
-    reaches the hub's edges by broadcast.
+    Each task first joins up to ``TASK_EDGES`` edges and sends on one edge per node
+    that isn't its component's smallest. If that took several tasks, large-star and
+    small-star steps alternate on written tables until the edges stay the same.
+    Edges never meet on the driver; the smallest neighbour of a hub reaches the
+    hub's edges by broadcast.
     """
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, nodes = _Union(), set()
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                union.join(x, y)
+                nodes.update((x, y))
+        pairs = [(x, union.root(x)) for x in sorted(nodes) if union.root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
     def lowest(rows: DataFrame) -> DataFrame:
         return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
-    now, seen, step = tables.write(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"), None, 0
-    while True:
+    edges = edges.where("a != b").select("a", "b")
+    tasks = math.ceil(max(1, edges.count()) / TASK_EDGES)
+    now, seen, step = tables.write(edges.repartition(tasks).mapInArrow(joined, "u long, v long"), f"{name}-0"), None, 0
+    while tasks > 1:
         state = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.col("v").cast("decimal(38,0)"))).first())  # a fingerprint
         if state == seen:
             break
@@ -137,8 +151,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
         small = join_counted(large, low, "u", "n", 2 * state[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = tables.write(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{step}")
         tables.drop(f"{name}-{step - 1}")
-    stars = now.groupBy("u").agg(F.min("v").alias("label"))
-    return stars.select(F.col("u").alias("node"), "label").union(now.select("v", "v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
 
 
 class _Union:
@@ -226,19 +239,21 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
 
 
-def _between_labels(rows: DataFrame, group: str, find, tables: Tables, name: str) -> DataFrame:
+def _between_labels(rows: DataFrame, group: str, size: int, find, tables: Tables, name: str) -> DataFrame:
     """Edges (a, b) that ``find(left, right, wanted)`` sees between texts of one group and different labels.
 
-    ``rows``: the group, ``node, label, n, hashes``. A group's texts lie in blocks by
-    label; every two blocks meet but for those of one and the same label.
+    ``rows``: the group, ``node, label, n, hashes``. A group's texts lie in blocks of
+    ``size`` by label; every two blocks meet but for those of one and the same label.
     """
     rows = rows.withColumn("one", F.lit(1).cast("long"))
-    placed = number_rows(rows, ["label", "node"], by=[group], sums={"place": "one"}, name=name, tables=tables).withColumn("block", F.floor(F.col("place") / BLOCK))
+    placed = number_rows(rows, ["label", "node"], by=[group], sums={"place": "one"}, name=name, tables=tables)
+    placed = tables.write(placed.withColumn("block", F.floor(F.col("place") / size)).select(group, "block", "label", "n", "hashes"), f"{name}-placed")
+    tables.drop(name)
     blocks = placed.groupBy(group, "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     sides = [blocks.select(group, *[F.col(c).alias(f"{s}_{c}") for c in ("block", "low", "high")]) for s in "ij"]
     tasks = sides[0].join(sides[1], group).where("i_block <= j_block AND NOT (i_low = i_high AND j_low = j_high AND i_low = j_low)")
     tasks = tasks.select(group, "i_block", "j_block", F.explode(F.array_distinct(F.array("i_block", "j_block"))).alias("block"))
-    dealt = placed.select(group, "block", "label", "n", "hashes").join(tasks, [group, "block"])
+    dealt = placed.join(tasks, [group, "block"])
 
     def compare(table: pa.Table) -> pa.Table:
         label, block, n = (table.column(c).to_numpy() for c in ("label", "block", "n"))
@@ -250,14 +265,13 @@ def _between_labels(rows: DataFrame, group: str, find, tables: Tables, name: str
     return dealt.groupBy(group, "i_block", "j_block").applyInArrow(compare, "a long, b long")
 
 
-def _apart(clusters: DataFrame, lists: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
-    """``node, cluster``: the nodes of ``clusters`` connected by pairs that pass the estimate."""
-    listed = lists.join(clusters.select("node"), "node")
-    total = listed.count()
-    pivots = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(j)), "node", "n")) for j in range(PIVOTS)])
+def _clusters(lists: DataFrame, classes: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """``node, cluster, size``: nodes connected by pairs of the lists (node, n, value) that pass the estimate."""
+    total = lists.count()
+    pivots = F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(j)), "node", "n")) for j in range(LIST_PIVOTS)])
     pivots = F.array_distinct(F.transform(pivots, lambda p: F.struct(p["node"].alias("node"), p["n"].alias("n"))))
-    per = listed.groupBy("value").agg(F.count("*").alias("texts"), pivots.alias("pivots")).where("texts > 1")
-    listed = tables.write(join_counted(listed, per, "value", "texts", total), "listed")
+    per = lists.groupBy("value").agg(F.count("*").alias("texts"), pivots.alias("pivots")).where("texts > 1")
+    listed = tables.write(join_counted(lists, per, "value", "texts", total), "listed")
     few, many = listed.where(f"texts <= {LIST}"), listed.where(f"texts > {LIST}")
     alike = f"100 * least(n, b_n) >= {percent} * greatest(n, b_n) AND node != b"
     small = few.join(few.select("value", F.col("node").alias("b"), F.col("n").alias("b_n")), "value").where(f"node < b AND {alike}").select(F.col("node").alias("a"), "b")
@@ -269,7 +283,7 @@ def _apart(clusters: DataFrame, lists: DataFrame, classes: DataFrame, percent: i
         sketches = classes.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("n_shingles").alias(f"{side}_n")).join(degree, side)
         met = join_counted(met, sketches, side, f"{side}_deg", n_pairs)
     maybe = tables.write(met.where(_may_link(percent)).select("a", "b"), "maybe")
-    labels = components(maybe, tables, "maybe-linked")
+    labels = tables.write(components(maybe, tables, "maybe-linked"), "maybe-labels")
     # lists whose texts are not all connected yet: texts of different components meet in blocks
     of = many.select("value", "node", "n", "texts").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = tables.write(of, "labelled")
@@ -281,9 +295,11 @@ def _apart(clusters: DataFrame, lists: DataFrame, classes: DataFrame, percent: i
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("value", "node", "label", "n")], pa.array([np.array(x, np.int64).tobytes() for x in b.column("sketch").to_pylist()], pa.binary())], names=["value", "node", "label", "n", "hashes"])
 
     rows = rows.select("value", "node", "label", "n", "sketch").mapInArrow(packed, "value long, node long, label long, n long, hashes binary")
-    more = _between_labels(rows, "value", lambda x, y, n, m, wanted: np.argwhere(_estimated(x, y, n, m, percent, wanted)), tables, "list-blocks")
-    found = tables.write(components(maybe.union(more), tables, "taken-apart").withColumnRenamed("label", "cluster"), "apart")
-    tables.drop("listed", "pairs", "maybe", "labelled", "list-blocks")
+    more = _between_labels(rows, "value", LIST_BLOCK, lambda x, y, n, m, wanted: np.argwhere(_estimated(x, y, n, m, percent, wanted)), tables, "list-blocks")
+    found = components(maybe.union(more), tables, "clustered").withColumnRenamed("label", "cluster")
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
+    found = tables.write(join_counted(found, sizes, "cluster", "size", found.count()), "clusters")
+    tables.drop("lists", "listed", "pairs", "maybe", "maybe-linked-0", "labelled", "list-blocks-placed", "clustered-0")
     return found
 
 
@@ -319,21 +335,7 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     enough = F.greatest(F.lit(1), F.floor(F.col("kept") * shared / K))
     listed = F.greatest(F.lit(0), F.col("kept") - enough + 1 - (F.col("kept") - F.size("x")))
     lists = held.select("node", "n", F.explode(F.slice("x", F.lit(1), listed.cast("int"))).alias("x")).select("node", "n", "x.value")
-    lists = tables.write(lists, "lists")
-    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.count("*").alias("texts")).where("texts > 1")
-    stars = join_counted(lists, heads, "value", "texts", lists.count()).select("a", F.col("node").alias("b")).distinct()
-    clusters = tables.write(components(stars, tables, "connected").withColumnRenamed("label", "cluster"), "connected")
-
-    def sized(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
-        return join_counted(rows, sizes, "cluster", "size", rows.count())
-
-    clusters = tables.write(sized(clusters), "sized")
-    large = clusters.where(f"size > {CHUNK}")
-    if large.limit(1).count():
-        apart = _apart(large, lists, classes, percent, tables)
-        clusters = tables.write(clusters.where(f"size <= {CHUNK}").unionByName(sized(apart)), "clusters")
-    tables.drop("lists", "connected")
+    clusters = _clusters(tables.write(lists, "lists"), classes, percent, tables)
 
     # whole sets of the clustered texts only
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
@@ -368,12 +370,12 @@ def near_duplicate_groups(docs: DataFrame, *, percent: int = 75, shingle: int =
     if large.limit(1).count():
         labels = components(edges, tables, "first").withColumnRenamed("node", "of")
         large = large.join(labels, F.col("node") == F.col("of"), "left").withColumn("label", F.coalesce("label", "node")).drop("of")
-        more = _between_labels(large, "cluster", lambda x, y, n, m, wanted: _links(x, y, percent, wanted), tables, "blocks")
+        more = _between_labels(large, "cluster", BLOCK, lambda x, y, n, m, wanted: _links(x, y, percent, wanted), tables, "blocks")
         edges = tables.write(edges.union(more), "all-links")
     final = components(edges, tables, "groups").withColumnRenamed("node", "of")
     known = classes.select(*[F.col(c).alias(f"k_{c}") for c in classed], "node")
     known = tables.write(known.join(final, F.col("node") == F.col("of"), "left").select(*[f"k_{c}" for c in classed], F.coalesce("label", "node").alias("label")), "labels")
-    tables.drop("classes", "sized", "clusters", "apart", "sets", "links", "blocks", "all-links")
+    tables.drop("classes", "clusters", "sets", "links", "blocks-placed", "all-links", "maybe-labels")
     out = _labelled(rows, known, classed)
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -52,13 +52,15 @@ def make(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,chunk,block,lists,few", [(0, 512, 256, 128, 1000), (1, 16, 8, 128, 1000), (2, 5, 3, 4, 3), (3, 8, 4, 2, 10)])
+@pytest.mark.parametrize("seed,chunk,block,lists,few", [(0, 512, 256, 128, 1000), (1, 16, 8, 128, 1000), (2, 5, 3, 4, 3)])
 def test_against_brute_force(spark, monkeypatch, seed, chunk, block, lists, few):
     monkeypatch.setattr(common, "FEW_ROWS", few)
     monkeypatch.setattr(near_dedup, "LIST", lists)
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", block)
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", 1 << 18 if seed < 2 else 20)
     rows = make(seed, 150)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("x")).withColumn("label", F.lit(1))
     got = near_duplicate_groups(docs.repartition(6))
@@ -113,9 +115,12 @@ def test_shared_values_by_similarity(spark):
             near_duplicate_groups(spark.createDataFrame([], "doc_id long, text string"), percent=percent)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("limit,few", [(1 << 18, 200), (50, 200), (50, 3)])
+def test_components_of_random_graphs(spark, monkeypatch, limit, few):
+    monkeypatch.setattr(near_dedup, "TASK_EDGES", limit)
+    monkeypatch.setattr(common, "FEW_ROWS", few)
     rng = np.random.default_rng(3)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2500, i) for i in range(2000, 2080)]
     up = {x: x for e in edges for x in e}
 
     def root(x):
