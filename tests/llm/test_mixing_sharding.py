@@ -29,6 +29,29 @@ def water_fill(sizes, weights, share, epochs):
     return out
 
 
+def targets_of(rows):
+    """Target of each source of (id, size, source) rows at production weights."""
+    per = Counter()
+    for _, size, source in rows:
+        per[source] += size
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    return dict(zip(names, water_fill([per[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2)))
+
+
+def mix_brute(rows):
+    """Words taken from each document: whole epochs, then a fraction in the seeded order."""
+    out = {}
+    for source, target in targets_of(rows).items():
+        mine = sorted((hashlib.md5(f"mix-1:{k}".encode()).hexdigest(), k, size) for k, size, s in rows if s == source)
+        total, want = sum(size for _, _, size in mine), int(target)
+        whole = want // total if total else 0
+        left = want - whole * total
+        for _, k, size in mine:
+            out[k] = whole * size + min(size, left)
+            left -= min(size, left)
+    return out
+
+
 def test_targets_are_the_fixed_point(spark):
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 7, 40):

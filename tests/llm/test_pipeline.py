@@ -11,8 +11,9 @@ from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pagelake.llm.common import materialize  # noqa: E402
-from pagelake.llm.mixing import mix, mixed_documents  # noqa: E402
+from pagelake.llm.mixing import mixed_documents  # noqa: E402
 from pagelake.llm.near_dedup import drop_near_duplicates  # noqa: E402
+from tests.llm.test_mixing_sharding import mix_brute, targets_of  # noqa: E402
 from tests.llm.test_near_dedup import brute as near_brute  # noqa: E402
 from tests.llm.test_rules import stats  # noqa: E402
 from tests.llm.test_substring_dedup import brute as cut_brute  # noqa: E402
@@ -40,12 +41,12 @@ def test_stages_and_run(spark):
     assert {r.doc_id: r.text.encode().split() for r in rows[3]} == want
     assert all(r.n_chars == len(r.text) for r in rows[3] if cut)
     # mix
-    plan = {r.doc_id: r for r in mix(seen[3]).collect()}
+    plan = mix_brute([(r.doc_id, len(r.text.encode().split()), r.source) for r in rows[3]])
     taken = Counter()
     for r in rows[4]:
         taken[r.doc_id] += len(r.text.encode().split())
         assert want[r.doc_id][: len(r.text.encode().split())] == r.text.encode().split()
-    assert taken == Counter({k: r.taken for k, r in plan.items() if r.taken})
+    assert taken == Counter({k: n for k, n in plan.items() if n})
     # windows
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokens = sum(len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in rows[4])
@@ -74,6 +75,7 @@ def test_one_row_of_each_group_stays(spark, odd):
 
 
 def test_repeated_rows_share_the_mix(spark, odd):
-    total = sum(r.taken for r in mix(odd).collect())
+    rows = [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in odd.collect()]
+    total = int(sum(map(int, targets_of(rows).values())))
     got = sum(len(r.text.encode().split()) for r in mixed_documents(odd).collect())
     assert total - 3 <= got <= total
