@@ -179,8 +179,8 @@ def best_of(rows, k=5):
 def test_top_k(spark, monkeypatch, size, kind):
     monkeypatch.setattr(topk_search, "CANDIDATES", size)
     monkeypatch.setattr(topk_search, "QUERIES", 3)
-    monkeypatch.setattr(topk_search, "PASS_BYTES", 200 if size == 7 else 1 << 20)
-    monkeypatch.setattr(topk_search, "BINS", 16 if size == 7 else 4096)
+    monkeypatch.setattr(topk_search, "PASS_BYTES", 500 if size == 7 else 1 << 20)
+    monkeypatch.setattr(topk_search, "BINS", 300 if size == 7 else 4096)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
     rows += [(200 + i, [1.0] * 6) for i in range(30)] + [(None, [1.0] * 6), (400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (450, [1.0] * 3), (451, [2.0] * 3), (500, [1.0] * 2)]
