@@ -184,8 +184,9 @@ def suffix_handler(spark, d):
 
 @query("named_api_detect", "SELECT page_id, ['github_api', NULL, 'arxiv_api', 'crossref_openalex_api', NULL][page_id % 5 + 1] AS api FROM pages")
 def named_api_detect(spark, d):
-    bases = ["https://api.github.com/repos/", "https://api.github.com.attacker.example/", "http://export.arxiv.org/api/query/", "https://api.crossref.org/works/", "http://api.crossref.org/works/"]
-    url = F.concat(F.element_at(F.array(*map(F.lit, bases)), (F.col("page_id") % 5 + 1).cast("int")), F.col("page_id").cast("string"))
+    """The pages' own paths and queries under the address of an API, or under one like it."""
+    bases = ["https://api.github.com", "https://api.github.com.attacker.example", "http://export.arxiv.org/api/query", "https://api.crossref.org/works", "http://api.crossref.org/works"]
+    url = F.concat(F.element_at(F.array(*map(F.lit, bases)), (F.col("page_id") % 5 + 1).cast("int")), u.path(F.col("url")), F.lit("?"), u.query(F.col("url")))
     return pages(spark, d).select("page_id", u.named_api(url).alias("api"))
 
 
