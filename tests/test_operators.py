@@ -1,7 +1,6 @@
 """Payloads, files, crawls and redirects against small cases and brute force."""
 
 import io
-import json
 import os
 import random
 import tarfile
