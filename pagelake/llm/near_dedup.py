@@ -296,10 +296,11 @@ def _clusters(lists: DataFrame, classes: DataFrame, percent: int, tables: Tables
 
     rows = rows.select("value", "node", "label", "n", "sketch").mapInArrow(packed, "value long, node long, label long, n long, hashes binary")
     more = _between_labels(rows, "value", LIST_BLOCK, lambda x, y, n, m, wanted: np.argwhere(_estimated(x, y, n, m, percent, wanted)), tables, "list-blocks")
-    found = components(maybe.union(more), tables, "clustered").withColumnRenamed("label", "cluster")
+    both = tables.write(maybe.union(more), "maybe-all")
+    found = components(both, tables, "clustered").withColumnRenamed("label", "cluster")
     sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
     found = tables.write(join_counted(found, sizes, "cluster", "size", found.count()), "clusters")
-    tables.drop("lists", "listed", "pairs", "maybe", "maybe-linked-0", "labelled", "list-blocks-placed", "clustered-0")
+    tables.drop("lists", "listed", "pairs", "maybe", "maybe-all", "maybe-linked-0", "labelled", "list-blocks-placed", "clustered-0")
     return found
 
 
