@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import licenses, quality_rules
+from pagelake.llm import licenses, oracles, quality_rules
 from pagelake.llm.common import shared_dir
+from pagelake.llm.importance import resample
 from pagelake.llm.mixing import mix
 from pagelake.llm.near_dedup import near_duplicate_groups
 from pagelake.llm.packing import pack_documents
@@ -88,7 +89,12 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op6_minhash_dedup, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards)}
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark's texts."""
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op6_minhash_dedup, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards, op13_importance_resample)}
 
 
 def _license_sql() -> str:
@@ -227,4 +233,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op4_license_scan": _license_sql(),
     "op8_quality_rules": _quality_sql(),
+    "op13_importance_resample": oracles.RESAMPLE,
 }
