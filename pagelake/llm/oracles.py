@@ -40,3 +40,32 @@ ranked AS (
 SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END::BIGINT AS rank
 FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
 """
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+runs AS (
+  SELECT doc_id, r, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents)
+  WHERE length(r) >= 6 GROUP BY doc_id, r),
+hashed AS (SELECT r, n, {crc32("doc_id::VARCHAR || ':' || r")} AS h FROM runs, crc_table),
+blurred AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM blurred WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM cut SEMI JOIN words w ON cut.rest = w.word
+  UNION SELECT rest, word FROM cut SEMI JOIN words w ON cut.rest = w.word),
+best AS (
+  SELECT word, near, near_n, n_near FROM (
+    SELECT p.word, near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+           row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, encode(near)) AS k
+    FROM pairs p JOIN words w ON p.near = w.word) WHERE k = 1),
+judged AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+path(word, last, k) AS (
+  SELECT word, word, 0 FROM judged
+  UNION ALL SELECT p.word, j.form, k + 1 FROM path p JOIN judged j ON p.last = j.word WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, k) AS root FROM path GROUP BY word)
+SELECT j.word, form, root, n, n_near, form_n FROM judged j JOIN ends e ON j.word = e.word
+"""
