@@ -1,7 +1,9 @@
-"""DuckDB SQL of operators that share the crc32 of a text, which DuckDB lacks."""
+"""DuckDB SQL of operators, some with the crc32 of a text, which DuckDB lacks."""
 
 from __future__ import annotations
 
+from pagelake.llm import pii
+
 #: The table of the reflected polynomial 0xEDB88320, made by its rule.
 CRC_TABLE = """
 crc_table AS (
@@ -69,3 +71,61 @@ path(word, last, k) AS (
 ends AS (SELECT word, arg_max(last, k) AS root FROM path GROUP BY word)
 SELECT j.word, form, root, n, n_near, form_n FROM judged j JOIN ends e ON j.word = e.word
 """
+
+
+def _pii_sql() -> str:
+    """The spans in DuckDB SQL: patterns as first written, places by running sums over rows."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    } | pii.ADDED_PATTERNS
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, '{name}' AS name, regexp_extract_all(text, '{patterns[name]}') AS f, string_split_regex(text, '{patterns[name]}') AS g FROM texts" for k, name in enumerate(pii.KINDS)
+    )
+    lengths = ", ".join(f"('{c}', {n})" for c, n in pii.IBAN_LENGTHS.items())
+    near = " ".join(f"WHEN '{k}' THEN regexp_matches(around, '(^|[^a-z])({w})([^a-z]|$)')" for k, w in pii.CONTEXT.items())
+    beside = " ".join(f"WHEN '{k}' THEN NOT regexp_matches(right(before, 1), '{c}') AND NOT regexp_matches(left(after, 1), '{c}')" for k, c in pii.BESIDE.items())
+    scores = " ".join(f"WHEN '{k}' THEN {n}" for k, n in pii.SCORES.items())
+    luhn = "list_sum(list_transform(string_split(reverse(digits), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INTEGER WHEN d::INTEGER > 4 THEN 2 * d::INTEGER - 9 ELSE 2 * d::INTEGER END)) % 10 = 0"
+    line = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lengths(country, size) AS (VALUES {lengths}),
+lists AS ({found}),
+matches AS (
+  SELECT doc_id, kind, name, value, gap, next_gap, i,
+         (sum(length(gap) + length(value)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(value))::BIGINT AS start
+  FROM (SELECT doc_id, kind, name, unnest(f) AS value, unnest(g[1:len(f)]) AS gap, unnest(g[2:]) AS next_gap, generate_subscripts(f, 1) AS i FROM lists WHERE len(f) > 0)),
+cut AS (
+  SELECT doc_id, kind, name, start, right(gap, {pii.BEFORE}) AS before, i > 1 AND gap = '' AS joined, left(next_gap, {pii.AFTER}) AS after, value,
+         CASE WHEN name = 'iban' THEN coalesce(regexp_extract(value, '^([A-Z0-9] ?){{' || (size - 1) || '}}[A-Z0-9]'), '') ELSE value END AS v
+  FROM matches LEFT JOIN lengths ON name = 'iban' AND country = value[1:2]),
+spans AS (
+  SELECT *, CASE WHEN name = 'iban' THEN left(value[length(v) + 1:] || after, {pii.AFTER}) ELSE after END AS after_v,
+         regexp_replace(v, '[^0-9]', '', 'g') AS digits, replace(v[5:] || v[1:4], ' ', '') AS moved FROM cut),
+judged AS (
+  SELECT doc_id, kind, name, start, start + length(v) AS stop,
+         CASE name
+           WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INTEGER), 0) > 255)) = 0
+           WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND {luhn}
+           WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+           WHEN 'iban' THEN v <> '' AND list_reduce(string_split(regexp_replace(moved, '(.)', '\1', 'g'), ''), lambda a, c: CASE WHEN c >= 'A' THEN (a * 100 + ascii(c) - 55) % 97 ELSE (a * 10 + ascii(c) - 48) % 97 END, 0) = 1
+           WHEN 'ssn' THEN NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$')
+           WHEN 'birth' THEN try_cast(CASE WHEN v[5:5] = '-' THEN v[6:7] ELSE v[4:5] END AS INTEGER) BETWEEN 1 AND 12 AND try_cast(CASE WHEN v[5:5] = '-' THEN v[9:10] ELSE v[1:2] END AS INTEGER) BETWEEN 1 AND 31
+           ELSE TRUE END AS valid,
+         kind < {len(pii.BASE)} AS base,
+         NOT joined AND CASE name {beside.replace("after,", "after_v,")} ELSE TRUE END AS free,
+         CASE name {scores} END + CASE WHEN CASE name {near} END THEN {pii.NEARBY} ELSE 0 END AS score
+  FROM (SELECT *, translate(before || ' | ' || after_v, '{UPPER}', '{LOWER}') AS around FROM spans)),
+good AS (
+  SELECT * FROM judged j WHERE valid AND (base OR (free AND score >= {pii.LEAST} AND NOT EXISTS (
+    SELECT 1 FROM judged b WHERE b.base AND b.valid AND b.doc_id = j.doc_id AND b.start < j.stop AND j.start < b.stop)))),
+lines AS (SELECT doc_id, {line} AS spans, {line} FILTER (base) AS base_line, {", ".join(f"count_if(name = '{k}') AS n_{k}" for k in pii.BASE)} FROM good GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base_line, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN lines l ON t.doc_id = l.doc_id
+"""
+
+
+PERSONAL = _pii_sql()

@@ -13,6 +13,7 @@ from pagelake.llm.importance import resample
 from pagelake.llm.mixing import mix
 from pagelake.llm.near_dedup import near_duplicate_groups
 from pagelake.llm.packing import pack_documents
+from pagelake.llm.pii import pii_counts
 from pagelake.llm.sharding import shard_documents
 from pagelake.llm.spelling import spelling_groups
 from pagelake.llm.substring_dedup import dedup_substrings
@@ -95,12 +96,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(documents(spark, sf_dir))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii_counts(documents(spark, sf_dir))
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn by their likeness to the benchmark's texts."""
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op6_minhash_dedup, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards, op11_spelling_variants, op13_importance_resample)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_token_files, op4_license_scan, op5_topk_search, op6_minhash_dedup, op7_token_counts, op8_quality_rules, op9_pack_windows, op10_jump_shards, op11_spelling_variants, op12_personal_data, op13_importance_resample)}
 
 
 def _license_sql() -> str:
@@ -240,5 +246,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     "op4_license_scan": _license_sql(),
     "op8_quality_rules": _quality_sql(),
     "op11_spelling_variants": oracles.SPELLING,
+    "op12_personal_data": oracles.PERSONAL,
     "op13_importance_resample": oracles.RESAMPLE,
 }
