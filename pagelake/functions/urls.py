@@ -59,7 +59,7 @@ def host(url: Column) -> Column:
 
 def _port_text(url: Column) -> Column:
     """What follows the host's colon, or empty."""
-    return F.regexp_extract(host_port(url), r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return F.regexp_extract(host_port(url), r"^(?:\[[^\]]*\]|(?:[^:\[][^:]*)?):(.*)$", 1)
 
 
 def port(url: Column) -> Column:

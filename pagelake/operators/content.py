@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
-
 from pagelake.functions import html, quality, urls
 from pagelake.operators.shared import join_counted, written
 
@@ -141,10 +139,20 @@ def failure_class(status: Column, challenge: Column) -> Column:
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, url: str, digest: str) -> DataFrame:
-    """Full outer comparison by normalised URL: new, changed, same or gone."""
-    a, b = (x.select(urls.normalize(F.col(url)).alias("normalized"), F.col(digest).alias(n)) for x, n in ((before, "_before"), (after, "_after")))
-    kind = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "gone").when(F.col("_before") == F.col("_after"), "same").otherwise("changed")
-    return a.join(b, "normalized", "full").select("normalized", kind.alias("change"))
+    """Full outer comparison by normalised URL, one row each: new, changed, same or gone.
+
+    Of several URLs of one form in a snapshot the smallest digest counts; a page without a
+    digest is there all the same. URLs that are not accepted have no form and are left out.
+    """
+
+    def pages(x: DataFrame, name: str) -> DataFrame:
+        rows = x.select(urls.normalize(F.col(url)).alias("normalized"), F.col(digest).alias("_d")).where("normalized IS NOT NULL")
+        return rows.groupBy("normalized").agg(F.struct(F.min("_d").alias("digest")).alias(name))
+
+    both = pages(before, "_before").join(pages(after, "_after"), "normalized", "full")
+    same = F.col("_before.digest").eqNullSafe(F.col("_after.digest"))
+    kind = F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "gone").when(same, "same").otherwise("changed")
+    return both.select("normalized", kind.alias("change"))
 
 
 #: Keeps digests of references apart from all other digests.
@@ -296,6 +304,7 @@ def best_alternative(pages: DataFrame, candidates: DataFrame, known: DataFrame)
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The last row of each key, as a partial aggregate; rows without ``order`` count only where a key has no other."""
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    last = df.groupBy(*keys).agg(F.max_by(rest, F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"))).alias("_l"))
+    return last.select(*keys, "_l.*").select(*df.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import urls
-from pagelake.operators.shared import earlier_parts, join_counted, on_parts, ranged
+from pagelake.operators.shared import earlier_parts, join_counted, on_parts, ranged, written
 
 #: Fixed values.
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
@@ -109,16 +109,20 @@ def _robots_path(url: pd.Series) -> pd.Series:
     return url.map(one, na_action="ignore")
 
 
-def robots_filter(targets: DataFrame, robots: DataFrame, *, url: str = "url", agent: str = "*") -> DataFrame:
+def robots_filter(targets: DataFrame, robots: DataFrame, *, url: str = "url", agent: str = "*", order: str | None = None, normal: bool = False) -> DataFrame:
     """Add ``robots_allowed``: the first rule of the origin that fits decides; no rule or another status allows.
 
     Each robots text is parsed once to a table of rules by origin. The rules reach
     the URLs by a join that broadcasts the rules of large sites, so none is one task.
+    Of several answers of an origin the last by ``order`` counts, without it the
+    greatest (status, body). ``normal``: the URLs are in normal form.
     """
-    rules = robots.where("status = 200").groupBy("origin").agg(F.min("body").alias("body")).select(F.col("origin").alias("_origin"), _robots_rules(agent)("body").alias("_rules"))
-    rows = targets.withColumns({"_origin": F.coalesce(urls.origin(F.col(url)), F.lit("")), "_path": _robots_path(F.col(url))})
+    by = F.struct(F.col(order).alias("_by"), "status", "body") if order else F.struct("status", "body")
+    robots = robots.groupBy("origin").agg(F.max(by).alias("_r")).select("origin", "_r.status", "_r.body")
+    rules = robots.where("status = 200").select(F.col("origin").alias("_origin"), _robots_rules(agent)("body").alias("_rules"))
+    rows = written(targets.withColumns({"_origin": F.regexp_extract(url, "^[a-z]+://[^/?#]*", 0) if normal else urls.origin(F.col(url)), "_path": _robots_path(F.col(url))}), "robots").withColumn("_origin", F.coalesce("_origin", F.lit("")))
     sizes = rows.groupBy("_origin").agg(F.count("*").alias("_n"))
-    joined = join_counted(rows, sizes.join(rules, "_origin", "left"), "_origin", "_n", targets.count())
+    joined = join_counted(rows, sizes.join(rules, "_origin", "left"), "_origin", "_n", rows.count())
     fits = F.filter("_rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_path"), r["path"]))
     return joined.withColumn("robots_allowed", F.coalesce(F.get(fits, 0)["allowed"], F.lit(True))).drop("_origin", "_path", "_rules", "_n")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pagelake.functions import urls
 from pagelake.operators.shared import accumulated, numbered
@@ -114,6 +113,12 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
 
 
+def token_truncate(text: Column, tokens: Column | int) -> Column:
+    """The beginning of a text that a budget of tokens pays for, four code points each; none for a budget below 1."""
+    n = F.greatest(F.lit(0), (tokens if isinstance(tokens, Column) else F.lit(tokens)).cast("long") * 4)
+    return F.left(text, F.least(n, F.lit((1 << 31) - 1)).cast("int"))
+
+
 def key_conflicts(df: DataFrame, key: str, aliases: str) -> DataFrame:
     """Ids and aliases that are used twice: ``value, problem``."""
     ids = df.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
@@ -129,10 +134,9 @@ def latest_of(df: DataFrame, keys: list[str], order: str, value: str) -> DataFra
 
 
 def budget_cutoff(df: DataFrame, keys: list[str], order: list[str], cost: str, limit: float) -> DataFrame:
-    """Add ``used`` before each row and ``runs``: true while it is below ``limit``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(cost).over(w), F.lit(0))
-    return df.withColumn("used", used).withColumn("runs", F.col("used") < limit)
+    """Add ``used`` before each row and ``runs``: true while it is below ``limit``. No key is one task."""
+    spent = accumulated(df, keys, [F.col(c) for c in order], {"used": F.coalesce(F.col(cost), F.lit(0))}, before=True)
+    return spent.withColumn("runs", F.col("used") < limit)
 
 
 def context_pack(sources: DataFrame, keys: list[str], cost: str, score: str, order: str, limit: int) -> DataFrame:
@@ -146,12 +150,16 @@ def score_order(df: DataFrame, keys: list[str], score: str, order: str, out: str
 
 
 def first_seen(df: DataFrame, value: str, key: str) -> DataFrame:
-    """The smallest ``key`` of each distinct ``value``; only digests of the values are shuffled.
+    """The smallest ``key`` of each distinct ``value``, one row per value; only digests of the values are grouped.
 
-    The values themselves are fetched for the first rows, by key.
+    The values themselves are fetched for the first rows, by key and digest, so a key that
+    several values share gives no more rows. A null value is a value; its smallest key
+    counts like any other, and null keys only where a value has no other.
     """
-    lead = df.groupBy(F.sha2(value, 256).alias("_digest")).agg(F.min(key).alias(key))
-    return df.join(lead.select(key), key, "left_semi").select(value, key)
+    rows = df.select(value, key, F.sha2(value, 256).alias("_digest"))
+    lead = rows.groupBy(F.col("_digest").alias("_d")).agg(F.min(key).alias("_k"))
+    first = rows.join(lead, F.col("_digest").eqNullSafe(F.col("_d")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    return first.dropDuplicates(["_digest"]).select(value, key)
 
 
 def text_budget_use(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -160,17 +168,20 @@ def text_budget_use(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def seed_union(*lists: DataFrame, host: str | None = None, most: int | None = None) -> DataFrame:
-    """Seeds ``url, ord`` of several lists; the first list that names an URL wins.
+    """Seeds ``url, ord, place`` of several lists of ``url``; the first place that names an URL wins.
 
-    With ``host`` only URLs of that site stay, with ``most`` at most min(20, most).
+    ``ord`` is the list and ``place`` the place in it: its column ``place``, or the order of
+    its rows where it has none. With ``host`` only URLs of that site stay, with ``most`` the
+    first min(20, most) by list and place.
     """
-    rows = lists[0].withColumn("ord", F.lit(0))
-    for i, more in enumerate(lists[1:], 1):
-        rows = rows.unionByName(more.withColumn("ord", F.lit(i)))
+    placed = [x.select("url", F.lit(i).alias("ord"), F.col("place").cast("long").alias("place") if "place" in x.columns else F.monotonically_increasing_id().alias("place")) for i, x in enumerate(lists)]
+    rows = placed[0]
+    for more in placed[1:]:
+        rows = rows.unionByName(more)
     if host is not None:
         rows = rows.where(urls.site_host(F.col("url")) == host)
-    rows = rows.groupBy("url").agg(F.min("ord").alias("ord"))
-    return rows if most is None else rows.orderBy("ord", "url").limit(min(20, most))
+    rows = rows.groupBy("url").agg(F.min(F.struct("ord", "place")).alias("_at")).select("url", "_at.*")
+    return rows if most is None else rows.orderBy("ord", "place", "url").limit(min(20, most))
 
 
 def requested_intersection(requested: Column, known: Column) -> Column:
@@ -186,12 +197,15 @@ def two_way_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 
 
 def merge_sources(*sources: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
-    """Union of sources; of rows with equal keys the best score stays, the first on ties."""
+    """Union of sources; of rows with equal keys the best score stays, the first on ties.
+
+    A row without a score stays only where no row of its keys has one.
+    """
     rows = sources[0]
     for more in sources[1:]:
         rows = rows.unionByName(more)
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(-F.col(score), F.col(order))).alias("_b"))
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("low"), F.col(order))).alias("_b"))
     return best.select(*keys, "_b.*")
 
 
@@ -243,8 +257,8 @@ def context_bundle(docs: DataFrame, question: str, budget: int, *, sources: Data
 
     Scored sources that match come first, by score; if none does, they are searched
     again for the first six query terms. Exact matches in the documents follow, by
-    document and line; of equal locators the first stays. The longest beginning that
-    fits is returned.
+    document and line; of rows alike in locator and excerpt the first stays. The longest
+    beginning that fits is returned.
     """
     plain = docs.sparkSession.range(1).select(query_terms(F.lit(question)).alias("t")).first()["t"]  # the question's own words
     reason, rows = None, exact_search(docs, plain).select(F.lit(1).alias("_kind"), (-F.col("score")).alias("_low"), "doc_id", "line", "locator", "excerpt", "score")
@@ -256,9 +270,8 @@ def context_bundle(docs: DataFrame, question: str, budget: int, *, sources: Data
         none = [F.lit(0).cast(dict(rows.dtypes)[c]).alias(c) for c in ("doc_id", "line")]
         rows = found.select(F.lit(0).alias("_kind"), (-F.col("score")).alias("_low"), *none, "locator", "excerpt", "score").unionByName(rows)
     order = ["_kind", "_low", "doc_id", "line", "locator"]
-    rest = [c for c in rows.columns if c not in ("locator", *order)]
-    rows = rows.groupBy("locator").agg(F.min_by(F.struct(*rest, *[F.col(c).alias(f"o{c}") for c in order[:4]]), F.struct(*order)).alias("x")).select("locator", "x.*")
+    rows = rows.groupBy("locator", "excerpt").agg(F.min(F.struct(*[F.col(c).alias(f"o{c}") for c in order[:4]])).alias("x")).select("locator", "excerpt", "x.*")
     rows = rows.withColumn("cost", token_estimate(F.col("excerpt")))
-    packed = accumulated(rows, [], [F.col(f"o{c}") for c in order[:4]] + [F.col("locator")], {"total": F.col("cost")}).where(F.col("total") <= budget)
+    packed = accumulated(rows, [], [F.col(f"o{c}") for c in order[:4]] + [F.col("locator"), F.col("excerpt")], {"total": F.col("cost")}).where(F.col("total") <= budget)
     n = packed.agg(F.least(F.lit(1.0), F.count("*") * 0.35).alias("confidence"))
     return packed.crossJoin(F.broadcast(n)).select("locator", "excerpt", "cost", "confidence", F.lit(reason).cast("string").alias("fallback_reason"))

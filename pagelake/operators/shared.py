@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share.
 
@@ -77,17 +83,18 @@ def earlier_parts(by: list[str]):
     return Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def accumulated(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def accumulated(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], *, before: bool = False) -> DataFrame:
     """Add, for each entry of ``sums``, the sum over this and the earlier rows of the group in ``order``.
 
+    With ``before``, this row's own is left out.
     Each part adds up its own rows; one row per part and group takes part in the
     sum over parts.
     """
     rows = ranged(df, by, order)
-    here = Window.partitionBy(*by, "_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*by, "_part").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     totals = rows.groupBy(*by, "_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     bases = totals.select(*by, "_part", *[F.coalesce(F.sum(n).over(earlier_parts(by)), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    rows = rows.withColumns({n: F.sum(c).over(here) for n, c in sums.items()})
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(here), F.lit(0)) for n, c in sums.items()})
     return on_parts(rows, bases, by).select(*df.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 

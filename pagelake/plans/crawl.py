@@ -1,83 +1,123 @@
-"""Queries over link graphs and redirects derived from pages."""
+"""Queries over the link graph, sitemaps, robots rules and redirects of the pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagelake.functions import urls as u
 from pagelake.operators import crawl
+from pagelake.operators.shared import numbered, written
 from pagelake.plans.registry import query, table
+from pagelake.plans.urls import PARTS
 
-
-def edges(spark, d, k=4):
-    """dst = (src * 7 + k) mod count, k = 0 to 3."""
-    p = table(spark, d, "pages").select(F.col("page_id").alias("src"))
-    n = p.count()
-    rows = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return rows.select("src", "pos", ((F.col("src") * 7 + F.col("pos")) % n).alias("dst"))
-
-
-_EDGES = "edges AS (SELECT page_id AS src, k AS pos, (page_id * 7 + k) % (SELECT count(*) FROM pages) AS dst FROM pages, range(4) r(k))"
+#: Pages that one sitemap lists; an index lists the sitemaps of an origin.
+SITEMAP = 1000
+#: Robots rules of every https origin; others have none.
+ROBOTS = "User-agent: *\nDisallow: /en/1\nDisallow: /de\n"
+PAGES, DEPTH, ATTEMPTS = 20, 2, 25
 
 
-@query("reachable", f"WITH RECURSIVE {_EDGES}, r(start, node, depth) AS (SELECT page_id, page_id, 0 FROM pages UNION SELECT start, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node")
+def _pages(spark, d):
+    """One page per normalised URL, the first: ``page_id, url, html, origin, site``."""
+    p = table(spark, d, "pages")
+    first = p.select("page_id", u.normalize(F.col("url")).alias("url")).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    rows = first.join(p.select("page_id", "html"), "page_id")
+    origin = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)  # the URL is in normal form
+    return written(rows.select("page_id", "url", "html", origin.alias("origin"), u.site_host(F.col("url")).alias("site")), "pages")
+
+
+def _bodies(pages):
+    """The pages, and for each origin sitemaps of 1,000 pages under an index."""
+    rows = numbered(pages.select("origin", "page_id", "url"), ["origin"], [F.col("page_id")], "n").withColumn("map", F.floor(F.col("n") / SITEMAP))
+    loc = lambda c: F.concat(F.lit("<url><loc> "), c, F.lit(" </loc></url>"))
+    joined = lambda key, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, x.alias("x")))), lambda r: r["x"]), "\n")
+    maps = rows.groupBy("origin", "map").agg(joined("n", loc(F.col("url"))).alias("body"))
+    at = F.concat("origin", F.lit("/sitemap-"), F.col("map").cast("string"), F.lit(".xml"))
+    index = maps.groupBy("origin").agg(joined("map", loc(at)).alias("body")).select(F.concat("origin", F.lit("/sitemap.xml")).alias("url"), F.lit("application/xml").alias("media_type"), "body")
+    maps = maps.select(at.alias("url"), F.lit("text/xml").alias("media_type"), "body")
+    return pages.select("url", F.lit("text/html").alias("media_type"), F.col("html").alias("body")).unionByName(maps).unionByName(index)
+
+
+#: One page per URL, links and sitemaps as rows of (src, pos, dst).
+_GRAPH = f"""{PARTS},
+one AS (SELECT norm AS url, min(page_id) AS page_id FROM u GROUP BY norm),
+body AS (SELECT page_id, one.url, html, regexp_extract(one.url, '^[a-z]+://[^/?#]*') AS origin, regexp_extract(one.url, '^[a-z]+://(?:www\\.)?([^/?#:]*)', 1) AS site FROM one JOIN pages p USING (page_id)),
+hrefs AS (SELECT url AS src, origin, unnest(x) AS href, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM body)),
+plain AS (SELECT src, origin, pos, regexp_replace(regexp_replace(replace(replace(replace(replace(href, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '#.*$', ''), '\\?$', '') AS p FROM hrefs),
+a_links AS (SELECT src, pos, origin || CASE WHEN p IN ('', '/.', '/..') THEN '/' ELSE p END AS dst FROM plain),
+placed AS (SELECT origin, url, row_number() OVER (PARTITION BY origin ORDER BY page_id) - 1 AS n FROM body),
+map_links AS (
+  SELECT origin || '/sitemap-' || n // {SITEMAP} || '.xml' AS src, n % {SITEMAP} AS pos, url AS dst FROM placed
+  UNION ALL SELECT DISTINCT origin || '/sitemap.xml', n // {SITEMAP}, origin || '/sitemap-' || n // {SITEMAP} || '.xml' FROM placed)"""
+_SITE = "regexp_extract({0}, '^[a-z]+://(?:www\\.)?([^/?#:]*)', 1)"
+
+
+@query("reachable", f"""WITH RECURSIVE {_GRAPH}, edges AS (SELECT src, dst FROM a_links UNION SELECT src, dst FROM map_links UNION SELECT url, origin || '/sitemap.xml' FROM body),
+  starts AS (SELECT arg_min(url, page_id) AS url FROM body GROUP BY site),
+  r(start, node, depth) AS (SELECT url, url, 0 FROM starts UNION SELECT start, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node""")
 def reachable(spark, d):
-    """What lies within three steps of each page."""
-    return crawl.reachable(edges(spark, d), table(spark, d, "pages").select(F.col("page_id").alias("start")), 3)
+    """What lies within four steps of each site's first page, over links and sitemaps."""
+    p = _pages(spark, d)
+    edges = crawl.links_of(_bodies(p)).select("src", "dst").union(p.select("url", F.concat("origin", F.lit("/sitemap.xml"))))
+    return crawl.reachable(edges, p.groupBy("site").agg(F.min_by("url", "page_id").alias("start")).select("start"), 4)
 
 
-@query("frontier_admit", f"WITH {_EDGES} SELECT src AS root, dst AS url, CASE WHEN dst % 3 = 0 THEN 'seen' WHEN pos = 3 THEN 'depth_blocked' WHEN dst % 5 = 0 THEN 'domain_blocked' ELSE 'admitted' END AS label FROM edges")
+@query("frontier_admit", f"""WITH {_GRAPH}, found AS (SELECT *, 'https://seen.example/' || pos % 3 AS other FROM a_links)
+  SELECT src AS root, CASE WHEN pos % 6 = 4 THEN other ELSE dst END AS url, CASE WHEN pos % 6 = 4 OR pos % 6 = 1 THEN 'seen' WHEN pos % 6 = 3 THEN 'depth_blocked' WHEN pos % 6 = 4 THEN 'domain_blocked' WHEN pos % 6 = 5 THEN 'domain_blocked' ELSE 'admitted' END AS label
+  FROM found f WHERE pos % 6 <> 2 AND NOT (pos % 6 <> 1 AND EXISTS (SELECT 1 FROM found g WHERE g.src = f.src AND g.pos % 6 = 1 AND g.dst = f.dst))""")
 def frontier_admit(spark, d):
-    e = edges(spark, d)
-    found = e.select(F.col("src").alias("root"), F.col("dst").alias("url"), F.col("pos").alias("depth"), (F.col("dst") % 5 != 0).alias("same_site"))
-    seen = e.where("dst % 3 = 0").select(F.col("src").alias("root"), F.col("dst").alias("url"))
-    return crawl.frontier_admit(found, seen, 2).select("root", "url", "label")
-
-
-RELATION = ("internal", "next", "related", "category")
-PAGES, DEPTH, ATTEMPTS = 20, 2, 25
+    """Links of every page, written in other ways: hosts in capitals, default ports; some are no URLs or lead elsewhere."""
+    rows = _pages(spark, d).select("url", F.posexplode(crawl.page_links("url", "html")).alias("pos", "l")).select("url", "pos", F.col("l.url").alias("dst"))
+    k = F.col("pos") % 6
+    other = F.concat(F.lit("HTTPS://Seen.Example:443/"), (F.col("pos") % 3).cast("string"))
+    shout = F.concat(F.upper(F.regexp_extract("dst", "^([a-z]+://[^/]*)", 1)), F.regexp_extract("dst", "^[a-z]+://[^/]*(.*)$", 1), F.lit("#x"))
+    url = F.when(k == 2, "mailto:me").when(k == 4, other).otherwise(shout)
+    found = rows.select(F.col("url").alias("root"), url.alias("url"), F.when(k == 3, 9).otherwise(1).alias("depth"), (k != 5).alias("same_site"), "pos", "dst")
+    seen = found.where("pos % 6 = 1").select("root", F.col("dst").alias("url")).union(rows.where("pos % 6 = 4").select("url", F.concat(F.lit("https://seen.example/"), (F.col("pos") % 3).cast("string"))))
+    doubled = found.where("pos % 6 <> 1").join(seen.select(F.col("root").alias("_r"), F.col("url").alias("_d")).distinct(), (F.col("root") == F.col("_r")) & (crawl.urls.normalize(F.col("dst")) == F.col("_d")), "left_anti")
+    return crawl.frontier_admit(doubled.union(found.where("pos % 6 = 1")).drop("pos", "dst"), seen, 2).select("root", "url", "label")
 
 
 def _crawled(spark, d):
-    """Crawls of 20 pages and 2 steps from every page, over its links, its sitemap and two search results.
+    """Crawls of 20 targets and 2 steps from the first page of every site.
 
-    The sitemap of page i is number -1 - i; it lists pages i + 10 to i + 13. A sixth of
-    the pages can't be fetched, nor can every fourth sitemap.
+    A crawl follows the page's links, the sitemap of its origin and two search results, the
+    last pages of the site. Robots rules keep some of the https targets out.
     """
-    p = table(spark, d, "pages").select("page_id")
-    n = p.count()
-    page = lambda c: F.pmod(c, F.lit(n))
-    site = F.col("dst") % 9 != 0
-    e = edges(spark, d).select("src", "pos", "dst", site.alias("same_site"), F.element_at(F.array(*map(F.lit, RELATION)), F.col("pos") + 1).alias("relation"), (F.col("dst") % 3).cast("int").alias("n_variants"))
-    maps = p.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((-1 - F.col("page_id")).alias("src"), "pos", page(F.col("page_id") + 10 + F.col("pos")).alias("dst"))
-    maps = maps.select("src", "pos", "dst", site.alias("same_site"), F.lit("sitemap").alias("relation"), F.lit(0).alias("n_variants"))
-    stored = p.where("page_id % 6 <> 5").select(F.col("page_id").alias("url")).union(p.where("page_id % 4 <> 3").select(-1 - F.col("page_id")))
-    seed = lambda url, depth, pos, kind, ok: p.select(F.col("page_id").alias("root"), url.alias("url"), F.lit(depth).alias("depth"), F.lit(pos).alias("pos"), F.lit(kind).alias("relation"), ok.alias("same_site"))
-    seeds = seed(-1 - F.col("page_id"), 0, -1, "sitemap_file", F.lit(True))
-    for k in (25, 26):
-        url = page(F.col("page_id") + k)
-        seeds = seeds.union(seed(url, 1, 1000 + k, "search", url % 9 != 0))
-    return crawl.crawl(p.select(F.col("page_id").alias("root")), e.union(maps), stored, pages=PAGES, depth=DEPTH, seeds=seeds, attempts=ATTEMPTS, used=1)
+    p = _pages(spark, d)
+    bodies = _bodies(p)
+    roots = p.groupBy("site").agg(F.min_by("url", "page_id").alias("root"), F.min_by("origin", "page_id").alias("origin"), F.max(F.struct("page_id", "url")).alias("last"))
+    before = p.join(roots.select("site", F.col("last.page_id").alias("_last")), "site").where("page_id < _last").groupBy("site").agg(F.max_by("url", "page_id").alias("other"))
+    roots = roots.join(before, "site", "left")
+    seed = lambda url, depth, pos, kind: roots.select("root", url.alias("url"), F.lit(depth).alias("depth"), F.lit(pos).alias("pos"), F.lit(kind).alias("relation")).where("url IS NOT NULL")
+    seeds = seed(F.concat("origin", F.lit("/sitemap.xml")), 0, -1, "sitemap_file").union(seed(F.col("last.url"), 1, 10**9, "search")).union(seed(F.col("other"), 1, 10**9 + 1, "search"))
+    robots = p.select("origin").distinct().select("origin", F.when(F.startswith("origin", F.lit("https:")), 200).otherwise(404).alias("status"), F.lit(ROBOTS).alias("body"))
+    return crawl.crawl(roots.select("root"), crawl.links_of(bodies), bodies.select("url"), pages=PAGES, depth=DEPTH, seeds=seeds, attempts=ATTEMPTS, used=1, robots=robots)
 
 
 def _crawl_sql() -> str:
     """The queue in SQL, a wave per step: seeds and links, of equal ones the first, in order."""
-    out = f"""n AS (SELECT count(*) AS n FROM pages),
-links AS (SELECT page_id AS src, k AS pos, (page_id * 7 + k) % n AS dst, {list(RELATION)}[k + 1] AS relation, ((page_id * 7 + k) % n) % 3 AS variants FROM pages, n, range(4) r(k)
-  UNION ALL SELECT -1 - page_id, k, (page_id + 10 + k) % n, 'sitemap', 0 FROM pages, n, range(4) r(k)),
-seeds AS (SELECT page_id AS root, -1 - page_id AS url, 0 AS depth, -1 AS pos, 'sitemap_file' AS relation FROM pages UNION ALL SELECT page_id, (page_id + k) % n, 1, 1000 + k, 'search' FROM pages, n, (VALUES (25), (26)) v(k)),
-w0 AS (SELECT page_id AS root, page_id AS url, 0::BIGINT AS ord, 0 AS depth, NULL::BIGINT AS parent, 'root' AS relation FROM pages)"""
-    fetched = f"ord < {PAGES} AND CASE WHEN url < 0 THEN (-1 - url) % 4 <> 3 ELSE url % 6 <> 5 END"
+    out = f"""{_GRAPH},
+links AS (
+  SELECT src, pos, dst, 'internal' AS relation, 3 + starts_with(dst, 'http:')::INTEGER + (NOT regexp_matches(dst, '^[a-z]+://m\\.'))::INTEGER + (NOT regexp_matches(dst, '/amp/*$'))::INTEGER AS variants FROM a_links
+  UNION ALL SELECT src, pos, dst, 'sitemap', 0 FROM map_links),
+stored AS (SELECT url FROM body UNION SELECT src FROM map_links),
+sites AS (SELECT arg_min(url, page_id) AS root, arg_min(origin, page_id) AS origin, list(url ORDER BY page_id DESC)[1:2] AS last FROM body GROUP BY site),
+seeds AS (SELECT root, origin || '/sitemap.xml' AS url, 0 AS depth, -1 AS pos, 'sitemap_file' AS relation FROM sites UNION ALL SELECT root, unnest(last), 1, 1000000000 - 1 + generate_subscripts(last, 1), 'search' FROM sites),
+w0 AS (SELECT root, root AS url, 0::BIGINT AS ord, 0 AS depth, NULL::VARCHAR AS parent, 'root' AS relation FROM sites)"""
+    allowed = "NOT regexp_matches(url, '^https://[^/]*/(en/1|de)')"
+    fetched = f"ord < {PAGES} AND {allowed} AND url IN (SELECT url FROM stored)"
     for i in range(1, 6):
         seen = " UNION ALL ".join(f"SELECT root, url FROM w{j}" for j in range(i))
-        seeded = " UNION ALL SELECT s.root, s.url, s.depth, s.root, 0, s.pos, s.relation, 0 FROM seeds s JOIN w0 w ON s.root = w.root WHERE " + fetched.replace("url", "w.url") if i == 1 else ""
+        seeded = f" UNION ALL SELECT s.root, s.url, s.depth, s.root, 0, s.pos, s.relation, 0 FROM seeds s JOIN (SELECT * FROM w0 WHERE {fetched}) w ON s.root = w.root" if i == 1 else ""
         out += f""",
-c{i} AS (SELECT *, CASE WHEN depth > {DEPTH} THEN 'depth_blocked' WHEN url >= 0 AND url % 9 = 0 THEN 'domain_blocked' ELSE 'admitted' END AS label FROM (
-  SELECT w.root, l.dst AS url, w.depth + 1 AS depth, w.url AS parent, w.ord AS o, l.pos AS p, l.relation, l.variants FROM w{i - 1} w JOIN links l ON w.url = l.src WHERE {fetched}{seeded}) x
+c{i} AS MATERIALIZED (SELECT *, CASE WHEN depth > {DEPTH} THEN 'depth_blocked' WHEN {_SITE.format('url')} <> {_SITE.format('root')} THEN 'domain_blocked' ELSE 'admitted' END AS label FROM (
+  SELECT w.root, l.dst AS url, w.depth + 1 AS depth, w.url AS parent, w.ord AS o, l.pos AS p, l.relation, l.variants FROM (SELECT * FROM w{i - 1} WHERE {fetched}) w JOIN links l ON w.url = l.src{seeded}) x
   WHERE NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.root = x.root AND s.url = x.url)),
-f{i} AS (SELECT * FROM (SELECT *, min(CASE WHEN label = 'admitted' THEN o * 100000 + p END) OVER (PARTITION BY root, url) AS first FROM c{i}) WHERE first IS NULL OR o * 100000 + p <= first),
-w{i} AS (SELECT f.root, f.url, t.top + row_number() OVER (PARTITION BY f.root ORDER BY o, p) AS ord, f.depth, f.parent, f.relation FROM f{i} f JOIN (SELECT root, max(ord) AS top FROM w{i - 1} GROUP BY root) t USING (root) WHERE label = 'admitted')"""
+f{i} AS MATERIALIZED (SELECT * FROM (SELECT *, min(CASE WHEN label = 'admitted' THEN o::HUGEINT * 10000000000 + p END) OVER (PARTITION BY root, url) AS first FROM c{i}) WHERE first IS NULL OR o::HUGEINT * 10000000000 + p <= first),
+w{i} AS MATERIALIZED (SELECT f.root, f.url, t.top + row_number() OVER (PARTITION BY f.root ORDER BY o, p) AS ord, f.depth, f.parent, f.relation FROM f{i} f JOIN (SELECT root, max(ord) AS top FROM w{i - 1} GROUP BY root) t USING (root) WHERE label = 'admitted')"""
     union = lambda x, first: " UNION ALL ".join(f"SELECT * FROM {x}{i}" for i in range(first, 6))
-    return f"""WITH {out}, queue AS (SELECT *, {fetched} AS fetched FROM ({union('w', 0)})), found AS ({union('f', 1)}),
+    return f"""WITH {out}, queue AS (SELECT * REPLACE (CASE WHEN relation = 'sitemap_file' THEN 'sitemap' ELSE relation END AS relation), {fetched} AS fetched, {allowed} AS robots_allowed FROM ({union('w', 0)})), found AS ({union('f', 1)}),
 targets AS (SELECT * FROM queue WHERE ord < {PAGES}),
 report AS (SELECT t.root, count(*) AS targets, count_if(fetched)::BIGINT AS fetched, count_if(NOT fetched)::BIGINT AS failed, max(depth) AS max_depth, (SELECT count(*) FROM queue q WHERE q.root = t.root AND q.ord >= {PAGES}) AS omitted FROM targets t GROUP BY t.root)"""
 
@@ -85,7 +125,7 @@ report AS (SELECT t.root, count(*) AS targets, count_if(fetched)::BIGINT AS fetc
 _REPORT = f"{_crawl_sql()} SELECT * FROM report"
 
 
-@query("bounded_crawl", f"{_crawl_sql()} SELECT root, ord, url, depth, parent, relation, fetched FROM targets")
+@query("bounded_crawl", f"{_crawl_sql()} SELECT root, ord, url, depth, parent, relation, fetched, robots_allowed FROM targets")
 def bounded_crawl(spark, d):
     return _crawled(spark, d).targets
 
@@ -101,24 +141,27 @@ _KINDS = [(name, f"coalesce(count_if(label = 'admitted' AND relation = '{n}'), 0
 @query("crawl_outcomes", f"""{_crawl_sql()}, per AS (SELECT w0.root, f.* EXCLUDE (root) FROM w0 LEFT JOIN found f ON w0.root = f.root)
   {' UNION ALL '.join(f"SELECT root, '{name}' AS capability_id, CASE WHEN {c} > 0 THEN 'OBSERVED' ELSE 'NOT_APPLICABLE' END AS status, {c}::BIGINT AS n FROM per GROUP BY root" for name, c in _KINDS)}
   UNION ALL SELECT root, 'depth_limited_crawl', 'APPLIED', coalesce(count_if(label = 'depth_blocked'), 0)::BIGINT FROM per GROUP BY root UNION ALL SELECT root, 'domain_limited_crawl', 'APPLIED', coalesce(count_if(label = 'domain_blocked'), 0)::BIGINT FROM per GROUP BY root
-  UNION ALL SELECT root, 'robots_discovery', 'APPLIED', 0 FROM w0 UNION ALL SELECT root, 'official_domain_discovery', 'OBSERVED', 1 FROM w0""")
+  UNION ALL SELECT root, 'robots_discovery', 'APPLIED', count_if(NOT robots_allowed)::BIGINT FROM targets GROUP BY root UNION ALL SELECT root, 'official_domain_discovery', 'OBSERVED', 1 FROM w0""")
 def crawl_outcomes(spark, d):
     return crawl.crawl_outcomes(_crawled(spark, d))
 
 
-_CHAIN = "chain AS (SELECT page_id AS src, CASE WHEN page_id % 11 = 0 THEN page_id ELSE page_id + 1 END AS location FROM pages WHERE page_id % 5 <> 0)"
+#: Every page but each seventh is moved: on its own site for each third, else to the next page; each eleventh to itself.
+_MOVED = """moved AS (SELECT norm AS src, min(CASE WHEN page_id % 11 = 0 THEN regexp_extract(norm, '^[a-z]+://[^/?#]*(.*)$', 1) WHEN page_id % 3 = 0 THEN '/moved/' || page_id ELSE next END) AS location
+  FROM (SELECT *, lead(norm) OVER (ORDER BY page_id) AS next FROM u) WHERE page_id % 7 <> 0 AND next IS NOT NULL GROUP BY norm),
+steps AS (SELECT src, CASE WHEN starts_with(location, '/') THEN regexp_extract(src, '^[a-z]+://[^/?#]*') || location ELSE location END AS l FROM moved)"""
 
 
-@query("redirect_chains", f"""WITH RECURSIVE {_CHAIN}, r(start, node, hops, loop) AS (
-  SELECT page_id, page_id, 0, false FROM pages UNION ALL SELECT start, location, hops + (location <> node)::INTEGER, location = node FROM r JOIN chain ON src = node WHERE NOT loop AND hops < 3)
-  SELECT 'https://e.org/' || start AS start, 'https://e.org/' || arg_max(node, hops * 2 + loop::INTEGER) AS final, max(hops) AS hops,
-         CASE WHEN bool_or(loop) THEN 'loop' WHEN max(hops) = 3 AND arg_max(node, hops) IN (SELECT src FROM chain) THEN CASE WHEN arg_max(node, hops) % 11 = 0 THEN 'loop' ELSE 'budget_exhausted' END ELSE 'ok' END AS verdict
-  FROM r GROUP BY start""")
+@query("redirect_chains", f"""WITH RECURSIVE {PARTS}, {_MOVED},
+  r(start, cur, path) AS (SELECT DISTINCT norm, norm, [norm] FROM u UNION ALL SELECT start, l, list_append(path, l) FROM r JOIN steps ON src = cur WHERE NOT list_contains(path, l) AND NOT (starts_with(cur, 'https:') AND starts_with(l, 'http:')) AND len(path) <= 3),
+  last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC) AS k FROM r) WHERE k = 1)
+  SELECT start, cur AS final, len(path)::INTEGER - 1 AS hops, CASE WHEN l IS NULL THEN 'ok' WHEN list_contains(path, l) THEN 'loop' WHEN starts_with(cur, 'https:') AND starts_with(l, 'http:') THEN 'downgrade' ELSE 'budget_exhausted' END AS verdict FROM last LEFT JOIN steps ON src = cur""")
 def redirect_chains(spark, d):
-    """Page i leads to i + 1 unless 5 divides i, and to itself if 11 does; 3 hops."""
-    url = lambda c: F.concat(F.lit("https://e.org/"), c.cast("string"))
-    p = table(spark, d, "pages").select("page_id")
-    nxt = F.when(F.col("page_id") % 11 == 0, F.col("page_id")).otherwise(F.col("page_id") + 1)
-    steps = p.where("page_id % 5 <> 0").select(url(F.col("page_id")).alias("src"), F.lit(302).alias("status"), url(nxt).alias("location"))
-    starts = p.select(url(F.col("page_id")).alias("url"), F.lit("GET").alias("method"))
-    return crawl.redirect_chains(starts, steps, 3).select("start", "final", "hops", "verdict")
+    """Pages that are moved, by locations that are relative or lead to the next page; 3 hops."""
+    p = table(spark, d, "pages").select("page_id", u.normalize(F.col("url")).alias("url"))
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    own = F.regexp_extract("url", "^[a-z]+://[^/?#]*(.*)$", 1)
+    location = F.when(F.col("page_id") % 11 == 0, own).when(F.col("page_id") % 3 == 0, F.concat(F.lit("/moved/"), F.col("page_id").cast("string"))).otherwise(F.col("next"))
+    moved = p.join(after, "page_id").where("page_id % 7 <> 0").select(F.col("url").alias("src"), F.lit(302).alias("status"), location.alias("location"))
+    starts = p.select("url", F.lit("GET").alias("method")).distinct()
+    return crawl.redirect_chains(starts, moved, 3).select("start", "final", "hops", "verdict")

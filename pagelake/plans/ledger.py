@@ -35,13 +35,14 @@ def output_redact(spark, d):
     return _secrets(spark, d).select("event_id", ledger.output_redact("payload", F.col("event_id") % 2 == 0).alias("payload"))
 
 
-@query("event_append", f"SELECT event_id, {_CLEAN} AS payload, (SELECT count(*) FROM events WHERE event_id % 3 = 0) + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_id % 3 <> 0")
+@query("event_append", f"SELECT event_id, event_type || '-' || event_id % 10 AS seen, {_CLEAN} AS payload, (SELECT count(*) FROM events WHERE event_id % 3 = 0) + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_id % 3 <> 0")
 def event_append(spark, d):
-    """Every tenth event comes twice; a third is in the ledger. The folder is read back."""
-    rows, path = _secrets(spark, d), shared_path(spark, "ledger")
+    """Events come up to three times with other contents, of which the first stays; a third is in the ledger. The folder is read back."""
+    rows, path = _secrets(spark, d).join(events(spark, d).select("event_id", F.concat_ws("-", "event_type", F.col("event_id") % 10).alias("seen")), "event_id"), shared_path(spark, "ledger")
+    later = lambda n: rows.where(F.col("event_id") % 10 == 3 * n).withColumn("seen", F.concat("seen", F.lit("x" * n)))
     ledger.append_events(path, rows.where("event_id % 3 = 0"))
-    ledger.append_events(path, rows.union(rows.where("event_id % 10 = 0")))
-    return spark.read.schema("event_id long, payload string, sequence long").parquet(path).where("event_id % 3 <> 0")
+    ledger.append_events(path, later(2).union(later(1)).union(rows).union(later(3)))
+    return spark.read.schema("event_id long, seen string, payload string, sequence long").parquet(path).where("event_id % 3 <> 0")
 
 
 @query("run_snapshot", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
@@ -74,7 +75,7 @@ def graph_sink(spark, d):
 def crawl_report_sink(spark, d):
     path = shared_path(spark, "report")
     ledger.crawl_report_sink(crawl.crawl_report(_crawled(spark, d)), path)
-    return spark.read.schema("root long, targets long, fetched long, failed long, max_depth int, omitted long").json(path)
+    return spark.read.schema("root string, targets long, fetched long, failed long, max_depth int, omitted long").json(path)
 
 
 @query("lineage_edges", "SELECT event_id AS child, b AS parent FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL")

@@ -268,11 +268,13 @@ def archive_members(spark, d):
     return files.archive_members(_zipped(spark, d, ".txt")).drop("content")
 
 
-@query("canonical_json_sink", """SELECT '{"c_acctbal":' || c_acctbal || ',"c_key":' || c_custkey || ',"c_name":"' || c_name || '","tags":{"a":' || c_nationkey || ',"s":"' || c_mktsegment || '"}}' AS json FROM (SELECT * REPLACE (round(c_acctbal)::BIGINT AS c_acctbal) FROM customer)""")
+@query("canonical_json_sink", """SELECT '{"c_acctbal":' || c_acctbal || ',"c_key":' || c_custkey || ',"c_name":"' || c_name || '","parts":[{"a":' || c_acctbal / 8 || ',"z":null},null],"tags":{"a":{"k":' || c_nationkey || ',"m":"' || c_mktsegment || '"},"s":null}}' AS json FROM customer""")
 def canonical_json_sink(spark, d):
     """Customers written as canonical JSON lines and read back as text."""
-    tags = F.create_map(F.lit("s"), F.col("c_mktsegment"), F.lit("a"), F.col("c_nationkey").cast("string"))
-    rows = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("c_key"), "c_name", F.round("c_acctbal").cast("long").alias("c_acctbal"), tags.alias("tags"))
+    part = F.struct(F.lit(None).cast("string").alias("z"), (F.col("c_acctbal") / 8).alias("a"))
+    inner = F.struct(F.col("c_mktsegment").alias("m"), F.col("c_nationkey").alias("k"))
+    tags = F.map_from_arrays(F.array(F.lit("s"), F.lit("a")), F.array(F.lit(None).cast("struct<m:string,k:int>"), inner.cast("struct<m:string,k:int>")))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("c_key"), "c_name", "c_acctbal", F.array(part, F.lit(None)).alias("parts"), tags.alias("tags"))
     path = shared_path(spark, "canonical")
     files.write_canonical_json(rows, path, "c_custkey")
-    return spark.read.text(path).select(F.regexp_replace("value", '"a":"([0-9]+)"', '"a":$1').alias("json"))
+    return spark.read.text(path).select(F.col("value").alias("json"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from pagelake.operators import content, runs
 from pagelake.operators.shared import numbered
+from pagelake.functions import urls
 from pagelake.plans.registry import query, table
+from pagelake.plans.urls import PARTS
 
 
 def t(spark, d, name):
@@ -131,9 +133,10 @@ def latest_outcome(spark, d):
     return runs.latest_of(rows, ["user_id"], "event_id", "candidate")
 
 
-@query("first_seen", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("first_seen", "SELECT text, min(doc_id // 3) AS batch FROM documents GROUP BY text")
 def first_seen(spark, d):
-    return runs.first_seen(t(spark, d, "documents"), "text", "doc_id")
+    """The first batch of three documents that has each text; a batch may be the first of several texts."""
+    return runs.first_seen(t(spark, d, "documents").select("text", F.floor(F.col("doc_id") / 3).alias("batch")), "text", "batch")
 
 
 @query("budget_cutoff", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER w, 0)::DOUBLE AS used, coalesce(sum(l_quantity) OVER w, 0) < 60 AS runs FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -179,21 +182,21 @@ def record_cap(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(kept).alias("kept"), omitted.alias("omitted"))
 
 
-@query("seed_union", "SELECT url, min(ord) AS ord FROM (SELECT 'https://e.org/' || page_id % 50 AS url, 0 AS ord FROM pages UNION ALL SELECT 'https://' || CASE WHEN page_id % 3 = 0 THEN 'f.org' ELSE 'www.e.org' END || '/' || page_id % 70, 1 FROM pages) WHERE url NOT LIKE '%f.org%' GROUP BY url")
+@query("seed_union", f"""WITH {PARTS}, lists AS (SELECT norm AS url, 0 AS ord, -page_id AS place FROM u WHERE page_id % 2 = 0 UNION ALL SELECT norm, 1, page_id FROM u)
+  SELECT url, min((ord, place))[1] AS ord, min((ord, place))[2] AS place FROM lists GROUP BY url""")
 def seed_union(spark, d):
-    """Two seed lists of one site; the first list that names an URL wins, other sites go."""
-    p, n = t(spark, d, "pages"), lambda k: (F.col("page_id") % k).cast("string")
-    first = p.select(F.concat(F.lit("https://e.org/"), n(50)).alias("url"))
-    second = p.select(F.concat(F.lit("https://"), F.when(F.col("page_id") % 3 == 0, "f.org").otherwise("www.e.org"), F.lit("/"), n(70)).alias("url"))
-    return runs.seed_union(first, second, host="e.org")
+    """Every other page from the last to the first, then all pages; the first list that names an URL wins."""
+    p = t(spark, d, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
+    first = p.where("page_id % 2 = 0").select("url", (-F.col("page_id")).alias("place"))
+    return runs.seed_union(first, p.select("url", F.col("page_id").alias("place")))
 
 
-@query("source_union", "SELECT text AS excerpt, max(score) AS score FROM (SELECT text, 0.5::DOUBLE AS score FROM documents UNION ALL SELECT text, 0.7::DOUBLE FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
+@query("source_union", "SELECT text AS excerpt, max(score) AS score FROM (SELECT text, CASE WHEN doc_id % 3 > 0 THEN 0.5::DOUBLE END AS score FROM documents UNION ALL SELECT text, 0.7::DOUBLE FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
 def source_union(spark, d):
-    """Two scored lists of texts; digests of the texts are compared and shuffled."""
+    """Two lists of texts, some without a score; digests of the texts are compared and shuffled."""
     docs = t(spark, d, "documents").select("doc_id", "text")
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
-    a, b = keyed.withColumn("score", F.lit(0.5)), keyed.where("doc_id % 2 = 0").withColumn("score", F.lit(0.7))
+    a, b = keyed.withColumn("score", F.when(F.col("doc_id") % 3 > 0, F.lit(0.5))), keyed.where("doc_id % 2 = 0").withColumn("score", F.lit(0.7))
     best = runs.merge_sources(a, b, keys=["digest"], score="score", order="doc_id")
     return docs.join(best, "doc_id").select(F.col("text").alias("excerpt"), "score")
 
@@ -229,9 +232,15 @@ def query_terms(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(runs.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("token_estimate", "SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens, left(text, 40) AS head FROM documents")
+@query("token_estimate", "SELECT doc_id, greatest(1, (length(text) + 3) // 4)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, d):
-    return t(spark, d, "documents").select("doc_id", runs.token_estimate(F.col("text")).alias("tokens"), F.left("text", F.lit(40)).alias("head"))
+    return t(spark, d, "documents").select("doc_id", runs.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("token_truncate", "SELECT doc_id, left(text, greatest(0, n_chars // 6 - 3) * 4) AS head FROM documents")
+def token_truncate(spark, d):
+    """Every document cut to a budget of about two thirds of its tokens; the shortest get none."""
+    return t(spark, d, "documents").select("doc_id", runs.token_truncate(F.col("text"), F.floor(F.col("n_chars") / 6) - 3).alias("head"))
 
 
 _LINES = "SELECT doc_id, i, line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE regexp_matches(line, '(?i)license|version') ORDER BY doc_id, i LIMIT 12"
@@ -248,11 +257,12 @@ def budget_split(spark, d):
     return rows.select("o_orderkey", "b.total", "b.rest")
 
 
-@query("context_bundle", f"""WITH s AS (SELECT 'source:' || source AS locator, any_value(source) || ' license version' AS excerpt, max(n_chars) AS score FROM documents GROUP BY source),
+@query("context_bundle", f"""WITH s AS (SELECT 'source:' || source AS locator, lang || ' license version' AS excerpt, max(n_chars) AS score FROM documents GROUP BY source, lang),
   f AS (SELECT locator, excerpt, 0 AS kind, -score::DOUBLE AS low, 0 AS doc_id, 0 AS i FROM s UNION ALL SELECT doc_id || ':' || i, line, 1, -0.7, doc_id, i FROM ({_LINES})),
-  p AS (SELECT *, greatest(1, (length(excerpt) + 3) // 4)::BIGINT AS cost, sum(greatest(1, (length(excerpt) + 3) // 4)) OVER (ORDER BY kind, low, doc_id, i, locator ROWS UNBOUNDED PRECEDING) AS total FROM f)
+  p AS (SELECT *, greatest(1, (length(excerpt) + 3) // 4)::BIGINT AS cost, sum(greatest(1, (length(excerpt) + 3) // 4)) OVER (ORDER BY kind, low, doc_id, i, locator, excerpt ROWS UNBOUNDED PRECEDING) AS total FROM f)
   SELECT locator, excerpt, cost, least(1.0::DOUBLE, count(*) OVER () * 0.35::DOUBLE) AS confidence, 'simplified query after retrieval miss' AS fallback_reason FROM p WHERE total <= 250""")
 def context_bundle(spark, d):
-    """Scored notes of the sources, found only when the question is cut to its terms, then lines of the documents."""
-    notes = t(spark, d, "documents").groupBy("source").agg(F.max("n_chars").cast("double").alias("score")).select(F.concat(F.lit("source:"), "source").alias("locator"), F.concat("source", F.lit(" license version")).alias("excerpt"), "score")
+    """Scored notes of the sources, one for each language, found only when the question is cut to its terms, then lines of the documents."""
+    notes = t(spark, d, "documents").groupBy("source", "lang").agg(F.max("n_chars").cast("double").alias("score")).select(F.concat(F.lit("source:"), "source").alias("locator"), F.concat("lang", F.lit(" license version")).alias("excerpt"), "score")
+    notes = notes.unionByName(notes.withColumn("score", F.col("score") - 1))  # each is found twice
     return runs.context_bundle(t(spark, d, "documents"), "what is the license version?", 250, sources=notes)

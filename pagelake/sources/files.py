@@ -21,8 +21,10 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelake.functions import urls
+from pagelake.operators.shared import let
 
 ARCHIVES = (".7z", ".bz2", ".gz", ".rar", ".tar", ".tgz", ".zip")
 
@@ -177,22 +179,89 @@ def blocks_to_text(blocks: DataFrame, key: str, order: str) -> DataFrame:
     return found.select(key, F.array_join(F.transform("b", lambda x: F.coalesce(x["x"], F.lit(""))), "\n").alias("text"), F.transform("b", lambda x: x["locator"]).alias("locators"))
 
 
-def canonical_json(df: DataFrame, *keys: str) -> DataFrame:
-    """All other columns as one JSON text with sorted keys, those of maps too, and no blanks.
+#: Characters that JSON writes in two letters; other control characters are written by their number.
+SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def json_string(text: Column) -> Column:
+    """A text as a JSON string; other letters stay as they are."""
+    made = text
+    for char, written_as in (SHORT_ESCAPES | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in SHORT_ESCAPES}).items():
+        made = F.replace(made, F.lit(char), F.lit(written_as))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1f"\\]'), made).otherwise(text), F.lit('"'))
+
+
+def json_double(value: Column) -> Column:
+    """A double in the fewest digits that give it back, with an exponent below 1e-4 and from 1e16; null if JSON has no such number."""
+    text = F.abs(value).cast("string")
+
+    def cut(t: Column) -> Column:
+        """Digits without outer zeros, and the place of the point among them."""
+        whole, part = F.regexp_extract(t, r"^([0-9]*)", 1), F.regexp_extract(t, r"\.([0-9]*)", 1)
+        power = F.coalesce(F.nullif(F.regexp_extract(t, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        all_ = F.concat(whole, part)
+        kept = F.ltrim(all_, F.lit("0"))
+        return F.struct(F.rtrim(kept, F.lit("0")).alias("d"), (F.length(whole) + power - F.length(all_) + F.length(kept)).alias("p"))
+
+    def shorter(x: Column) -> Column:
+        """One digit less, rounded down or up, if that is the same double."""
+        less = F.left(x["d"], F.length(x["d"]) - 1)
+        more = (less.cast("decimal(20,0)") + 1).cast("decimal(20,0)").cast("string")
+        options = [F.struct(F.rtrim(d, F.lit("0")).alias("d"), (x["p"] + F.length(d) - F.length(less)).alias("p"), (x["p"] - F.length(less)).alias("e"), d.alias("n")) for d in (less, more)]
+        same = [F.concat(o["n"], F.lit("E"), o["e"]).cast("double") == F.abs(value) for o in options]
+        back = [F.struct(o["d"].alias("d"), o["p"].alias("p")) for o in options]
+        return F.when(F.length(x["d"]) < 16, x).when(same[0], back[0]).when(same[1], back[1]).otherwise(x)
+
+    def shown(x: Column) -> Column:
+        d, p, n = x["d"], x["p"], F.length(x["d"])
+        power = F.concat(F.when(p < 1, "e-").otherwise("e+"), F.lpad(F.abs(p - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(p - 1).cast("string"))), F.lit("0")))
+        far = F.concat(F.left(d, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(d, F.lit(2)))).otherwise(""), power)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d)
+        large = F.concat(d, F.repeat(F.lit("0"), p - n), F.lit(".0"))
+        return F.when(d == "", "0.0").when((p < -3) | (p > 16), far).when(p < 1, small).when(p >= n, large).otherwise(F.concat(F.left(d, p), F.lit("."), F.substr(d, p + 1)))
+
+    sign = F.when(F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(finite, F.concat(sign, let(let(let(cut(text), shorter), shorter), shown)))
+
+
+def json_text(value: Column, kind: T.DataType) -> Column:
+    """A value of any type as compact JSON: fields and keys sorted at all levels, null for what JSON has not."""
+    match kind:
+        case T.StructType():
+            fields = [F.concat(json_string(F.lit(f.name)), F.lit(":"), json_text(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+            made = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+        case T.MapType():
+            name = (lambda k: json_string(k)) if isinstance(kind.keyType, T.StringType) else (lambda k: json_string(json_text(k, kind.keyType)))
+            in_order = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+            made = F.concat(F.lit("{"), F.array_join(F.transform(in_order, lambda e: F.concat(name(e["key"]), F.lit(":"), json_text(e["value"], kind.valueType))), ","), F.lit("}"))
+        case T.ArrayType():
+            made = F.concat(F.lit("["), F.array_join(F.transform(value, lambda e: json_text(e, kind.elementType)), ","), F.lit("]"))
+        case T.DoubleType():
+            made = json_double(value)
+        case T.FloatType():
+            made = json_double(value.cast("string").cast("double"))
+        case T.BooleanType() | T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType() | T.DecimalType():
+            made = value.cast("string")
+        case T.BinaryType():
+            made = json_string(F.base64(value))
+        case T.NullType():
+            made = F.lit(None).cast("string")
+        case _:
+            made = json_string(value.cast("string"))
+    return F.coalesce(made, F.lit("null"))
 
-    Numbers that JSON has not become null.
-    """
 
-    def plain(name: str) -> Column:
-        kind, c = dict(df.dtypes)[name], F.col(name)
-        if kind.startswith("map<"):
-            c = F.map_from_entries(F.array_sort(F.map_entries(c)))
-        elif kind in ("double", "float"):
-            c = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-        return c.alias(name)
+def canonical_json(df: DataFrame, *keys: str) -> DataFrame:
+    """All other columns as one JSON text without blanks, the names sorted at all levels of structs, maps and arrays.
 
+    Doubles have the fewest digits that give them back; numbers that JSON has not become
+    null. Dates, times and other types are written as strings, bytes as base64. The 17th
+    digit of a double that needs so many is the JVM's, which may be one off the nearest.
+    """
     rest = sorted(c for c in df.columns if c not in keys)
-    return df.select(*keys, F.to_json(F.struct(*map(plain, rest)), {"ignoreNullFields": "false"}).alias("json"))
+    row = T.StructType([df.schema[c] for c in rest])
+    return df.select(*keys, F.struct(*rest).alias("_row")).select(*keys, json_text(F.col("_row"), row).alias("json"))
 
 
 def write_canonical_json(df: DataFrame, path: str, *keys: str) -> None:

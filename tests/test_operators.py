@@ -100,7 +100,7 @@ def queue_crawl(root, edges, stored, pages, depth, seeds=()):
     while queue and len(out) < pages:
         url, level, parent, relation = queue.popleft()
         ok = url in stored
-        out.append((url, level, parent, relation, ok))
+        out.append((url, level, parent, "sitemap" if relation == "sitemap_file" else relation, ok))
         found = [(dst, level + 1, url, kind, same) for dst, same, kind in edges.get(url, [])] if ok else []
         if url == root and ok:
             found = [s for s in seeds if s[1] == 0] + found + [s for s in seeds if s[1] == 1]
@@ -134,6 +134,45 @@ def test_crawl_equals_a_queue(spark, pages, depth, attempts):
     assert len(outcomes) == 12 * 40 and {r.status for r in outcomes} == {"APPLIED", "OBSERVED", "NOT_APPLICABLE"}
 
 
+def test_crawl_of_pages_with_hubs_sitemaps_and_robots(spark, monkeypatch):
+    """Pages, sitemaps and robots rules as a plain queue sees them; hubs are joined in blocks of three links."""
+    monkeypatch.setattr(crawl, "LINKS", 3)
+    rng = random.Random(5)
+    names = [f"https://{h}a.example/p{i}" for i in range(12) for h in ("", "www.", "other.")]
+    link = lambda x: f'<a href="{x.replace("https://a", "HTTPS://A") if rng.random() < 0.5 else x}#f">x</a>'
+    pages = {n: [rng.choice([*names, "mailto:x", "/p3", "p4", "https://a.example/private/x", "https://[::1"]) for _ in range(rng.choice([0, 2, 15]))] for n in names[:30]}
+    bodies = [(n, "text/html", "".join(map(link, xs))) for n, xs in pages.items()]
+    bodies += [("https://a.example/sitemap.xml", "text/xml", "<urlset><loc> https://a.example/p9 </loc><loc>/p8</loc><loc>bad:x</loc></urlset>"), ("https://a.example/private/x", "text/html", link("/p11")), ("https://a.example/x.png", "image/png", link("/p11")), ("mailto:x", "text/html", "")]
+    df = spark.createDataFrame(bodies, "url string, media_type string, body string")
+    links = crawl.links_of(df)
+    norm = lambda base, x: None if x in ("mailto:x", "https://[::1") else {"/p3": base.rsplit("/", 1)[0] + "/p3", "p4": base.rsplit("/", 1)[0] + "/p4"}.get(x, x)
+    edges = {n: [norm(n, x) for x in xs] for n, xs in pages.items()} | {"https://a.example/sitemap.xml": ["https://a.example/p9", "https://a.example/p8"], "https://a.example/private/x": ["https://a.example/p11"]}
+    assert {(r.src, r.pos): r.dst for r in links.collect()} == {(n, k): x for n, xs in edges.items() for k, x in ((k, x) for k, x in enumerate([y for y in xs] if "sitemap" in n or "private" in n else [z for z in pages_kept(pages[n])]) if norm(n, x)) for x in [norm(n, x)]}
+    site = lambda x: x.split("/")[2].removeprefix("www.")
+    roots = ["https://a.example/p0", "https://www.a.example/p1", "https://other.a.example/p2"]
+    stored = {n for n, m, _ in bodies if n != "mailto:x" and "private" not in n}
+    robots = spark.createDataFrame([("https://a.example", 200, "User-agent: *\nDisallow: /private\n")], "origin string, status int, body string")
+    seeds = {r: [("https://a.example/sitemap.xml", 0, r, "sitemap_file", site(r) == "a.example")] for r in roots}
+    rows = spark.createDataFrame([(r, xs[0][0], 0, -1, "sitemap_file") for r, xs in seeds.items()], "root string, url string, depth int, pos int, relation string")
+    done = crawl.crawl(spark.createDataFrame([(r,) for r in roots], "root string"), links, df.select(crawl.urls.normalize(F.col("url")).alias("url")).where("url IS NOT NULL"), pages=25, depth=3, seeds=rows, robots=robots)
+    kept_out = 0
+    for r in roots:
+        want, left, counts = queue_crawl(r, {n: [(x, site(x) == site(r), "sitemap" if "sitemap" in n else "internal") for x in xs if x] for n, xs in edges.items()}, stored, 25, 3, seeds[r])
+        got = sorted((x.ord, (x.url, x.depth, x.parent, x.relation, x.fetched)) for x in done.targets.where(F.col("root") == r).collect())
+        assert [x for _, x in got] == want
+        assert done.rest.where(F.col("root") == r).count() == left
+        blocked = done.counters.where(F.col("root") == r).first()
+        assert (blocked.robots_blocked, blocked.domain_blocked, blocked.depth_blocked) == (sum("private" in x[0] for x in want), counts["domain_blocked"], counts["depth_blocked"])
+        kept_out += blocked.robots_blocked
+    assert kept_out
+    assert spark.catalog.listTables() == []
+
+
+def pages_kept(links):
+    """Links that a parser takes: those of http and https, the broken one too."""
+    return [x for x in links if x != "mailto:x" and x != "https://[::1"]
+
+
 def test_redirect_verdicts(spark):
     steps = [("https://a/", 302, "https://b/"), ("https://b/", 301, "http://c/"), ("https://l/", 302, "https://m/"), ("https://m/", 302, "https://l/"), ("https://n/", 302, None), ("https://p/", 307, "https://q/"), ("https://r/", 303, "https://q/")]
     starts = [("https://a/", "GET"), ("https://l/", "GET"), ("https://n/", "GET"), ("https://p/", "POST"), ("https://r/", "POST"), ("https://z/", "GET")]
