@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 import re
+import uuid
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pagelake.functions import html, quality, urls
+from pagelake.operators.batches import BatchTable
 from pagelake.operators.shared import join_counted, written
 
 
@@ -54,17 +56,22 @@ def cas_put(store: DataFrame | None, content: DataFrame, body: str) -> DataFrame
     return new.select("sha256", prefix.alias("prefix"), F.octet_length("body").cast("long").alias("size"), "body")
 
 
-def cas_append(store_path: str, content: DataFrame, body: str) -> None:
-    """Append new contents to a store folder, partitioned by the digest's first byte."""
-    spark = content.sparkSession
-    try:
-        store = spark.read.parquet(store_path)
-    except Exception as error:  # no store yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        store = None
-    new = cas_put(store, content, body)
-    new.withColumn("shard", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("shard").parquet(store_path)
+def content_store(spark: SparkSession, path: str) -> BatchTable:
+    """A store of contents: ``sha256, prefix, size, body``."""
+    return BatchTable(spark, path, "sha256 string, prefix string, size long, body binary")
+
+
+def cas_append(store_path: str, content: DataFrame, body: str, batch: str | None = None) -> None:
+    """Append new contents to a store, once per ``batch``; only shards with digests like theirs are read.
+
+    Bodies are bytes or texts, which are stored in UTF-8.
+    """
+    store, batch = content_store(content.sparkSession, store_path), batch or uuid.uuid4().hex
+    if any(m["batch"] == batch for m in store.manifests()):
+        return
+    digests = content.select(sha256(F.col(body)).alias("sha256"))
+    new = cas_put(store.read(store.touched(digests, "sha256")), content, body)
+    store.append(batch, new.withColumn("body", F.col("body").cast("binary")), "sha256")
 
 
 def cas_get(store: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pagelake.operators import crawl, ledger
-from pagelake.operators.shared import shared_path
+from pagelake.operators.shared import numbered, shared_path
 from pagelake.plans.crawl import _REPORT, _crawled
 from pagelake.plans.pages import sql_language, sql_squeeze, sql_state
 from pagelake.plans.registry import query, table
@@ -42,7 +42,7 @@ def event_append(spark, d):
     later = lambda n: rows.where(F.col("event_id") % 10 == 3 * n).withColumn("seen", F.concat("seen", F.lit("x" * n)))
     ledger.append_events(path, rows.where("event_id % 3 = 0"))
     ledger.append_events(path, later(2).union(later(1)).union(rows).union(later(3)))
-    return spark.read.schema("event_id long, seen string, payload string, sequence long").parquet(path).where("event_id % 3 <> 0")
+    return ledger.event_ledger(spark, path, rows).read().select("event_id", "seen", "payload", "sequence").where("event_id % 3 <> 0")
 
 
 @query("run_snapshot", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
@@ -83,6 +83,21 @@ def lineage_edges(spark, d):
     return ledger.lineage_edges(_log(spark, d).withColumnRenamed("event_id", "artifact_id"))
 
 
+_PARENTS = """e AS (SELECT event_id, user_id, lag(event_id) OVER w AS b1, lag(event_id, 3) OVER w AS b3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  edges AS (SELECT event_id AS child, b1 AS parent FROM e WHERE b1 IS NOT NULL UNION SELECT event_id, b3 FROM e WHERE b3 IS NOT NULL AND event_id % 2 = 0 UNION SELECT -1 - user_id, event_id FROM events)"""
+
+
+@query("lineage_origins", f"WITH RECURSIVE {_PARENTS}, r(artifact_id, at_, steps) AS (SELECT child, parent, 1 FROM edges UNION SELECT artifact_id, parent, steps + 1 FROM r JOIN edges ON at_ = child) SELECT artifact_id, at_ AS origin, min(steps)::BIGINT AS steps FROM r WHERE at_ NOT IN (SELECT child FROM edges) GROUP BY artifact_id, at_")
+def lineage_origins(spark, d):
+    """Where events go back to: each follows the one before, some the third before too, and a report per user follows all."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = events(spark, d).select("event_id", "user_id", F.lag("event_id").over(w).alias("b1"), F.lag("event_id", 3).over(w).alias("b3"))
+    own = e.select(F.col("event_id").alias("artifact_id"), F.array_compact(F.array("b1", F.when(F.col("event_id") % 2 == 0, F.col("b3")))).alias("parents"))
+    made = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("artifact_id"), F.col("event_id").alias("seq"), F.lit("raw").alias("representation"))
+    reports = e.select(F.col("user_id").alias("run_id")).distinct().select("run_id", (-1 - F.col("run_id")).alias("artifact_id"), F.lit((1 << 63) - 1).alias("seq"), F.lit("crawl_report").alias("representation"))
+    return ledger.lineage_origins(ledger.lineage_edges(own).union(ledger.report_edges(made.union(reports))))
+
+
 @query("eligibility", f"""SELECT o_orderkey AS capability_id, o_orderstatus <> 'F' AND o_totalprice > 100000 AS eligible,
   concat_ws('; ', CASE WHEN o_orderstatus = 'F' THEN '{ledger.DENIED}' END, CASE WHEN o_totalprice <= 100000 THEN '{ledger.UNAVAILABLE}' END, CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 100000 THEN '{ledger.ELIGIBLE}' END,
   CASE WHEN o_custkey % 2 = 0 THEN 'dependencies: ' || o_orderpriority || ', c' || o_custkey END) AS reasons FROM orders""")
@@ -98,12 +113,13 @@ def _folder(df, name):
     return path
 
 
-@query("event_tail", "SELECT user_id AS run_id, event_id AS sequence, event_type FROM events e WHERE event_id <= coalesce((SELECT min(event_id) FROM events f WHERE f.user_id = e.user_id AND event_type = 'purchase'), event_id)")
+@query("event_tail", "SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events e WHERE event_id <= coalesce((SELECT min(event_id) FROM events f WHERE f.user_id = e.user_id AND event_type = 'purchase'), event_id)")
 def event_tail(spark, d):
-    """Users as runs that end at their first purchase; all runs in order."""
-    rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence"), "event_type")
+    """Users as runs that end at their first purchase; events come in any order, some twice, and leave in sequence."""
+    rows = numbered(events(spark, d).select(F.col("user_id").alias("run_id"), "event_id", "event_type"), ["run_id"], [F.col("event_id")], "sequence").withColumn("sequence", F.col("sequence") + 1)
+    rows = rows.union(rows.where("event_id % 10 = 0")).orderBy(F.xxhash64("event_id"))
     stream = streams.until_finished(streams.tail(spark, _folder(rows, "log"), rows.schema), "purchase")
-    return streams.run_to_table(stream, "tail").orderBy("run_id", "sequence")
+    return streams.run_to_table(stream, "tail")
 
 
 @query("idempotent_events", "SELECT event_id, user_id FROM events")
@@ -117,11 +133,11 @@ _STATE = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING
 
 
 @query("run_state_stream", f"""WITH s AS (SELECT user_id AS run_id, {_STATE} AS state, event_id AS seq, list_position(['QUEUED', 'RUNNING', 'FINISHED'], {_STATE}) AS rank FROM events),
-  t AS (SELECT run_id, max(rank) AS rank FROM s WHERE state <> 'OTHER' GROUP BY run_id) SELECT run_id, any_value(state) AS state, max(seq) AS seq, any_value(state) = 'FINISHED' AS notify FROM s JOIN t USING (run_id, rank) GROUP BY run_id""")
+  f AS (SELECT run_id, rank, any_value(state) AS state, min(seq) AS seq FROM s WHERE state <> 'OTHER' GROUP BY run_id, rank) SELECT run_id, state, seq, state = 'FINISHED' AS notify FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.run_id = f.run_id AND g.rank > f.rank AND g.seq < f.seq)""")
 def run_state_stream(spark, d):
-    """Users as runs: signed up, clicking, and finished by a purchase."""
+    """Users as runs: signed up, clicking, and finished by a purchase; each step is told once."""
     rows = events(spark, d).select(F.col("user_id").alias("run_id"), F.expr(_STATE).alias("state"), F.col("event_id").alias("seq"))
-    return streams.run_to_table(streams.run_states(streams.tail(spark, _folder(rows, "log"), rows.schema)), "states", mode="update", keys=("run_id",))
+    return streams.run_to_table(streams.run_states(streams.tail(spark, _folder(rows, "log"), rows.schema)), "states")
 
 
 @query("streaming_quality", f"""WITH t AS (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents), s AS (SELECT *, {sql_state('t')} AS page_state, least(1.0::DOUBLE, length(t) / 1000.0::DOUBLE) AS share FROM t)

@@ -210,7 +210,8 @@ def json_double(value: Column) -> Column:
         options = [F.struct(F.rtrim(d, F.lit("0")).alias("d"), (x["p"] + F.length(d) - F.length(less)).alias("p"), (x["p"] - F.length(less)).alias("e"), d.alias("n")) for d in (less, more)]
         same = [F.concat(o["n"], F.lit("E"), o["e"]).cast("double") == F.abs(value) for o in options]
         back = [F.struct(o["d"].alias("d"), o["p"].alias("p")) for o in options]
-        return F.when(F.length(x["d"]) < 16, x).when(same[0], back[0]).when(same[1], back[1]).otherwise(x)
+        up = F.right(x["d"], F.lit(1)) >= "5"
+        return F.when(F.length(x["d"]) < 2, x).when(same[1] & (up | ~same[0]), back[1]).when(same[0], back[0]).otherwise(x)
 
     def shown(x: Column) -> Column:
         d, p, n = x["d"], x["p"], F.length(x["d"])
