@@ -129,3 +129,47 @@ FROM texts t LEFT JOIN lines l ON t.doc_id = l.doc_id
 
 
 PERSONAL = _pii_sql()
+
+
+SUBSTRINGS = r"""
+WITH words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+windows AS (SELECT doc_id, i, string_agg(word, ' ') OVER w AS g, count(*) OVER w AS n FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+repeats AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM windows WHERE n = 20) WHERE k > 1),
+covered AS (SELECT DISTINCT doc_id, i + j AS i FROM repeats, range(20) r(j)),
+marked AS (SELECT w.*, c.i IS NOT NULL AS gone FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id AND w.i = c.i),
+per AS (SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id
+"""
+
+NEAR = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN component c ON d.doc_id = c.doc_id
+"""
+
+_WRAP = "(({0})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+JUMPS = rf"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+octets AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: 16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1) AS o FROM documents),
+rows AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         xor(list_reduce(o, lambda c, x: xor(c >> 8, crc_t[(xor(c, x::BIGINT) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM octets, crc_table),
+a AS (SELECT DISTINCT doc_id, doc_id::UBIGINT AS k FROM documents),
+b AS (SELECT doc_id, {_WRAP.format("xor(k, k >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT")} AS k FROM a),
+c AS (SELECT doc_id, {_WRAP.format("xor(k, k >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT")} AS k FROM b),
+steps(doc_id, k, now, ahead) AS (
+  SELECT doc_id, xor(k, k >> 31), -1::BIGINT, 0::BIGINT FROM c
+  UNION ALL SELECT doc_id, j, ahead, floor((ahead + 1) * (2147483648::DOUBLE / ((j >> 33)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT doc_id, ahead, {_WRAP.format("k::UHUGEINT * 2862933555777941757::UHUGEINT + 1::UHUGEINT")} AS j FROM steps WHERE ahead < 9)),
+shards AS (SELECT doc_id, max(now) FILTER (now < 8)::INTEGER AS shard, max(now) FILTER (now < 9)::INTEGER AS grown_shard FROM steps GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM rows JOIN shards USING (doc_id)
+"""

@@ -204,6 +204,9 @@ FROM stats s LEFT JOIN rejected r ON s.doc_id = r.doc_id
 
 
 ORACLE_SQL = {
+    "op1_substring_dedup": oracles.SUBSTRINGS,
+    "op6_minhash_dedup": oracles.NEAR,
+    "op10_jump_shards": oracles.JUMPS,
     "op2_mix_sources": r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
