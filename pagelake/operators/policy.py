@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 from urllib import parse, robotparser
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from pagelake.functions import urls
+from pagelake.functions import addresses as addresses_, urls
 from pagelake.operators.shared import earlier_parts, join_counted, on_parts, ranged, written
 
 #: Fixed values.
@@ -46,21 +45,9 @@ def destination_policy(df: DataFrame, url: str, *, previous: str | None = None,
     return out.withColumns({"policy_id": F.coalesce("_first.policy_id", F.lit("url_validation")), "allowed": F.col("_first").isNull(), "reason": F.coalesce("_first.reason", F.lit("valid HTTP(S) target"))}).drop("_first", "_denied")
 
 
-@F.pandas_udf(T.BooleanType())
-def is_public(address: pd.Series) -> pd.Series:
-    def one(x: str) -> bool:
-        try:
-            ip = ipaddress.ip_address(x)
-        except ValueError:
-            return False
-        return bool(ip.is_global and not ip.is_multicast and not ip.is_unspecified)
-
-    return address.map(one, na_action="ignore")
-
-
 def address_policy(hosts: DataFrame, addresses: DataFrame) -> DataFrame:
     """Per host: ``allowed`` if it has addresses and all are public, and the reason."""
-    seen = addresses.groupBy("host").agg(F.bool_and(is_public("address")).alias("public"))
+    seen = addresses.groupBy("host").agg(F.bool_and(addresses_.is_public(F.col("address"))).alias("public"))
     reason = F.when(F.col("public").isNull(), "hostname did not resolve").when(~F.col("public"), "destination resolved to a non-public address").otherwise("all resolved addresses are public")
     return hosts.join(seen, "host", "left").select(*hosts.columns, F.coalesce("public", F.lit(False)).alias("allowed"), reason.alias("reason"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import functions as F
 
+from pagelake.functions import addresses
 from pagelake.functions import urls as u
 from pagelake.operators import policy
 from pagelake.plans.registry import query, table
@@ -210,12 +213,31 @@ def destination_policy(spark, d):
     return policy.destination_policy(rows, "target", denied=denied).select("page_id", "policy_id", "allowed", "reason")
 
 
-@query("address_policy", "SELECT c_custkey AS host, c_custkey % 3 = 0 AS allowed, CASE c_custkey % 3 WHEN 0 THEN 'all resolved addresses are public' WHEN 1 THEN 'destination resolved to a non-public address' ELSE 'hostname did not resolve' END AS reason FROM customer")
+_V4 = r"regexp_extract_all(text, '[0-9]+(?:\.[0-9]+){3}')"
+_IN_4 = " OR ".join(f"a BETWEEN {int(n.network_address)} AND {int(n.broadcast_address)}" for n in map(ipaddress.ip_network, (*addresses.PRIVATE_4, *addresses.SHARED_4, *addresses.MULTICAST_4)))
+
+
+@query("address_policy", rf"""WITH found AS (SELECT doc_id AS host, unnest({_V4}) AS t FROM documents), p AS (SELECT host, list_transform(string_split(t, '.'), lambda x: try_cast(x AS BIGINT)) AS o, t FROM found),
+  n AS (SELECT host, CASE WHEN regexp_matches(t, '^{addresses.IPV4}$') THEN ((o[1] * 256 + o[2]) * 256 + o[3]) * 256 + o[4] END AS a FROM p),
+  hosts AS (SELECT host, bool_and(a IS NOT NULL AND NOT ({_IN_4})) AS ok FROM n GROUP BY host)
+  SELECT doc_id AS host, coalesce(ok, false) AS allowed, CASE WHEN ok IS NULL THEN 'hostname did not resolve' WHEN ok THEN 'all resolved addresses are public' ELSE 'destination resolved to a non-public address' END AS reason FROM documents LEFT JOIN hosts ON doc_id = host""")
 def address_policy(spark, d):
-    hosts = table(spark, d, "customer").select(F.col("c_custkey").alias("host"))
-    public = hosts.where("host % 3 < 2").select("host", F.concat(F.lit("93.184.216."), (F.col("host") % 250).cast("string")).alias("address"))
-    private = hosts.where("host % 3 = 1").select("host", F.lit("10.0.0.1").alias("address"))
-    return policy.address_policy(hosts, public.union(private))
+    """Documents as hosts, with the addresses in their texts."""
+    docs = table(spark, d, "documents")
+    found = docs.select(F.col("doc_id").alias("host"), F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+){3}"), F.lit(0))).alias("address"))
+    return policy.address_policy(docs.select(F.col("doc_id").alias("host")), found)
+
+
+@query("address_blocks", rf"""WITH found AS (SELECT doc_id, unnest({_V4}) AS t FROM documents), p AS (SELECT *, list_transform(string_split(t, '.'), lambda x: try_cast(x AS BIGINT)) AS o FROM found WHERE regexp_matches(t, '^{addresses.IPV4}$'))
+  SELECT DISTINCT doc_id, t AS address, CASE WHEN o[1] % 7 = 0 AND o[2] % 2 = 0 THEN o[1] || '.' || o[2] || '.0.0/16' WHEN o[1] % 7 = 0 OR o[1] % 5 = 0 THEN o[1] || '.0.0.0/8' END AS block FROM p""")
+def address_blocks(spark, d):
+    """Addresses in texts, with the longest of the networks that list them: of some first bytes all, of others every second /16 too."""
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[0-9]+(?:\.[0-9]+){{3}}"), F.lit(0))).alias("address")).distinct().where(F.col("address").rlike(f"^{addresses.IPV4}$"))
+    byte = spark.range(256).select(F.col("id").alias("x"))
+    wide = byte.where("x % 7 = 0 OR x % 5 = 0").select(F.format_string("%d.0.0.0/8", "x").alias("block"))
+    narrow = byte.where("x % 7 = 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(254), F.lit(2)))).select(F.format_string("%d.%d.0.0/16", "x", "y").alias("block"))
+    return addresses.listed_in(found, wide.union(narrow))
 
 
 @query("decision_rows", f"""WITH {PARTS} SELECT page_id, policy_id, true AS allowed, s || '://' || host || {_PORT} || path AS destination

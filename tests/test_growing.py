@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from pagelake.functions import urls
+from pagelake.functions import addresses, urls
 from pagelake.operators import batches, content, crawl, ledger, policy, runs
 from pagelake.sources import files
 from pagelake.streaming import events as streams
@@ -276,3 +276,58 @@ def test_a_repeated_micro_batch_stores_once(spark, tmp_path):
     assert content.content_store(spark, path).read().count() == 2
     shutil.rmtree(path)
     assert math.isclose(content.content_store(spark, path).read().count(), 0)
+
+
+# ---- addresses
+
+
+def test_addresses_equal_the_library(spark):
+    import ipaddress
+
+    rng = random.Random(7)
+    edge = [n for group in (addresses.PRIVATE_4, addresses.PUBLIC_4, addresses.SHARED_4, addresses.MULTICAST_4, addresses.PRIVATE_6, addresses.PUBLIC_6, addresses.MULTICAST_6, (addresses.MAPPED,)) for n in group]
+    texts = []
+    for n in map(ipaddress.ip_network, edge):
+        for x in (int(n.network_address), int(n.broadcast_address), int(n.network_address) - 1, int(n.broadcast_address) + 1, int(n.network_address) + rng.randrange(n.num_addresses)):
+            if 0 <= x < 1 << n.max_prefixlen:
+                texts.append(str((ipaddress.IPv4Address if n.version == 4 else ipaddress.IPv6Address)(x)))
+    texts += [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(50_000)]
+    for _ in range(50_000):
+        groups = [f"{rng.choice([0, 0, 1, rng.getrandbits(16)]):{rng.choice(['x', 'X', '04x'])}}" for _ in range(8)]
+        if rng.random() < 0.3:
+            groups[:6] = ["0", "0", "0", "0", "0", rng.choice(["ffff", "0"])]
+        i = rng.randint(0, 7)
+        texts.append(rng.choice([":".join(groups), ":".join(groups[:i]) + "::" + ":".join(groups[i + rng.randint(0, 3) :]), ":".join(groups[:6]) + ":" + str(ipaddress.IPv4Address(rng.getrandbits(32))), str(ipaddress.IPv6Address(rng.getrandbits(128)))]))
+    texts += ["", ":", "::", "1::2::3", ":1::", "1:::2", "::1%eth0", "::1%", "::1%a%b", "1.2.3", "01.2.3.4", "1.2.3.256", "1.2.3.4\n", " 1.2.3.4", "::ffff:1.2.3.4.5", "::1.2.3.4", "::ffff:01.2.3.4", "12345::", "g::", "1.2.3.4%x", "::/1", "٣.2.3.4", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "::1:2:3:4:5:6:7:8"]
+
+    def public(x):
+        try:
+            ip = ipaddress.ip_address(x)
+        except ValueError:
+            return False
+        return bool(ip.is_global and not ip.is_multicast and not ip.is_unspecified)
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "i int, x string").select("i", addresses.is_public(F.col("x")).alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.p for r in df.collect()}
+    assert got.pop(len(texts)) is None
+    assert [(x, got[i]) for i, x in enumerate(texts) if got[i] != public(x)] == []
+
+
+def test_the_longest_block_lists_an_address(spark):
+    import ipaddress
+
+    rng = random.Random(8)
+    nets = {str(ipaddress.ip_network((rng.getrandbits(32), rng.choice([0, 4, 9, 16, 30])), strict=False)) for _ in range(60)} | {str(ipaddress.ip_network((rng.getrandbits(4) << 124, rng.choice([1, 3, 4])), strict=False)) for _ in range(20)} | {"9.9.9.9"}
+    given = [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(200)] + [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(200)] + ["9.9.9.9", "no address", None]
+    blocks = spark.createDataFrame([(n,) for n in [*nets, "1.2.3.4/8", "x/8", "10.0.0.0/99", "10.0.0.0/"]], "block string")
+    got = {r.address: r.block for r in addresses.listed_in(spark.createDataFrame([(x,) for x in given], "address string"), blocks).collect()}
+    parsed = [ipaddress.ip_network(n) for n in nets]
+    for x in given:
+        try:
+            ip = ipaddress.ip_address(x)
+        except ValueError:
+            assert got[x] is None
+            continue
+        best = max((n for n in parsed if n.version == ip.version and ip in n), key=lambda n: n.prefixlen, default=None)
+        assert got[x] == (None if best is None else "9.9.9.9" if str(best) == "9.9.9.9/32" else str(best))
