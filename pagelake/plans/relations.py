@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelake.operators import content, runs
+from pagelake.operators import content, runs, search
 from pagelake.operators.shared import numbered
 from pagelake.functions import urls
 from pagelake.plans.registry import query, table
@@ -251,6 +251,23 @@ def exact_search(spark, d):
     return runs.exact_search(t(spark, d, "documents"), ["license", "version"]).select("locator", "excerpt", "score")
 
 
+_ASKED = """WITH q AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_-]{2,}'), lambda w: lower(w) NOT IN (""" + ", ".join(repr(w) for w in runs.IGNORED) + """))[1:8] AS terms FROM benchmark),
+  asked AS (SELECT DISTINCT item_id, lower(unnest(terms)) AS term FROM q),
+  lines AS (SELECT doc_id, i, line, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+  terms AS (SELECT DISTINCT term FROM asked),
+  hits AS (SELECT * FROM (SELECT term, doc_id, i, line, row_number() OVER (PARTITION BY term ORDER BY doc_id, i) AS k FROM terms JOIN lines ON contains(low, term)) WHERE k <= 12),
+  found AS (SELECT DISTINCT item_id, doc_id, i, line FROM asked JOIN hits USING (term)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, i) AS place FROM found)
+  SELECT item_id AS question_id, place::INTEGER AS place, doc_id || ':' || i AS locator, line AS excerpt FROM placed WHERE place <= 12"""
+
+
+@query("search_questions", _ASKED)
+def search_questions(spark, d):
+    """The first lines of the documents for each benchmark text as a question."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return search.search_questions(t(spark, d, "documents"), asked).select("question_id", "place", "locator", "excerpt")
+
+
 @query("budget_split", "SELECT o_orderkey, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000)::INTEGER AS total, greatest(0, least(CASE WHEN k > 0 THEN k ELSE 4000 END, 8000) - 2400)::INTEGER AS rest FROM (SELECT o_orderkey, (o_orderkey % 10) * 1000 AS k FROM orders)")
 def budget_split(spark, d):
     rows = t(spark, d, "orders").select("o_orderkey", runs.budget_split(((F.col("o_orderkey") % 10) * 1000).cast("int")).alias("b"))

@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagelake.functions import addresses, urls
-from pagelake.operators import batches, content, crawl, ledger, policy, runs
+from pagelake.operators import batches, content, crawl, ledger, policy, runs, search
 from pagelake.sources import files
 from pagelake.streaming import events as streams
 
@@ -331,3 +331,23 @@ def test_the_longest_block_lists_an_address(spark):
             continue
         best = max((n for n in parsed if n.version == ip.version and ip in n), key=lambda n: n.prefixlen, default=None)
         assert got[x] == (None if best is None else "9.9.9.9" if str(best) == "9.9.9.9/32" else str(best))
+
+
+# ---- questions
+
+
+def test_many_questions_as_one_at_a_time(spark):
+    rng = random.Random(12)
+    words = ["License", "version", "LICENSED", "naïve", "x_1", "the", "abc", "bca", "ÅSA", "Kelvin"]
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 3))) for _ in range(rng.randint(0, 6)))) for i in range(80)] + [(100, None), (None, "License"), (101, "")], "doc_id long, text string").repartition(3)
+    asked = ["license?", "The version of abc", "x_1 Kelvin naive", "nothing here", "", None, "sed icense", " ".join(f"w{i}x" for i in range(8)) + " license"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
+    for limit in (search.PASS_BYTES, 6):
+        got = defaultdict(list)
+        for r in search.search_questions(docs, questions, lines=5, pass_bytes=limit).orderBy("question_id", "place").collect():
+            got[r.question_id].append((r.locator, r.excerpt))
+        for i, question in enumerate(asked):
+            terms = [r.t for r in spark.range(1).select(F.explode(runs.query_terms(F.lit(question or ""))).alias("t")).collect()]
+            want = [(r.locator, r.excerpt) for r in runs.exact_search(docs.where("doc_id IS NOT NULL"), terms, lines=5).orderBy("doc_id", "line").collect()] if terms else []
+            assert got[i] == want, question
+    assert search.search_questions(docs, questions.limit(0)).count() == 0
