@@ -39,19 +39,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def job_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; other jobs have their own."""
+    return f"{shared_dir(spark)}/pagelake/{spark.sparkContext.applicationId}"
+
+
 def clear_tables(spark: SparkSession) -> None:
-    """Remove all tables that operators wrote to the shared folder, those of other jobs too.
+    """Remove all tables that operators of this application wrote to the shared folder.
 
     For the end of a job: results that were not written elsewhere can't be read afterwards.
     """
-    remove_folder(spark, f"{shared_dir(spark)}/pagelake")
+    remove_folder(spark, job_dir(spark))
 
 
 class Tables:
     """The written tables of one call, by name, so that used-up ones can go before the call ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/pagelake/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{job_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
         """Write ``df`` and read it back.
@@ -67,6 +72,10 @@ class Tables:
         for name in names:
             remove_folder(self.spark, f"{self.root}/{name}")
 
+    def clear(self) -> None:
+        """Remove all of them."""
+        remove_folder(self.spark, self.root)
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """A written table of its own, which stays until ``clear_tables``."""

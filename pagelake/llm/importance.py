@@ -232,7 +232,7 @@ def resample(
     able = scored.where(F.col("n_words") >= min_words)
     cut = kth_key(able.select(*KEY), able.count() * share // 100, tables, few=few)
     columns = ["doc_id", "n_features", "weight", "score"]
-    if cut is None:
+    if cut is None:  # nothing is drawn
         return scored.select(*columns, F.lit(None).cast("long").alias("rank"))
     drawn = (F.col("n_words") >= min_words) & (F.struct(*KEY) <= _compare(cut))
     winners = scored.where(F.col("_a") <= cut[0]).where(drawn).withColumn("_one", F.lit(1).cast("long"))

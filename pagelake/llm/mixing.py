@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import materialize, number_rows, word_count
+from pagelake.llm.common import Tables, number_rows, word_count
 
 #: Fixed values of the production query: weights in code point order of the sources.
 WEIGHTS = (3, 1, 2)
@@ -54,9 +54,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"),
     )
-    rows = materialize(rows, "sizes")  # texts are read once
+    tables = Tables(docs.sparkSession, "mix")
+    rows = tables.write(rows, "sizes")  # texts are read once
     rows = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    ordered = number_rows(rows, ["h", "doc_id", "size"], by=["source"], sums={"before": "size"}, name="mix")
+    ordered = number_rows(rows, ["h", "doc_id", "size"], by=["source"], sums={"before": "size"}, name="mix", tables=tables)
+    tables.drop("sizes")
     targets = source_targets(ordered.select("source", "size"), weights=weights, share=share, epochs=epochs)
     targets = targets.withColumnRenamed("source", "of")
     want = F.floor("target")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import licenses, oracles, quality_rules
-from pagelake.llm.common import shared_dir
+from pagelake.llm.common import job_dir
 from pagelake.llm.importance import resample
 from pagelake.llm.mixing import mix
 from pagelake.llm.near_dedup import near_duplicate_groups
@@ -47,7 +47,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
-    path = f"{shared_dir(spark)}/pagelake/token-files-{uuid.uuid4().hex}"
+    path = f"{job_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, tokenizer=vocabulary("word_bpe_49k.json"))
     return read_token_files(spark, path)
 

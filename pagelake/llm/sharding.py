@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import materialize, number_rows
+from pagelake.llm.common import Tables, number_rows
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -53,8 +53,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    rows = materialize(rows, "sizes")  # texts are read once
+    tables = Tables(docs.sparkSession, "shards")
+    rows = tables.write(rows, "sizes")  # texts are read once
     rows = assign_shards(assign_shards(rows, "doc_id", shards), "doc_id", shards + 1, out="grown_shard")
     rows = rows.withColumn("one", F.lit(1).cast("long"))
-    placed = number_rows(rows, ["doc_id", "size", "text_crc32"], by=["shard"], sums={"slot": "one"}, name="slots")
+    placed = number_rows(rows, ["doc_id", "size", "text_crc32"], by=["shard"], sums={"slot": "one"}, name="slots", tables=tables)
+    tables.drop("sizes")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

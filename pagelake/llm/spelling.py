@@ -237,12 +237,15 @@ def spelling_variants(words: DataFrame, *, ratio: int = RATIO, group: int = GROU
     """
     tables = Tables(words.sparkSession, "spelling")
     words = tables.write(words.select("word", F.col("n").cast("long").alias("n")).where("word IS NOT NULL"), "words")
-    near = near_words(words, tables=tables, group=group, region=region)
+    scratch = Tables(words.sparkSession, "spelling-near")
+    near = near_words(words, tables=scratch, group=group, region=region)
     formed = F.col("near_n") >= ratio * F.col("n")
     judged = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(formed, F.col("near")).alias("form"), F.when(formed, F.col("near_n")).alias("form_n")
     )
     judged = tables.write(judged, "judged")
+    tables.drop("words")
+    scratch.clear()
     steps = tables.write(judged.where("form IS NOT NULL").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "steps-0")
     for k in itertools.count(1):
         on = steps.select(F.col("word").alias("_w"), F.col("root").alias("_r"))

@@ -139,6 +139,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
     per_pass = max(1, PASS_BYTES // (int(kind[2]) * size * (dim or 1)))
     candidates = tables.write(rows.select("row", "id", "dim", stored).mapInArrow(lambda x: _packed(x, kind), "dim int, c_rows binary, c_ids binary, c_vectors binary"), "candidates")
     queries = tables.write(rows.where(query).select("row", "id", "dim", stored).withColumn("q", F.pmod(F.xxhash64("row"), F.lit(blocks))), "queries")
+    tables.drop("vectors")
 
     def pack(table: pa.Table) -> pa.Table:
         row, id_, low, need = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("row", "id", "low", "need"))
@@ -171,6 +172,10 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
             out = out.unionByName(x)
         return out
 
+    def used(name: str) -> list[str]:
+        """The tables of a round."""
+        return [f"{name}-queries", *[f"{name}-{first}" for first in range(0, blocks, per_pass)]]
+
     def histogram(span: int, width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tops: dict[tuple, list] = {}
@@ -219,7 +224,9 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
         found = found.withColumn("upto", upto).where("upto >= need")
         # a query with fewer than k candidates has no row here: it keeps the whole range and all of them
         state = tables.write(found.groupBy("row").agg(F.max_by(F.struct((F.col("low") + F.col("bin") * width).alias("low"), (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "bin").alias("x")).select("row", "x.low", "x.need"), f"state-{step}")
+        tables.drop(f"state-{step - 1}", *used(f"round-{step}"))
         span = width
     best = round_of(state, select, "row long, query_id long, vec_id long, score long, beyond binary", "best")
+    tables.drop("candidates", "queries", f"state-{step}", "best-queries")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
