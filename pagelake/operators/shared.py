@@ -17,7 +17,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share.
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Where it is not set, a folder of this machine serves if all of Spark runs in
     one process; on a cluster that is an error.
@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{found or '/tmp/pagelake-shared'}/pagelake"
+    return f"{found or '/tmp/pagelake-shared'}/pagelake/{spark.sparkContext.applicationId}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -34,7 +34,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Remove all tables that operators wrote between steps, at the end of a job."""
+    """Remove all tables that operators of this application wrote between steps, at the end of a job."""
     at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -379,4 +379,4 @@ def test_tables_can_be_cleared(spark):
     df = shared.written(spark.range(3), "t")
     assert df.count() == 3
     path = df.inputFiles()[0]
-    assert "/pagelake/t-" in path
+    assert f"/pagelake/{spark.sparkContext.applicationId}/t-" in path
