@@ -282,6 +282,22 @@ def normalize(capability: str, body: bytes, media_type: str, n: int, source: str
 OUT = T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("representation", "string"), ("format", "string"), ("locators", {"type": "array", "elementType": "string", "containsNull": True}), ("omitted_records", "long"), ("data", "string"), ("error", "string"))]})
 
 
+#: The operations of a path.
+METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
+
+
+def openapi_operations(normalized: DataFrame, *keys: str) -> DataFrame:
+    """``path, method, operation`` (JSON) of every operation of normalised API descriptions, a row each.
+
+    Other entries of a path, such as its parameters, are no operations; rows that could not
+    be normalised give none.
+    """
+    paths = F.from_json("data", "struct<paths:map<string,string>>")["paths"]
+    rows = normalized.where("error IS NULL").select(*keys, F.explode(paths).alias("path", "_entries"))
+    rows = rows.select(*keys, "path", F.explode(F.from_json("_entries", "map<string,string>")).alias("method", "operation"))
+    return rows.where(F.col("method").isin(*METHODS))
+
+
 def payload_normalize(df: DataFrame, *, capability: str = "capability", body: str = "body", media_type: str = "media_type", source_url: str | None = None, maximum_records: int = MAX_RECORDS) -> DataFrame:
     """Add the normalised form of each row's ``body`` (binary or string), which came from ``source_url``."""
     keys = [f for f in df.schema.fields if f.name not in {x.name for x in OUT.fields}]

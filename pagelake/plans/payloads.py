@@ -177,6 +177,15 @@ def openapi_paths(spark, d):
     return _normal(spark, d, rows, "openapi_discovery", "text/yaml").select("user_id", F.explode("locators").alias("locator"))
 
 
+@query("openapi_operations", f"SELECT user_id, '/e/' || event_id AS path, unnest(CASE event_id % 3 WHEN 0 THEN ['get'] WHEN 1 THEN ['get', 'post'] ELSE [] END) AS method {_E}")
+def openapi_operations(spark, d):
+    """Descriptions whose paths have one operation, two or none beside what is no operation."""
+    kinds = F.element_at(F.array(*map(F.lit, ("    get: {}\n", "    post: {x: [1]}\n    get:\n      tags: [a]\n", "    x-get: {}\n"))), (F.col("event_id") % 3 + 1).cast("int"))
+    item = F.concat(F.lit("  /e/"), F.col("event_id").cast("string"), F.lit(":\n    parameters: []\n"), kinds)
+    rows = _feed(spark, d, "openapi: 3.0.0\npaths:\n", item, "")
+    return p.openapi_operations(_normal(spark, d, rows, "openapi_discovery", "text/yaml"), "user_id").select("user_id", "path", "method")
+
+
 @query("payload_sniff", "SELECT page_id, page_id % 3 <> 2 AS xml FROM pages")
 def payload_sniff(spark, d):
     """Pages as they are, their quoted markup under an XML type, and their URLs."""

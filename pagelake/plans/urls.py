@@ -86,13 +86,12 @@ def url_redact_all(spark, d):
     return pages(spark, d).select("page_id", u.sanitize(F.col("url"), all_values=True).alias("sanitized"))
 
 
-@query("text_url_redact", """SELECT doc_id, text || ' see (https://example.com/p?id=%5BREDACTED%5D), or http://b.org/x. ' || text AS clean FROM documents WHERE NOT regexp_matches(text, '(?i)https?://')
-  UNION ALL SELECT doc_id, 'no' FROM documents WHERE regexp_matches(text, '(?i)https?://')""")
+@query("text_url_redact", f"""WITH {PARTS}, c AS (SELECT *, array_to_string(list_transform({_KEPT}, lambda x: {_HIDDEN}), '&') AS k FROM h), x AS (SELECT page_id, s || '://' || host || {_PORT} || path || {_query('k')} AS x FROM c)
+  SELECT page_id, p.html || ' see (' || x || '), ' || x || '; or ' || x || '. ' || p.html AS clean FROM pages p JOIN x USING (page_id)""")
 def text_url_redact(spark, d):
-    """URLs between the whole texts of documents; texts with URLs of their own are left out of the comparison."""
-    text = F.concat(F.col("text"), F.lit(" see (https://Example.com/p?id="), "doc_id", F.lit("#frag), or http://b.org/x. "), F.col("text"))
-    clean = F.when(F.col("text").rlike("(?i)https?://"), "no").otherwise(u.sanitize_text(text))
-    return table(spark, d, "documents").select("doc_id", clean.alias("clean"))
+    """Each page's URL, three times between its markup, which has links without a host."""
+    text = F.concat("html", F.lit(" see ("), "url", F.lit("), "), "url", F.lit("; or "), "url", F.lit(". "), "html")
+    return table(spark, d, "pages").select("page_id", u.sanitize_text(text).alias("clean"))
 
 
 @query("url_origin", f"WITH {PARTS} SELECT page_id, s || '://' || host || CASE WHEN port = '' OR (s = 'http' AND port = '80') OR (s = 'https' AND port = '443') THEN '' ELSE ':' || port END AS origin FROM u")
