@@ -46,7 +46,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     target. The fraction left goes to documents in the order of a seeded hash of
     the id, each once more, until it is used up; the last of them gives a part,
     so a source's sum is its target rounded down. Null texts have size 0. Equal
-    ids are ordered by size; rows that agree in both are alike.
+    ids are ordered by size; rows that agree in both are alike. No rows give none; a very
+    long text is a large document, of which a part may be taken, and only its size is moved.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -104,7 +104,9 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, window: int = 2048, end_i
 
     One row per piece, columns as in ``PIECES``; offsets run from 0 without gaps
     in each sequence. A document with no text is its ``end_id`` alone. Repeated
-    rows are packed each time. Sequences do not cross input partitions: there is
+    rows are packed each time, null ids like others; no rows give no pieces. A very long
+    text is coded in one task and cut over as many sequences as it fills; columns other
+    than these two are not read. Sequences do not cross input partitions: there is
     no shuffle, and each partition leaves one sequence at most that isn't full.
     The plan is a function of the partition's rows, so a task that runs again
     gives the same sequences.

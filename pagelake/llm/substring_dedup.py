@@ -191,7 +191,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, *, id_col: str = "doc_id
     same words also start earlier: in a row with a smaller id, or earlier in the
     same text. A null id is the smallest. Rows with one id and different texts are
     ordered by a hash of the text; rows alike in both are one document and are cut
-    alike. Windows are judged on the input. Texts without a repeat stay as they
+    alike. No rows give none, and a very long text is read in one task. Windows are judged on
+    the input. Texts without a repeat stay as they
     are, null stays null; of others the words left keep what lies between
     neighbours, and one space stands for a cut.
 

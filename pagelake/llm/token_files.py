@@ -135,7 +135,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
 
     Texts are range-partitioned by id (ties by a hash of the text), so segments
     of part p come before those of part p + 1. An empty table gives an empty folder.
-    Repeated rows are written each time; null ids come first.
+    Repeated rows are written each time; null ids come first. A very long text is coded in
+    one task, and its ids lie in one segment; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
