@@ -2,7 +2,9 @@
 
 Every stage takes documents (doc_id, text, lang, source, n_chars and any more columns)
 and works on all that the stage before has kept. Nulls, empty texts, repeated rows
-and empty tables pass through each stage with the results named there.
+and empty tables pass through each stage with the results named there. Further columns
+stay, also those with names that a stage uses itself, except in the last stage, which
+returns pieces. A very long text is one row like others; a task holds it once.
 """
 
 from __future__ import annotations
@@ -61,7 +63,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 tokens.
 
-    A null or empty text is its end token alone; repeated rows are packed each time.
+    A null or empty text is its end token alone; repeated rows are packed each time, and
+    so are rows with a null id. A very long text fills several windows.
     """
     return pack_documents(docs, tokenizer=vocabulary("word_bpe_49k.json"))
 
