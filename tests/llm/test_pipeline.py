@@ -79,3 +79,18 @@ def test_repeated_rows_share_the_mix(spark, odd):
     total = int(sum(map(int, targets_of(rows).values())))
     got = sum(len(r.text.encode().split()) for r in mixed_documents(odd).collect())
     assert total - 3 <= got <= total
+
+
+NAMES = "words lines places size source_size taken target before node label kept component_id n_shingles sketch text_hash h of first span row spans stratum good cut".split()
+
+
+def test_columns_with_clashing_names_stay(spark, odd):
+    docs = odd.select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in NAMES if n not in ("source", "text")])
+    docs = materialize(docs, "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, docs, DATA), "test")
+        assert kept.columns == docs.columns, name
+        for r in kept.collect():
+            assert all(r[n] == f"{n}-{'none' if r.doc_id is None else r.doc_id}" for n in NAMES), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
