@@ -3,8 +3,10 @@
 Every stage takes documents (doc_id, text, lang, source, n_chars and any more columns)
 and works on all that the stage before has kept. Nulls, empty texts, repeated rows
 and empty tables pass through each stage with the results named there. Further columns
-stay, also those with names that a stage uses itself, except in the last stage, which
-returns pieces. A very long text is one row like others; a task holds it once.
+stay, also those with names that a stage uses itself, but for ``n_words``, ``n_removed``
+and ``removed``, which the cutting of passages replaces; names that begin with ``_`` are
+kept for the stages. The last stage returns pieces. A very long text is one row like others;
+a task holds it once.
 """
 
 from __future__ import annotations
