@@ -200,10 +200,14 @@ def payload_envelope(spark, d):
     return events(spark, d).select("event_id", doc.alias("document"))
 
 
-@query("format_outcome", "SELECT event_id, 'rest' AS capability_id, 'APPLIED' AS status FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'json_endpoint' ELSE 'xml_endpoint' END, 'OBSERVED' FROM events")
+@query("format_outcome", "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'xml_endpoint' ELSE 'rest' END AS capability_id, 'APPLIED' AS status FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json_endpoint' ELSE 'xml_endpoint' END, 'OBSERVED' FROM events WHERE event_id % 3 <> 1")
 def format_outcome(spark, d):
-    rows = events(spark, d).select("event_id", F.lit("rest").alias("capability"), F.when(F.col("event_id") % 2 == 0, "json").otherwise("xml").alias("format"))
-    return p.format_outcomes(rows, "event_id")
+    """Events' own properties as JSON, and their types as XML under two capabilities; the format is what the payload is found to be."""
+    k = F.col("event_id") % 3
+    body = F.when(k == 0, F.col("props")).otherwise(F.concat(F.lit("<e>"), "event_type", F.lit("</e>")))
+    rows = events(spark, d).select("event_id", F.when(k == 1, "xml_endpoint").otherwise("rest").alias("capability"), body.alias("body"), F.lit("").alias("media_type"))
+    found = p.payload_normalize(rows).where("error IS NULL").select("event_id", F.when(k == 1, "xml_endpoint").otherwise("rest").alias("capability"), "format")
+    return p.format_outcomes(found, "event_id")
 
 
 @query("payload_normalize", "SELECT event_id, ['api_response', 'api_response', 'graphql', NULL][event_id % 4 + 1] AS representation, ['json', 'xml', 'json', NULL][event_id % 4 + 1] AS format, event_id % 4 <> 3 AS ok FROM events")

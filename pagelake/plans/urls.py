@@ -192,12 +192,14 @@ def named_api_detect(spark, d):
     return pages(spark, d).select("page_id", u.named_api(url).alias("api"))
 
 
-@query("rule_lookups", "SELECT page_id, NULL::VARCHAR AS api, page_id % 3 = 0 AS listed FROM pages")
+@query("rule_lookups", f"""WITH {PARTS}, bad AS (SELECT DISTINCT host FROM u WHERE contains(url, 'utm_source')), x AS (SELECT *, host IN (SELECT host FROM bad) AS listed FROM u)
+  SELECT page_id, CASE WHEN page_id % 3 = 0 AND s = 'https' THEN 'github_api' END AS api, listed FROM x""")
 def rule_lookups(spark, d):
-    """Route table and deny list as lookups of every page."""
-    rows = pages(spark, d).withColumn("host", F.concat(F.lit("h"), F.col("page_id").cast("string")))
-    listed = rows.where("page_id % 3 = 0").select("host", F.lit(True).alias("listed"))
-    return rows.join(listed, "host", "left").select("page_id", u.named_api(F.col("url")).alias("api"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    """Route table and deny list as lookups of every page; every third path is asked of a known host, and hosts with tracked links are listed."""
+    rows = pages(spark, d).withColumn("host", u.host(F.col("url")))
+    listed = rows.where(F.contains("url", F.lit("utm_source"))).select("host").distinct().withColumn("listed", F.lit(True))
+    asked = F.when(F.col("page_id") % 3 == 0, F.concat(u.scheme(F.col("url")), F.lit("://api.github.com"), u.path(F.col("url")))).otherwise(F.col("url"))
+    return rows.join(listed, "host", "left").select("page_id", u.named_api(asked).alias("api"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @query("destination_policy", f"""WITH {PARTS}
@@ -255,9 +257,10 @@ def robots_filter(spark, d):
     return policy.robots_filter(rows, robots).select("page_id", "robots_allowed")
 
 
-@query("sharing_filter", f"WITH {PARTS} SELECT page_id FROM (SELECT page_id, page_id % 2 = 0 AS auth, page_id % 3 = 0 AS secret FROM u) WHERE NOT auth AND NOT secret")
+@query("sharing_filter", f"WITH {PARTS} SELECT page_id FROM u WHERE page_id % 2 <> 0 AND page_id % 3 <> 0 AND NOT contains(url, '#')")
 def sharing_filter(spark, d):
-    url = F.concat(F.lit("https://example.com/a?"), F.when(F.col("page_id") % 3 == 0, "token=1").otherwise("q=1"))
+    """Pages that an outside service may be sent: not those behind a login, with a secret in their URL, or with an URL that cleaning changes."""
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, F.when(F.contains("url", F.lit("?")), "&token=1").otherwise("?token=1")).otherwise(""))
     return pages(spark, d).where(policy.shareable(url, F.col("page_id") % 2 == 0, F.lit(True))).select("page_id")
 
 
