@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from pagelake.functions import addresses as addresses_, urls
-from pagelake.operators.shared import earlier_parts, join_counted, on_parts, ranged, written
+from pagelake.operators.shared import earlier_parts, join_split, on_parts, ranged, written
 
 #: Fixed values.
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "metadata.google.internal")
@@ -100,7 +100,8 @@ def robots_filter(targets: DataFrame, robots: DataFrame, *, url: str = "url", ag
     """Add ``robots_allowed``: the first rule of the origin that fits decides; no rule or another status allows.
 
     Each robots text is parsed once to a table of rules by origin. The rules reach
-    the URLs by a join that broadcasts the rules of large sites, so none is one task.
+    the URLs by a join that deals the URLs of large sites over tasks, with a copy of the
+    rules for each, so no site is one task and no list of rules is broadcast.
     Of several answers of an origin the last by ``order`` counts, without it the
     greatest (status, body). ``normal``: the URLs are in normal form.
     """
@@ -109,7 +110,7 @@ def robots_filter(targets: DataFrame, robots: DataFrame, *, url: str = "url", ag
     rules = robots.where("status = 200").select(F.col("origin").alias("_origin"), _robots_rules(agent)("body").alias("_rules"))
     rows = written(targets.withColumns({"_origin": F.regexp_extract(url, "^[a-z]+://[^/?#]*", 0) if normal else urls.origin(F.col(url)), "_path": _robots_path(F.col(url))}), "robots").withColumn("_origin", F.coalesce("_origin", F.lit("")))
     sizes = rows.groupBy("_origin").agg(F.count("*").alias("_n"))
-    joined = join_counted(rows, sizes.join(rules, "_origin", "left"), "_origin", "_n", rows.count())
+    joined = join_split(rows, sizes.join(rules, "_origin", "left"), "_origin", "_n", rows.count())
     fits = F.filter("_rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_path"), r["path"]))
     return joined.withColumn("robots_allowed", F.coalesce(F.get(fits, 0)["allowed"], F.lit(True))).drop("_origin", "_path", "_rules", "_n")
 

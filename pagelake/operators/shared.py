@@ -61,6 +61,25 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
     return rest.unionByName(left.join(often, same)).drop("_key")
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, n: str, total: int, *, few: int = 10_000, hot: int = 20_000) -> DataFrame:
+    """``join_counted`` where the rows of ``right`` may be of any size: of hot keys only the keys are broadcast.
+
+    The rows of a hot key are dealt over as many shares as its count asks for, and its row of
+    ``right`` is copied once per share. ``left`` must be read from a table, so that a task
+    that is run again deals its rows alike.
+    """
+    bound = max(few, total // hot)
+    other = right.withColumn("_shares", F.ceil(F.col(n) / bound).cast("int")).withColumnRenamed(key, "_same")
+    if total <= bound:
+        return left.join(other, F.col(key).eqNullSafe(F.col("_same"))).drop("_same", "_shares")
+    often = F.broadcast(other.where("_shares > 1").select(F.col("_same").alias("_often"), F.col("_shares").alias("_of")))
+    dealt = left.withColumn("_row", F.monotonically_increasing_id()).join(often, F.col(key).eqNullSafe(F.col("_often")), "left")
+    dealt = dealt.withColumn("_share", F.pmod("_row", F.coalesce("_of", F.lit(1)).cast("long")).cast("int"))
+    copies = other.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    same = F.col(key).eqNullSafe(F.col("_same")) & (F.col("_share") == F.col("_copy"))
+    return dealt.join(copies, same).drop("_same", "_shares", "_row", "_often", "_of", "_share", "_copy")
+
+
 def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Rows in range partitions of ``by`` and ``order``: ``_part``, and ``_k``, the place in part and group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import addresses
 from pagelake.functions import urls as u
-from pagelake.operators import policy
+from pagelake.operators import policy, rules
 from pagelake.plans.registry import query, table
 
 #: The split of ``functions.urls`` in DuckDB, over pages.
@@ -288,3 +288,26 @@ SELECT event_id, user_id, slot_ms FROM r"""
 def host_pacing(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     return policy.host_pacing(rows, host="user_id", at_ms="t", key="event_id", interval_ms=60000).select("event_id", "user_id", "slot_ms")
+
+
+_RULES = """all_rules AS (SELECT 'site:' || host AS rule, host, '/' AS prefix, s = 'http' AS http FROM u WHERE contains(url, 'utm_source')
+  UNION SELECT 'part:' || path, host, regexp_extract(path, '^/[^/]*', 0), s = 'http' FROM u WHERE q <> '' AND path LIKE '/%'
+  UNION SELECT 'page:' || path, host, regexp_replace(path, '/$', ''), s = 'http' FROM u WHERE path LIKE '/%/'),
+rules AS (SELECT rule, host, prefix, bool_or(http) AS http FROM all_rules GROUP BY ALL)"""
+
+
+def _page_rules(spark, d):
+    """Rules from the pages: sites with tracked links, sections with asked pages, and folders; rules of plain HTTP pages hold for it too."""
+    rows = pages(spark, d).select("url", u.host(F.col("url")).alias("host"), u.path(F.col("url")).alias("path"), u.query(F.col("url")).alias("q"), (u.scheme(F.col("url")) == "http").alias("http"))
+    site = rows.where(F.contains("url", F.lit("utm_source"))).select(F.concat(F.lit("site:"), "host").alias("rule"), "host", F.lit("/").alias("prefix"), "http")
+    part = rows.where("q <> '' AND path LIKE '/%'").select(F.concat(F.lit("part:"), "path").alias("rule"), "host", F.regexp_extract("path", "^/[^/]*", 0).alias("prefix"), "http")
+    page = rows.where("path LIKE '/%/'").select(F.concat(F.lit("page:"), "path").alias("rule"), "host", F.regexp_replace("path", "/$", "").alias("prefix"), "http")
+    return site.union(part).union(page).groupBy("rule", "host", "prefix").agg(F.bool_or("http").alias("http"))
+
+
+@query("rule_table", f"""WITH {PARTS}, {_RULES}, fit AS (SELECT page_id, rule, prefix, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN prefix = '/' THEN 0 ELSE length(prefix) END DESC, rule) AS k
+    FROM u JOIN rules r ON r.host = u.host AND (prefix = '/' OR path = prefix OR starts_with(path, prefix || '/')) AND (s = 'https' OR r.http) WHERE port = '')
+  SELECT pages.page_id, rule, prefix AS rule_prefix FROM pages LEFT JOIN fit ON pages.page_id = fit.page_id AND k = 1""")
+def rule_table(spark, d):
+    """Every page with the longest rule that fits it, of a table that grows with the pages."""
+    return rules.match_rules(pages(spark, d), _page_rules(spark, d)).select("page_id", "rule", "rule_prefix")

@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagelake.functions import addresses, urls
-from pagelake.operators import batches, content, crawl, ledger, policy, runs, search
+from pagelake.operators import batches, content, crawl, ledger, policy, rules, runs, search, shared
 from pagelake.sources import files
 from pagelake.streaming import events as streams
 
@@ -351,3 +351,52 @@ def test_many_questions_as_one_at_a_time(spark):
             want = [(r.locator, r.excerpt) for r in runs.exact_search(docs.where("doc_id IS NOT NULL"), terms, lines=5).orderBy("doc_id", "line").collect()] if terms else []
             assert got[i] == want, question
     assert search.search_questions(docs, questions.limit(0)).count() == 0
+
+
+# ---- rule tables
+
+
+def test_rule_tables_small_and_large(spark):
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice(["/a", "/b", "/ab", "/", "/c.d"]) for _ in range(rng.randint(0, 4)))
+    table = [(f"r{i}", rng.choice(["h.x", "H.x.", "k.x", None]), part() or rng.choice(["", "/", "odd"]), rng.random() < 0.5, rng.randint(0, 9)) for i in range(25)] + [(None, "h.x", "/a", True, 0)]
+    given = [f"{rng.choice(['http', 'https', 'ftp'])}://{rng.choice(['', '', '', 'me@'])}{rng.choice(['h.x', 'h.X', 'k.x.', 'z.x'])}{rng.choice(['', '', ':443', ':80', ':8080'])}{part()}{rng.choice(['', '?/a', '#/b'])}" for _ in range(300)]
+    given += [None, "", "no url", "https://h.x", given[0], given[0], "https://h.x" + "/a" * 5000]
+    targets = spark.createDataFrame([(i, x, "old") for i, x in enumerate(given)], "i int, url string, rule string")
+    listed = spark.createDataFrame(table, "rule string, host string, prefix string, http boolean, place int")
+
+    def want(x, order):
+        if x is None or not any(x.startswith(s) for s in ("http://", "https://")) or "@" in x:
+            return (None, None)
+        scheme, rest = x.split("://")
+        rest = rest.split("?")[0].split("#")[0]
+        where, slash, path = rest.partition("/")
+        name, _, port = where.partition(":")
+        if port not in ("", "443" if scheme == "https" else "80"):
+            return (None, None)
+        path = slash + path or "/"
+        fits = [(len(p.count("/") * [0]) if p != "/" else 0, r, p, o) for r, h, p, plain, o in table if r and h and h.lower().rstrip(".") == name.lower().rstrip(".") and (scheme == "https" or plain) and (p in ("", "/") or p.startswith("/") and (path == p or path.startswith(p + "/")))]
+        best = min(fits, key=lambda f: (f[3], f[1]) if order else (-f[0], f[1]), default=None)
+        return (None, None) if best is None else (best[1], best[2])
+
+    for order in (None, "place"):
+        for how in ({}, {"held_bytes": 0}, {"held_depths": 1}):
+            got = {r.i: (r.rule, r.rule_prefix) for r in rules.match_rules(targets, listed, order=order, **how).collect()}
+            assert got == {i: want(x, order) for i, x in enumerate(given)}
+    assert {r.rule for r in rules.match_rules(targets, listed.limit(0)).collect()} == {None}
+
+
+def test_named_apis_as_a_rule_table(spark):
+    apis = spark.createDataFrame([(n, h, p, n == "arxiv_api") for n, h, p in urls.NAMED_APIS], "rule string, host string, prefix string, http boolean")
+    given = [f"{s}://{h}{port}{p}{end}" for _, h, p in urls.NAMED_APIS for s in ("http", "https") for port in ("", ":443") for end in ("", "/x", "x")]
+    rows = rules.match_rules(spark.createDataFrame([(x,) for x in given], "url string").withColumn("api", urls.named_api(F.col("url"))), apis)
+    assert rows.where("NOT rule <=> api").count() == 0
+
+
+def test_split_joins_deal_hot_keys(spark, tmp_path):
+    spark.range(300).selectExpr("CASE WHEN id < 200 THEN 'a' WHEN id < 280 THEN NULL ELSE concat('k', id) END AS k", "id").write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    got = shared.join_split(left, right, "k", "n", 300, few=7, hot=100)
+    assert got.columns == ["k", "id", "n", "most"]
+    assert sorted(r.id for r in got.collect()) == list(range(300)) and got.where("k = 'a' AND most <> 199").count() == 0
