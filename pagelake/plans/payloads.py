@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelake.operators import payloads as p
+from pagelake.operators import trees
 from pagelake.operators.shared import numbered, shared_path
 from pagelake.plans.registry import query, table
 from pagelake.sources import files
@@ -100,6 +101,44 @@ def xml_tree(spark, d):
     return _normal(spark, d, _xml(spark, d), "rest", "text/xml").select("event_id", "data")
 
 
+@query("element_rows", """WITH e AS (SELECT * FROM events WHERE event_id % 4 > 1)
+  SELECT event_id, '/r[0]' AS path, 0 AS position, 'r' AS tag, '' AS text FROM e
+  UNION ALL SELECT event_id, '/r[0]/user[0]', 0, 'user', user_id::VARCHAR FROM e UNION ALL SELECT event_id, '/r[0]/kind[1]', 1, 'kind', event_type FROM e""")
+def element_rows(spark, d):
+    """The elements of the well-formed half of the documents."""
+    return trees.element_rows(_normal(spark, d, _xml(spark, d), "xml_endpoint", "text/xml"), "event_id").drop("attributes")
+
+
+def _turns(spark, d):
+    """Turns of conversations as nested JSON: role and turn, then the lines with their words."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x).alias("n"), F.split(x, " ").alias("words")))
+    body = F.to_json(F.struct(F.struct("role", "turn").alias("meta"), lines.alias("lines")))
+    return table(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
+
+
+_LINES = "l AS (SELECT conv_id, turn, role, i, string_split(text, chr(10))[i + 1] AS line FROM (SELECT *, unnest(range(len(string_split(text, chr(10))))) AS i FROM conversations)), w AS (SELECT *, unnest(range(len(string_split(line, ' ')))) AS j FROM l)"
+_TURN = "SELECT conv_id, turn, '/meta/role' AS path, '\"' || role || '\"' AS value, false AS omitted FROM conversations UNION ALL SELECT conv_id, turn, '/meta/turn', turn::VARCHAR, false FROM conversations"
+
+
+@query("json_rows", f"""WITH {_LINES} {_TURN}
+  UNION ALL SELECT conv_id, turn, '/lines/' || i || '/n', length(line)::VARCHAR, false FROM l
+  UNION ALL SELECT conv_id, turn, '/lines/' || i || '/words/' || j, '"' || string_split(line, ' ')[j + 1] || '"', false FROM w""")
+def json_rows(spark, d):
+    """Every leaf of the turns."""
+    return trees.json_rows(_turns(spark, d), "body", "conv_id", "turn")
+
+
+@query("json_rows_capped", f"""WITH {_LINES}, x AS ({_TURN}
+  UNION ALL SELECT conv_id, turn, '/lines/' || i || '/n', length(line)::VARCHAR, false FROM l WHERE i < 2
+  UNION ALL SELECT conv_id, turn, '/lines/' || i || '/words/' || j, '', j >= 2 FROM w WHERE i < 2
+  UNION ALL SELECT conv_id, turn, '/lines/' || i, NULL, true FROM l WHERE i >= 2)
+  SELECT conv_id, turn, count_if(NOT omitted) AS leaves, count_if(omitted) AS omitted FROM x GROUP BY conv_id, turn""")
+def json_rows_capped(spark, d):
+    """Lists cut to two elements at every level: leaves that stay and elements left out."""
+    rows = trees.json_rows(_turns(spark, d), "body", "conv_id", "turn", most=2)
+    return rows.groupBy("conv_id", "turn").agg(F.count_if(~F.col("omitted")).alias("leaves"), F.count_if("omitted").alias("omitted"))
+
+
 #: Items of one feed body: far below the limits on records, nodes and bytes.
 RUN = 1000
 

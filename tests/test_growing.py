@@ -11,7 +11,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagelake.functions import addresses, urls
-from pagelake.operators import batches, content, crawl, ledger, policy, rules, runs, search, shared
+from pagelake.operators import batches, content, crawl, ledger, payloads, policy, rules, runs, search, shared, trees
 from pagelake.sources import files
 from pagelake.streaming import events as streams
 
@@ -400,3 +400,49 @@ def test_split_joins_deal_hot_keys(spark, tmp_path):
     got = shared.join_split(left, right, "k", "n", 300, few=7, hot=100)
     assert got.columns == ["k", "id", "n", "most"]
     assert sorted(r.id for r in got.collect()) == list(range(300)) and got.where("k = 'a' AND most <> 199").count() == 0
+
+
+# ---- trees
+
+
+def test_leaves_of_nested_json(spark):
+    rng = random.Random(9)
+
+    def made(depth):
+        if depth and rng.random() < 0.6:
+            n = rng.randint(0, 4)
+            return [made(depth - 1) for _ in range(n)] if rng.random() < 0.5 else {rng.choice(["a/b", "c~", "", "é"]) + str(i): made(depth - 1) for i in range(n)}
+        return rng.choice([None, True, 7, -2.5, "x\"y", "", 12345678901])
+
+    def leaves(v, path, most):
+        inner = list(enumerate(v)) if isinstance(v, list) else [(k.replace("~", "~0").replace("/", "~1"), x) for k, x in v.items()] if isinstance(v, dict) else []
+        if not inner:
+            yield path, v, False
+        for k, x in inner:
+            if most is not None and isinstance(v, list) and k >= most:
+                yield f"{path}/{k}", None, True
+            else:
+                yield from leaves(x, f"{path}/{k}", most)
+
+    given = [made(6) for _ in range(40)]
+    deep = json.loads("[" * 10 + "1" + "]" * 10)
+    bodies = [json.dumps(v) for v in [*given, deep]] + ["", "no json", '{"a":1,"a":2}', None]
+    df = spark.createDataFrame([(i, b, 0) for i, b in enumerate(bodies)], "key int, body string, path int")
+    for most in (None, 2):
+        got = [(r.key, r.path, r.value if r.value is None else json.loads(r.value), r.omitted) for r in trees.json_rows(df, "body", "key", most=most).collect()]
+        want = [(i, *x) for i, v in enumerate([*given, deep]) for x in leaves(v, "", most)]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        for i, v in enumerate(given):
+            if most is not None:
+                assert sum(r[3] for r in got if r[0] == i) == payloads.truncate(v, most)[1]
+    assert trees.json_rows(df.limit(0), "body", "key").count() == 0
+
+
+def test_elements_of_xml(spark):
+    bodies = ['<a x="1"><b>t</b><n:c xmlns:n="u" n:y="2"><b/>tail</n:c></a>', "<a>", None]
+    rows = spark.createDataFrame([(i, b, "xml_endpoint", "text/xml") for i, b in enumerate(bodies)], "tag int, body string, capability string, media_type string")
+    normal = payloads.payload_normalize(rows).withColumnRenamed("tag", "i")
+    got = sorted((r.path, r.position, r.tag, r.attributes, r.text) for r in trees.element_rows(normal, "i").collect())
+    assert got == [("/a[0]", 0, "a", {"x": "1"}, ""), ("/a[0]/b[0]", 0, "b", {}, "t"), ("/a[0]/c[1]", 1, "c", {"y": "2"}, ""), ("/a[0]/c[1]/b[0]", 0, "b", {}, "")]
+    value = normal.where("i = 0").select(F.try_variant_get(trees.as_variant(F.col("data")), "$.children[1].attributes.y", "string")).first()[0]
+    assert value == "2"
