@@ -68,13 +68,61 @@ SENTENCES = {
     "ofl11-goals": "The goals of the Open Font License (OFL) are to stimulate worldwide development of collaborative font projects, to support the font creation efforts of academic and linguistic communities, and to provide a free and open framework in which fonts may be shared and improved in partnership with others",
     "cc0-waiver": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "vim-text": "There are no restrictions on distributing unmodified copies of Vim except that they must include this license text",
-    "artistic2-text": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "gnu-verbatim": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    "artistic1-intent": "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications",
+    "artistic2-terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed",
     "upl-grant": 'Subject to the condition set forth below, permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data (collectively the "Software"), free of charge and under any and all copyright rights in the Software, and any and all patent rights owned or freely licensable by each licensor hereunder covering either (i) the unmodified Software as contributed to or provided by such licensor, or (ii) the Larger Works (as defined below), to deal in both',
     "ijg-text": "This software is based in part on the work of the Independent JPEG Group",
     "openssl-text": "This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit",
     "php-text": "This product includes PHP software, freely available from <http://www.php.net/software/>",
+    "php-name": 'The name "PHP" must not be used to endorse or promote products derived from this software without prior written permission',
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl-head": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT")',
+    "epl2-secondary": '"Secondary License" means either the GNU General Public License, Version 2.0, or any later versions of that license, including any exceptions or additional permissions as identified by the initial Contributor',
+    "cpl1-head": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS COMMON PUBLIC LICENSE ("AGREEMENT")',
+    "ipl1-head": 'THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS IBM PUBLIC LICENSE ("AGREEMENT")',
+    "mpl2-contributor": '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',
+    "mpl2-covered": '"Covered Software" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof',
+    "mpl11-title": "Mozilla Public License Version 1.1",
+    "npl11-title": "Netscape Public License Version 1.1",
+    "initial-grant": "The Initial Developer hereby grants You a world-wide, royalty-free, non-exclusive license, subject to third party intellectual property claims",
+    "cddl10-title": "Common Development and Distribution License (CDDL) Version 1.0",
+    "cddl11-title": "Common Development and Distribution License (CDDL) Version 1.1",
+    "cddl-grant": "Conditioned upon Your compliance with Section 3.1 below and subject to third party intellectual property claims, the Initial Developer hereby grants You a world-wide, royalty-free, non-exclusive license",
+    "apache11-names": 'The names "Apache" and "Apache Software Foundation" must not be used to endorse or promote products derived from this software without prior written permission',
+    "gpl1-text": "The license agreements of most software companies try to keep users at the mercy of those companies",
+    "gnu2-freedom": "The licenses for most software are designed to take away your freedom to share and change it",
+    "gnu3-freedom": "The licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+    "lgpl20-text": 'This License Agreement applies to any software library which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Library General Public License (also called "this License")',
+    "lgpl21-text": 'This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party saying it may be distributed under the terms of this Lesser General Public License (also called "this License")',
+    "gfdl12-title": "GNU Free Documentation License Version 1.2, November 2002",
+    "gfdl13-title": "GNU Free Documentation License Version 1.3, 3 November 2008",
+    "gfdl-purpose": 'The purpose of this License is to make a manual, textbook, or other functional and useful document "free" in the sense of freedom',
+    "python2-between": 'This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation',
+    "cc0-text": 'The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original work of authorship and/or a database (each, a "Work")',
+    "osl3-text": 'This Open Software License (the "License") applies to any original work of authorship (the "Original Work") whose owner (the "Licensor") has placed the following licensing notice adjacent to the copyright notice for the Original Work',
+    "afl3-text": 'This Academic Free License (the "License") applies to any original work of authorship (the "Original Work") whose owner (the "Licensor") has placed the following licensing notice adjacent to the copyright notice for the Original Work',
+    "ecl2-text": 'The Educational Community License version 2.0 ("ECL") consists of the Apache 2.0 license, modified to change the scope of the patent grant in section 3 to be specific to the needs of the education communities using this license',
+    "eupl11-text": 'This European Union Public Licence (the "EUPL") applies to the Work or Software (as defined below) which is provided under the terms of this Licence',
+    "eupl12-text": 'This European Union Public Licence (the "EUPL") applies to the Work (as defined below) which is provided under the terms of this Licence',
+    "ms-governs": "This license governs use of the accompanying software",
+    "ms-accept": "If you use the software, you accept this license",
+    "msrl-grants": "(A) Reciprocal Grants- For any file you distribute that contains code from the software (in source code or binary format), you must provide recipients the source code to that file along with a copy of this license, which license will govern that file",
+    "qpl1-intent": "The intent of this license is to establish freedom to share and change the software regulated by this license under the open source model",
+    "odbl1-text": "The Open Database License (ODbL) is a license agreement intended to allow users to freely share, modify, and use this Database while maintaining this same freedom for others",
+    "mulan2-text": "Your reproduction, use, modification and distribution of the Software shall be subject to Mulan PSL v2 (this License) with the following terms and conditions",
+    "blueoak-purpose": "This license gives everyone as much permission to work with this software as possible, while protecting contributors from liability",
+    "blueoak-copyright": "Each contributor licenses you to do everything with this software that would otherwise infringe that contributor's copyright in it",
+    "w3c-obtaining": "By obtaining, using and/or copying this work, you (the licensee) agree that you have read, understood, and will comply with the following terms and conditions",
 }
 
+#: The names of the Creative Commons licences in their texts.
+CREATIVE = {
+    "CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-ND-4.0": "Attribution-NoDerivatives", "CC-BY-NC-4.0": "Attribution-NonCommercial",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+
 #: The GNU licences' names in notices, with the versions of each.
 GNU = {
     "GPL": ("General Public License", ("1", "2", "3")),
@@ -185,17 +233,49 @@ RULES = (
     ("mpl11-header", "MPL-1.1", "mpl11-head apache2-use|mpl11-head"),
     ("mpl2-header", "MPL-2.0", "mpl2-head"),
     ("cddl1-header", "CDDL-1.0", "cddl1-head"),
-    ("gpl3-text", "GPL-3.0", "gpl3-text"),
-    ("agpl3-text", "AGPL-3.0", "agpl3-text"),
-    ("gpl2-text", "GPL-2.0", "gpl2-text"),
-    ("lgpl3-text", "LGPL-3.0", "lgpl3-text"),
+    ("gpl3-text", "GPL-3.0-only", "gpl3-text"),
+    ("agpl3-text", "AGPL-3.0-only", "agpl3-text"),
+    ("gpl2-text", "GPL-2.0-only", "gpl2-text"),
+    ("lgpl3-text", "LGPL-3.0-only", "lgpl3-text"),
     ("ofl11-text", "OFL-1.1", "ofl11-head|ofl11-goals"),
     ("cc0-waiver", "CC0-1.0", "cc0-waiver"),
     ("vim-text", "Vim", "vim-text"),
     ("upl1-text", "UPL-1.0", "upl-grant"),
     ("ijg-text", "IJG", "ijg-text"),
     ("openssl-text", "OpenSSL", "openssl-text"),
-    ("php-text", "PHP-3.01", "php-text"),
+    ("php-text", "PHP-3.01", "php-name|php-text"),
+    ("artistic1-text", "Artistic-1.0", "artistic1-intent"),
+    ("artistic2-text", "Artistic-2.0", "artistic2-terms"),
+    ("epl1-text", "EPL-1.0", "epl1-title epl-head"),
+    ("epl2-text", "EPL-2.0", "epl2-title epl-head"),
+    ("epl2-body", "EPL-2.0", "epl-head epl2-secondary"),
+    ("cpl1-text", "CPL-1.0", "cpl1-head"),
+    ("ipl1-text", "IPL-1.0", "ipl1-head"),
+    ("mpl2-text", "MPL-2.0", "mpl2-contributor mpl2-covered"),
+    ("mpl11-text", "MPL-1.1", "mpl11-title initial-grant"),
+    ("npl11-text", "NPL-1.1", "npl11-title initial-grant"),
+    ("cddl10-text", "CDDL-1.0", "cddl10-title cddl-grant"),
+    ("cddl11-text", "CDDL-1.1", "cddl11-title cddl-grant"),
+    ("apache11-text", "Apache-1.1", "bsd-source bsd-binary apache11-names"),
+    ("gpl1-text", "GPL-1.0-only", "gpl1-text"),
+    ("lgpl20-text", "LGPL-2.0-only", "lgpl20-text"),
+    ("lgpl21-text", "LGPL-2.1-only", "lgpl21-text"),
+    ("gfdl12-text", "GFDL-1.2", "gfdl12-title gnu-verbatim gfdl-purpose"),
+    ("gfdl13-text", "GFDL-1.3", "gfdl13-title gnu-verbatim gfdl-purpose"),
+    ("python2-text", "Python-2.0", "python2-between"),
+    ("cc0-text", "CC0-1.0", "cc0-text"),
+    ("osl3-text", "OSL-3.0", "osl3-text ref-OSL-3.0"),
+    ("afl3-text", "AFL-3.0", "afl3-text ref-AFL-3.0"),
+    ("ecl2-text", "ECL-2.0", "ecl2-text"),
+    ("eupl11-text", "EUPL-1.1", "eupl11-text"),
+    ("eupl12-text", "EUPL-1.2", "eupl12-text"),
+    ("msrl-text", "MS-RL", "ms-governs ms-accept msrl-grants"),
+    ("mspl-text", "MS-PL", "ms-governs ms-accept"),
+    ("qpl1-text", "QPL-1.0", "qpl1-intent"),
+    ("odbl1-text", "ODbL-1.0", "odbl1-text"),
+    ("mulan2-text", "MulanPSL-2.0", "mulan2-text"),
+    ("blueoak-text", "BlueOak-1.0.0", "blueoak-purpose blueoak-copyright"),
+    ("w3c-text", "W3C", "w3c-obtaining"),
 )
 
 #: A sentence ends at one of these marks before a blank, at a blank line, or at the end.
@@ -251,10 +331,16 @@ def gnu_rules() -> list[tuple[str, str, str]]:
     return out
 
 
+def creative_sentences() -> dict[str, str]:
+    """The sentence by which each Creative Commons text is accepted."""
+    terms = "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons"
+    return {f"{name.lower()}-accept": f'{terms} {title} 4.0 International Public License ("Public License")' for name, title in CREATIVE.items()}
+
+
 def known_sentences() -> dict[str, str]:
     """Normalised sentence to identifier."""
     short = re.compile(SHORT)
-    return {normalize(short.sub(lambda m: f"{m[1] or m[2]} ", x.lower())): name for name, x in (SENTENCES | gnu_sentences()).items()}
+    return {normalize(short.sub(lambda m: f"{m[1] or m[2]} ", x.lower())): name for name, x in (SENTENCES | gnu_sentences() | creative_sentences()).items()}
 
 
 def known_names() -> dict[str, str]:
@@ -280,7 +366,7 @@ def spdx_ids() -> dict[str, str]:
 
 def ordered_rules() -> list[tuple[str, str, str]]:
     """Rule, licence and pattern; those with most sentences first."""
-    rules = [*RULES, *gnu_rules()]
+    rules = [*RULES, *gnu_rules(), *[(f"{x.lower()}-text", x, f"{x.lower()}-accept") for x in CREATIVE]]
     return [(n, lic, rule_pattern(x)) for n, lic, x in sorted(rules, key=lambda r: -len(r[2].replace(" *", "").split()))]
 
 

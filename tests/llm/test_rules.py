@@ -116,6 +116,15 @@ NOTICES = [
     ("// SPDX-License-Identifier: Apache-2.0\nint x;", "spdx-Apache-2.0", "Apache-2.0"),
     ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) OR MIT */", "spdx-GPL-2.0-or-later,spdx-MIT", "GPL-2.0-or-later,MIT"),
     ("SPDX-License-Identifier: LicenseRef-mine", "", ""),
+    ('Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION\n    OF THE PROGRAM CONSTITUTES RECIPIENT\'S ACCEPTANCE OF THIS AGREEMENT.\n\n1. DEFINITIONS\n', "epl2-text", "EPL-2.0"),
+    (_list("epl1-title", "epl-head"), "epl1-text", "EPL-1.0"), (_list("epl-head", "gpl2-text", "epl2-secondary"), "gpl2-text", "GPL-2.0-only"), (_list("epl-head", "epl2-secondary"), "epl2-body", "EPL-2.0"), (_list("epl-head"), "", ""),
+    ('Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. "Contributor"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.\n\n1.2. "Contributor Version"\n    means the combination.\n\n1.4. "Covered Software"\n    means Source Code Form to which the initial Contributor has attached\n    the notice in Exhibit A, the Executable Form of such Source Code\n    Form, and Modifications of such Source Code Form, in each case\n    including portions thereof.\n', "mpl2-text", "MPL-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n", "gpl3-text", "GPL-3.0-only"),
+    (_list("gnu-verbatim"), "", ""), (_list("gnu-verbatim", "artistic2-terms"), "artistic2-text", "Artistic-2.0"),
+    ("            GNU Free Documentation License\n             Version 1.3, 3 November 2008\n\n\n" + _list("gnu-verbatim", "gfdl-purpose"), "gfdl13-text", "GFDL-1.3"),
+    (_list("ms-governs", "ms-accept"), "mspl-text", "MS-PL"), (_list("ms-governs", "ms-accept") + f"\n\n3. Conditions and Limitations\n{SAY['msrl-grants']}.", "msrl-text", "MS-RL"),
+    ('By exercising the Licensed Rights (defined below), You accept and agree\nto be bound by the terms and conditions of this Creative Commons\nAttribution-ShareAlike 4.0 International Public License ("Public\nLicense"). To the extent', "cc-by-sa-4.0-text", "CC-BY-SA-4.0"),
+    (f"{SAY['osl3-text']}:\n\nLicensed under the Open Software License version 3.0\n\n1) Grant", "osl3-text", "OSL-3.0"),
     ("words words |\nReleased under the MIT License.", "reference-MIT", "MIT"),
     ("Licensed under the MIT license (see LICENSE).", "reference-MIT", "MIT"),
     ("This project is licensed under the terms of the MIT license.", "reference-MIT", "MIT"),
@@ -154,6 +163,18 @@ def test_license_sql_agrees(spark, tmp_path):
     assert got == set(con.sql(queries.ORACLE_SQL["op4_license_scan"]).fetchall())
 
 
+def test_texts_of_licences_by_their_sentences(spark):
+    """Every rule finds its licence in a text of its own sentences, other known ones where it allows them."""
+    say = licenses.SENTENCES | licenses.gnu_sentences() | licenses.creative_sentences()
+    rules = [r for r in licenses.RULES if "ref-" not in r[2]] + licenses.gnu_rules()
+    said = [[x.split("|")[0] if x != "*" else "gpl-merchant" for x in r[2].split()] for r in rules]
+    texts = [(i, "\n\n".join(f"{say[x]}." for x in names)) for i, names in enumerate(said)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (rule, licence, _) in enumerate(rules):
+        assert rule in got[i].rules and licence in got[i].licenses, (rule, got[i])
+    assert len({r[1] for r in rules if r[0].endswith("-text")}) > 55
+
+
 def test_each_known_sentence_alone(spark):
     names = list(licenses.SENTENCES)
     texts = [(i, mark.join(licenses.SENTENCES[x].split(" ")) + ".") for mark in (" ", "\n") for i, x in enumerate(names, len(names) * (mark == "\n"))]
