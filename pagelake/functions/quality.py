@@ -31,9 +31,13 @@ WORD = rf"[{LETTER}]+"
 SCRIPTS = r"؀-ۿ가-힯Ѐ-ӿ぀-ヿ一-鿿"
 
 
+#: White space but the space, as Python has it: the separators U+001C to U+001F too.
+_OTHER_SPACE = r"\t-\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def squeeze(text: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    """White space runs as one space, none at the ends; runs that are one space already are left alone."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_OTHER_SPACE}][ {_OTHER_SPACE}]*| [ {_OTHER_SPACE}]+", " "))
 
 
 def _may_hold(low: Column, pattern: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import entities
+
 from pyspark.sql import functions as F
 
 from pagelake.functions import html, quality as q, urls as u
@@ -29,6 +31,51 @@ def sql_text(x: str) -> str:
 ARTICLE = r"coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), ''), html)"
 
 
+def _sql_quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: What HTML takes for a reference.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that HTML knows without a semicolon too, the longest first, as a reference may begin with one.
+_BARE = "|".join(sorted((n for n in entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_NAMED = "MAP {" + ", ".join(f"{_sql_quoted('&' + n)}: {_sql_quoted(c)}" for n, c in sorted(entities.html5.items())) + "}"
+#: Numbers that HTML reads as characters of windows-1252, and the other controls and noncharacters, which it drops.
+_CP1252 = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
+_CP1252_MAP = "MAP {" + ", ".join(f"{k}: {_sql_quoted(c)}" for k, c in _CP1252.items()) + "}"
+_DROPPED = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534"
+
+
+def sql_unescape(x: str) -> str:
+    """All references of HTML, each once: numbers, names, and names that HTML knows without a semicolon at the start of others."""
+    digits = "CASE WHEN lower(s[3:3]) = 'x' THEN '0x' || ltrim(regexp_extract(s, '^&#[xX]([0-9a-fA-F]+)', 1), '0') ELSE ltrim(regexp_extract(s, '^&#([0-9]+)', 1), '0') END"
+    n = f"CASE WHEN ({digits}) IN ('', '0x') THEN 0 ELSE coalesce(TRY_CAST(({digits}) AS BIGINT), 1114112) END"
+    number = f"list_transform([{n}], lambda n: CASE WHEN map_contains({_CP1252_MAP}, n) THEN {_CP1252_MAP}[n] WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN {_DROPPED} THEN '' ELSE chr(n::INTEGER) END)[1]"
+    bare = f"regexp_extract(s, '^&({_BARE})')"
+    named = f"coalesce({_NAMED}[s], {_NAMED}[{bare}] || substr(s, length({bare}) + 1), s)"
+    one = f"CASE WHEN s[1:1] <> '&' OR length(s) < 2 THEN s WHEN s[2:2] = '#' THEN {number} ELSE {named} END"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(regexp_extract_all({x}, '{_REFERENCE}|[^&]+|&'), lambda s: {one}), '') ELSE {x} END"
+
+
+def _sql_letters(tag: str) -> str:
+    """A tag's name in capitals or not, of ASCII only."""
+    return "".join(f"[{c}{c.upper()}]" for c in tag)
+
+
+def sql_visible(source: str) -> str:
+    """``page_id, text`` of markup ``m`` in ``source``: scripts and styles out, tags as spaces, entities, single spaces."""
+    dropped = "|".join(rf"<{t}\b[^>]*>.*?</{t}[\s\x0B]*>" for t in map(_sql_letters, ("script", "style", "noscript")))
+    bare = f"regexp_replace(regexp_replace(coalesce(m, ''), '(?s){dropped}', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+    return f"SELECT page_id, {sql_squeeze(sql_unescape('b'))} AS text FROM (SELECT page_id, {bare} AS b FROM ({source}))"
+
+
+def sql_main() -> str:
+    """``page_id, m``: inside of the longest main or article element, the first of equals, else all."""
+    found = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in map(_sql_letters, ("main", "article")))
+    inner = f"list_transform(regexp_extract_all(html, '(?s){found}'), lambda e: regexp_extract(e, '(?s)^<[^>]*>(.*)</[A-Za-z]+>$', 1))"
+    return f"SELECT page_id, CASE WHEN len(x) > 0 THEN list_filter(x, lambda e: length(e) = list_max(list_transform(x, lambda y: length(y))))[1] ELSE html END AS m FROM (SELECT page_id, html, {inner} AS x FROM pages)"
+
+
 def sql_state(x: str) -> str:
     cases = "".join(f" WHEN regexp_matches({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({p})([^\\p{{L}}\\p{{N}}_]|$)'){f' AND length({x}) < {q.SHORT}' if short else ''} THEN '{n}'" for n, p, short, _ in q.STATES)
     return f"CASE WHEN {x} = '' THEN 'EMPTY'{cases} ELSE 'OK' END"
@@ -85,14 +132,15 @@ def _reader(name: str, text, sql: str) -> None:
     def run(spark, d):
         return pages(spark, d).select("page_id", text(F.col("html")).alias("text"))
 
-    query(name, f"SELECT page_id, {sql} AS text FROM pages")(run)
+    query(name, sql_visible(sql))(run)
 
 
-_reader("clean_text", html.clean_text, sql_text("html"))
-_reader("boilerplate_removal", html.clean_text, sql_text("html"))
-_reader("main_article", html.main_article, sql_text(ARTICLE))
-_reader("newspaper_style", html.main_article, sql_text(ARTICLE))
-_reader("mercury_style", html.main_article, sql_text(ARTICLE))
+_ALL = "SELECT page_id, html AS m FROM pages"
+_reader("clean_text", html.clean_text, _ALL)
+_reader("boilerplate_removal", html.clean_text, _ALL)
+_reader("main_article", html.main_article, sql_main())
+_reader("newspaper_style", html.main_article, sql_main())
+_reader("mercury_style", html.main_article, sql_main())
 
 
 @query("page_navigation", "SELECT page_id, 'https://example.com/c/' || page_id AS canonical, 'https://example.com/o' AS opengraph, 'https://example.com/r' AS refresh, 'https://example.com/s' AS script FROM pages")

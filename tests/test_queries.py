@@ -61,3 +61,22 @@ def hot(spark, tmp_path_factory):
 def test_feeds_of_a_hot_user(spark, hot, name):
     got, want = registry.QUERIES[name](spark, hot[0]).toPandas(), hot[1].sql(registry.ORACLE_SQL[name]).df()
     assert canon(got, sorted(want.columns)) == canon(want, sorted(want.columns))
+
+
+READERS = ("boilerplate_removal", "clean_text", "main_article", "mercury_style", "newspaper_style")
+ODD_PAGES = (
+    "<title>cut&&&amp</title> a&lt b &ampsand &notit; &notin; &copy2", "&#8212;&#x41;&#65 &#128;&#0;&#55296;&#1114112;&#1;|&#x7f; &bogus; &amp;lt;", "<article></article><p>all</p>", None, "",
+    "<main>short</main><article>a <i>longer</i> one</article>", "<ARTICLE class=x>one</article><article>two</Article> rest", "<SCRIPT>x</script\x0b>a<style>b</style\n>c<noscript>d</noscript>", "<article>open <main>in</main>", "a\x0b\x1c\x1f\u0085 b", "\x1ca\x1f",
+)
+
+
+@pytest.mark.parametrize("name", READERS)
+def test_readers_on_odd_pages(spark, tmp_path, name):
+    """References without a semicolon, several elements, none, and white space of all kinds."""
+    pd.DataFrame({"page_id": range(len(ODD_PAGES)), "url": "https://a.org/", "html": ODD_PAGES}).to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
+    assert canon(got, ["page_id", "text"]) == canon(want, ["page_id", "text"])
+    text = dict(zip(got["page_id"], got["text"]))
+    assert text[0] == "cut&&& a< b &sand ¬it; ∉ ©2"
