@@ -80,3 +80,9 @@ def test_readers_on_odd_pages(spark, tmp_path, name):
     assert canon(got, ["page_id", "text"]) == canon(want, ["page_id", "text"])
     text = dict(zip(got["page_id"], got["text"]))
     assert text[0] == "cut&&& a< b &sand ¬it; ∉ ©2"
+
+
+def test_token_estimate_has_heads(spark):
+    """The start of each text, of which the estimate is."""
+    rows = registry.QUERIES["token_estimate"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id")
+    assert rows.where("head <=> left(text, 40)").count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
