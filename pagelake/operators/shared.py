@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -16,6 +18,22 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Bytes of bodies that one step of a Python operator holds as objects.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, body: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of ``body``, a row at least: what a task makes of bodies grows with a piece, not a batch."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(body)), 0).to_pylist()):
+        if i > first and held + n > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n + 64
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
 
