@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
+import itertools
 import re
 import uuid
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pagelake.functions import html, quality, urls
 from pagelake.operators.batches import BatchTable
-from pagelake.operators.shared import join_counted, written
+from pagelake.operators.shared import join_counted, slices, written
 
 
 #: Fixed values.
@@ -258,10 +261,18 @@ def join_link(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else absolute(b or "", x) for b, x in zip(base, link)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("url", "string").add("relation", "string")))
-def page_links(base: pd.Series, markup: pd.Series) -> pd.Series:
+_LINK = pa.struct([("url", pa.string()), ("relation", pa.string())])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("url", "string").add("relation", "string")))
+def page_links(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Links of a page in order, absolute, with their relation."""
-    return pd.Series([[{"url": u, "relation": r} for u, r in _parsed(b, m).links] for b, m in zip(base, markup)])
+    for base, markup in batches:
+        for part in slices(pa.RecordBatch.from_arrays([base, markup], ["base", "markup"]), "markup"):
+            found = [_parsed(b, m).links for b, m in zip(*(c.to_pylist() for c in part.columns))]
+            flat, ends = [x for links in found for x in links], itertools.accumulate(map(len, found), initial=0)
+            links = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in (0, 1)], fields=list(_LINK))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links)
 
 
 @F.pandas_udf(T.StructType().add("canonical", "string").add("opengraph", "string").add("refresh", "string").add("script", "string"))
