@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelake.functions import urls
-from pagelake.operators.shared import let
+from pagelake.operators.shared import let, slices
 
 ARCHIVES = (".7z", ".bz2", ".gz", ".rar", ".tar", ".tgz", ".zip")
 
@@ -98,12 +99,14 @@ def epub_members(files: DataFrame, members: int = 1000, *, expanded: int = 50_00
         except BROKEN as error:
             return [(None, None, str(error) or type(error).__name__)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame([(path, *r) for r in texts(content)], columns=["path", "locator", "raw", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.select(["path", "content"]), "content"):
+                rows = ((path, *r) for path, content in zip(*(c.to_pylist() for c in part.columns)) for r in texts(content))
+                while some := list(itertools.islice(rows, 100)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*some)], ["path", "locator", "raw", "error"])
 
-    made = files.mapInPandas(run, "path string, locator string, raw string, error string")
+    made = files.mapInArrow(run, "path string, locator string, raw string, error string")
     return made.select("path", "locator", F.regexp_replace("raw", r"(?s)<[^>]+>", " ").alias("text"), "error")
 
 
