@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.operators.shared import let
+
 #: State, pattern and whether only short texts count.
 STATES = (
     ("CAPTCHA", r"captcha|verify you are human|human verification", False, "CAPTCHA marker detected"),
@@ -55,12 +57,15 @@ def _may_hold(low: Column, pattern: str) -> Column:
 
 def page_state(text: Column) -> Column:
     """First state whose marker the squeezed text shows."""
-    low = F.lower(text)
-    out = F.when(text == "", "EMPTY")
-    for name, pattern, short, _ in STATES:
-        hit = _may_hold(low, pattern) & text.rlike(rf"(?iU)\b({pattern})\b")
-        out = out.when((F.length(text) < SHORT) & hit if short else hit, name)
-    return out.otherwise("OK")
+
+    def state(low: Column) -> Column:
+        out = F.when(text == "", "EMPTY")
+        for name, pattern, short, _ in STATES:
+            hit = _may_hold(low, pattern) & text.rlike(rf"(?iU)\b({pattern})\b")
+            out = out.when((F.length(text) < SHORT) & hit if short else hit, name)
+        return out.otherwise("OK")
+
+    return let(F.lower(text), state)
 
 
 def _best(counts: Column) -> Column:
@@ -165,9 +170,8 @@ def raw_state(body: Column, media_type: Column) -> Column:
 
 
 def ocr_state(text: Column, form: Column) -> Column:
-    """State of a document's text; a PDF without text needs OCR."""
-    plain = squeeze(text)
-    return F.when((form == "pdf") & (plain == ""), "NEEDS_OCR").otherwise(page_state(plain))
+    """State of a document's text, squeezed once; a PDF without text needs OCR."""
+    return let(squeeze(text), lambda plain: F.when((form == "pdf") & (plain == ""), "NEEDS_OCR").otherwise(page_state(plain)))
 
 
 def role(ok: Column) -> Column:

@@ -5,6 +5,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from pagelake.functions import quality
 from pagelake.operators import content, payloads, shared
 from pagelake.sources import files
 
@@ -41,3 +42,11 @@ def test_yaml_is_parsed_by_libyaml(monkeypatch):
     for bad in (b"openapi: 3.0.0\npaths: {a: &x 1, b: *x}", b"openapi: 3.0.0\npaths: {a: 1, a: 2}", b"openapi: 3.0.0\npaths: " + b"[" * 70 + b"]" * 70):
         with pytest.raises(ValueError):
             payloads.parse_openapi(bad)
+
+
+def test_ocr_state_squeezes_once(spark):
+    """A text's white space is squeezed, and the text lowered, once per row."""
+    rows = spark.createDataFrame([(" ", "pdf"), ("Sign in ", "docx"), ("some\x1f words", "pdf")], "text string, form string").select(quality.ocr_state(F.col("text"), F.col("form")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["NEEDS_OCR", "LOGIN", "OK"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("lower(") == 1
