@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +65,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled(spark: SparkSession, rows: int, most: int) -> Iterator[None]:
+    """What is run inside deals shuffles of ``rows`` over a partition per ``most`` rows at least.
+
+    Unlike ``repartition``, this leaves it to Spark to merge small partitions and split skewed ones.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), -(-rows // most))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int, *, few: int = 10_000, hot: int = 20_000) -> DataFrame:
     """Null-safe inner join on ``key``, unique in ``right``, whose column ``n`` counts the key's rows in ``left``.
 

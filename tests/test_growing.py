@@ -180,6 +180,27 @@ def test_origins_by_brute_force(spark):
     assert {(r.artifact_id, r.origin): r.steps for r in ledger.lineage_origins(df).collect()} == want
 
 
+def test_lineage_of_braids_is_linear_and_dealt_by_its_rows(spark, monkeypatch):
+    """No round makes many more ways than there are edges, and shuffles have a partition per so many of them."""
+    tables, write = [], ledger.written
+
+    def counted(df, name):
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = write(df, name)
+        tables.append((made.count(), parts))
+        return made
+
+    monkeypatch.setattr(ledger, "written", counted)
+    monkeypatch.setattr(ledger, "FEW_WAYS", 0, raising=False)
+    monkeypatch.setattr(ledger, "WAYS_PER_TASK", 20, raising=False)
+    n, before = 60, spark.conf.get("spark.sql.shuffle.partitions")
+    edges = [(i, i - k) for i in range(1, n) for k in (1, 3) if i >= k] + [(-1, i) for i in range(n)] + [(100, 101), (101, 100), (102, 100), (102, 0)]
+    got = {tuple(r) for r in ledger.lineage_origins(spark.createDataFrame(edges, "child int, parent int")).collect()}
+    assert got == {(i, 0, i // 3 + i % 3) for i in range(1, n)} | {(-1, 0, 1), (102, 0, 1)} | {(i, None, None) for i in (100, 101, 102)}
+    assert max(rows for rows, _ in tables) <= 1.2 * len(edges)
+    assert all(parts >= len(edges) // 20 for _, parts in tables[1:]) and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_a_report_has_all_artifacts_of_its_run(spark):
     rows = spark.createDataFrame([(1, "a", 1, "raw"), (1, "b", 2, "text"), (1, "r", 3, "crawl_report"), (1, "c", 4, "raw"), (2, "d", 1, "raw")], "run_id int, artifact_id string, seq int, representation string")
     assert {tuple(r) for r in ledger.report_edges(rows).collect()} == {("r", "a"), ("r", "b")}
